@@ -28,10 +28,8 @@ def badge(value, danger: float, warning: float | None = None) -> Column:
 def ew_bucket(ew) -> Column:
     """0-20, 20-40, 40-60, 60-80 are left-closed; 80-100 is closed both ends."""
     s = col_(ew)
-    b = K.EW_BUCKETS
-    return (F.when((s >= 0) & (s < 20), b[0]).when((s >= 20) & (s < 40), b[1])
-            .when((s >= 40) & (s < 60), b[2]).when((s >= 60) & (s < 80), b[3])
-            .when((s >= 80) & (s <= 100), b[4]))
+    idx = F.least(F.floor(s / F.lit(20.0)), F.lit(4)).cast("int")
+    return F.when((s >= 0) & (s <= 100), F.element_at(F.array(*[F.lit(b) for b in K.EW_BUCKETS]), idx + 1))
 
 
 def grade_tier(grade) -> Column:

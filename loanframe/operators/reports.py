@@ -36,8 +36,17 @@ def _delinquent() -> Column:
 
 
 def _spine(spark: SparkSession, name: str, values: list[str]) -> DataFrame:
-    """A tiny literal dimension (fixed size) with its display order."""
-    return spark.createDataFrame([(v, i) for i, v in enumerate(values)], f"{name} string, _ord int")
+    """A tiny literal dimension (fixed size) with its display order, as an
+    inline table so the planner knows it is a handful of rows."""
+    rows = F.array(*[F.struct(F.lit(v).alias(name), F.lit(i).alias("_ord")) for i, v in enumerate(values)])
+    return spark.range(1).select(F.inline(rows))
+
+
+def _dense(spine: DataFrame, agg: DataFrame, key: str) -> DataFrame:
+    """Left join of a literal spine to an aggregate keyed by a categorical
+    column. The aggregate has one row per distinct key, so it is the bounded
+    side that gets broadcast; the spine is the preserved (streamed) side."""
+    return spine.join(F.broadcast(agg), key, "left")
 
 
 # ---------------------------------------------------------------------------
@@ -170,7 +179,7 @@ def risk_distribution(scored: DataFrame) -> DataFrame:
         rate_pct(F.col("default_indicator")).alias("_dr"),
         rnd(_avg("default_prob", PROB) * F.lit(100.0), 2).alias("_pd")))
     spine = _spine(scored.sparkSession, "grade", K.GRADES)
-    return (F.broadcast(spine).join(agg, "grade", "left").select(
+    return (_dense(spine, agg, "grade").select(
         "grade",
         F.coalesce("_n", F.lit(0).cast("long")).alias("count"),
         F.coalesce("_aum", F.lit(0).cast("long")).alias("aum"),
@@ -189,7 +198,7 @@ def grade_tiers(scored: DataFrame) -> DataFrame:
     rd = risk_distribution(scored).withColumn("tier", grade_tier("grade"))
     spine = _spine(scored.sparkSession, "tier", K.TIER_ORDER)
     agg = rd.groupBy("tier").agg(F.sum("count").alias("count"), F.sum("aum").alias("aum"))
-    return F.broadcast(spine).join(agg, "tier", "left").orderBy("_ord").select(
+    return _dense(spine, agg, "tier").orderBy("_ord").select(
         "tier", F.coalesce("count", F.lit(0).cast("long")).alias("count"),
         F.coalesce("aum", F.lit(0).cast("long")).alias("aum"))
 
@@ -198,7 +207,7 @@ def pricing_by_grade(scored: DataFrame) -> DataFrame:
     """Average pricing on the full grade ladder, missing grades -> 0."""
     seg = segment_breakdown(scored, "credit_quality").select(F.col("segment").alias("grade"), "avgPricing")
     spine = _spine(scored.sparkSession, "grade", K.GRADES)
-    return (F.broadcast(spine).join(seg, "grade", "left").orderBy("_ord")
+    return (_dense(spine, seg, "grade").orderBy("_ord")
             .select("grade", F.coalesce("avgPricing", F.lit(0.0)).alias("avgPricing")))
 
 
@@ -239,7 +248,7 @@ def ew_buckets(scored: DataFrame) -> DataFrame:
     """Histogram 0-20 .. 80-100, zero-filled from the 5-bucket spine."""
     agg = scored.groupBy(ew_bucket("early_warning_score").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     spine = _spine(scored.sparkSession, "bucket", K.EW_BUCKETS)
-    return (F.broadcast(spine).join(agg, "bucket", "left").orderBy("_ord")
+    return (_dense(spine, agg, "bucket").orderBy("_ord")
             .select("bucket", F.coalesce("n", F.lit(0).cast("long")).alias("count")))
 
 

@@ -39,3 +39,78 @@ for _name, _key in [("segments_geography", "geography"), ("segments_employment",
                     ("segments_product", "product_type"), ("segments_channel", "acquisition_channel"),
                     ("segments_grade", "credit_quality")]:
     PLANS[_name] = (lambda key: lambda spark, sf: A.segment_breakdown(scored_rules(spark, sf), key))(_key)
+
+
+# ---------------------------------------------------------------------------
+# Scoring (R1, R2, R4, R5, R6, R7, R9)
+# ---------------------------------------------------------------------------
+@plan("scored_loans")
+def _scored_loans(spark, sf):
+    return scored_rules(spark, sf)
+
+
+@plan("rule_default_prob")
+def _rule_default_prob(spark, sf):
+    from pyspark.sql import functions as F
+    from ..functions import rnd
+    return fixtures.loans(spark, sf).select(
+        "loan_id", rnd(S.rule_pd_raw(), 4).alias("rule_pd"), S.rule_default_prob().alias("default_prob"))
+
+
+@plan("rule_ew_score")
+def _rule_ew_score(spark, sf):
+    return fixtures.loans(spark, sf).select("loan_id", S.rule_ew_score().alias("early_warning_score"))
+
+
+@plan("ew_blend")
+def _ew_blend(spark, sf):
+    """R4 with the rule PD standing in for the model probability, no bonus."""
+    return fixtures.loans(spark, sf).select("loan_id", S.ew_blend(S.rule_default_prob()).alias("ew_blend"))
+
+
+@plan("risk_level")
+def _risk_level(spark, sf):
+    return S.with_risk_level(scored_rules(spark, sf)).select("loan_id", "early_warning_score", "risk_level")
+
+
+@plan("segment_bands")
+def _segment_bands(spark, sf):
+    return S.segment_bands(A.segment_breakdown(scored_rules(spark, sf), "geography"))
+
+
+@plan("score_guard")
+def _score_guard(spark, sf):
+    from ..models.guard import prob_guard
+    return prob_guard(scored_rules(spark, sf), "default_prob")
+
+
+# ---------------------------------------------------------------------------
+# Reports
+# ---------------------------------------------------------------------------
+def _report(name: str, fn, src=scored_rules):
+    PLANS[name] = lambda spark, sf: fn(src(spark, sf))
+
+
+_report("portfolio_metrics", A.portfolio_metrics)
+_report("risk_distribution", A.risk_distribution)
+_report("nonempty_grades", A.nonempty_grades)
+_report("grade_tiers", A.grade_tiers)
+_report("pricing_by_grade", A.pricing_by_grade)
+_report("cohort_analysis", A.cohort_analysis)
+_report("ew_bands", A.ew_bands)
+_report("ew_buckets", A.ew_buckets)
+_report("cluster_profiles_rule", lambda s: A.cluster_profiles(A.ew_quartile_clusters(s)))
+_report("scatter_grade", A.scatter_data)
+_report("pricing_report", A.pricing_report)
+_report("product_share", A.product_share)
+_report("product_profitability", A.product_profitability)
+_report("roi_best_worst", A.roi_best_worst)
+_report("best_worst_geography", lambda s: A.best_worst(s, "geography"))
+_report("best_worst_product", lambda s: A.best_worst(s, "product_type"))
+_report("active_or_all", A.active_or_all)
+_report("grade_lookup_join", A.grade_lookup_join, fixtures.loans)
+_report("auc_rule", A.auc_rule, fixtures.loans)
+_report("distinct_grades", A.distinct_grades, fixtures.loans)
+_report("class_counts", A.class_counts, fixtures.loans)
+_report("load_summary", A.load_summary, fixtures.loans)
+_report("status_counts", A.status_counts, fixtures.loans)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from .oracle import segments_query
+from .. import constants as K
+from .oracle import (CLIP, EW_BASE, R, RULE_EW, RULE_PD, RULE_PD_RAW, SEGMENT_AGGS, big, dmean, imean,
+                     itrunc, q, segment_sql, segments_query, with_loans, with_scored)
 
 ORACLE: dict[str, str] = {}
 
@@ -10,3 +12,184 @@ for _name, _key in [("segments_geography", "geography"), ("segments_employment",
                     ("segments_product", "product_type"), ("segments_channel", "acquisition_channel"),
                     ("segments_grade", "credit_quality")]:
     ORACLE[_name] = segments_query(_key)
+
+
+def _values(name: str, values: list[str], alias: str) -> str:
+    rows = ", ".join(f"({q(v)}, {i})" for i, v in enumerate(values))
+    return f"(VALUES {rows}) AS {alias}({name}, ord)"
+
+
+# ---------------------------------------------------------------------------
+# Scoring
+# ---------------------------------------------------------------------------
+ORACLE["scored_loans"] = with_scored("SELECT * FROM scored")
+ORACLE["rule_default_prob"] = with_loans(
+    f"SELECT loan_id, {R(RULE_PD_RAW, 4)} AS rule_pd, {RULE_PD} AS default_prob FROM loans")
+ORACLE["rule_ew_score"] = with_loans(f"SELECT loan_id, {RULE_EW} AS early_warning_score FROM loans")
+ORACLE["ew_blend"] = with_loans(
+    f"SELECT loan_id, {R(CLIP(EW_BASE, '0e0', '100e0') + ' * 0.6e0 + ' + RULE_PD + ' * 100e0 * 0.4e0', 1)}"
+    " AS ew_blend FROM loans")
+ORACLE["risk_level"] = with_scored(
+    "SELECT loan_id, early_warning_score, CASE WHEN early_warning_score > 60 THEN 'High' "
+    "WHEN early_warning_score > 40 THEN 'Medium' ELSE 'Low' END AS risk_level FROM scored")
+ORACLE["segment_bands"] = with_scored(f""", seg AS ({segment_sql('geography')})
+SELECT *,
+  CASE WHEN "defaultRate" > 15 THEN 'danger' WHEN "defaultRate" > 8 THEN 'warning' ELSE 'success' END AS "defaultBand",
+  CASE WHEN "defaultRate" > 12 THEN 'danger' WHEN "defaultRate" > 7 THEN 'warning' ELSE 'success' END AS "cohortBand",
+  CASE WHEN "defaultRate" > 12 THEN 'danger' ELSE 'warning' END AS "pricingBand"
+FROM seg""")
+ORACLE["score_guard"] = with_scored(f"""
+SELECT {R('s', 6)} AS prob_std, CASE WHEN s < {K.PROB_STD_FLOOR}e0 THEN 'rules' ELSE 'model' END AS branch
+FROM (SELECT stddev_pop(default_prob) AS s FROM scored)""")
+
+# ---------------------------------------------------------------------------
+# Reports
+# ---------------------------------------------------------------------------
+ORACLE["portfolio_metrics"] = with_scored(f"""
+SELECT * FROM (
+  SELECT count(*) AS "totalLoans",
+    {big('sum(loan_size)')} AS "totalDisbursed",
+    {itrunc(imean('loan_size'))} AS "avgTicketSize",
+    {R(imean('default_indicator') + ' * 1e2', 1)} AS "defaultRate",
+    {R("CAST(sum(CASE WHEN delinquency_status <> 'Current' THEN 1 ELSE 0 END) AS DOUBLE) / count(*) * 1e2", 1)}
+      AS "delinquencyRate",
+    {itrunc(imean('credit_score'))} AS "avgCreditScore",
+    {R(dmean('pricing_rate', 9, 2), 2)} AS "avgPricing",
+    {itrunc('CAST(sum(CAST(value_proxy AS DECIMAL(18,2))) AS DOUBLE)')} AS "totalValueProxy",
+    {big("coalesce(sum(CASE WHEN loan_status <> 'Active' THEN loan_size END), 0)")} AS "atRiskAUM",
+    {R(dmean('default_prob', 9, 4) + ' * 1e2', 2)} AS "avgDefaultProb",
+    {R(dmean('early_warning_score', 9, 1), 1)} AS "avgEWScore"
+  FROM scored) WHERE "totalLoans" > 0""")
+
+_GRADE_AGG = f"""agg AS (
+  SELECT credit_quality AS grade, count(*) AS n, {big('sum(loan_size)')} AS aum,
+    {R(imean('default_indicator') + ' * 1e2', 1)} AS dr,
+    {R(dmean('default_prob', 9, 4) + ' * 1e2', 2)} AS pd
+  FROM scored GROUP BY credit_quality)"""
+_RISK_DIST = f"""rd AS (
+  SELECT g.grade, coalesce(a.n, 0) AS "count", coalesce(a.aum, 0) AS aum,
+    coalesce(a.dr, 0e0) AS "defaultRate", coalesce(a.pd, 0e0) AS "avgDefaultProb"
+  FROM {_values('grade', K.GRADES, 'g')} LEFT JOIN agg a ON a.grade = g.grade)"""
+ORACLE["risk_distribution"] = with_scored(f", {_GRADE_AGG}, {_RISK_DIST} SELECT * FROM rd")
+ORACLE["nonempty_grades"] = with_scored(f", {_GRADE_AGG}, {_RISK_DIST} SELECT * FROM rd WHERE \"count\" > 0")
+_TIER_CASE = ("CASE WHEN grade IN ('AAA','AA','A','BBB') THEN 'Investment' WHEN grade IN ('BB','B') "
+              "THEN 'Speculative' WHEN grade = 'CCC' THEN 'Distressed' END")
+ORACLE["grade_tiers"] = with_scored(f""", {_GRADE_AGG}, {_RISK_DIST},
+t AS (SELECT {_TIER_CASE} AS tier, sum("count") AS c, sum(aum) AS a FROM rd GROUP BY 1)
+SELECT s.tier, {big('coalesce(t.c, 0)')} AS "count", {big('coalesce(t.a, 0)')} AS aum
+FROM {_values('tier', K.TIER_ORDER, 's')} LEFT JOIN t ON t.tier = s.tier""")
+ORACLE["pricing_by_grade"] = with_scored(f""", seg AS ({segment_sql('credit_quality')})
+SELECT g.grade, coalesce(seg."avgPricing", 0e0) AS "avgPricing"
+FROM {_values('grade', K.GRADES, 'g')} LEFT JOIN seg ON seg.segment = g.grade""")
+
+ORACLE["cohort_analysis"] = with_scored(f"""
+SELECT cohort, count(loan_id) AS loans,
+  {R(imean('default_indicator') + ' * 1e2', 1)} AS "defaultRate",
+  {R("CAST(sum(CASE WHEN delinquency_status <> 'Current' THEN 1 ELSE 0 END) AS DOUBLE) / count(delinquency_status) * 1e2", 1)} AS "delinqRate",
+  {R(dmean('pricing_rate', 9, 2), 2)} AS "avgPricing",
+  {itrunc('CAST(sum(CAST(value_proxy AS DECIMAL(18,2))) AS DOUBLE)')} AS "valueCreated",
+  {R(dmean('early_warning_score', 9, 1), 1)} AS "avgEWScore"
+FROM scored WHERE cohort IS NOT NULL GROUP BY cohort""")
+
+ORACLE["ew_bands"] = with_scored("""
+SELECT count(*) FILTER (WHERE early_warning_score > 60) AS high,
+  count(*) FILTER (WHERE early_warning_score >= 40 AND early_warning_score <= 60) AS medium,
+  count(*) FILTER (WHERE early_warning_score < 40) AS low,
+  CAST(coalesce(sum(spending_shock), 0) AS BIGINT) AS shocks
+FROM scored""")
+
+ORACLE["ew_buckets"] = with_scored(f""", b AS (
+  SELECT CASE WHEN early_warning_score >= 0 AND early_warning_score < 20 THEN '0-20'
+    WHEN early_warning_score >= 20 AND early_warning_score < 40 THEN '20-40'
+    WHEN early_warning_score >= 40 AND early_warning_score < 60 THEN '40-60'
+    WHEN early_warning_score >= 60 AND early_warning_score < 80 THEN '60-80'
+    WHEN early_warning_score >= 80 AND early_warning_score <= 100 THEN '80-100' END AS bucket
+  FROM scored),
+c AS (SELECT bucket, count(*) AS n FROM b GROUP BY bucket)
+SELECT s.bucket, coalesce(c.n, 0) AS "count" FROM {_values('bucket', K.EW_BUCKETS, 's')} LEFT JOIN c ON c.bucket = s.bucket""")
+
+_NAMES = " ".join(f"WHEN {i} THEN {q(n)}" for i, n in enumerate(K.CLUSTER_NAMES))
+ORACLE["cluster_profiles_rule"] = with_scored(f""", cl AS (
+  SELECT *, least(CAST(floor(early_warning_score / 25e0) AS INTEGER), 3) AS cl FROM scored),
+p AS (
+  SELECT cl AS cluster, count(*) AS "count", {itrunc(imean('credit_score'))} AS "avgCreditScore",
+    {R(dmean('pricing_rate', 9, 2), 2)} AS "avgPricing",
+    {R(imean('default_indicator') + ' * 1e2', 1)} AS "defaultRate",
+    {R(dmean('early_warning_score', 9, 1), 1)} AS "avgEWScore",
+    {big('sum(loan_size)')} AS "totalAUM"
+  FROM cl GROUP BY cl),
+r AS (SELECT *, row_number() OVER (ORDER BY "avgEWScore", cluster) - 1 AS rk FROM p)
+SELECT cluster, CASE rk {_NAMES} ELSE 'Cluster ' || CAST(cluster AS VARCHAR) END AS name,
+  "count", "avgCreditScore", "avgPricing", "defaultRate", "avgEWScore", "totalAUM" FROM r""")
+
+ORACLE["scatter_grade"] = with_scored(f"""
+SELECT CAST(credit_quality AS VARCHAR) AS label, {imean('credit_score')} AS x,
+  {R(dmean('default_prob', 9, 4) + ' * 1e2', 2)} AS y, count(loan_id) AS r
+FROM scored WHERE credit_quality IS NOT NULL GROUP BY credit_quality""")
+
+ORACLE["pricing_report"] = with_scored(f"""
+SELECT 'products' AS dimension, * FROM ({segment_sql('product_type')})
+UNION ALL
+SELECT 'grades' AS dimension, * FROM ({segment_sql('credit_quality')})""")
+
+ORACLE["product_share"] = with_scored(f""", seg AS ({segment_sql('product_type')})
+SELECT segment, "totalDisbursed",
+  CAST("totalDisbursed" AS DOUBLE) / CAST(sum("totalDisbursed") OVER () AS DOUBLE) AS share FROM seg""")
+
+ORACLE["product_profitability"] = with_scored(f""", seg AS ({segment_sql('product_type')})
+SELECT segment, "count", "totalDisbursed", "defaultRate", "avgDefaultProb", "avgPricing",
+  CAST("count" AS DOUBLE) * "avgPricing" * 1000e0 AS "revenueProxy" FROM seg""")
+
+ORACLE["roi_best_worst"] = with_scored(f""", seg AS (
+  SELECT *, "avgPricing" - "defaultRate" * 2e0 AS roi FROM ({segment_sql('product_type')})),
+b AS (SELECT segment, roi FROM seg ORDER BY roi DESC, "totalDisbursed" DESC LIMIT 1),
+w AS (SELECT segment, roi FROM seg ORDER BY roi ASC, "totalDisbursed" DESC LIMIT 1)
+SELECT b.segment AS best_product, b.roi AS best_roi, w.segment AS worst_product, w.roi AS worst_roi,
+  split_part(b.segment, ' ', 1) AS best_label, split_part(w.segment, ' ', 1) AS worst_label
+FROM b, w""")
+
+
+def _best_worst(key: str) -> str:
+    return with_scored(f""", seg AS ({segment_sql(key)}),
+b AS (SELECT * FROM seg ORDER BY "defaultRate" ASC, "totalDisbursed" DESC LIMIT 1),
+w AS (SELECT * FROM seg ORDER BY "defaultRate" DESC, "totalDisbursed" DESC LIMIT 1)
+SELECT b.segment AS best_segment, b."defaultRate" AS best_default_rate, b."totalDisbursed" AS best_aum,
+  w.segment AS worst_segment, w."defaultRate" AS worst_default_rate,
+  w."avgDefaultProb" AS worst_avg_default_prob
+FROM b, w""")
+
+
+ORACLE["best_worst_geography"] = _best_worst("geography")
+ORACLE["best_worst_product"] = _best_worst("product_type")
+
+ORACLE["active_or_all"] = with_scored("""
+SELECT * FROM scored
+WHERE loan_status = 'Active' OR NOT EXISTS (SELECT 1 FROM scored WHERE loan_status = 'Active')""")
+
+ORACLE["grade_lookup_join"] = with_loans(f"""
+SELECT l.loan_id, l.credit_quality, coalesce(g.pd, {K.RULE_UNKNOWN_GRADE_PD}e0) AS grade_pd
+FROM loans l LEFT JOIN (VALUES {", ".join(f"({q(k)}, {v}e0)" for k, v in K.RULE_GRADE_PD.items())}) AS g(grade, pd)
+  ON g.grade = l.credit_quality""")
+
+ORACLE["auc_rule"] = with_loans(f""", s AS (
+  SELECT {R(RULE_PD_RAW, 4)} AS s, default_indicator AS y FROM loans),
+per AS (SELECT s, CAST(sum(y) AS BIGINT) AS pos, CAST(sum(1 - y) AS BIGINT) AS neg FROM s GROUP BY s),
+cum AS (SELECT *, coalesce(sum(neg) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+  AS neg_below FROM per),
+t AS (SELECT sum(pos * (2 * neg_below + neg)) AS num2, sum(pos) AS p, sum(neg) AS n FROM cum)
+SELECT CASE WHEN p > 0 AND n > 0 THEN {R('CAST(num2 AS DOUBLE) / (2e0 * CAST(p AS DOUBLE) * CAST(n AS DOUBLE))', 4)}
+  ELSE 0e0 END AS auc FROM t""")
+
+ORACLE["distinct_grades"] = with_loans(
+    "SELECT DISTINCT credit_quality AS grade FROM loans WHERE credit_quality IS NOT NULL")
+ORACLE["class_counts"] = with_loans(
+    "SELECT count(DISTINCT credit_quality) AS n_grades, count(DISTINCT default_indicator) AS n_label_classes "
+    "FROM loans")
+ORACLE["load_summary"] = with_loans(f"""
+SELECT * FROM (SELECT count(*) AS total_loans, {R(imean('default_indicator') + ' * 1e2', 1)} AS default_rate,
+  {itrunc(imean('credit_score'))} AS avg_credit_score, {big('sum(loan_size)')} AS total_aum,
+  array_to_string(list_sort(list(DISTINCT credit_quality)), ',') AS grades_found
+FROM loans) WHERE total_loans > 0""")
+ORACLE["status_counts"] = with_loans(
+    "SELECT loan_status, count(*) AS \"count\", CAST(sum(default_indicator) AS BIGINT) AS defaults "
+    "FROM loans GROUP BY loan_status")

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions import clip, rnd, score_to_grade
+from ..functions import clip, lookup, rnd, score_to_grade
 from .tables import read_table
 
 # Fixed values of the fixture: pseudo-random chain and per-grade thresholds.
@@ -36,13 +36,6 @@ def _pick(index: Column, values: list) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
 
 
-def _by_grade(grade: Column, table: dict) -> Column:
-    out = None
-    for g, v in table.items():
-        out = F.when(grade == g, F.lit(v)) if out is None else out.when(grade == g, F.lit(v))
-    return out
-
-
 def _chain(k: Column, ck: Column, steps: int) -> list[Column]:
     h = [(k * CHAIN_MUL_ORDER + ck * CHAIN_MUL_CUST) % CHAIN_MOD0]
     for _ in range(steps):
@@ -78,16 +71,20 @@ def loans(spark: SparkSession, sf_dir: str) -> DataFrame:
         h[2].alias("_h2"), h[3].alias("_h3"), h[4].alias("_h4"), h[5].alias("_h5"), h[6].alias("_h6"),
     ).withColumn("credit_quality", score_to_grade("credit_score"))
 
+    # Stage the per-row flags as named columns so later expressions refer to
+    # them instead of re-inlining the grade lookup (keeps generated code small).
     g = F.col("credit_quality")
-    pdm = _by_grade(g, FIXTURE_DEFAULT_PER_MILLE)
-    is_def = (F.col("_h3") % 1000) < pdm
-    is_del = (~is_def) & ((F.col("_h4") % 1000) * 2 < pdm * 5)
+    flags = base.withColumns({
+        "_pdm": lookup(FIXTURE_DEFAULT_PER_MILLE, g),
+        "_rate": lookup(K.GRADE_BASE_RATE, g),
+    }).withColumn("_def", (F.col("_h3") % 1000) < F.col("_pdm"))
+    flags = flags.withColumn("_del", (~F.col("_def")) & ((F.col("_h4") % 1000) * 2 < F.col("_pdm") * 5))
     size = F.col("loan_size").cast("double")
-    out = base.select(
+    is_def, is_del = F.col("_def"), F.col("_del")
+    out = flags.select(
         "loan_id", "geography", "employment_type", "credit_score", "income_proxy", "credit_quality",
         "product_type", "loan_size", "tenure_months",
-        ((_by_grade(g, K.GRADE_BASE_RATE) * 100 + F.col("_h6") % 201 - 100).cast("double") / 100)
-        .alias("pricing_rate"),
+        ((F.col("_rate") * 100 + F.col("_h6") % 201 - 100).cast("double") / 100).alias("pricing_rate"),
         clip(size / (F.col("income_proxy") * 12 * F.lit(0.4)), 0.0, 3.0).alias("ltv_ratio"),
         clip(size / F.col("tenure_months") / F.col("income_proxy"), 0.0, 0.8).alias("dti_ratio"),
         F.when(is_def, "Default").when(is_del, "DPD30+").otherwise("Current").alias("delinquency_status"),
@@ -130,8 +127,8 @@ def _cycle(n: Column, modulus: int, cases: dict, otherwise: Column) -> Column:
 
 def raw_loans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messy all-string upload derived from ``loans`` (FIXTURES.md, section C)."""
-    b = loans(spark, sf_dir)
-    n = F.substring(F.col("loan_id"), 4, 32).cast("long")
+    b = loans(spark, sf_dir).withColumn("_n", F.substring(F.col("loan_id"), 4, 32).cast("long"))
+    n = F.col("_n")
     s = lambda c: F.col(c).cast("string")
     g = F.col("credit_quality")
     d = F.col("default_indicator") == 1
