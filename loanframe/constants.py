@@ -149,3 +149,9 @@ EARLY_WARNING_COLUMNS = ["loan_id", "early_warning_score", "credit_quality", "pr
 WATCHLIST_DEPTH = 200
 WATCHLIST_SIZE = 50
 CARD_LIST_SIZE = 8
+
+# ---------------------------------------------------------------------------
+# Text read as missing in an uploaded CSV (pandas defaults)
+# ---------------------------------------------------------------------------
+CSV_NULL_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+                   "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import reports as A
 from ..operators import scoring as S
+from .. import constants as K
 from ..sources import fixtures
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -114,3 +115,98 @@ _report("distinct_grades", A.distinct_grades, fixtures.loans)
 _report("class_counts", A.class_counts, fixtures.loans)
 _report("load_summary", A.load_summary, fixtures.loans)
 _report("status_counts", A.status_counts, fixtures.loans)
+
+
+# ---------------------------------------------------------------------------
+# Watch-lists
+# ---------------------------------------------------------------------------
+from ..operators import topk as T  # noqa: E402
+
+_report("early_warning_top50", T.early_warning_signals)
+_report("early_warning_top8", lambda s: T.early_warning_signals(s, K.CARD_LIST_SIZE))
+_report("early_warning_by_grade", lambda s: T.early_warning_by_grade(s, "CCC"))
+
+
+# ---------------------------------------------------------------------------
+# Formatting and benchmark status
+# ---------------------------------------------------------------------------
+@plan("inr_format")
+def _inr_format(spark, sf):
+    from pyspark.sql import functions as F
+    from ..functions import inr_format
+    seg = A.pricing_report(scored_rules(spark, sf))
+    return seg.select("dimension", "segment", "totalDisbursed", inr_format("totalDisbursed").alias("aum_text"),
+                      inr_format(F.col("count") * F.col("avgPricing") * F.lit(1000.0)).alias("revenue_text"))
+
+
+@plan("benchmark_status")
+def _benchmark_status(spark, sf):
+    from ..operators.policy import benchmark_status
+    return benchmark_status(A.portfolio_metrics(scored_rules(spark, sf)))
+
+
+# ---------------------------------------------------------------------------
+# Normalisation of the messy upload
+# ---------------------------------------------------------------------------
+from ..operators import normalize as N  # noqa: E402
+
+_STEP_COLUMNS = {
+    "normalize_headers": ["loan_id", "loan_size", "credit_score", "credit_quality", "geography", "employment_type",
+                          "product_type", "pricing_rate", "default_indicator", "delinquency_status",
+                          "tenure_months", "acquisition_channel", "income_proxy", "dti_ratio"],
+    "normalize_grade": ["loan_id", "credit_quality"],
+    "grade_from_score": ["loan_id", "credit_quality"],
+    "normalize_employment": ["loan_id", "employment_type"],
+    "normalize_product": ["loan_id", "product_type"],
+    "normalize_geography": ["loan_id", "geography"],
+    "normalize_channel": ["loan_id", "acquisition_channel"],
+    "parse_default_flag": ["loan_id", "default_indicator"],
+    "parse_delinquency": ["loan_id", "delinquency_status"],
+    "loan_status": ["loan_id", "loan_status"],
+    "coerce_numeric": ["loan_id", *K.NUMERIC_DEFAULTS],
+    "fill_strings": ["loan_id", *K.STRING_DEFAULTS],
+}
+
+for _step, _cols in _STEP_COLUMNS.items():
+    PLANS[_step] = (lambda step, cols: lambda spark, sf: N.normalize_until(
+        fixtures.raw_loans(spark, sf), step).select(*cols))(_step, _cols)
+
+
+@plan("normalize_loans")
+def _normalize_loans(spark, sf):
+    return N.normalize_loans(fixtures.raw_loans(spark, sf))
+
+
+@plan("assign_loan_ids")
+def _assign_loan_ids(spark, sf):
+    """Ids by position in an explicit order (the upload's reference column)."""
+    raw = fixtures.raw_loans(spark, sf).withColumnRenamed("loan_id", "ref").select("ref", "loan_amount")
+    return N.assign_loan_ids(raw, order_col="ref").select("ref", "loan_id")
+
+
+@plan("cohort_bucket")
+def _cohort_bucket(spark, sf):
+    return N.cohort_bucket(fixtures.loans(spark, sf).drop("cohort")).select("loan_id", "origination_month", "cohort")
+
+
+@plan("value_proxy")
+def _value_proxy(spark, sf):
+    return N.value_proxy(fixtures.loans(spark, sf).drop("value_proxy")).select("loan_id", "value_proxy")
+
+
+@plan("derived_ratios")
+def _derived_ratios(spark, sf):
+    return N.derive_ratios(fixtures.loans(spark, sf)).select("loan_id", "ltv_ratio", "dti_ratio")
+
+
+@plan("csv_roundtrip")
+def _csv_roundtrip(spark, sf):
+    """The messy upload written as CSV to the shared scratch folder, read
+    back as strings and normalised."""
+    import os
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    from ..sources.csv import read_loans_csv, write_loans_csv
+    path = os.path.join(ensure_checkpoint_dir(spark), f"upload-{uuid.uuid4().hex[:12]}")
+    write_loans_csv(fixtures.raw_loans(spark, sf), path)
+    return N.normalize_loans(read_loans_csv(spark, path))

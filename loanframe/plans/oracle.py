@@ -177,3 +177,113 @@ def segment_sql(key: str, src: str = "scored") -> str:
 
 def segments_query(key: str) -> str:
     return with_scored(segment_sql(key))
+
+
+# ---------------------------------------------------------------------------
+# Messy upload and its normalisation
+# ---------------------------------------------------------------------------
+def _cyc(mod: int, cases: dict, other: str) -> str:
+    whens = " ".join(f"WHEN {i} THEN {v}" for i, v in cases.items())
+    return f"CASE n % {mod} {whens} ELSE {other} END"
+
+
+RAW_LOANS_CTE = LOANS_CTE + f""",
+rl_n AS (SELECT *, CAST(substr(loan_id, 4) AS BIGINT) AS n FROM loans),
+raw_loans AS (
+  SELECT loan_id,
+    CAST(loan_size AS VARCHAR) AS loan_amount,
+    CASE WHEN n % 29 = 0 THEN NULL WHEN n % 31 = 0 THEN 'abc' ELSE CAST(credit_score AS VARCHAR) END AS cibil_score,
+    {_cyc(11, {0: "lower(credit_quality)", 1: "' ' || credit_quality || ' '", 2: "'prime'", 3: "'Good'",
+               4: "'poor'", 5: "'unknown'", 6: "NULL", 7: "'MEDIUM'"}, "credit_quality")} AS risk_grade,
+    {_cyc(7, {0: "'urban'", 1: "' tier_2 '", 2: "'SEMI URBAN'", 3: "'village'", 4: "NULL", 5: "' Coastal '"},
+          "geography")} AS region,
+    {_cyc(8, {0: "'self_employed'", 1: "' SALARY'", 2: "'freelancer'", 3: "'sme'", 4: "'daily wage'", 5: "NULL",
+              6: "'Pensioner'"}, "employment_type")} AS employment,
+    {_cyc(6, {0: "'PL'", 1: "'buy now pay later'", 2: "'microloan'", 3: "NULL", 4: "'Gold Loan '"},
+          "product_type")} AS product,
+    CASE WHEN n % 37 = 0 THEN '1,200' ELSE CAST(CAST(pricing_rate AS DECIMAL(9,2)) AS VARCHAR) END AS interest_rate,
+    {_cyc(9, {0: "CASE WHEN default_indicator = 1 THEN 'YES' ELSE 'no' END",
+              1: "CASE WHEN default_indicator = 1 THEN ' npa ' ELSE 'N' END",
+              2: "CASE WHEN default_indicator = 1 THEN 'True' ELSE 'false' END"},
+          "CASE WHEN default_indicator = 1 THEN '1' ELSE '0' END")} AS is_default,
+    {_cyc(10, {0: "'0'", 1: "'45'", 2: "'Overdue'", 3: "NULL", 4: "'CURRENT'", 5: "'DPD90'", 6: "'30+ days'",
+               7: "'closed'"}, "delinquency_status")} AS dpd,
+    CASE WHEN n % 41 = 0 THEN NULL ELSE CAST(tenure_months AS VARCHAR) END AS tenure,
+    {_cyc(5, {0: "'ONLINE'", 1: "'fintech '", 2: "'bc'", 3: "NULL"}, "acquisition_channel")} AS channel,
+    CASE WHEN n % 43 = 0 THEN '' ELSE CAST(income_proxy AS VARCHAR) END AS income,
+    CAST(CAST(dti_ratio AS DECIMAL(9,4)) AS VARCHAR) AS dti
+  FROM rl_n)
+"""
+
+WS = "[ \\t\\r\\n\\f\\v]"
+NUMERIC_RE_SQL = "^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)(e[+-]?[0-9]+)?$|^[+-]?(inf|infinity)$"
+
+
+def STRIP(x: str) -> str:
+    return f"regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g')"
+
+
+def NUM(x: str) -> str:
+    s = f"lower({STRIP(x)})"
+    return f"(CASE WHEN regexp_matches({s}, '{NUMERIC_RE_SQL}') THEN TRY_CAST({s} AS DOUBLE) END)"
+
+
+def ALIAS(x: str, mapping: dict) -> str:
+    return case_map(x, mapping)
+
+
+def _norm_chain() -> str:
+    grade_s = f"lower({STRIP('credit_quality')})"
+    grade = (f"coalesce({ALIAS(grade_s, K.GRADE_ALIASES)}, "
+             f"CASE WHEN upper({grade_s}) IN ({', '.join(q(g) for g in K.GRADES)}) THEN upper({grade_s}) END)")
+
+    def cat(c, mapping):
+        return f"coalesce({ALIAS('lower(' + STRIP(c) + ')', mapping)}, {STRIP(c)})"
+    flag_s = f"lower({STRIP('default_indicator')})"
+    flag = (f"CASE WHEN {flag_s} IN ({', '.join(q(v) for v in K.DEFAULT_FLAG_TRUE)}) "
+            f"OR {NUM('default_indicator')} = 1 THEN 1 ELSE 0 END")
+    raw = f"lower({STRIP('delinquency_status')})"
+    marker = " OR ".join(f"contains({raw}, {q(m)})" for m in K.DELINQUENT_MARKERS)
+    delinq = (f"CASE WHEN default_indicator = 1 THEN 'Default' WHEN {marker} THEN 'DPD30+' "
+              f"WHEN {raw} IS NULL OR contains({raw}, 'current') OR {raw} = '0' OR {raw} = 'nan' THEN 'Current' "
+              f"WHEN {NUM(raw)} > 0 THEN 'DPD30+' ELSE 'Current' END")
+    numerics = ", ".join(
+        f"coalesce({NUM(c)}, {float(d)}e0) AS {c}" if c in _RAW_NUMERIC else f"{float(d)}e0 AS {c}"
+        for c, d in K.NUMERIC_DEFAULTS.items())
+    strings = ", ".join(f"coalesce({STRIP(c)}, {q(d)}) AS {c}" for c, d in K.STRING_DEFAULTS.items())
+    return f""",
+nm_headers AS (
+  SELECT loan_id, loan_amount AS loan_size, cibil_score AS credit_score, risk_grade AS credit_quality,
+    region AS geography, employment AS employment_type, product AS product_type, interest_rate AS pricing_rate,
+    is_default AS default_indicator, dpd AS delinquency_status, tenure AS tenure_months,
+    channel AS acquisition_channel, income AS income_proxy, dti AS dti_ratio
+  FROM raw_loans),
+nm_grade AS (SELECT * REPLACE ({grade} AS credit_quality) FROM nm_headers),
+nm_score AS (SELECT * REPLACE (coalesce(credit_quality, {grade_of(NUM('credit_score'))}) AS credit_quality)
+  FROM nm_grade),
+nm_emp AS (SELECT * REPLACE ({cat('employment_type', K.EMPLOYMENT_ALIASES)} AS employment_type) FROM nm_score),
+nm_prod AS (SELECT * REPLACE ({cat('product_type', K.PRODUCT_ALIASES)} AS product_type) FROM nm_emp),
+nm_geo AS (SELECT * REPLACE ({cat('geography', K.GEOGRAPHY_ALIASES)} AS geography) FROM nm_prod),
+nm_chan AS (SELECT * REPLACE ({cat('acquisition_channel', K.CHANNEL_ALIASES)} AS acquisition_channel) FROM nm_geo),
+nm_flag AS (SELECT * REPLACE ({flag} AS default_indicator) FROM nm_chan),
+nm_delinq AS (SELECT * REPLACE ({delinq} AS delinquency_status) FROM nm_flag),
+nm_status AS (SELECT *, CASE WHEN default_indicator = 1 THEN 'Default'
+  WHEN delinquency_status = 'DPD30+' THEN 'At-Risk' ELSE 'Active' END AS loan_status FROM nm_delinq),
+nm_num AS (SELECT loan_id, credit_quality, geography, employment_type, product_type, acquisition_channel,
+  default_indicator, delinquency_status, loan_status, {numerics} FROM nm_status),
+nm_str AS (SELECT * REPLACE ({strings}) FROM nm_num),
+nm_final AS (
+  SELECT *,
+    'C' || CAST(CAST(floor(trunc(origination_month) / 6e0) + 1 AS BIGINT) AS VARCHAR) AS cohort,
+    {R("loan_size * pricing_rate / 100 * (CASE WHEN default_indicator = 1 THEN -0.4e0 ELSE 0.8e0 END)", 2)}
+      AS value_proxy
+  FROM nm_str)
+"""
+
+
+_RAW_NUMERIC = {"loan_size", "credit_score", "pricing_rate", "income_proxy", "tenure_months", "dti_ratio"}
+NORMALIZE_CTE = RAW_LOANS_CTE + _norm_chain()
+
+
+def with_normalized(body: str) -> str:
+    return "WITH " + NORMALIZE_CTE + body

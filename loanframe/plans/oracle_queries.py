@@ -193,3 +193,97 @@ FROM loans) WHERE total_loans > 0""")
 ORACLE["status_counts"] = with_loans(
     "SELECT loan_status, count(*) AS \"count\", CAST(sum(default_indicator) AS BIGINT) AS defaults "
     "FROM loans GROUP BY loan_status")
+
+# ---------------------------------------------------------------------------
+# Watch-lists
+# ---------------------------------------------------------------------------
+
+
+def _watch(limit_sql: str) -> str:
+    return with_scored(f""", act AS (
+  SELECT * FROM scored WHERE loan_status = 'Active'
+    OR NOT EXISTS (SELECT 1 FROM scored WHERE loan_status = 'Active')),
+top AS ({limit_sql})
+SELECT loan_id, {R('early_warning_score', 4)} AS early_warning_score, credit_quality, product_type, geography,
+  {R('cashflow_consistency', 4)} AS cashflow_consistency, {R('dti_ratio', 4)} AS dti_ratio,
+  spending_shock <> 0 AS spending_shock, {R('default_prob', 4)} AS default_prob, cluster
+FROM top""")
+
+
+_EW_ORDER = "ORDER BY early_warning_score DESC, loan_id ASC"
+ORACLE["early_warning_top50"] = _watch(f"SELECT * FROM act {_EW_ORDER} LIMIT {K.WATCHLIST_SIZE}")
+ORACLE["early_warning_top8"] = _watch(f"SELECT * FROM act {_EW_ORDER} LIMIT {K.CARD_LIST_SIZE}")
+ORACLE["early_warning_by_grade"] = _watch(
+    f"SELECT * FROM (SELECT * FROM act {_EW_ORDER} LIMIT {K.WATCHLIST_DEPTH}) d "
+    f"WHERE credit_quality = 'CCC' {_EW_ORDER} LIMIT {K.WATCHLIST_SIZE}")
+
+# ---------------------------------------------------------------------------
+# Money text and benchmark status
+# ---------------------------------------------------------------------------
+
+
+def inr_sql(x: str) -> str:
+    v = f"round_even(CAST({x} AS DOUBLE), 0)"
+    u = f"CAST(abs({v}) AS BIGINT)"
+
+    def tenths(div: int) -> str:
+        t = f"(({u} + {div // 20}) // {div // 10})"
+        return f"CAST({t} // 10 AS VARCHAR) || '.' || CAST({t} % 10 AS VARCHAR)"
+    k = f"CAST(({u} + 500) // 1000 AS VARCHAR)"
+    return (f"('₹' || CASE WHEN {v} >= 1e7 THEN {tenths(10_000_000)} || 'Cr' "
+            f"WHEN {v} >= 1e5 THEN {tenths(100_000)} || 'L' "
+            f"WHEN {v} < 0e0 THEN '-' || {k} || 'K' ELSE {k} || 'K' END)")
+
+
+ORACLE["inr_format"] = with_scored(f""", seg AS (
+  SELECT 'products' AS dimension, * FROM ({segment_sql('product_type')})
+  UNION ALL SELECT 'grades' AS dimension, * FROM ({segment_sql('credit_quality')}))
+SELECT dimension, segment, "totalDisbursed", {inr_sql('"totalDisbursed"')} AS aum_text,
+  {inr_sql('CAST("count" AS DOUBLE) * "avgPricing" * 1000e0')} AS revenue_text
+FROM seg""")
+
+ORACLE["benchmark_status"] = with_scored(f""", m AS (
+  SELECT {R(imean('default_indicator') + ' * 1e2', 1)} AS "defaultRate", count(*) AS n FROM scored)
+SELECT "defaultRate", {K.INDUSTRY_DEFAULT_BENCHMARK}e0 AS benchmark,
+  CASE WHEN "defaultRate" > {K.INDUSTRY_DEFAULT_BENCHMARK}e0 THEN 'ABOVE' ELSE 'BELOW' END AS status
+FROM m WHERE n > 0""")
+
+# ---------------------------------------------------------------------------
+# Normalisation
+# ---------------------------------------------------------------------------
+from .oracle import with_normalized  # noqa: E402
+
+_NORM_STEPS = {
+    "normalize_headers": ("nm_headers", "*"),
+    "normalize_grade": ("nm_grade", "loan_id, credit_quality"),
+    "grade_from_score": ("nm_score", "loan_id, credit_quality"),
+    "normalize_employment": ("nm_emp", "loan_id, employment_type"),
+    "normalize_product": ("nm_prod", "loan_id, product_type"),
+    "normalize_geography": ("nm_geo", "loan_id, geography"),
+    "normalize_channel": ("nm_chan", "loan_id, acquisition_channel"),
+    "parse_default_flag": ("nm_flag", "loan_id, default_indicator"),
+    "parse_delinquency": ("nm_delinq", "loan_id, delinquency_status"),
+    "loan_status": ("nm_status", "loan_id, loan_status"),
+    "coerce_numeric": ("nm_num", "loan_id, " + ", ".join(K.NUMERIC_DEFAULTS)),
+    "fill_strings": ("nm_str", "loan_id, " + ", ".join(K.STRING_DEFAULTS)),
+}
+for _step, (_cte, _cols) in _NORM_STEPS.items():
+    ORACLE[_step] = with_normalized(f"SELECT {_cols} FROM {_cte}")
+
+_CANON = ("loan_id, geography, employment_type, credit_score, income_proxy, credit_quality, product_type, loan_size, "
+          "tenure_months, pricing_rate, ltv_ratio, dti_ratio, delinquency_status, loan_status, cashflow_consistency, "
+          "balance_volatility, spending_shock, acquisition_channel, origination_month, cohort, default_indicator, "
+          "value_proxy")
+ORACLE["normalize_loans"] = with_normalized(f"SELECT {_CANON} FROM nm_final")
+ORACLE["csv_roundtrip"] = ORACLE["normalize_loans"]
+ORACLE["assign_loan_ids"] = with_loans(
+    "SELECT loan_id AS ref, printf('LN-%06d', row_number() OVER (ORDER BY loan_id)) AS loan_id FROM loans")
+ORACLE["cohort_bucket"] = with_loans(
+    "SELECT loan_id, origination_month, "
+    "'C' || CAST(CAST(floor(trunc(origination_month) / 6e0) + 1 AS BIGINT) AS VARCHAR) AS cohort FROM loans")
+ORACLE["value_proxy"] = with_loans(
+    f"SELECT loan_id, {R('loan_size * pricing_rate / 100 * (CASE WHEN default_indicator = 1 THEN -0.4e0 ELSE 0.8e0 END)', 2)}"
+    " AS value_proxy FROM loans")
+ORACLE["derived_ratios"] = with_loans(
+    f"SELECT loan_id, {CLIP(R('CAST(loan_size AS DOUBLE) / (income_proxy * 12 * 0.4e0)', 3), '0e0', '3e0')} AS ltv_ratio, "
+    f"{CLIP(R('CAST(loan_size AS DOUBLE) / tenure_months / income_proxy', 4), '0e0', '0.8e0')} AS dti_ratio FROM loans")
