@@ -77,4 +77,4 @@ def hash_uniform(*cols, seed: int = 42) -> Column:
     lost task recomputes exactly the same numbers.
     """
     h = F.xxhash64(F.lit(seed), *[col_(c) for c in cols])
-    return F.shiftright(h, 11).bitwise_and(F.lit((1 << 53) - 1)).cast("double") / F.lit(float(1 << 53))
+    return F.shiftright(h, 11).bitwiseAND(F.lit((1 << 53) - 1)).cast("double") / F.lit(float(1 << 53))

@@ -210,3 +210,89 @@ def _csv_roundtrip(spark, sf):
     path = os.path.join(ensure_checkpoint_dir(spark), f"upload-{uuid.uuid4().hex[:12]}")
     write_loans_csv(fixtures.raw_loans(spark, sf), path)
     return N.normalize_loans(read_loans_csv(spark, path))
+
+
+# ---------------------------------------------------------------------------
+# Models (M1-M11, R3, R4, R8, T4, A7 with k-means): rows-only checks
+# ---------------------------------------------------------------------------
+_MODEL_MEMO: dict = {}
+
+
+def fitted_models(spark: SparkSession, sf: str):
+    """Fit once per (session, dataset) and share across the model queries."""
+    from ..models.bundle import LoanModels
+    key = (id(spark.sparkContext), sf)
+    if key not in _MODEL_MEMO:
+        _MODEL_MEMO[key] = LoanModels.fit(fixtures.loans(spark, sf))
+    return _MODEL_MEMO[key]
+
+
+def scored_models(spark: SparkSession, sf: str) -> DataFrame:
+    """Loans scored by the fitted models, written once to the shared
+    checkpoint folder so every report reads the result instead of re-running
+    inference."""
+    from ..session import materialize
+    key = ("scored", id(spark.sparkContext), sf)
+    if key not in _MODEL_MEMO:
+        _MODEL_MEMO[key] = materialize(fitted_models(spark, sf).score(fixtures.loans(spark, sf)), "scored-models")
+    return _MODEL_MEMO[key]
+
+
+@plan("ensemble_default_prob")
+def _ensemble_default_prob(spark, sf):
+    from ..models.bundle import ensemble_default_prob
+    return ensemble_default_prob(fitted_models(spark, sf), fixtures.loans(spark, sf))
+
+
+@plan("ml_ew_score")
+def _ml_ew_score(spark, sf):
+    return scored_models(spark, sf).select("loan_id", "default_prob", "early_warning_score")
+
+
+@plan("anomaly_scores")
+def _anomaly_scores(spark, sf):
+    from ..models.bundle import anomaly_scores
+    return anomaly_scores(fitted_models(spark, sf), fixtures.loans(spark, sf))
+
+
+@plan("cluster_assign")
+def _cluster_assign(spark, sf):
+    return scored_models(spark, sf).select("loan_id", "cluster")
+
+
+@plan("cluster_profiles")
+def _cluster_profiles(spark, sf):
+    return A.cluster_profiles(scored_models(spark, sf))
+
+
+@plan("predict_grade")
+def _predict_grade(spark, sf):
+    from ..models.bundle import predict_grade
+    return predict_grade(fitted_models(spark, sf), fixtures.loans(spark, sf))
+
+
+@plan("predict_loans")
+def _predict_loans(spark, sf):
+    """New applications carrying only part of the inputs (the rest default)."""
+    from ..models.bundle import predict_loans
+    apps = fixtures.loans(spark, sf).select("loan_id", "credit_score", "loan_size", "pricing_rate", "dti_ratio",
+                                            "income_proxy", "tenure_months", "geography", "product_type",
+                                            "credit_quality")
+    return predict_loans(fitted_models(spark, sf), apps)
+
+
+@plan("train_report")
+def _train_report(spark, sf):
+    from ..models.bundle import train_report
+    return train_report(spark, fitted_models(spark, sf))
+
+
+@plan("feature_importance")
+def _feature_importance(spark, sf):
+    from ..models.bundle import feature_importance
+    return feature_importance(spark, fitted_models(spark, sf))
+
+
+@plan("ml_portfolio_metrics")
+def _ml_portfolio_metrics(spark, sf):
+    return A.portfolio_metrics(scored_models(spark, sf))
