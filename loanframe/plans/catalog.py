@@ -296,3 +296,13 @@ def _feature_importance(spark, sf):
 @plan("ml_portfolio_metrics")
 def _ml_portfolio_metrics(spark, sf):
     return A.portfolio_metrics(scored_models(spark, sf))
+
+
+# ---------------------------------------------------------------------------
+# Policy (P1-P6)
+# ---------------------------------------------------------------------------
+from ..operators import policy as P  # noqa: E402
+
+_report("policy_recommendations", P.policy_recommendations)
+_report("policy_memo", P.policy_memo)
+_report("segment_summaries", P.segment_summaries)

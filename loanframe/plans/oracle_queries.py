@@ -287,3 +287,133 @@ ORACLE["value_proxy"] = with_loans(
 ORACLE["derived_ratios"] = with_loans(
     f"SELECT loan_id, {CLIP(R('CAST(loan_size AS DOUBLE) / (income_proxy * 12 * 0.4e0)', 3), '0e0', '3e0')} AS ltv_ratio, "
     f"{CLIP(R('CAST(loan_size AS DOUBLE) / tenure_months / income_proxy', 4), '0e0', '0.8e0')} AS dti_ratio FROM loans")
+
+# ---------------------------------------------------------------------------
+# Policy text
+# ---------------------------------------------------------------------------
+from ..operators import policy as _P  # noqa: E402
+
+
+def _fx(x: str, d: int) -> str:
+    return f"printf('%.{d}f', {R(x, d)})"
+
+
+def _sc(x: str, scale: str, d: int) -> str:
+    return _fx(f"CAST({x} AS DOUBLE) / {scale}", d)
+
+
+def _rp(x: str) -> str:
+    return f"CAST(CAST({x} AS DOUBLE) AS VARCHAR)"
+
+
+def _gr(x: str) -> str:
+    return f"format('{{:,}}', CAST({x} AS BIGINT))"
+
+
+def _s(x: str) -> str:
+    return f"CAST({x} AS VARCHAR)"
+
+
+_POLICY_FACTS = f""",
+m AS ({ORACLE['portfolio_metrics'][len('WITH ' + __import__('loanframe.plans.oracle', fromlist=['SCORED_CTE']).SCORED_CTE):]}),
+{_GRADE_AGG}, {_RISK_DIST},
+g AS (SELECT
+    coalesce(max(CASE WHEN grade = 'CCC' THEN "count" END), 0) AS ccc_count,
+    coalesce(max(CASE WHEN grade = 'CCC' THEN "avgDefaultProb" END), 0e0) AS ccc_pd,
+    coalesce(max(CASE WHEN grade = 'BB' THEN "count" END), 0) AS bb_count,
+    coalesce(max(CASE WHEN grade = 'BB' THEN "avgDefaultProb" END), 0e0) AS bb_pd,
+    coalesce(max(CASE WHEN grade = 'B' THEN "count" END), 0) AS b_count,
+    coalesce(max(CASE WHEN grade = 'B' THEN "avgDefaultProb" END), 0e0) AS b_pd
+  FROM rd),
+e AS (SELECT count(*) FILTER (WHERE early_warning_score > 60) AS high,
+  count(*) FILTER (WHERE early_warning_score >= 40 AND early_warning_score <= 60) AS medium,
+  count(*) FILTER (WHERE early_warning_score < 40) AS low,
+  CAST(coalesce(sum(spending_shock), 0) AS BIGINT) AS shocks FROM scored),
+sg AS ({segment_sql('geography')}),
+bg AS (SELECT * FROM sg ORDER BY "defaultRate" ASC, "totalDisbursed" DESC LIMIT 1),
+wg AS (SELECT * FROM sg ORDER BY "defaultRate" DESC, "totalDisbursed" DESC LIMIT 1),
+sp AS ({segment_sql('product_type')}),
+bp AS (SELECT * FROM sp ORDER BY "defaultRate" ASC, "totalDisbursed" DESC LIMIT 1),
+wp AS (SELECT * FROM sp ORDER BY "defaultRate" DESC, "totalDisbursed" DESC LIMIT 1),
+f AS (SELECT m.*, g.*, e.high, e.medium, e.low, e.shocks,
+    bg.segment AS bg_seg, bg."defaultRate" AS bg_rate, bg."totalDisbursed" AS bg_aum,
+    wg.segment AS wg_seg, wg."defaultRate" AS wg_rate, wg."avgDefaultProb" AS wg_pd,
+    bp.segment AS bp_seg, bp."defaultRate" AS bp_rate, bp."avgPricing" AS bp_price,
+    wp.segment AS wp_seg, wp."defaultRate" AS wp_rate
+  FROM m, g, e, bg, wg, bp, wp)
+"""
+
+
+def _policy_rows(items) -> str:
+    parts = [f"SELECT {i + 1} AS rank, {q(t)} AS title, {typ} AS type, {body} AS body FROM f"
+             for i, (t, typ, body) in enumerate(items)]
+    return with_scored(_POLICY_FACTS + "\n" + "\nUNION ALL\n".join(parts))
+
+
+_B = K.INDUSTRY_DEFAULT_BENCHMARK
+ORACLE["policy_recommendations"] = _policy_rows([
+    (_P.TITLES[0], "'info'",
+     f"""'Portfolio of ' || {_gr('"totalLoans"')} || ' loans with AUM of ₹' || {_sc('"totalDisbursed"', '1e7', 2)}
+     || 'Cr. Actual default rate: ' || {_fx('"defaultRate"', 1)} || '% — '
+     || CASE WHEN "defaultRate" > {_B}e0 THEN 'ABOVE' ELSE 'BELOW' END
+     || ' the {_B}% industry benchmark. ML-predicted average default probability: ' || {_fx('"avgDefaultProb"', 2)}
+     || '%. Average Credit Score: ' || {_s('"avgCreditScore"')} || '. Avg Early Warning Score: '
+     || {_rp('"avgEWScore"')} || '/100.'"""),
+    (_P.TITLES[1],
+     """CASE WHEN "avgDefaultProb" > 10 THEN 'danger' WHEN "avgDefaultProb" > 5 THEN 'warning' ELSE 'info' END""",
+     f"""'Random Forest + Gradient Boosting ensemble trained on ' || {_gr('"totalLoans"')}
+     || ' loans. CCC-grade segment: ' || {_s('ccc_count')} || ' loans, ML-estimated default probability: '
+     || {_fx('ccc_pd', 1)} || '%. BB-grade: ' || {_s('bb_count')} || ' loans at ' || {_fx('bb_pd', 1)}
+     || '% ML prob. B-grade: ' || {_s('b_count')} || ' loans at ' || {_fx('b_pd', 1)} || '% ML prob. '
+     || CASE WHEN ccc_count > 0 THEN {q(_P.CCC_ACTION)} ELSE '' END"""),
+    (_P.TITLES[2], "'warning'",
+     f"""'Isolation Forest anomaly detection: ' || {_s('high')} || ' loans flagged as high-risk (score > 60). '
+     || {_s('medium')} || ' loans in medium-risk zone (40–60). ' || {_s('shocks')}
+     || ' loans show spending shock signals. Risk distribution — High: ' || {_s('high')} || ' | Medium: '
+     || {_s('medium')} || ' | Low: ' || {_s('low')} || '. ' || {q(_P.EW_ACTION)}"""),
+    (_P.TITLES[3], "CASE WHEN bg_rate < 5 THEN 'success' ELSE 'info' END",
+     f"""'Best performing geography: ' || bg_seg || ' (default rate: ' || {_fx('bg_rate', 1)} || '%, AUM: ₹'
+     || {_sc('bg_aum', '1e5', 1)} || 'L). Highest risk geography: ' || wg_seg || ' (default rate: '
+     || {_fx('wg_rate', 1)} || '%, ML prob: ' || {_fx('wg_pd', 1)} || '%). Action: Expand originations in '
+     || bg_seg || '; tighten criteria in ' || wg_seg || '.'"""),
+    (_P.TITLES[4], "'success'",
+     f"""'Best performing product: ' || bp_seg || ' (default rate: ' || {_fx('bp_rate', 1)} || '%, avg pricing: '
+     || {_fx('bp_price', 1)} || '%). Highest-risk product: ' || wp_seg || ' (default rate: ' || {_fx('wp_rate', 1)}
+     || '%). Action: Increase allocation to ' || bp_seg || '. Review pricing model for ' || wp_seg || '.'"""),
+    (_P.TITLES[5], "'info'",
+     f"""'Current avg pricing: ' || {_fx('"avgPricing"', 2)} || '%. At-risk AUM: ₹' || {_sc('"atRiskAUM"', '1e7', 2)}
+     || 'Cr. ' || {q(_P.PRICING_FLOOR)} || ' Total value proxy: ₹' || {_sc('"totalValueProxy"', '1e7', 2)}
+     || 'Cr. ' || {q(_P.PRICING_ACTION)}"""),
+])
+
+ORACLE["policy_memo"] = _policy_rows([
+    (_P.MEMO_TITLES[0], "'info'",
+     f"""'Portfolio of ' || {_gr('"totalLoans"')} || ' loans with AUM of ₹' || {_sc('"totalDisbursed"', '1e7', 1)}
+     || 'Cr. ML-predicted avg default probability: ' || {_fx('"avgDefaultProb"', 1)} || '%. Actual default rate '
+     || {_rp('"defaultRate"')} || '% is ' || CASE WHEN "defaultRate" > 8 THEN 'above' ELSE 'below' END
+     || ' the 8% industry benchmark. Average Early Warning Score: ' || {_rp('"avgEWScore"')} || '/100.'"""),
+    (_P.MEMO_TITLES[1], """CASE WHEN "avgDefaultProb" > 10 THEN 'danger' ELSE 'info' END""",
+     f"""'Random Forest + Gradient Boosting ensemble trained on ' || {_gr('"totalLoans"')}
+     || ' loans. CCC-grade accounts (' || {_s('ccc_count')} || ' loans) carry ML-estimated default probability of '
+     || {_fx('ccc_pd', 1)} || '%. ' || {q(_P.MEMO_CCC_ADVICE)}"""),
+    (_P.MEMO_TITLES[2], "'warning'",
+     f"""'Isolation Forest anomaly detection flagged ' || {_s('high')} || ' loans as high-risk (score > 60). '
+     || {_s('shocks')} || ' loans show spending shock signals. ' || {q(_P.MEMO_EW_ADVICE)}"""),
+    (_P.MEMO_TITLES[3], "'success'", q(_P.MEMO_KMEANS)),
+    (_P.MEMO_TITLES[4], "'info'", f"""'Current avg pricing: ' || {_rp('"avgPricing"')} || '%. ' || {q(_P.MEMO_PRICING)}"""),
+    (_P.MEMO_TITLES[5], "'info'",
+     f"""'At-risk AUM: ₹' || {_sc('"atRiskAUM"', '1e7', 1)} || 'Cr. ' || {q(_P.MEMO_DIVERSIFY)}"""),
+])
+
+ORACLE["segment_summaries"] = with_scored(f""", {_GRADE_AGG}, {_RISK_DIST},
+sg AS ({segment_sql('geography')}), sp AS ({segment_sql('product_type')})
+SELECT 'grade' AS dimension, grade AS segment,
+  grade || ': ' || {_s('"count"')} || ' loans, AUM ₹' || {_sc('aum', '1e5', 1)} || 'L, actual default '
+  || {_fx('"defaultRate"', 1)} || '%, ML prob ' || {_fx('"avgDefaultProb"', 1)} || '%' AS line
+FROM rd WHERE "count" > 0
+UNION ALL
+SELECT 'geography', segment, segment || ': ' || {_s('"count"')} || ' loans, default ' || {_fx('"defaultRate"', 1)}
+  || '%, ML prob ' || {_fx('"avgDefaultProb"', 1)} || '%' FROM sg
+UNION ALL
+SELECT 'product', segment, segment || ': ' || {_s('"count"')} || ' loans, default ' || {_fx('"defaultRate"', 1)}
+  || '%, pricing ' || {_fx('"avgPricing"', 1)} || '%' FROM sp""")
