@@ -306,3 +306,33 @@ from ..operators import policy as P  # noqa: E402
 _report("policy_recommendations", P.policy_recommendations)
 _report("policy_memo", P.policy_memo)
 _report("segment_summaries", P.segment_summaries)
+
+
+# ---------------------------------------------------------------------------
+# Synthetic source (S2) and streaming scoring
+# ---------------------------------------------------------------------------
+@plan("synthetic_loans")
+def _synthetic_loans(spark, sf):
+    """One synthetic loan per order key (the id column comes from the table,
+    so the generated volume follows the data)."""
+    from pyspark.sql import functions as F
+    from ..sources.synthetic import synthetic_loans_from_ids
+    from ..sources.tables import read_table
+    ids = read_table(spark, sf, "orders", ["o_orderkey"]).select(F.col("o_orderkey").alias("id"))
+    return synthetic_loans_from_ids(ids, "id")
+
+
+@plan("stream_scored_loans")
+def _stream_scored_loans(spark, sf):
+    """The loans table landed as files, scored by a file-source stream
+    (availableNow) into parquet, read back."""
+    import os
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    from ..streaming.scoring import read_loan_stream, run_available_now, score_stream
+    base = os.path.join(ensure_checkpoint_dir(spark), f"stream-{uuid.uuid4().hex[:12]}")
+    loans = fixtures.loans(spark, sf)
+    loans.write.parquet(os.path.join(base, "landing"))
+    stream = read_loan_stream(spark, os.path.join(base, "landing"), loans.schema)
+    out = run_available_now(score_stream(stream), os.path.join(base, "scored"))
+    return spark.read.parquet(out)

@@ -417,3 +417,5 @@ SELECT 'geography', segment, segment || ': ' || {_s('"count"')} || ' loans, defa
 UNION ALL
 SELECT 'product', segment, segment || ': ' || {_s('"count"')} || ' loans, default ' || {_fx('"defaultRate"', 1)}
   || '%, pricing ' || {_fx('"avgPricing"', 1)} || '%' FROM sp""")
+
+ORACLE["stream_scored_loans"] = ORACLE["scored_loans"]

@@ -1,0 +1,104 @@
+"""Synthetic loan source (S2), re-aimed as a distributed projection.
+
+Every random draw is a hash-uniform of (row id, draw tag, seed), so a row's
+values depend only on its id: the table is the same for any partitioning,
+a re-run task regenerates identical rows, and generation is a single map
+stage with no shuffle. Normal draws use Box-Muller on two uniforms.
+The NumPy random stream itself is not reproduced bit for bit.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .. import constants as K
+from ..functions import clip, hash_uniform, rnd
+
+_TAGS = ["grade", "geo", "emp", "prod", "chan", "score_a", "score_b", "inc_a", "inc_b", "size_a", "size_b",
+         "tenure", "rate", "default", "delinq", "cash", "vol", "shock", "month"]
+
+
+def _u(tag: str, seed: int) -> Column:
+    return hash_uniform(F.col("_id"), F.lit(_TAGS.index(tag)), seed=seed)
+
+
+def _normal(a: str, b: str, seed: int) -> Column:
+    u1 = F.greatest(_u(a, seed), F.lit(1e-300))
+    return F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2 * math.pi) * _u(b, seed))
+
+
+def _choice(tag: str, values: list, seed: int) -> Column:
+    idx = F.least(F.floor(_u(tag, seed) * len(values)), F.lit(len(values) - 1)).cast("int")
+    return F.element_at(F.array(*[F.lit(v) for v in values]), idx + 1)
+
+
+def _by(key: Column, table: dict) -> Column:
+    out = None
+    for k, v in table.items():
+        out = F.when(key == k, F.lit(v)) if out is None else out.when(key == k, F.lit(v))
+    return out
+
+
+def synthetic_loans_from_ids(ids: DataFrame, id_col: str = "id", seed: int = 42) -> DataFrame:
+    """One synthetic loan per row of ``ids`` (a 0-based integer id column)."""
+    base = ids.select(F.col(id_col).cast("long").alias("_id"))
+    u = lambda t: _u(t, seed)
+
+    cum, edges = 0.0, []
+    for g in K.GRADES:
+        cum += K.GRADE_WEIGHTS[g]
+        edges.append((cum, g))
+    grade = None
+    for edge, g in edges[:-1]:
+        grade = F.when(u("grade") < edge, g) if grade is None else grade.when(u("grade") < edge, g)
+    grade = grade.otherwise(edges[-1][1])
+
+    df = base.select(
+        "_id", grade.alias("credit_quality"), _choice("geo", K.GEOGRAPHIES, seed).alias("geography"),
+        _choice("emp", K.EMPLOYMENT_TYPES, seed).alias("employment_type"),
+        _choice("prod", K.PRODUCT_TYPES, seed).alias("product_type"),
+        _choice("chan", K.CHANNELS, seed).alias("acquisition_channel"),
+        _choice("tenure", K.TENURES, seed).cast("int").alias("tenure_months"),
+        F.floor(u("month") * 24).cast("int").alias("origination_month"))
+    g, emp, prod = F.col("credit_quality"), F.col("employment_type"), F.col("product_type")
+    lo, hi = _by(prod, {p: r[0] for p, r in K.LOAN_RANGES.items()}), _by(prod, {p: r[1] for p, r in K.LOAN_RANGES.items()})
+    inc_base = F.coalesce(_by(emp, K.EMPLOYMENT_INCOME_BASE), F.lit(K.DEFAULT_INCOME_BASE))
+    pd_ = _by(g, K.GRADE_GENERATOR_PD)
+    df = df.select(
+        "*",
+        clip(F.rint(_by(g, K.GRADE_BASE_SCORE) + _normal("score_a", "score_b", seed) * 40), 300, 900)
+        .cast("long").alias("credit_score"),
+        clip(inc_base + _normal("inc_a", "inc_b", seed) * 20000, 10000, 500000).cast("long").alias("income_proxy"),
+        F.least(F.greatest((lo + hi) / 2 + _normal("size_a", "size_b", seed) * ((hi - lo) / 6), lo), hi)
+        .cast("long").alias("loan_size"),
+        rnd(_by(g, K.GRADE_BASE_RATE) + (u("rate") * 2 - 1), 2).alias("pricing_rate"),
+        (u("default") < pd_).alias("_def"),
+        rnd(F.lit(1.0) - (F.lit(0.1) + u("cash") * 0.8), 2).alias("cashflow_consistency"),
+        rnd(F.lit(0.05) + u("vol") * 0.8, 2).alias("balance_volatility"),
+        (u("shock") < 0.15).cast("int").alias("spending_shock"),
+    )
+    df = df.withColumn("_del", (~F.col("_def")) & (u("delinq") < pd_ * 2.5))
+    size = F.col("loan_size").cast("double")
+    df = df.select(
+        "*",
+        F.format_string("LN-%06d", F.col("_id") + 1).alias("loan_id"),
+        clip(rnd(size / (F.col("income_proxy") * 12 * F.lit(0.4)), 3), 0.0, 3.0).alias("ltv_ratio"),
+        clip(rnd(size / F.col("tenure_months") / F.col("income_proxy"), 4), 0.0, 0.8).alias("dti_ratio"),
+        F.when(F.col("_def"), "Default").when(F.col("_del"), "DPD30+").otherwise("Current").alias("delinquency_status"),
+        F.when(F.col("_def"), "Default").when(F.col("_del"), "At-Risk").otherwise("Active").alias("loan_status"),
+        F.concat(F.lit("C"), (F.floor(F.col("origination_month") / 6) + 1).cast("string")).alias("cohort"),
+        F.col("_def").cast("int").alias("default_indicator"),
+        rnd(F.col("loan_size") * F.col("pricing_rate") / 100
+            * F.when(F.col("_def"), F.lit(-0.4)).otherwise(F.lit(0.8)), 2).alias("value_proxy"),
+    )
+    from .fixtures import LOAN_COLUMNS
+    return df.select(*LOAN_COLUMNS)
+
+
+def synthetic_loans(spark: SparkSession, n: int = 2000, seed: int = 42, partitions: int | None = None) -> DataFrame:
+    """``n`` synthetic loans (ids 0..n-1 from ``spark.range``)."""
+    ids = spark.range(0, n, numPartitions=partitions) if partitions else spark.range(0, n)
+    return synthetic_loans_from_ids(ids, "id", seed)
