@@ -28,9 +28,34 @@ def plan(name: str):
     return deco
 
 
+_INPUTS: dict = {}
+
+
+def _memo(kind: str, spark: SparkSession, sf_dir: str, build) -> DataFrame:
+    """Build a derived input's logical plan once per session and dataset.
+
+    DataFrames are immutable plans, so every report can start from the same
+    object (as a user would keep ``loans`` / ``scored`` in a variable); only
+    the plan is shared, nothing is cached: each report still reads just the
+    columns it needs from parquet.
+    """
+    key = (kind, id(spark.sparkContext), sf_dir)
+    if key not in _INPUTS:
+        _INPUTS[key] = build()
+    return _INPUTS[key]
+
+
+def loans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _memo("loans", spark, sf_dir, lambda: fixtures.loans(spark, sf_dir))
+
+
+def raw_loans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _memo("raw", spark, sf_dir, lambda: fixtures.raw_loans(spark, sf_dir))
+
+
 def scored_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loans with rule scores attached (deterministic; every SQL check uses it)."""
-    return S.score_rules(fixtures.loans(spark, sf_dir))
+    return _memo("scored", spark, sf_dir, lambda: S.score_rules(loans(spark, sf_dir)))
 
 
 # ---------------------------------------------------------------------------
@@ -54,19 +79,19 @@ def _scored_loans(spark, sf):
 def _rule_default_prob(spark, sf):
     from pyspark.sql import functions as F
     from ..functions import rnd
-    return fixtures.loans(spark, sf).select(
+    return loans(spark, sf).select(
         "loan_id", rnd(S.rule_pd_raw(), 4).alias("rule_pd"), S.rule_default_prob().alias("default_prob"))
 
 
 @plan("rule_ew_score")
 def _rule_ew_score(spark, sf):
-    return fixtures.loans(spark, sf).select("loan_id", S.rule_ew_score().alias("early_warning_score"))
+    return loans(spark, sf).select("loan_id", S.rule_ew_score().alias("early_warning_score"))
 
 
 @plan("ew_blend")
 def _ew_blend(spark, sf):
     """R4 with the rule PD standing in for the model probability, no bonus."""
-    return fixtures.loans(spark, sf).select("loan_id", S.ew_blend(S.rule_default_prob()).alias("ew_blend"))
+    return loans(spark, sf).select("loan_id", S.ew_blend(S.rule_default_prob()).alias("ew_blend"))
 
 
 @plan("risk_level")
@@ -109,12 +134,12 @@ _report("roi_best_worst", A.roi_best_worst)
 _report("best_worst_geography", lambda s: A.best_worst(s, "geography"))
 _report("best_worst_product", lambda s: A.best_worst(s, "product_type"))
 _report("active_or_all", A.active_or_all)
-_report("grade_lookup_join", A.grade_lookup_join, fixtures.loans)
-_report("auc_rule", A.auc_rule, fixtures.loans)
-_report("distinct_grades", A.distinct_grades, fixtures.loans)
-_report("class_counts", A.class_counts, fixtures.loans)
-_report("load_summary", A.load_summary, fixtures.loans)
-_report("status_counts", A.status_counts, fixtures.loans)
+_report("grade_lookup_join", A.grade_lookup_join, loans)
+_report("auc_rule", A.auc_rule, loans)
+_report("distinct_grades", A.distinct_grades, loans)
+_report("class_counts", A.class_counts, loans)
+_report("load_summary", A.load_summary, loans)
+_report("status_counts", A.status_counts, loans)
 
 
 # ---------------------------------------------------------------------------
@@ -169,34 +194,34 @@ _STEP_COLUMNS = {
 
 for _step, _cols in _STEP_COLUMNS.items():
     PLANS[_step] = (lambda step, cols: lambda spark, sf: N.normalize_until(
-        fixtures.raw_loans(spark, sf), step).select(*cols))(_step, _cols)
+        raw_loans(spark, sf), step).select(*cols))(_step, _cols)
 
 
 @plan("normalize_loans")
 def _normalize_loans(spark, sf):
-    return N.normalize_loans(fixtures.raw_loans(spark, sf))
+    return N.normalize_loans(raw_loans(spark, sf))
 
 
 @plan("assign_loan_ids")
 def _assign_loan_ids(spark, sf):
     """Ids by position in an explicit order (the upload's reference column)."""
-    raw = fixtures.raw_loans(spark, sf).withColumnRenamed("loan_id", "ref").select("ref", "loan_amount")
+    raw = raw_loans(spark, sf).withColumnRenamed("loan_id", "ref").select("ref", "loan_amount")
     return N.assign_loan_ids(raw, order_col="ref").select("ref", "loan_id")
 
 
 @plan("cohort_bucket")
 def _cohort_bucket(spark, sf):
-    return N.cohort_bucket(fixtures.loans(spark, sf).drop("cohort")).select("loan_id", "origination_month", "cohort")
+    return N.cohort_bucket(loans(spark, sf).drop("cohort")).select("loan_id", "origination_month", "cohort")
 
 
 @plan("value_proxy")
 def _value_proxy(spark, sf):
-    return N.value_proxy(fixtures.loans(spark, sf).drop("value_proxy")).select("loan_id", "value_proxy")
+    return N.value_proxy(loans(spark, sf).drop("value_proxy")).select("loan_id", "value_proxy")
 
 
 @plan("derived_ratios")
 def _derived_ratios(spark, sf):
-    return N.derive_ratios(fixtures.loans(spark, sf)).select("loan_id", "ltv_ratio", "dti_ratio")
+    return N.derive_ratios(loans(spark, sf)).select("loan_id", "ltv_ratio", "dti_ratio")
 
 
 @plan("csv_roundtrip")
@@ -208,7 +233,7 @@ def _csv_roundtrip(spark, sf):
     from ..session import ensure_checkpoint_dir
     from ..sources.csv import read_loans_csv, write_loans_csv
     path = os.path.join(ensure_checkpoint_dir(spark), f"upload-{uuid.uuid4().hex[:12]}")
-    write_loans_csv(fixtures.raw_loans(spark, sf), path)
+    write_loans_csv(raw_loans(spark, sf), path)
     return N.normalize_loans(read_loans_csv(spark, path))
 
 
@@ -223,7 +248,7 @@ def fitted_models(spark: SparkSession, sf: str):
     from ..models.bundle import LoanModels
     key = (id(spark.sparkContext), sf)
     if key not in _MODEL_MEMO:
-        _MODEL_MEMO[key] = LoanModels.fit(fixtures.loans(spark, sf))
+        _MODEL_MEMO[key] = LoanModels.fit(loans(spark, sf))
     return _MODEL_MEMO[key]
 
 
@@ -234,14 +259,14 @@ def scored_models(spark: SparkSession, sf: str) -> DataFrame:
     from ..session import materialize
     key = ("scored", id(spark.sparkContext), sf)
     if key not in _MODEL_MEMO:
-        _MODEL_MEMO[key] = materialize(fitted_models(spark, sf).score(fixtures.loans(spark, sf)), "scored-models")
+        _MODEL_MEMO[key] = materialize(fitted_models(spark, sf).score(loans(spark, sf)), "scored-models")
     return _MODEL_MEMO[key]
 
 
 @plan("ensemble_default_prob")
 def _ensemble_default_prob(spark, sf):
     from ..models.bundle import ensemble_default_prob
-    return ensemble_default_prob(fitted_models(spark, sf), fixtures.loans(spark, sf))
+    return ensemble_default_prob(fitted_models(spark, sf), loans(spark, sf))
 
 
 @plan("ml_ew_score")
@@ -252,7 +277,7 @@ def _ml_ew_score(spark, sf):
 @plan("anomaly_scores")
 def _anomaly_scores(spark, sf):
     from ..models.bundle import anomaly_scores
-    return anomaly_scores(fitted_models(spark, sf), fixtures.loans(spark, sf))
+    return anomaly_scores(fitted_models(spark, sf), loans(spark, sf))
 
 
 @plan("cluster_assign")
@@ -268,14 +293,14 @@ def _cluster_profiles(spark, sf):
 @plan("predict_grade")
 def _predict_grade(spark, sf):
     from ..models.bundle import predict_grade
-    return predict_grade(fitted_models(spark, sf), fixtures.loans(spark, sf))
+    return predict_grade(fitted_models(spark, sf), loans(spark, sf))
 
 
 @plan("predict_loans")
 def _predict_loans(spark, sf):
     """New applications carrying only part of the inputs (the rest default)."""
     from ..models.bundle import predict_loans
-    apps = fixtures.loans(spark, sf).select("loan_id", "credit_score", "loan_size", "pricing_rate", "dti_ratio",
+    apps = loans(spark, sf).select("loan_id", "credit_score", "loan_size", "pricing_rate", "dti_ratio",
                                             "income_proxy", "tenure_months", "geography", "product_type",
                                             "credit_quality")
     return predict_loans(fitted_models(spark, sf), apps)
@@ -331,7 +356,7 @@ def _stream_scored_loans(spark, sf):
     from ..session import ensure_checkpoint_dir
     from ..streaming.scoring import read_loan_stream, run_available_now, score_stream
     base = os.path.join(ensure_checkpoint_dir(spark), f"stream-{uuid.uuid4().hex[:12]}")
-    loans = fixtures.loans(spark, sf)
+    loans = loans(spark, sf)
     loans.write.parquet(os.path.join(base, "landing"))
     stream = read_loan_stream(spark, os.path.join(base, "landing"), loans.schema)
     out = run_available_now(score_stream(stream), os.path.join(base, "scored"))

@@ -20,6 +20,9 @@ RECOMMENDED_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Skip Python call-site capture on every Column call (several JVM round
+    # trips each); it only enriches error messages.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

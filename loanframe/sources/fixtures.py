@@ -45,7 +45,8 @@ def _chain(k: Column, ck: Column, steps: int) -> list[Column]:
 
 def loans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical 22-column loans table (see FIXTURES.md, section B)."""
-    o = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority"])
+    o = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority"],
+                   spread=True)
     c = read_table(spark, sf_dir, "customer", ["c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment"])
     j = o.join(c, o.o_custkey == c.c_custkey, "inner")
 

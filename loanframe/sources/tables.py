@@ -11,7 +11,21 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
-    """Parquet scan; selecting ``columns`` up front keeps ReadSchema narrow."""
+def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None,
+               spread: bool = False) -> DataFrame:
+    """Parquet scan; selecting ``columns`` up front keeps ReadSchema narrow.
+
+    ``spread``: when the scan yields fewer splits than the cluster has cores
+    (a small table stored as one row group), hand the rows round-robin to
+    every core so the per-row work downstream runs in parallel. A large
+    table already has many more splits than cores and is left untouched (no
+    extra shuffle at scale).
+    """
     df = spark.read.parquet(table_path(sf_dir, name))
-    return df.select(*columns) if columns else df
+    if columns:
+        df = df.select(*columns)
+    if spread:
+        cores = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < cores:
+            df = df.repartition(cores)
+    return df
