@@ -356,8 +356,8 @@ def _stream_scored_loans(spark, sf):
     from ..session import ensure_checkpoint_dir
     from ..streaming.scoring import read_loan_stream, run_available_now, score_stream
     base = os.path.join(ensure_checkpoint_dir(spark), f"stream-{uuid.uuid4().hex[:12]}")
-    loans = loans(spark, sf)
-    loans.write.parquet(os.path.join(base, "landing"))
-    stream = read_loan_stream(spark, os.path.join(base, "landing"), loans.schema)
+    batch = loans(spark, sf)
+    batch.write.parquet(os.path.join(base, "landing"))
+    stream = read_loan_stream(spark, os.path.join(base, "landing"), batch.schema)
     out = run_available_now(score_stream(stream), os.path.join(base, "scored"))
     return spark.read.parquet(out)
