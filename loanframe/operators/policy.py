@@ -73,34 +73,53 @@ def _grouped(n: Column) -> Column:
 
 def policy_facts(scored: DataFrame) -> DataFrame:
     """One row with every number the recommendations use (no row for an
-    empty portfolio)."""
-    m = A.portfolio_metrics(scored).select(F.struct("*").alias("M"))
-    rd = A.risk_distribution(scored).where(F.col("grade").isin("CCC", "BB", "B")).select(F.struct("*").alias("G"))
-    ew = A.ew_bands(scored).select(F.struct("*").alias("E"))
-    geo = A.best_worst(scored, "geography").select(F.struct("*").alias("GEO"))
-    prod = A.best_worst(scored, "product_type").select(
-        F.struct("*").alias("PROD"))
-    prod_pricing = A.segment_breakdown(scored, "product_type").select(
-        F.struct("segment", "defaultRate", "avgPricing", "totalDisbursed").alias("PS"))
-    u = m
-    for part in (rd, ew, geo, prod, prod_pricing):
-        u = u.unionByName(part, allowMissingColumns=True)
-
-    def grade(g: str, field: str) -> Column:
-        return F.coalesce(F.max(F.when(F.col("G.grade") == g, F.col(f"G.{field}"))), F.lit(0).cast("double"))
-
-    facts = u.agg(
-        F.first("M", ignorenulls=True).alias("M"),
-        F.first("E", ignorenulls=True).alias("E"),
-        F.first("GEO", ignorenulls=True).alias("GEO"),
-        F.first("PROD", ignorenulls=True).alias("PROD"),
-        grade("CCC", "count").alias("ccc_count"), grade("CCC", "avgDefaultProb").alias("ccc_pd"),
-        grade("BB", "count").alias("bb_count"), grade("BB", "avgDefaultProb").alias("bb_pd"),
-        grade("B", "count").alias("b_count"), grade("B", "avgDefaultProb").alias("b_pd"),
-        F.max_by("PS", F.when(F.col("PS").isNotNull(), F.struct(-F.col("PS.defaultRate"),
-                                                                F.col("PS.totalDisbursed")))).alias("BP"),
-    )
-    return facts.where(F.col("M").isNotNull())
+    empty portfolio).
+
+    The loans are aggregated once (:func:`reports.portfolio_rollup`, GROUPING
+    SETS over the book, grades, geographies and products); a single global
+    aggregate over those ~17 rows then picks the KPIs, the CCC / BB / B rows
+    and the best / worst geography and product (lowest / highest default
+    rate, ties to the larger AUM). One consumer of one aggregate: one scan.
+    """
+    r = A.portfolio_rollup(scored)
+    lvl, seg = F.col("level"), F.col("segment")
+
+    def at(level: str, c: str) -> Column:
+        return F.first(F.when(lvl == level, F.col(c)), ignorenulls=True)
+
+    def grade(g: str, c: str) -> Column:
+        return F.coalesce(F.max(F.when((lvl == "grade") & (seg == g), F.col(c))), F.lit(0).cast("double"))
+
+    def best(level: str, c: str) -> Column:
+        key = F.when((lvl == level) & seg.isNotNull(), F.struct(F.col("defaultRate"), -F.col("totalDisbursed")))
+        return F.min_by(F.col(c), key)
+
+    def worst(level: str, c: str) -> Column:
+        key = F.when((lvl == level) & seg.isNotNull(), F.struct(F.col("defaultRate"), F.col("totalDisbursed")))
+        return F.max_by(F.col(c), key)
+
+    metric_cols = ["totalLoans", "totalDisbursed", "avgTicketSize", "defaultRate", "delinquencyRate",
+                   "avgCreditScore", "avgPricing", "totalValueProxy", "atRiskAUM", "avgDefaultProb", "avgEWScore",
+                   "high", "medium", "low", "shocks"]
+    source = {"totalLoans": "rows", "avgCreditScore": "avgScore"}
+    m = F.struct(*[at("all", source.get(c, c)).alias(c) for c in metric_cols])
+
+    def best_worst(level: str) -> Column:
+        return F.struct(best(level, "segment").alias("best_segment"),
+                        best(level, "defaultRate").alias("best_default_rate"),
+                        best(level, "totalDisbursed").alias("best_aum"),
+                        best(level, "avgPricing").alias("best_avg_pricing"),
+                        worst(level, "segment").alias("worst_segment"),
+                        worst(level, "defaultRate").alias("worst_default_rate"),
+                        worst(level, "avgDefaultProb").alias("worst_avg_default_prob"))
+
+    facts = r.agg(
+        m.alias("M"), best_worst("geography").alias("GEO"), best_worst("product").alias("PROD"),
+        grade("CCC", "rows").alias("ccc_count"), grade("CCC", "avgDefaultProb").alias("ccc_pd"),
+        grade("BB", "rows").alias("bb_count"), grade("BB", "avgDefaultProb").alias("bb_pd"),
+        grade("B", "rows").alias("b_count"), grade("B", "avgDefaultProb").alias("b_pd"),
+        at("all", "rows").alias("_n"))
+    return facts.where(F.col("_n").isNotNull())
 
 
 def _rows(facts: DataFrame, items: list[tuple[str, Column, Column]]) -> DataFrame:
@@ -113,7 +132,7 @@ def policy_recommendations(scored: DataFrame) -> DataFrame:
     """P1 (+P2 severities, P3 benchmark, P4 conditional action): six rows
     rank, title, type, body."""
     facts = policy_facts(scored)
-    M, E, G, P = (lambda c: F.col(f"M.{c}")), (lambda c: F.col(f"E.{c}")), (lambda c: F.col(f"GEO.{c}")), \
+    M, E, G, P = (lambda c: F.col(f"M.{c}")), (lambda c: F.col(f"M.{c}")), (lambda c: F.col(f"GEO.{c}")), \
         (lambda c: F.col(f"PROD.{c}"))
     bench = K.INDUSTRY_DEFAULT_BENCHMARK
     status = F.when(M("defaultRate") > bench, "ABOVE").otherwise("BELOW")
@@ -150,7 +169,7 @@ def policy_recommendations(scored: DataFrame) -> DataFrame:
         G("worst_segment"), F.lit("."))
     prod_body = F.concat(
         F.lit("Best performing product: "), P("best_segment"), F.lit(" (default rate: "),
-        _f(P("best_default_rate"), 1), F.lit("%, avg pricing: "), _f(F.col("BP.avgPricing"), 1),
+        _f(P("best_default_rate"), 1), F.lit("%, avg pricing: "), _f(P("best_avg_pricing"), 1),
         F.lit("%). Highest-risk product: "), P("worst_segment"), F.lit(" (default rate: "),
         _f(P("worst_default_rate"), 1), F.lit("%). Action: Increase allocation to "), P("best_segment"),
         F.lit(". Review pricing model for "), P("worst_segment"), F.lit("."))
@@ -172,7 +191,7 @@ def policy_recommendations(scored: DataFrame) -> DataFrame:
 def policy_memo(scored: DataFrame) -> DataFrame:
     """P5: the alternate six-item memo (fixed advice, two-way severity)."""
     facts = policy_facts(scored)
-    M, E = (lambda c: F.col(f"M.{c}")), (lambda c: F.col(f"E.{c}"))
+    M, E = (lambda c: F.col(f"M.{c}")), (lambda c: F.col(f"M.{c}"))
     above = F.when(M("defaultRate") > 8, "above").otherwise("below")
     exec_body = F.concat(
         F.lit("Portfolio of "), _grouped(M("totalLoans")), F.lit(" loans with AUM of ₹"),
@@ -204,20 +223,19 @@ def policy_memo(scored: DataFrame) -> DataFrame:
 
 
 def segment_summaries(scored: DataFrame) -> DataFrame:
-    """One text line per non-empty grade, per geography, per product."""
-    rd = A.nonempty_grades(scored).select(
-        F.lit("grade").alias("dimension"), F.col("grade").alias("segment"),
-        F.concat(F.col("grade"), F.lit(": "), F.col("count").cast("string"), F.lit(" loans, AUM ₹"),
-                 _scaled(F.col("aum"), 1e5, 1), F.lit("L, actual default "), _f(F.col("defaultRate"), 1),
-                 F.lit("%, ML prob "), _f(F.col("avgDefaultProb"), 1), F.lit("%")).alias("line"))
-    geo = A.segment_breakdown(scored, "geography").select(
-        F.lit("geography").alias("dimension"), "segment",
-        F.concat(F.col("segment"), F.lit(": "), F.col("count").cast("string"), F.lit(" loans, default "),
-                 _f(F.col("defaultRate"), 1), F.lit("%, ML prob "), _f(F.col("avgDefaultProb"), 1), F.lit("%"))
-        .alias("line"))
-    prod = A.segment_breakdown(scored, "product_type").select(
-        F.lit("product").alias("dimension"), "segment",
-        F.concat(F.col("segment"), F.lit(": "), F.col("count").cast("string"), F.lit(" loans, default "),
-                 _f(F.col("defaultRate"), 1), F.lit("%, pricing "), _f(F.col("avgPricing"), 1), F.lit("%"))
-        .alias("line"))
-    return rd.unionByName(geo).unionByName(prod)
+    """One text line per non-empty grade, per geography, per product
+    (all three from one GROUPING SETS aggregate of the loans)."""
+    r = A.portfolio_rollup(scored)
+    lvl, seg = F.col("level"), F.col("segment")
+    grade = F.concat(seg, F.lit(": "), F.col("rows").cast("string"), F.lit(" loans, AUM ₹"),
+                     _scaled(F.col("totalDisbursed"), 1e5, 1), F.lit("L, actual default "),
+                     _f(F.col("defaultRate"), 1), F.lit("%, ML prob "), _f(F.col("avgDefaultProb"), 1), F.lit("%"))
+    geo = F.concat(seg, F.lit(": "), F.col("count").cast("string"), F.lit(" loans, default "),
+                   _f(F.col("defaultRate"), 1), F.lit("%, ML prob "), _f(F.col("avgDefaultProb"), 1), F.lit("%"))
+    prod = F.concat(seg, F.lit(": "), F.col("count").cast("string"), F.lit(" loans, default "),
+                    _f(F.col("defaultRate"), 1), F.lit("%, pricing "), _f(F.col("avgPricing"), 1), F.lit("%"))
+    keep = (((lvl == "grade") & seg.isin(K.GRADES) & (F.col("rows") > 0))
+            | (lvl.isin("geography", "product") & seg.isNotNull()))
+    return r.where(keep).select(
+        F.when(lvl == "product", "product").otherwise(lvl).alias("dimension"), seg.alias("segment"),
+        F.when(lvl == "grade", grade).when(lvl == "geography", geo).otherwise(prod).alias("line"))
