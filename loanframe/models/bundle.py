@@ -83,7 +83,10 @@ class LoanModels:
             if not m.single_class:
                 m.rf = RandomForestClassifier(
                     featuresCol="features", labelCol="label", numTrees=hp.rf_trees, maxDepth=hp.rf_depth,
-                    minInstancesPerNode=hp.rf_min_leaf, featureSubsetStrategy="sqrt", seed=SEED).fit(train)
+                    minInstancesPerNode=hp.rf_min_leaf, featureSubsetStrategy="sqrt", seed=SEED,
+                    # split more nodes per pass over the data; remember each row's
+                    # node between levels instead of re-walking the trees
+                    maxMemoryInMB=1024, cacheNodeIds=True).fit(train)
                 m.gbt = GBTClassifier(featuresCol="features", labelCol="label", maxIter=hp.gb_trees,
                                       maxDepth=hp.gb_depth, stepSize=0.1, seed=SEED).fit(train)
                 rf_scored = m.rf.transform(train).withColumn(
@@ -116,7 +119,7 @@ class LoanModels:
                 y = gi.transform(train.withColumn("_grade_s", F.col("credit_quality").cast("string")))
                 m.grade_lr = LogisticRegression(
                     featuresCol="features", labelCol="_grade_y", family="multinomial", maxIter=500,
-                    regParam=1.0 / (hp.lr_c * n), elasticNetParam=0.0, standardization=False,
+                    regParam=1.0 / (hp.lr_c * n), elasticNetParam=0.0, standardization=False, tol=1e-4,
                     predictionCol="_grade_pred", probabilityCol="_grade_prob",
                     rawPredictionCol="_grade_raw").fit(y)
         finally:
