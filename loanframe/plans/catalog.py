@@ -361,3 +361,32 @@ def _stream_scored_loans(spark, sf):
     stream = read_loan_stream(spark, os.path.join(base, "landing"), batch.schema)
     out = run_available_now(score_stream(stream), os.path.join(base, "scored"))
     return spark.read.parquet(out)
+
+
+# ---------------------------------------------------------------------------
+# Feature encoding (M1, M2): exact SQL checks of the fitted encoder
+# ---------------------------------------------------------------------------
+def _encoder(spark, sf):
+    from ..models.features import FeatureEncoder
+    key = ("encoder", id(spark.sparkContext), sf)
+    if key not in _MODEL_MEMO:
+        _MODEL_MEMO[key] = FeatureEncoder.fit(loans(spark, sf))
+    return _MODEL_MEMO[key]
+
+
+@plan("encode_categories")
+def _encode_categories(spark, sf):
+    """M1: alphabetical label codes of the five categorical features."""
+    enc = _encoder(spark, sf)
+    raw = enc._raw(loans(spark, sf))
+    return raw.select("loan_id", *[raw[f"cat_{c}"].cast("int").alias(f"cat_{c}") for c in K.CAT_COLS])
+
+
+@plan("standardize_features")
+def _standardize_features(spark, sf):
+    """M2: population-std z-scores (4dp) of three numeric features."""
+    from ..functions import rnd
+    from ..models.features import FEATURE_NAMES, STD_COLS
+    z = _encoder(spark, sf).standardized(loans(spark, sf))
+    picks = ["credit_score", "loan_size", "pricing_rate"]
+    return z.select("loan_id", *[rnd(z[STD_COLS[FEATURE_NAMES.index(c)]], 4).alias(f"z_{c}") for c in picks])

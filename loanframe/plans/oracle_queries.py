@@ -419,3 +419,24 @@ SELECT 'product', segment, segment || ': ' || {_s('"count"')} || ' loans, defaul
   || '%, pricing ' || {_fx('"avgPricing"', 1)} || '%' FROM sp""")
 
 ORACLE["stream_scored_loans"] = ORACLE["scored_loans"]
+
+# ---------------------------------------------------------------------------
+# Feature encoding
+# ---------------------------------------------------------------------------
+ORACLE["encode_categories"] = with_loans(", " + ", ".join(
+    f"d_{c} AS (SELECT v, CAST(row_number() OVER (ORDER BY v) - 1 AS INTEGER) AS code "
+    f"FROM (SELECT DISTINCT CAST({c} AS VARCHAR) AS v FROM loans WHERE {c} IS NOT NULL))"
+    for c in K.CAT_COLS) + "\nSELECT l.loan_id, " + ", ".join(
+    f"coalesce(d_{c}.code, 0) AS cat_{c}" for c in K.CAT_COLS) + " FROM loans l " + " ".join(
+    f"LEFT JOIN d_{c} ON d_{c}.v = CAST(l.{c} AS VARCHAR)" for c in K.CAT_COLS))
+
+
+def _z(c: str) -> str:
+    x = f"CAST({c} AS DOUBLE)"
+    sd = f"stddev_pop({x}) OVER ()"
+    return R(f"({x} - avg({x}) OVER ()) / CASE WHEN {sd} = 0 OR {sd} IS NULL THEN 1e0 ELSE {sd} END", 4)
+
+
+ORACLE["standardize_features"] = with_loans(
+    "SELECT loan_id, " + ", ".join(f"{_z(c)} AS z_{c}" for c in ["credit_score", "loan_size", "pricing_rate"])
+    + " FROM loans")
