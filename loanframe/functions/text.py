@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 from .numeric import col_
 
 # Python's str.strip() removes all leading/trailing whitespace, SQL trim only
-# spaces.
-_WS_EDGES = r"^[ \t\r\n\f\v]+|[ \t\r\n\f\v]+$"
+# spaces: trim with an explicit character set instead.
 
 # A plain decimal / scientific number, or an infinity. Applied to a
 # lower-cased, stripped string before try_cast so that Spark-only literal
@@ -20,8 +19,13 @@ _WS_EDGES = r"^[ \t\r\n\f\v]+|[ \t\r\n\f\v]+$"
 NUMERIC_RE = r"^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)(e[+-]?[0-9]+)?$|^[+-]?(inf|infinity)$"
 
 
+_WS_CHARS = " \t\r\n\f\v"
+
+
 def strip_ws(c) -> Column:
-    return F.regexp_replace(col_(c), _WS_EDGES, "")
+    """Remove leading/trailing whitespace (space, tab, CR, LF, FF, VT) like
+    Python's str.strip() on ASCII text; a character-set trim, no regex."""
+    return F.btrim(col_(c), F.lit(_WS_CHARS))
 
 
 def literal_map(mapping: dict) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import rnd
-from .reports import active_or_all
+from pyspark.sql.window import Window
 
 
 
@@ -37,15 +37,31 @@ def _shape(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
+def _active_first_top(scored: DataFrame, n: int) -> DataFrame:
+    """Top ``n`` of active-or-all (F1) in one pass.
+
+    Rank Active loans ahead of the rest, take the first ``n`` (one
+    TakeOrderedAndProject), then drop the non-Active rows if any Active row
+    made the list. If the book has an Active loan, the first ranked row is
+    Active, so this equals "top n of the Active loans, or of all loans when
+    none is Active" without a second scan for the fallback test. The window
+    runs over the ``n`` kept rows only.
+    """
+    active = (F.col("loan_status") == "Active").cast("int")
+    top = scored.withColumn("_act", active).orderBy(F.col("_act").desc(), *_order()).limit(n)
+    top = top.withColumn("_any", F.max("_act").over(Window.partitionBy()))
+    return top.where((F.col("_act") == 1) | (F.col("_any") == 0)).drop("_act", "_any")
+
+
 def early_warning_signals(scored: DataFrame, top_n: int = K.WATCHLIST_SIZE) -> DataFrame:
     """The ``top_n`` highest early-warning scores among Active loans (all
     loans when none is Active), with the watch-list columns."""
-    return _shape(active_or_all(scored).orderBy(*_order()).limit(top_n))
+    return _shape(_active_first_top(scored, top_n).orderBy(*_order()))
 
 
 def early_warning_by_grade(scored: DataFrame, grade: str, depth: int = K.WATCHLIST_DEPTH,
                            top_n: int = K.WATCHLIST_SIZE) -> DataFrame:
     """Take the top ``depth`` first, then keep one grade, then ``top_n``
     (so the list can be shorter than ``top_n``)."""
-    top = active_or_all(scored).orderBy(*_order()).limit(depth)
+    top = _active_first_top(scored, depth)
     return _shape(top.where(F.col("credit_quality") == grade).orderBy(*_order()).limit(top_n))
