@@ -21,6 +21,7 @@ table would run the whole inference twice.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -79,16 +80,60 @@ class LoanModels:
         if train.rdd.getNumPartitions() < cores:
             train = train.repartition(cores)
         train = train.persist()
+        # The learners are independent given the (persisted) training table, so
+        # they are submitted as concurrent Spark jobs: boosting runs many small
+        # sequential jobs that leave cores idle, which the others fill.
+        def fit_rf():
+            return RandomForestClassifier(
+                featuresCol="features", labelCol="label", numTrees=hp.rf_trees, maxDepth=hp.rf_depth,
+                minInstancesPerNode=hp.rf_min_leaf, featureSubsetStrategy="sqrt", seed=SEED,
+                # split more nodes per pass over the data; remember each row's
+                # node between levels instead of re-walking the trees
+                maxMemoryInMB=1024, cacheNodeIds=True).fit(train)
+
+        def fit_gbt():
+            return GBTClassifier(featuresCol="features", labelCol="label", maxIter=hp.gb_trees,
+                                 maxDepth=hp.gb_depth, stepSize=0.1, seed=SEED).fit(train)
+
+        def fit_iso():
+            rate = float(stats["rate"] or 0.0)
+            contamination = min(0.5, max(0.05, rate or 0.12))
+            active = int(stats["active"])
+            iso_train = train.where(F.col("loan_status") == "Active") if active >= 3 else train
+            return fit_isolation_forest(iso_train, STD_COLS, "loan_id", active if active >= 3 else n,
+                                        contamination, n_trees=n_trees_iso, seed=SEED)
+
+        def fit_kmeans():
+            return KMeans(featuresCol="features", k=hp.kmeans_k, seed=SEED, predictionCol="_km").fit(train)
+
+        def fit_grade():
+            with_s = train.withColumn("_grade_s", F.col("credit_quality").cast("string"))
+            gi = StringIndexer(inputCol="_grade_s", outputCol="_grade_y", stringOrderType="alphabetAsc").fit(with_s)
+            lr = LogisticRegression(
+                featuresCol="features", labelCol="_grade_y", family="multinomial", maxIter=500,
+                regParam=1.0 / (hp.lr_c * n), elasticNetParam=0.0, standardization=False, tol=1e-4,
+                predictionCol="_grade_pred", probabilityCol="_grade_prob",
+                rawPredictionCol="_grade_raw").fit(gi.transform(with_s))
+            return list(gi.labels), lr
+
+        jobs = {}
         try:
+            with ThreadPoolExecutor(max_workers=5) as pool:
+                if not m.single_class:
+                    jobs["gbt"] = pool.submit(fit_gbt)
+                    jobs["rf"] = pool.submit(fit_rf)
+                if n >= 5:
+                    jobs["iso"] = pool.submit(fit_iso)
+                if hp.kmeans_k >= 2:
+                    jobs["kmeans"] = pool.submit(fit_kmeans)
+                if int(stats["grades"]) >= 2:
+                    jobs["grade"] = pool.submit(fit_grade)
+                done = {k: f.result() for k, f in jobs.items()}
+            m.rf, m.gbt = done.get("rf"), done.get("gbt")
+            m.iso, m.kmeans = done.get("iso"), done.get("kmeans")
+            if "grade" in done:
+                m.grade_labels, m.grade_lr = done["grade"]
             if not m.single_class:
-                m.rf = RandomForestClassifier(
-                    featuresCol="features", labelCol="label", numTrees=hp.rf_trees, maxDepth=hp.rf_depth,
-                    minInstancesPerNode=hp.rf_min_leaf, featureSubsetStrategy="sqrt", seed=SEED,
-                    # split more nodes per pass over the data; remember each row's
-                    # node between levels instead of re-walking the trees
-                    maxMemoryInMB=1024, cacheNodeIds=True).fit(train)
-                m.gbt = GBTClassifier(featuresCol="features", labelCol="label", maxIter=hp.gb_trees,
-                                      maxDepth=hp.gb_depth, stepSize=0.1, seed=SEED).fit(train)
                 rf_scored = m.rf.transform(train).withColumn(
                     "_p", vector_to_array(F.col("probability")).getItem(1))
                 m.auc = round(float(BinaryClassificationEvaluator(
@@ -98,30 +143,6 @@ class LoanModels:
                 ranked = sorted(zip(FEATURE_NAMES, imp), key=lambda t: -t[1])[:10]
                 m.importances = [(name, round(float(v), 4)) for name, v in ranked]
                 m.prob_std = float(m._with_prob(train).agg(F.stddev_pop("_ens")).first()[0] or 0.0)
-
-            if n >= 5:
-                rate = float(stats["rate"] or 0.0)
-                contamination = min(0.5, max(0.05, rate or 0.12))
-                iso_train = train.where(F.col("loan_status") == "Active") if int(stats["active"]) >= 3 else train
-                iso_n = int(stats["active"]) if int(stats["active"]) >= 3 else n
-                m.iso = fit_isolation_forest(iso_train, STD_COLS, "loan_id", iso_n, contamination,
-                                             n_trees=n_trees_iso, seed=SEED)
-
-            if hp.kmeans_k >= 2:
-                m.kmeans = KMeans(featuresCol="features", k=hp.kmeans_k, seed=SEED,
-                                  predictionCol="_km").fit(train)
-
-            if int(stats["grades"]) >= 2:
-                gi = StringIndexer(inputCol="_grade_s", outputCol="_grade_y",
-                                   stringOrderType="alphabetAsc").fit(
-                    train.withColumn("_grade_s", F.col("credit_quality").cast("string")))
-                m.grade_labels = list(gi.labels)
-                y = gi.transform(train.withColumn("_grade_s", F.col("credit_quality").cast("string")))
-                m.grade_lr = LogisticRegression(
-                    featuresCol="features", labelCol="_grade_y", family="multinomial", maxIter=500,
-                    regParam=1.0 / (hp.lr_c * n), elasticNetParam=0.0, standardization=False, tol=1e-4,
-                    predictionCol="_grade_pred", probabilityCol="_grade_prob",
-                    rawPredictionCol="_grade_raw").fit(y)
         finally:
             train.unpersist()
         return m
