@@ -60,29 +60,45 @@ class LoanModels:
     # ------------------------------------------------------------------ fit
     @staticmethod
     def fit(loans: DataFrame, n_trees_iso: int = 100) -> "LoanModels":
-        stats = loans.agg(F.count(F.lit(1)).alias("n"),
-                          F.countDistinct("default_indicator").alias("classes"),
-                          F.avg(F.col("default_indicator").cast("double")).alias("rate"),
-                          F.count_if(F.col("loan_status") == "Active").alias("active"),
-                          F.countDistinct(F.col("credit_quality").cast("string")).alias("grades")).first()
-        n = int(stats["n"])
-        if n == 0:
-            raise ValueError("cannot fit models on an empty table")
-        hp = hyperparams(n)
-        enc = FeatureEncoder.fit(loans)
-        m = LoanModels(encoder=enc, hyper=hp, n=n, single_class=int(stats["classes"]) < 2)
-
-        train = enc.transform(loans).withColumn("label", F.col("default_indicator").cast("double"))
-        # The learners parallelise over partitions: a small table read from
-        # one file is spread over the available cores (large inputs already
-        # have more partitions than cores and are left as they are).
-        cores = loans.sparkSession.sparkContext.defaultParallelism
-        if train.rdd.getNumPartitions() < cores:
-            train = train.repartition(cores)
-        train = train.persist()
-        # The learners are independent given the (persisted) training table, so
-        # they are submitted as concurrent Spark jobs: boosting runs many small
-        # sequential jobs that leave cores idle, which the others fill.
+        spark = loans.sparkSession
+        sc = spark.sparkContext
+        # Only the model inputs are kept: one narrow projection of the loans,
+        # persisted, so the statistics, the encoder and the training table
+        # read it instead of re-deriving the loans for every pass.
+        keep = ["loan_id", "default_indicator", "loan_status", *K.CAT_COLS, *K.NUM_COLS]
+        base = loans.select(*[c for c in dict.fromkeys(keep) if c in loans.columns]).persist()
+        train = None
+        try:
+            stats = base.agg(F.count(F.lit(1)).alias("n"),
+                             F.countDistinct("default_indicator").alias("classes"),
+                             F.avg(F.col("default_indicator").cast("double")).alias("rate"),
+                             F.count_if(F.col("loan_status") == "Active").alias("active"),
+                             F.countDistinct(F.col("credit_quality").cast("string")).alias("grades")).first()
+            n = int(stats["n"])
+            if n == 0:
+                raise ValueError("cannot fit models on an empty table")
+            hp = hyperparams(n)
+            enc = FeatureEncoder.fit(base)
+            m = LoanModels(encoder=enc, hyper=hp, n=n, single_class=int(stats["classes"]) < 2)
+
+            train = enc.transform(base).withColumn("label", F.col("default_indicator").cast("double"))
+            # The learners parallelise over partitions: a small table read from
+            # one file is spread over the available cores (large inputs already
+            # have more partitions than cores and are left as they are).
+            if train.rdd.getNumPartitions() < sc.defaultParallelism:
+                train = train.repartition(sc.defaultParallelism)
+            train = train.persist()
+            m._fit_learners(train, stats, n_trees_iso)
+        finally:
+            if train is not None:
+                train.unpersist()
+            base.unpersist()
+        return m
+
+    def _fit_learners(self, train: DataFrame, stats, n_trees_iso: int) -> None:
+        hp, n = self.hyper, self.n
+        sc = train.sparkSession.sparkContext
+
         def fit_rf():
             return RandomForestClassifier(
                 featuresCol="features", labelCol="label", numTrees=hp.rf_trees, maxDepth=hp.rf_depth,
@@ -116,46 +132,65 @@ class LoanModels:
                 rawPredictionCol="_grade_raw").fit(gi.transform(with_s))
             return list(gi.labels), lr
 
-        jobs = {}
+        def in_pool(name, fn):
+            # The learners are independent given the persisted training table,
+            # so they run as concurrent Spark jobs. Each thread names its own
+            # scheduler pool: on a cluster running FAIR scheduling the many
+            # small sequential jobs of boosting then get cores as soon as they
+            # ask instead of queueing behind the wide stages of the forest
+            # (under the default FIFO mode the pool name is ignored).
+            def run():
+                sc.setLocalProperty("spark.scheduler.pool", f"loanframe-{name}")
+                try:
+                    return fn()
+                finally:
+                    sc.setLocalProperty("spark.scheduler.pool", None)
+            return run
+
+        wanted = {}
+        if not self.single_class:
+            wanted["gbt"], wanted["rf"] = fit_gbt, fit_rf
+        if n >= 5:
+            wanted["iso"] = fit_iso
+        if hp.kmeans_k >= 2:
+            wanted["kmeans"] = fit_kmeans
+        if int(stats["grades"]) >= 2:
+            wanted["grade"] = fit_grade
+        with ThreadPoolExecutor(max_workers=max(1, len(wanted))) as pool:
+            jobs = {k: pool.submit(in_pool(k, fn)) for k, fn in wanted.items()}
+            done = {k: f.result() for k, f in jobs.items()}
+        self.rf, self.gbt = done.get("rf"), done.get("gbt")
+        self.iso, self.kmeans = done.get("iso"), done.get("kmeans")
+        if "grade" in done:
+            self.grade_labels, self.grade_lr = done["grade"]
+        if self.single_class:
+            return
+        # One scoring pass over the training rows serves both the in-sample
+        # forest AUC and the spread of the ensemble probability.
+        probs = self._with_prob(train, keep_rf="_p").select("label", "_p", "_ens").persist()
         try:
-            with ThreadPoolExecutor(max_workers=5) as pool:
-                if not m.single_class:
-                    jobs["gbt"] = pool.submit(fit_gbt)
-                    jobs["rf"] = pool.submit(fit_rf)
-                if n >= 5:
-                    jobs["iso"] = pool.submit(fit_iso)
-                if hp.kmeans_k >= 2:
-                    jobs["kmeans"] = pool.submit(fit_kmeans)
-                if int(stats["grades"]) >= 2:
-                    jobs["grade"] = pool.submit(fit_grade)
-                done = {k: f.result() for k, f in jobs.items()}
-            m.rf, m.gbt = done.get("rf"), done.get("gbt")
-            m.iso, m.kmeans = done.get("iso"), done.get("kmeans")
-            if "grade" in done:
-                m.grade_labels, m.grade_lr = done["grade"]
-            if not m.single_class:
-                rf_scored = m.rf.transform(train).withColumn(
-                    "_p", vector_to_array(F.col("probability")).getItem(1))
-                m.auc = round(float(BinaryClassificationEvaluator(
-                    rawPredictionCol="_p", labelCol="label", metricName="areaUnderROC", numBins=0)
-                    .evaluate(rf_scored)), 4)
-                imp = m.rf.featureImportances.toArray()
-                ranked = sorted(zip(FEATURE_NAMES, imp), key=lambda t: -t[1])[:10]
-                m.importances = [(name, round(float(v), 4)) for name, v in ranked]
-                m.prob_std = float(m._with_prob(train).agg(F.stddev_pop("_ens")).first()[0] or 0.0)
+            self.auc = round(float(BinaryClassificationEvaluator(
+                rawPredictionCol="_p", labelCol="label", metricName="areaUnderROC", numBins=0)
+                .evaluate(probs)), 4)
+            self.prob_std = float(probs.agg(F.stddev_pop("_ens")).first()[0] or 0.0)
         finally:
-            train.unpersist()
-        return m
+            probs.unpersist()
+        imp = self.rf.featureImportances.toArray()
+        ranked = sorted(zip(FEATURE_NAMES, imp), key=lambda t: -t[1])[:10]
+        self.importances = [(name, round(float(v), 4)) for name, v in ranked]
 
     # -------------------------------------------------------------- scoring
-    def _with_prob(self, featurized: DataFrame) -> DataFrame:
-        """Ensemble probability ``_ens`` = R(.6 RF + .4 GBT, 4)."""
+    def _with_prob(self, featurized: DataFrame, keep_rf: str | None = None) -> DataFrame:
+        """Ensemble probability ``_ens`` = R(.6 RF + .4 GBT, 4); ``keep_rf``
+        names a column that keeps the forest's own probability."""
         rf = self.rf.setProbabilityCol("_rf_prob").setRawPredictionCol("_rf_raw").setPredictionCol("_rf_pred")
         gb = self.gbt.setProbabilityCol("_gb_prob").setRawPredictionCol("_gb_raw").setPredictionCol("_gb_pred")
         out = gb.transform(rf.transform(featurized))
         p_rf = vector_to_array(F.col("_rf_prob")).getItem(1)
         p_gb = vector_to_array(F.col("_gb_prob")).getItem(1)
         out = out.withColumn("_ens", rnd(p_rf * F.lit(K.RF_WEIGHT) + p_gb * F.lit(K.GB_WEIGHT), 4))
+        if keep_rf:
+            out = out.withColumn(keep_rf, p_rf)
         return out.drop("_rf_prob", "_rf_raw", "_rf_pred", "_gb_prob", "_gb_raw", "_gb_pred")
 
     def featurize(self, df: DataFrame) -> DataFrame:

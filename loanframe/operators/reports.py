@@ -245,11 +245,14 @@ def ew_bands(scored: DataFrame) -> DataFrame:
 
 
 def ew_buckets(scored: DataFrame) -> DataFrame:
-    """Histogram 0-20 .. 80-100, zero-filled from the 5-bucket spine."""
-    agg = scored.groupBy(ew_bucket("early_warning_score").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    spine = _spine(scored.sparkSession, "bucket", K.EW_BUCKETS)
-    return (_dense(spine, agg, "bucket").orderBy("_ord")
-            .select("bucket", F.coalesce("n", F.lit(0).cast("long")).alias("count")))
+    """Histogram 0-20 .. 80-100, zero-filled, in one pass: one conditional
+    count per bucket (partial counts per task, a single row through the
+    exchange), then the five counts laid out as rows in bucket order."""
+    b = ew_bucket("early_warning_score")
+    counts = scored.agg(*[F.count_if(b == F.lit(v)).alias(f"_c{i}") for i, v in enumerate(K.EW_BUCKETS)])
+    rows = F.array(*[F.struct(F.lit(v).alias("bucket"), F.col(f"_c{i}").alias("count"))
+                     for i, v in enumerate(K.EW_BUCKETS)])
+    return counts.select(F.inline(rows))
 
 
 def cluster_profiles(scored: DataFrame) -> DataFrame:
