@@ -3,11 +3,12 @@
 MLlib has no isolation forest, so it is built from Spark pieces:
 
 fit
-  1. Each training row draws one hash-uniform per tree (``xxhash64`` of the
-     row key, tree and seed: independent of partitioning, so a re-run task
-     draws the same numbers). Rows whose draw falls under a small
-     probability ``p`` are exploded into (tree, row) pairs: about
-     ``n_trees * (psi + margin)`` rows in total, whatever the table size.
+  1. Hash-uniforms (``xxhash64`` of the row key, tree and seed: independent
+     of partitioning, so a re-run task draws the same numbers) pick each
+     row for each tree with a small probability ``p``; a one-hash gate per
+     row spares most rows the per-tree draws. Picked rows are exploded
+     into (tree, row) pairs: about ``n_trees * (psi + margin)`` rows in
+     total, whatever the table size.
   2. ``row_number`` per tree keeps the ``psi`` smallest draws: a uniform
      sample without replacement of ``psi`` rows per tree (each window
      partition is ~psi rows, bounded).
@@ -155,21 +156,36 @@ class IsolationForestModel:
         return self.score_column(feature_cols) - F.lit(self.offset)
 
 
-def fit_isolation_forest(train: DataFrame, feature_cols: list[str], key: str, n: int, contamination: float,
-                         n_trees: int = 100, max_samples: int = 256, seed: int = 42) -> IsolationForestModel:
-    """M5: fit on ``train`` (``n`` rows, already counted by the caller)."""
-    psi = int(min(max_samples, n))
-    height_limit = int(math.ceil(math.log2(max(psi, 2))))
+def tree_samples(train: DataFrame, feature_cols: list[str], key: str, n: int, n_trees: int, psi: int,
+                 seed: int = 42) -> DataFrame:
+    """Rows (tree, key, features): for each tree a uniform sample without
+    replacement of ``psi`` of the ``n`` training rows."""
     # Inclusion probability with a wide margin so every tree sees >= psi
     # candidates (the expected count sits ~8 standard deviations above psi).
     p = min(1.0, (psi + 8.0 * math.sqrt(psi) + 16.0) / max(n, 1))
+    # Two-level draw: one hash per row opens a gate with probability
+    # q = min(1, n_trees * p); only rows through the gate draw per tree, with
+    # probability p / q. Each tree still takes every row with probability p
+    # (the psi smallest per-tree draws are a uniform sample of the rows), but
+    # on a large table almost every row stops after a single hash instead of
+    # n_trees of them. For small tables q = 1 and the gate is open.
+    q = min(1.0, n_trees * p)
+    gate = hash_uniform(F.col(key), F.lit(-1), seed=seed) < F.lit(q)
     trees = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)),
-                     lambda t: hash_uniform(F.col(key), t, seed=seed) < F.lit(p))
-    cand = (train.select(F.col(key), *[F.col(c) for c in feature_cols])
-            .withColumn("tree", F.explode(trees))
+                     lambda t: hash_uniform(F.col(key), t, seed=seed) < F.lit(p / q))
+    cand = (train.where(gate) if q < 1.0 else train).select(F.col(key), *[F.col(c) for c in feature_cols])
+    cand = (cand.withColumn("tree", F.explode(trees))
             .withColumn("_u", hash_uniform(F.col(key), F.col("tree"), seed=seed)))
     rank = F.row_number().over(Window.partitionBy("tree").orderBy("_u", key))
-    sample = cand.withColumn("_r", rank).where(F.col("_r") <= psi).drop("_r", "_u")
+    return cand.withColumn("_r", rank).where(F.col("_r") <= psi).drop("_r", "_u")
+
+
+def fit_isolation_forest(train: DataFrame, feature_cols: list[str], key: str, n: int, contamination: float,
+                         n_trees: int = 100, max_samples: int = 256, seed: int = 42) -> IsolationForestModel:
+    """M5: fit on ``train`` (``n`` rows, already counted by the caller)."""
+    psi = int(min(max_samples, n))
+    height_limit = int(math.ceil(math.log2(max(psi, 2))))
+    sample = tree_samples(train, feature_cols, key, n, n_trees, psi, seed)
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         t = int(pdf["tree"].iloc[0])

@@ -96,3 +96,20 @@ def test_isolation_tree_growth():
     assert sum(n[6] for n in leaves) == 256 and max(n[7] for n in nodes) <= 8
     assert avg_path_length([0, 1, 2, 256]).round(4).tolist() == [0.0, 0.0, 1.0, round(2 * (np.log(255) + 0.5772156649015329) - 2 * 255 / 256, 4)]
     assert K.CAT_COLS and K.NUM_COLS
+
+
+def test_isolation_samples_full_and_uniform(spark):
+    """Each tree gets exactly psi distinct rows, also with the per-row gate
+    active (10 trees over 15 000 rows: gate probability ~0.27), and the
+    samples are not biased (mean credit score near the table's)."""
+    from loanframe.models.isoforest import tree_samples
+    base = loans(spark, "/root/testdata/sf0.01").select("loan_id", F.col("credit_score").cast("double").alias("x"))
+    n = base.count()
+    s = tree_samples(base, ["x"], "loan_id", n, n_trees=10, psi=256, seed=7)
+    per = {r["tree"]: (r["rows"], r["ids"], r["mx"]) for r in s.groupBy("tree").agg(
+        F.count(F.lit(1)).alias("rows"), F.countDistinct("loan_id").alias("ids"), F.avg("x").alias("mx")).collect()}
+    assert sorted(per) == list(range(10))
+    assert all(rows == ids == 256 for rows, ids, _ in per.values())
+    pop = base.agg(F.avg("x"), F.stddev_pop("x")).first()
+    pooled = sum(mx for _, _, mx in per.values()) / 10
+    assert abs(pooled - pop[0]) < 4 * pop[1] / (2560 ** 0.5)
