@@ -42,11 +42,13 @@ def _spine(spark: SparkSession, name: str, values: list[str]) -> DataFrame:
     return spark.range(1).select(F.inline(rows))
 
 
-def _dense(spine: DataFrame, agg: DataFrame, key: str) -> DataFrame:
+def _dense(spine: DataFrame, agg: DataFrame, key: str, values: list[str]) -> DataFrame:
     """Left join of a literal spine to an aggregate keyed by a categorical
-    column. The aggregate has one row per distinct key, so it is the bounded
-    side that gets broadcast; the spine is the preserved (streamed) side."""
-    return spine.join(F.broadcast(agg), key, "left")
+    column. Only keys on the spine can match, so the aggregate is cut to
+    them first: the broadcast side then holds at most ``len(values)`` rows
+    whatever the data (and the filter on the grouping key reaches below the
+    aggregate). The spine is the preserved (streamed) side."""
+    return spine.join(F.broadcast(agg.where(F.col(key).isin(values))), key, "left")
 
 
 # ---------------------------------------------------------------------------
@@ -179,7 +181,7 @@ def risk_distribution(scored: DataFrame) -> DataFrame:
         rate_pct(F.col("default_indicator")).alias("_dr"),
         rnd(_avg("default_prob", PROB) * F.lit(100.0), 2).alias("_pd")))
     spine = _spine(scored.sparkSession, "grade", K.GRADES)
-    return (_dense(spine, agg, "grade").select(
+    return (_dense(spine, agg, "grade", K.GRADES).select(
         "grade",
         F.coalesce("_n", F.lit(0).cast("long")).alias("count"),
         F.coalesce("_aum", F.lit(0).cast("long")).alias("aum"),
@@ -198,7 +200,7 @@ def grade_tiers(scored: DataFrame) -> DataFrame:
     rd = risk_distribution(scored).withColumn("tier", grade_tier("grade"))
     spine = _spine(scored.sparkSession, "tier", K.TIER_ORDER)
     agg = rd.groupBy("tier").agg(F.sum("count").alias("count"), F.sum("aum").alias("aum"))
-    return _dense(spine, agg, "tier").orderBy("_ord").select(
+    return _dense(spine, agg, "tier", K.TIER_ORDER).orderBy("_ord").select(
         "tier", F.coalesce("count", F.lit(0).cast("long")).alias("count"),
         F.coalesce("aum", F.lit(0).cast("long")).alias("aum"))
 
@@ -207,7 +209,7 @@ def pricing_by_grade(scored: DataFrame) -> DataFrame:
     """Average pricing on the full grade ladder, missing grades -> 0."""
     seg = segment_breakdown(scored, "credit_quality").select(F.col("segment").alias("grade"), "avgPricing")
     spine = _spine(scored.sparkSession, "grade", K.GRADES)
-    return (_dense(spine, seg, "grade").orderBy("_ord")
+    return (_dense(spine, seg, "grade", K.GRADES).orderBy("_ord")
             .select("grade", F.coalesce("avgPricing", F.lit(0.0)).alias("avgPricing")))
 
 
