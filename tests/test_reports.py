@@ -107,3 +107,17 @@ def test_auc_handles_one_class(spark):
                         dict(loan_id="c", default_prob=0.5, default_indicator=1),
                         dict(loan_id="d", default_prob=0.5, default_indicator=0)])
     assert rows(A.auc(df2, "default_prob")) == [(0.875,)]
+
+
+def test_grade_spine_ignores_off_ladder_grades(spark):
+    """Keys off the 7-grade ladder never widen the dense reports (the
+    broadcast aggregate is cut to the spine's keys)."""
+    df = frame(spark, [dict(loan_id="1", credit_quality="A", loan_size=100),
+                       dict(loan_id="2", credit_quality="ZZZ", loan_size=900),
+                       dict(loan_id="3", credit_quality=None, loan_size=50)])
+    rd = rows(A.risk_distribution(df), "grade", "count", "aum")
+    assert [g for g, _, _ in rd] == ["AAA", "AA", "A", "BBB", "BB", "B", "CCC"]
+    assert dict((g, (n, a)) for g, n, a in rd)["A"] == (1, 100)
+    assert sum(n for _, n, _ in rd) == 1
+    assert rows(A.grade_tiers(df), "tier", "count") == [("Investment", 1), ("Speculative", 0), ("Distressed", 0)]
+    assert len(rows(A.pricing_by_grade(df))) == 7
