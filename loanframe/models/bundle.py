@@ -35,10 +35,12 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import clip, risk_level, rnd
 from ..operators import scoring as S
+from ..session import ensure_checkpoint_dir
 from .features import FEATURE_NAMES, STD_COLS, FeatureEncoder, Hyper, hyperparams
 from .isoforest import IsolationForestModel, fit_isolation_forest
 
 SEED = 42
+CHECKPOINT_EVERY = 10
 
 
 @dataclass
@@ -62,6 +64,11 @@ class LoanModels:
     def fit(loans: DataFrame, n_trees_iso: int = 100) -> "LoanModels":
         spark = loans.sparkSession
         sc = spark.sparkContext
+        # Boosting and the forest's node-id cache checkpoint their per-row state
+        # every ``checkpointInterval`` iterations into the shared folder named
+        # by spark.checkpoint.dir, so a lost executor recomputes at most that
+        # many iterations instead of the whole chain.
+        ensure_checkpoint_dir(spark)
         # Only the model inputs are kept: one narrow projection of the loans,
         # persisted, so the statistics, the encoder and the training table
         # read it instead of re-deriving the loans for every pass.
@@ -105,11 +112,12 @@ class LoanModels:
                 minInstancesPerNode=hp.rf_min_leaf, featureSubsetStrategy="sqrt", seed=SEED,
                 # split more nodes per pass over the data; remember each row's
                 # node between levels instead of re-walking the trees
-                maxMemoryInMB=1024, cacheNodeIds=True).fit(train)
+                maxMemoryInMB=1024, cacheNodeIds=True, checkpointInterval=CHECKPOINT_EVERY).fit(train)
 
         def fit_gbt():
             return GBTClassifier(featuresCol="features", labelCol="label", maxIter=hp.gb_trees,
-                                 maxDepth=hp.gb_depth, stepSize=0.1, seed=SEED).fit(train)
+                                 maxDepth=hp.gb_depth, stepSize=0.1, seed=SEED,
+                                 checkpointInterval=CHECKPOINT_EVERY).fit(train)
 
         def fit_iso():
             rate = float(stats["rate"] or 0.0)
