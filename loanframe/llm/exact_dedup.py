@@ -27,8 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loanframe.llm.common import salts
-from loanframe.session import materialize
+from loanframe.llm.common import folder, salts, stored
 
 CELLS_PER_DOC = 16
 HASHES = 4
@@ -110,25 +109,17 @@ def _segments(rows: DataFrame, n: int, docs_per_filter: int) -> list[tuple[DataF
     if k == 1:
         return [(rows, n)]
     cut = rows.withColumn("segment", F.pmod(F.xxhash64("sha"), F.lit(k)).cast("int"))
-    spark, path = rows.sparkSession, _folder(rows, "exact-segments")
+    spark, path = rows.sparkSession, folder(rows.sparkSession, "exact-segments")
     cut.write.partitionBy("segment").parquet(path)
     return [(spark.read.parquet(path).where(F.col("segment") == i).drop("segment"), 2 * n // k) for i in range(k)]
 
 
-def _folder(df: DataFrame, name: str) -> str:
-    import uuid
-
-    from loanframe.session import ensure_checkpoint_dir
-
-    return f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-
-
 def _gather(parts: list[Callable[[], DataFrame]], name: str) -> DataFrame:
     """The parts' rows; several parts are written one after the other."""
     if len(parts) == 1:
         return parts[0]()
     first = parts[0]()
-    path = _folder(first, name)
+    path = folder(first.sparkSession, name)
     first.write.parquet(path)
     for part in parts[1:]:
         part().write.mode("append").parquet(path)
@@ -139,7 +130,7 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              docs_per_filter: int = DOCS_PER_FILTER) -> DataFrame:
     """One row per document: its id, keep_id, group_size, kept, text_sha256."""
     key = docs.schema[id_col].dataType
-    hashed = materialize(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    hashed = stored(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
                          .select("id", _digest(F.col("t")).alias("sha"), F.monotonically_increasing_id().alias("row")),
                          "exact-hashes")
 
@@ -148,7 +139,7 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         alone = tested.where("not again").select(
             "id", "sha", F.col("id").alias("keep"), F.lit(1).cast("long").alias("n"), F.lit(True).alias("kept"))
         # A text's rows are counted salt by salt, so one hot text is spread over many tasks.
-        some = materialize(tested.where("again").drop("again"), "exact-candidates")
+        some = stored(tested.where("again").drop("again"), "exact-candidates")
         salted = some.withColumn("salt", F.pmod(F.col("row"), F.lit(salts(n))))
         best = F.max(F.struct("id", "row")).alias("best")
         by_salt = salted.groupBy("sha", "salt").agg(best, F.count(F.lit(1)).alias("n"))

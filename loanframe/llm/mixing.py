@@ -19,8 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loanframe.llm.common import WORD, lookup_join
-from loanframe.session import materialize
+from loanframe.llm.common import WORD, lookup_join, stored
 
 WEIGHTS = (1, 2, 3)
 MOST = 3
@@ -66,7 +65,7 @@ def rated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"),
                        F.col(source_col).cast("string").alias("src"), word_count(F.col(text_col)).alias("size"),
                        draw(F.col(id_col), F.col(text_col)).alias("draw"))
-    plan = materialize(targets(rows.select("src", "size")), "mix-targets").select(
+    plan = stored(targets(rows.select("src", "size")), "mix-targets").select(
         F.coalesce("src", F.lit("")).alias("k"), F.col("src").isNull().alias("no_src"), "source_size", "target", "rate")
     keyed = rows.withColumns({"k": F.coalesce("src", F.lit("")), "no_src": F.col("src").isNull()})
     out = lookup_join(keyed, plan, ["k", "no_src"])

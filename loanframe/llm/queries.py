@@ -7,8 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanframe.llm import exact_dedup, mixing, quality_rules, url_filter
-from loanframe.llm.common import table
+import public_tokenizers
+from loanframe.llm import exact_dedup, mixing, packing, quality_rules, token_files, url_filter
+from loanframe.llm.common import folder, table
+
+BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
+
+
+def op1_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
+    placed = packing.place(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+    return placed.select(F.col("id").alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id",
+                         "offset", "padded_length")
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +42,13 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
                                      (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = folder(spark, "token-files")
+    token_files.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path(WORD_BPE))
+    return token_files.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_exact_dedup, op3_quality_rules, op4_url_filter, op6_mix_sources)
+    f.__name__: f for f in (op1_pack_documents, op2_exact_dedup, op3_quality_rules, op4_url_filter, op6_mix_sources,
+                              op7_token_files)
 }

@@ -117,6 +117,17 @@ class UnitEncoder:
         rows = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
         return (ids, offsets) if not len(rows) else self._mend(texts, rows, ids, offsets)
 
+    def slices(self, texts: pa.Array, most: int = 8 << 20):
+        """(first row, ids, offsets) of consecutive runs of texts of about ``most`` bytes each."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(texts):
+            done = size[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(size, done + most, side="right")))
+            yield at, *self.encode(texts.slice(at, end - at))
+            at = end
+
     def _mend(self, texts, rows, ids, offsets):
         """Puts the texts that one call has to encode back in their places."""
         done = self.tok.encode_batch_fast(texts.take(pa.array(rows)).to_pylist(), add_special_tokens=False)
@@ -126,6 +137,21 @@ class UnitEncoder:
         return np.concatenate(each), np.concatenate([[0], np.cumsum([len(x) for x in each])])
 
 
+def close_documents(ids: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The documents' ids with the end id after each, and their new offsets."""
+    n = np.diff(offsets)
+    out = np.full(len(ids) + len(n), end, "<u4")
+    out[np.arange(len(ids)) + np.repeat(np.arange(len(n)), n)] = ids
+    return out, offsets + np.arange(len(offsets))
+
+
+def binary_slices(data: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """The little-endian bytes of ``data`` (unsigned 32-bit) between consecutive cuts, as one binary array."""
+    offsets = pa.py_buffer(((cuts - cuts[0]) * 4).astype("<i8"))
+    return pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1,
+                                 [None, offsets, pa.py_buffer(data[cuts[0]:cuts[-1]].tobytes())]).cast(pa.binary())
+
+
 @lru_cache(maxsize=4)
 def encoder(path: str, spaces: bool) -> UnitEncoder:
     """The worker's encoder of a file, kept over tasks."""
