@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from loanframe.llm import exact_dedup, mixing, packing, quality_rules, token_files, url_filter
+from loanframe.llm import exact_dedup, mixing, packing, quality_rules, simhash, token_files, url_filter
 from loanframe.llm.common import folder, table
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -48,7 +48,11 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.annotate(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_pack_documents, op2_exact_dedup, op3_quality_rules, op4_url_filter, op6_mix_sources,
-                              op7_token_files)
+                              op7_token_files, op8_simhash_dedup)
 }
