@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from loanframe.llm import exact_dedup, mixing, packing, quality_rules, simhash, token_files, url_filter
+from loanframe.llm import (exact_dedup, html_text, mixing, packing, quality_classifier, quality_rules, simhash,
+                           token_files, url_filter)
 from loanframe.llm.common import folder, table
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -52,7 +53,19 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.annotate(table(spark, sf_dir, "documents"))
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extract(table(spark, sf_dir, "pages"))
+    return found.select("r.page_id", "r.url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, c = table(spark, sf_dir, "documents").select("doc_id", "text"), quality_classifier
+    scored = c.score(docs, c.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("r.doc_id", c.held_out(F.col("r.doc_id")).alias("held_out"), "score",
+                         (F.col("score") >= c.THRESHOLD).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_pack_documents, op2_exact_dedup, op3_quality_rules, op4_url_filter, op6_mix_sources,
-                              op7_token_files, op8_simhash_dedup)
+                              op7_token_files, op8_simhash_dedup, op9_html_text, op10_quality_classifier)
 }
