@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 from loanframe.llm import (exact_dedup, html_text, mixing, packing, quality_classifier, quality_rules, simhash,
-                           token_files, url_filter)
+                           suffix_dedup, token_files, url_filter)
 from loanframe.llm.common import folder, table
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -37,6 +37,12 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
         "r.page_id", "host", "path", "rule", "verdict")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("r.doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"),
+                       F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.rated(docs).select("r.doc_id", "size", "source_size", "target",
@@ -66,6 +72,6 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pack_documents, op2_exact_dedup, op3_quality_rules, op4_url_filter, op6_mix_sources,
-                              op7_token_files, op8_simhash_dedup, op9_html_text, op10_quality_classifier)
+    f.__name__: f for f in (op1_pack_documents, op2_exact_dedup, op3_quality_rules, op4_url_filter, op5_suffix_dedup,
+                              op6_mix_sources, op7_token_files, op8_simhash_dedup, op9_html_text, op10_quality_classifier)
 }
