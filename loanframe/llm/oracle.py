@@ -26,7 +26,7 @@ line AS (
 judged AS (
   SELECT *, n > 0 AND (sym > n * 0.4 OR shout > n * 0.3 OR (bars >= 2 AND bars > n * 0.2)
          OR (n <= 2 AND NOT regexp_matches(l, '[.!?:;"'')\]\x{2026}\x{201d}\x{3002}]\s*$'))
-         OR regexp_matches(l, '(?i)all rights reserved|licensed under|is licensed|cookie policy|accept (all )?cookies|privacy policy|terms of (use|service)|enable javascript|lorem ipsum|subscribe to our newsletter|click here to')) AS bad
+         OR regexp_matches(lower(l), 'all rights reserved|licensed under|is licensed|cookie policy|accept (all )?cookies|privacy policy|terms of (use|service)|enable javascript|lorem ipsum|subscribe to our newsletter|click here to')) AS bad
   FROM line),
 lines AS (
   SELECT doc_id, count(*) FILTER (n > 0) - count(DISTINCT l) FILTER (n > 0) AS n_dup_lines,

@@ -16,6 +16,9 @@ their names, are carried along untouched.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +26,7 @@ from loanframe.llm.common import WORD
 
 SPACE = "[\\x20\\x09-\\x0D]"
 SYMBOL = "[#*$%&|<>]"
+BAR = "[|\\u00bb\\u203a\\u2022]"
 MIN_WORDS, MAX_REPEAT_PCT, WINDOW = 10, 20, 5
 MAX_LOST = 0.3  # share of word characters that a kept document may lose
 
@@ -32,8 +36,9 @@ MAX_SHOUTS = 0.3  # doubled exclamation or question marks a word
 MIN_BARS, MAX_BARS = 2, 0.2  # separators, and separators a word
 MENU_WORDS = 2  # or has at most so many words and no closing mark
 CLOSED = "[.!?:;\"')\\]\\u2026\\u201d\\u3002]\\s*$"
-BOILERPLATE = ("(?i)all rights reserved|licensed under|is licensed|cookie policy|accept (all )?cookies|privacy policy|"
-               "terms of (use|service)|enable javascript|lorem ipsum|subscribe to our newsletter|click here to")
+BOILERPLATE = ("all rights reserved", "licensed under", "is licensed", "cookie policy", "accept cookies",
+               "accept all cookies", "privacy policy", "terms of use", "terms of service", "enable javascript",
+               "lorem ipsum", "subscribe to our newsletter", "click here to")
 
 
 def _count(col: Column, pattern: str) -> Column:
@@ -41,11 +46,13 @@ def _count(col: Column, pattern: str) -> Column:
 
 
 def failing_line(line: Column) -> Column:
-    n = _count(line, WORD)
-    punctuation = (_count(line, SYMBOL) > n * MAX_SYMBOLS) | (_count(line, "[!?]{2}") > n * MAX_SHOUTS)
-    bars = _count(line, "[|\\u00bb\\u203a\\u2022]")
-    navigation = ((bars >= MIN_BARS) & (bars > n * MAX_BARS)) | ((n <= MENU_WORDS) & ~line.rlike(CLOSED))
-    return (n > 0) & (punctuation | navigation | line.rlike(BOILERPLATE))
+    """Words are counted last: only a line with marks, or one without an end, needs them."""
+    n, symbols, shouts, bars = (_count(line, x) for x in (WORD, SYMBOL, "[!?]{2}", BAR))
+    marked = line.rlike(SYMBOL + "|[!?]{2}|" + BAR) & (
+        (symbols > n * MAX_SYMBOLS) | (shouts > n * MAX_SHOUTS) | ((bars >= MIN_BARS) & (bars > n * MAX_BARS)))
+    menu = ~line.rlike(CLOSED) & n.between(1, MENU_WORDS)
+    low = F.lower(line)
+    return marked | menu | reduce(or_, [low.contains(x) for x in BOILERPLATE])
 
 
 def repeat_words(words: Column) -> Column:
@@ -81,15 +88,18 @@ def assess(docs: DataFrame, text_col: str = "text") -> DataFrame:
     bare = F.btrim("t", F.lit(" \t\n\x0b\f\r"))
     rows = rows.withColumns({"words": F.when(bare == "", F.array().cast("array<string>")).otherwise(
         F.split(bare, SPACE + "+")), "lines": F.split("t", "\n")})
-    chars = lambda x: F.length(x) - _count(x, SPACE)
+    rows = rows.withColumn("failing", F.filter("lines", failing_line))
     rows = rows.withColumns({
-        "n_words": F.size("words").cast("long"), "word_chars": chars(F.col("t")).cast("long"),
+        "n_words": F.size("words").cast("long"), "word_chars": F.length(F.array_join("words", "")).cast("long"),
         "n_symbols": _count(F.col("t"), SYMBOL).cast("long"),
         "full": F.filter("lines", lambda x: x.rlike(WORD)),
         "n_repeat_words": repeat_words(F.col("words")).cast("long"),
-        "cleaned": F.array_join(F.filter("lines", lambda x: ~failing_line(x)), "\n"),
+        "lost": F.reduce("failing", F.lit(0), lambda n, x: n + F.length(x) - _count(x, SPACE)),
+        # Equal lines fail alike, so what stays is what is not among the failing ones.
+        "cleaned": F.when(F.size("failing") == 0, F.col("t")).otherwise(
+            F.array_join(F.filter("lines", lambda x: ~F.array_contains("failing", x)), "\n")),
     })
-    lost = F.col("word_chars") - chars(F.col("cleaned"))
+    lost = F.col("lost")
     base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PCT * F.col("n_words"))
     return rows.select("r", "n_words", "word_chars", "n_symbols",
                        (F.size("full") - F.size(F.array_distinct("full"))).cast("long").alias("n_dup_lines"),
