@@ -16,6 +16,7 @@ seen; extra columns, whatever their names, are carried along.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -139,12 +140,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """Each row as struct ``r`` with its score."""
+    name = uuid.uuid4().hex
     shared = docs.sparkSession.sparkContext.broadcast((model.values.astype(np.float32), model.bias))
 
     @F.pandas_udf("double")
     def of(texts: pd.Series) -> pd.Series:
         model = Model(*shared.value)
-        out = [model.scores(pa.array(texts.iloc[i:i + 2000], pa.string(), from_pandas=True), _memo(shared.id))
+        out = [model.scores(pa.array(texts.iloc[i:i + 2000], pa.string(), from_pandas=True), _memo(name))
                for i in range(0, len(texts), 2000)]
         return pd.Series(np.concatenate([*out, np.empty(0)]))
 
@@ -152,10 +154,10 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                        of(F.col(text_col).cast("string")).alias("score"))
 
 
-_MEMOS: dict[int, dict[str, tuple[float, int]]] = {}
+_MEMOS: dict[str, dict[str, tuple[float, int]]] = {}
 
 
-def _memo(model: int) -> dict[str, tuple[float, int]]:
+def _memo(model: str) -> dict[str, tuple[float, int]]:
     """The worker's words of the model it scores now; those of an older model are dropped."""
     if model not in _MEMOS:
         _MEMOS.clear()
