@@ -2,8 +2,7 @@
 
 The pipeline is a chain of projections (``DataFrame.transform``), so the whole
 normaliser runs inside the scan's tasks with no shuffle; only loan-id
-assignment for files without ids (N14) needs one small extra job (per-split
-row counts).
+assignment for files without ids (N14) writes the rows once and counts them.
 
 Steps run in this order, because later steps read earlier results:
 headers -> aliases -> grade -> grade from score -> categories -> default
@@ -20,6 +19,7 @@ from pyspark.sql.window import Window
 
 from .. import constants as K
 from ..functions import lookup, parse_number, rnd, score_to_grade, strip_ws, trunc_long
+from ..session import MAX_BROADCAST_ROWS, materialize
 
 CANONICAL = ["loan_id", "geography", "employment_type", "credit_score", "income_proxy", "credit_quality",
              "product_type", "loan_size", "tenure_months", "pricing_rate", "ltv_ratio", "dti_ratio",
@@ -183,28 +183,29 @@ def fill_strings(df: DataFrame) -> DataFrame:
 def assign_loan_ids(df: DataFrame, order_col: str | None = None) -> DataFrame:
     """``LN-%06d`` by 1-based row position when the table has no loan_id.
 
-    With ``order_col`` the position is the rank in that column's order,
-    computed as a distributed sort plus per-partition offsets. Without it,
-    the position is the scan order (split by split, row by row).
+    With ``order_col`` the position is the rank in that column's order (a
+    distributed sort); without it, the position is the scan order.
 
-    Either way the work is two passes over the data and a table of one row
-    per partition; no global single-partition window over the rows.
+    The rows are tagged with their partition and their place in it and written
+    once to the shared folder. Partition sizes and the final numbers are both
+    read from those files, so no later plan change (other columns kept, other
+    AQE partition sizes, another join) can number one layout with the counts
+    of another. The table of partition sizes is broadcast only while its
+    counted rows stay small; beyond that it is an ordinary join.
     """
     if "loan_id" in df.columns:
         return df
     src = df.orderBy(order_col) if order_col else df
-    tagged = src.withColumns({"_pid": F.spark_partition_id(), "_mid": F.monotonically_increasing_id()})
     # monotonically_increasing_id = (partition index << 33) + row in partition
-    tagged = tagged.withColumn("_row", F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33))
-    counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select(
-        "_pid", (F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)))
-        .alias("_off"))
-    # One row per partition (two longs): bounded by the partition count, not
-    # the row count. 100 TB in 128 MB splits is ~800k partitions, ~13 MB.
-    with_off = tagged.join(F.broadcast(offsets), "_pid", "left")
-    pos = F.coalesce(F.col("_off"), F.lit(0).cast("long")) + F.col("_row") + 1
-    return with_off.withColumn("loan_id", F.format_string("LN-%06d", pos)).drop("_pid", "_mid", "_row", "_off")
+    rows = materialize(src.withColumn("_mid", F.monotonically_increasing_id()), "loan-positions")
+    part = F.shiftright(F.col("_mid"), 33)
+    counts = rows.groupBy(part.alias("_pid")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")  # one row per partition
+    offsets = materialize(counts.select("_pid", before.alias("_off")), "loan-offsets")
+    small = offsets.count() <= MAX_BROADCAST_ROWS
+    with_off = rows.withColumn("_pid", part).join(F.broadcast(offsets) if small else offsets, "_pid")
+    pos = F.col("_off") + F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return with_off.withColumn("loan_id", F.format_string("LN-%06d", pos)).drop("_pid", "_mid", "_off")
 
 
 def cohort_bucket(df: DataFrame) -> DataFrame:

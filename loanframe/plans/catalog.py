@@ -204,9 +204,8 @@ def _normalize_loans(spark, sf):
 
 @plan("assign_loan_ids")
 def _assign_loan_ids(spark, sf):
-    """Ids by position in an explicit order (the upload's reference column)."""
-    raw = raw_loans(spark, sf).withColumnRenamed("loan_id", "ref").select("ref", "loan_amount")
-    return N.assign_loan_ids(raw, order_col="ref").select("ref", "loan_id")
+    """Ids by position in an explicit order (the upload's reference column), all columns kept."""
+    return N.assign_loan_ids(raw_loans(spark, sf).withColumnRenamed("loan_id", "ref"), order_col="ref")
 
 
 @plan("cohort_bucket")

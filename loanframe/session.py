@@ -6,7 +6,10 @@ what the library needs and never override a value that is already set.
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -26,6 +29,10 @@ RECOMMENDED_CONF = {
 }
 
 
+# A side that grows with the data is broadcast only up to this many counted rows.
+MAX_BROADCAST_ROWS = 200_000
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "loanframe",
                   driver_memory: str = "16g") -> SparkSession:
     """A local session for tests and benchmarks (UI off, no extra ports)."""
@@ -48,12 +55,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this is set by the platform to a shared file system and is
-    used as is. Only when it is unset (local tests) a scratch folder is
-    created and registered.
+    used as is; a cluster session without it is an error, since a folder of
+    the driver's machine is not seen by the executors. Only a local session
+    gets a scratch folder of its own, removed when Python exits.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a shared folder when the master is {master}")
         d = tempfile.mkdtemp(prefix="loanframe-ckpt-")
+        atexit.register(shutil.rmtree, d, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(d)
