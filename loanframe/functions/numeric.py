@@ -56,8 +56,23 @@ def exact_mean(c, precision: int, scale: int) -> Column:
     return exact_sum(c, precision, scale) / F.count(col_(c)).cast("double")
 
 
+# Uploaded amounts, rates and scores may carry any number of decimals, so
+# they are summed at this shape and rounded or truncated once, at the end.
+WIDE = (38, 10)
+
+
+def wide_total(c) -> Column:
+    """``int(sum(x))``: exact sum of the unrounded values, truncated once."""
+    return F.sum(col_(c).cast("decimal({},{})".format(*WIDE))).cast("long")
+
+
+def wide_mean(c) -> Column:
+    """Mean of the unrounded values (exact sum, one division), nulls skipped."""
+    return exact_mean(c, *WIDE)
+
+
 def int_mean(c) -> Column:
-    """Mean of an integral column (exact sum, one division), nulls skipped."""
+    """Mean of an integral column such as a 0/1 flag (exact sum, one division), nulls skipped."""
     return F.sum(col_(c).cast("long")).cast("double") / F.count(col_(c)).cast("double")
 
 

@@ -89,12 +89,8 @@ class LoanModels:
             m = LoanModels(encoder=enc, hyper=hp, n=n, single_class=int(stats["classes"]) < 2)
 
             train = enc.transform(base).withColumn("label", F.col("default_indicator").cast("double"))
-            # The learners parallelise over partitions: a small table read from
-            # one file is spread over the available cores (large inputs already
-            # have more partitions than cores and are left as they are).
-            if train.rdd.getNumPartitions() < sc.defaultParallelism:
-                train = train.repartition(sc.defaultParallelism)
-            train = train.persist()
+            # Even partitions for the learners' many passes, at every size.
+            train = train.repartition("loan_id", F.xxhash64(*STD_COLS)).persist()
             m._fit_learners(train, stats, n_trees_iso)
         finally:
             if train is not None:

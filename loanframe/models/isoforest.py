@@ -38,9 +38,10 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import hash_uniform
+from ..session import materialize
 
 EULER_GAMMA = 0.5772156649015329
-EXACT_PERCENTILE_MAX_ROWS = 1_000_000
+SCORE_DECIMALS = 6
 
 NODE_SCHEMA = T.StructType([
     T.StructField("tree", T.IntegerType()), T.StructField("node", T.IntegerType()),
@@ -165,19 +166,38 @@ def tree_samples(train: DataFrame, feature_cols: list[str], key: str, n: int, n_
     p = min(1.0, (psi + 8.0 * math.sqrt(psi) + 16.0) / max(n, 1))
     # Two-level draw: one hash per row opens a gate with probability
     # q = min(1, n_trees * p); only rows through the gate draw per tree, with
-    # probability p / q. Each tree still takes every row with probability p
-    # (the psi smallest per-tree draws are a uniform sample of the rows), but
-    # on a large table almost every row stops after a single hash instead of
-    # n_trees of them. For small tables q = 1 and the gate is open.
+    # probability p / q, so each tree still takes every row with probability
+    # p and almost every row of a large table stops after a single hash. The
+    # draw is made the same way at every size (a gate of 1 lets all through).
+    # It hashes the whole training row and a stored row number, so rows that
+    # share an id, or have none, are still drawn one by one.
     q = min(1.0, n_trees * p)
-    gate = hash_uniform(F.col(key), F.lit(-1), seed=seed) < F.lit(q)
+    unit = [F.col("_unit"), F.col(key), *[F.col(c) for c in feature_cols]]
+    numbered = materialize(train.select(key, *feature_cols).withColumn("_unit", F.monotonically_increasing_id()),
+                           "isolation-rows")
+    gate = hash_uniform(*unit, F.lit(-1), seed=seed) < F.lit(q)
     trees = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)),
-                     lambda t: hash_uniform(F.col(key), t, seed=seed) < F.lit(p / q))
-    cand = (train.where(gate) if q < 1.0 else train).select(F.col(key), *[F.col(c) for c in feature_cols])
-    cand = (cand.withColumn("tree", F.explode(trees))
-            .withColumn("_u", hash_uniform(F.col(key), F.col("tree"), seed=seed)))
-    rank = F.row_number().over(Window.partitionBy("tree").orderBy("_u", key))
-    return cand.withColumn("_r", rank).where(F.col("_r") <= psi).drop("_r", "_u")
+                     lambda t: hash_uniform(*unit, t, seed=seed) < F.lit(p / q))
+    cand = (numbered.where(gate).withColumn("tree", F.explode(trees))
+            .withColumn("_u", hash_uniform(*unit, F.col("tree"), seed=seed)))
+    rank = F.row_number().over(Window.partitionBy("tree").orderBy("_u", "_unit"))
+    return cand.withColumn("_r", rank).where(F.col("_r") <= psi).drop("_r", "_u", "_unit")
+
+
+def score_quantile(scores: DataFrame, share: float) -> float:
+    """The ``share`` quantile of column ``s``, linearly interpolated, at every size the same way.
+
+    Scores are rounded to SCORE_DECIMALS, so at most 10^6 + 1 distinct values
+    are counted and the ordered window runs over that bounded table only.
+    """
+    counts = scores.select(F.round("s", SCORE_DECIMALS).alias("s")).groupBy("s").count()
+    upto = counts.withColumn("upto", F.sum("count").over(Window.orderBy("s")))
+    n = int(scores.count())
+    at = share * (n - 1)
+    lo, hi = math.floor(at), math.ceil(at)
+    got = upto.agg(F.min(F.when(F.col("upto") > lo, F.col("s"))).alias("lo"),
+                   F.min(F.when(F.col("upto") > hi, F.col("s"))).alias("hi")).first()
+    return float(got["lo"] + (got["hi"] - got["lo"]) * (at - lo))
 
 
 def fit_isolation_forest(train: DataFrame, feature_cols: list[str], key: str, n: int, contamination: float,
@@ -194,9 +214,6 @@ def fit_isolation_forest(train: DataFrame, feature_cols: list[str], key: str, n:
 
     nodes = sample.groupBy("tree").applyInPandas(build, NODE_SCHEMA).toPandas()
     model = IsolationForestModel.from_nodes(nodes, psi)
-    scores = train.select(model.score_column(feature_cols).alias("s"))
-    q = float(contamination)
-    agg = (F.percentile(F.col("s"), F.lit(q)) if n <= EXACT_PERCENTILE_MAX_ROWS
-           else F.percentile_approx(F.col("s"), F.lit(q), 100000))
-    model.offset = float(scores.agg(agg.alias("o")).first()["o"])
+    model.offset = score_quantile(
+        materialize(train.select(model.score_column(feature_cols).alias("s")), "isolation-scores"), float(contamination))
     return model

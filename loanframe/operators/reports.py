@@ -16,15 +16,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import constants as K
-from ..functions import (exact_mean, exact_sum, ew_bucket, grade_tier, int_mean, rate_pct, rnd,
-                         trunc_long)
+from ..functions import (WIDE, exact_mean, ew_bucket, grade_tier, int_mean, rate_pct, rnd,
+                         trunc_long, wide_mean, wide_total)
 from .scoring import grade_pd, rule_pd_raw
 
-# Decimal shapes of the scored columns (values are already rounded to these).
-PRICE = (9, 2)
+# Decimal shapes: scores are already rounded to theirs, uploaded values keep all their decimals.
+PRICE = WIDE
 PROB = (9, 4)
 EW = (9, 1)
-VALUE = (18, 2)
 
 
 def _avg(c: str, shape) -> Column:
@@ -56,16 +55,16 @@ def _dense(spine: DataFrame, agg: DataFrame, key: str, values: list[str]) -> Dat
 # ---------------------------------------------------------------------------
 def portfolio_metrics(scored: DataFrame) -> DataFrame:
     """A1: one row of KPIs; no row at all for an empty portfolio."""
-    at_risk = F.sum(F.when(F.col("loan_status") != "Active", F.col("loan_size").cast("long")))
+    at_risk = wide_total(F.when(F.col("loan_status") != "Active", F.col("loan_size")))
     return (scored.agg(
         F.count(F.lit(1)).alias("totalLoans"),
-        F.sum(F.col("loan_size").cast("long")).alias("totalDisbursed"),
-        trunc_long(int_mean("loan_size")).alias("avgTicketSize"),
+        wide_total("loan_size").alias("totalDisbursed"),
+        trunc_long(wide_mean("loan_size")).alias("avgTicketSize"),
         rate_pct(F.col("default_indicator")).alias("defaultRate"),
         rate_pct(_delinquent()).alias("delinquencyRate"),
-        trunc_long(int_mean("credit_score")).alias("avgCreditScore"),
+        trunc_long(wide_mean("credit_score")).alias("avgCreditScore"),
         rnd(_avg("pricing_rate", PRICE), 2).alias("avgPricing"),
-        trunc_long(exact_sum("value_proxy", *VALUE)).alias("totalValueProxy"),
+        wide_total("value_proxy").alias("totalValueProxy"),
         F.coalesce(at_risk, F.lit(0).cast("long")).alias("atRiskAUM"),
         rnd(_avg("default_prob", PROB) * F.lit(100.0), 2).alias("avgDefaultProb"),
         rnd(_avg("early_warning_score", EW), 1).alias("avgEWScore"),
@@ -78,9 +77,9 @@ def portfolio_metrics(scored: DataFrame) -> DataFrame:
 def _segment_aggs() -> list[Column]:
     return [
         F.count("loan_id").alias("count"),
-        F.sum(F.col("loan_size").cast("long")).alias("totalDisbursed"),
+        wide_total("loan_size").alias("totalDisbursed"),
         rate_pct(F.col("default_indicator")).alias("defaultRate"),
-        trunc_long(int_mean("credit_score")).alias("avgScore"),
+        trunc_long(wide_mean("credit_score")).alias("avgScore"),
         rnd(_avg("pricing_rate", PRICE), 2).alias("avgPricing"),
         rnd(_avg("default_prob", PROB) * F.lit(100.0), 2).alias("avgDefaultProb"),
     ]
@@ -105,21 +104,22 @@ def segment_breakdown(scored: DataFrame, key: str) -> DataFrame:
 
 
 def pricing_report(scored: DataFrame) -> DataFrame:
-    """Product and grade breakdowns in one pass (GROUPING SETS).
+    """Product and grade breakdowns in one pass.
 
-    A single scan feeds both groupings through Expand + one partial
-    aggregate instead of two scans and two shuffles.
+    Loans are aggregated by both keys once; the two breakdowns are rolled up
+    from those few rows (see :func:`_rolled_up`).
     """
-    dims = {"product_type": "products", "credit_quality": "grades"}
-    agg = (scored.groupingSets([[F.col("product_type")], [F.col("credit_quality")]],
-                               F.col("product_type"), F.col("credit_quality"))
-           .agg(*_segment_aggs(), F.grouping_id().alias("_gid")))
+    agg = _rolled_up(scored, ["product_type", "credit_quality"], [["product_type"], ["credit_quality"]])
     # grouping_id bit set = column NOT grouped; product_type is the high bit.
+    product = F.col("_gid") == 1
     out = agg.select(
-        F.when(F.col("_gid") == 1, F.lit(dims["product_type"])).otherwise(F.lit(dims["credit_quality"]))
-        .alias("dimension"),
-        F.when(F.col("_gid") == 1, F.col("product_type")).otherwise(F.col("credit_quality")).alias("segment"),
-        *SEGMENT_COLUMNS[1:])
+        F.when(product, F.lit("products")).otherwise(F.lit("grades")).alias("dimension"),
+        F.when(product, F.col("product_type")).otherwise(F.col("credit_quality")).alias("segment"),
+        F.col("_nid").alias("count"), F.col("_aum").cast("long").alias("totalDisbursed"),
+        rnd(_ratio("_d", "_dn") * F.lit(100.0), 1).alias("defaultRate"),
+        trunc_long(_ratio("_cs", "_csn")).alias("avgScore"),
+        rnd(_ratio("_pr", "_prn"), 2).alias("avgPricing"),
+        rnd(_ratio("_pd", "_pdn") * F.lit(100.0), 2).alias("avgDefaultProb"))
     return out.where(F.col("segment").isNotNull()).orderBy("dimension", F.col("totalDisbursed").desc())
 
 
@@ -177,7 +177,7 @@ def risk_distribution(scored: DataFrame) -> DataFrame:
     7-row literal spine."""
     agg = (scored.groupBy(F.col("credit_quality").alias("grade")).agg(
         F.count(F.lit(1)).alias("_n"),
-        F.sum(F.col("loan_size").cast("long")).alias("_aum"),
+        wide_total("loan_size").alias("_aum"),
         rate_pct(F.col("default_indicator")).alias("_dr"),
         rnd(_avg("default_prob", PROB) * F.lit(100.0), 2).alias("_pd")))
     spine = _spine(scored.sparkSession, "grade", K.GRADES)
@@ -224,13 +224,17 @@ def grade_lookup_join(loans: DataFrame) -> DataFrame:
 # A4 cohorts, A5/A6 early-warning distribution, A7 clusters, A8 scatter
 # ---------------------------------------------------------------------------
 def cohort_analysis(scored: DataFrame) -> DataFrame:
-    """A4: per 6-month vintage, in cohort (string) order."""
+    """A4: per 6-month vintage, in cohort (string) order; empty without a cohort column."""
+    if "cohort" not in scored.columns:
+        return scored.sparkSession.createDataFrame(
+            [], "cohort string, loans bigint, defaultRate double, delinqRate double, avgPricing double, "
+                "valueCreated bigint, avgEWScore double")
     return (scored.where(F.col("cohort").isNotNull()).groupBy("cohort").agg(
         F.count("loan_id").alias("loans"),
         rate_pct(F.col("default_indicator")).alias("defaultRate"),
         rate_pct(_delinquent()).alias("delinqRate"),
         rnd(_avg("pricing_rate", PRICE), 2).alias("avgPricing"),
-        trunc_long(exact_sum("value_proxy", *VALUE)).alias("valueCreated"),
+        wide_total("value_proxy").alias("valueCreated"),
         rnd(_avg("early_warning_score", EW), 1).alias("avgEWScore"),
     ).orderBy("cohort"))
 
@@ -259,14 +263,18 @@ def ew_buckets(scored: DataFrame) -> DataFrame:
 
 def cluster_profiles(scored: DataFrame) -> DataFrame:
     """Per cluster KPIs, named by risk rank (lowest avg EW = first name),
-    in avgEWScore order. The ranking window runs over k rows."""
+    in avgEWScore order; empty without a cluster column. The ranking window runs over k rows."""
+    if "cluster" not in scored.columns:
+        return scored.sparkSession.createDataFrame(
+            [], "cluster int, name string, count bigint, avgCreditScore bigint, avgPricing double, "
+                "defaultRate double, avgEWScore double, totalAUM bigint")
     agg = scored.groupBy("cluster").agg(
         F.count(F.lit(1)).alias("count"),
-        trunc_long(int_mean("credit_score")).alias("avgCreditScore"),
+        trunc_long(wide_mean("credit_score")).alias("avgCreditScore"),
         rnd(_avg("pricing_rate", PRICE), 2).alias("avgPricing"),
         rate_pct(F.col("default_indicator")).alias("defaultRate"),
         rnd(_avg("early_warning_score", EW), 1).alias("avgEWScore"),
-        F.sum(F.col("loan_size").cast("long")).alias("totalAUM"),
+        wide_total("loan_size").alias("totalAUM"),
     )
     rank = F.row_number().over(Window.partitionBy().orderBy("avgEWScore", "cluster")) - 1
     names = F.array(*[F.lit(n) for n in K.CLUSTER_NAMES])
@@ -291,7 +299,7 @@ def scatter_data(scored: DataFrame, x: str = "credit_score", y: str = "default_p
         ym = rnd(_avg(y, PROB) * F.lit(100.0), 2)
     else:
         ym = rnd(ym, 2)
-    xm = int_mean(x) if x in ("credit_score", "loan_size", "income_proxy") else F.avg(F.col(x).cast("double"))
+    xm = wide_mean(x) if x in ("credit_score", "loan_size", "income_proxy") else F.avg(F.col(x).cast("double"))
     return (scored.where(F.col(group).isNotNull())
             .groupBy(F.col(group).cast("string").alias("label"))
             .agg(xm.alias("x"), ym.alias("y"), F.count("loan_id").alias("r")))
@@ -306,7 +314,8 @@ def auc(df: DataFrame, score: str, label: str = "default_indicator", decimals: i
     The score is rounded to ``decimals`` first, so the data collapse to at
     most 10**decimals + 1 distinct scores in [0, 1] before the one ordered
     (unpartitioned) window: that window sees a bounded table, whatever the
-    number of loans. Arithmetic is on integers (2 x numerator) and exact.
+    number of loans. The products (2 x numerator) are DECIMAL(38,0), so they are
+    exact and do not overflow on billions of loans.
     """
     s = rnd(F.col(score), decimals)
     per = df.groupBy(s.alias("s")).agg(
@@ -315,7 +324,8 @@ def auc(df: DataFrame, score: str, label: str = "default_indicator", decimals: i
     w = Window.partitionBy().orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
     per = per.withColumn("neg_below", F.coalesce(F.sum("neg").over(w), F.lit(0).cast("long")))
     tot = per.agg(
-        F.sum(F.col("pos") * (2 * F.col("neg_below") + F.col("neg"))).alias("num2"),
+        F.sum(F.col("pos").cast("decimal(19,0)") * (2 * F.col("neg_below") + F.col("neg")).cast("decimal(19,0)"))
+        .alias("num2"),
         F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     return tot.select(
         F.when((F.col("P") > 0) & (F.col("N") > 0),
@@ -345,8 +355,8 @@ def load_summary(loans: DataFrame) -> DataFrame:
     return loans.agg(
         F.count(F.lit(1)).alias("total_loans"),
         rate_pct(F.col("default_indicator")).alias("default_rate"),
-        trunc_long(int_mean("credit_score")).alias("avg_credit_score"),
-        F.sum(F.col("loan_size").cast("long")).alias("total_aum"),
+        trunc_long(wide_mean("credit_score")).alias("avg_credit_score"),
+        wide_total("loan_size").alias("total_aum"),
         F.array_join(F.array_sort(F.collect_set("credit_quality")), ",").alias("grades_found"),
     ).where(F.col("total_loans") > 0)
 
@@ -364,16 +374,16 @@ def status_counts(loans: DataFrame) -> DataFrame:
 def active_or_all(scored: DataFrame) -> DataFrame:
     """Active loans, or every loan when none is Active.
 
-    The fallback is a scalar subquery (one-row aggregate, computed once and
-    inlined as a literal), not a driver round trip or a global window.
+    The fallback is a scalar subquery that stops at the first Active loan.
+    It reads ``scored`` a second time, so hand in a stored table when that is
+    an expensive plan.
     """
     any_active = scored.where(F.col("loan_status") == "Active").select(F.lit(1)).limit(1).exists()
     return scored.where((F.col("loan_status") == "Active") | ~any_active)
 
 
 # ---------------------------------------------------------------------------
-# One-scan multi-level rollup (GROUPING SETS) for reports that need several
-# groupings at once
+# Two-stage rollup for reports that need several groupings at once
 # ---------------------------------------------------------------------------
 ROLLUP_LEVELS = {"all": [], "grade": ["credit_quality"], "geography": ["geography"], "product": ["product_type"]}
 
@@ -381,15 +391,17 @@ ROLLUP_LEVELS = {"all": [], "grade": ["credit_quality"], "geography": ["geograph
 def _partials() -> list[Column]:
     """Additive aggregates (counts and exact DECIMAL / BIGINT sums)."""
     ew = F.col("early_warning_score")
+    wide = "decimal({},{})".format(*WIDE)
+    size = F.col("loan_size").cast(wide)
     return [
         F.count(F.lit(1)).alias("_n"), F.count("loan_id").alias("_nid"),
-        F.sum(F.col("loan_size").cast("long")).alias("_aum"), F.count("loan_size").alias("_aumn"),
+        F.sum(size).alias("_aum"), F.count("loan_size").alias("_aumn"),
         F.sum(F.col("default_indicator").cast("long")).alias("_d"), F.count("default_indicator").alias("_dn"),
         F.sum(_delinquent().cast("long")).alias("_q"), F.count("delinquency_status").alias("_qn"),
-        F.sum(F.col("credit_score").cast("long")).alias("_cs"), F.count("credit_score").alias("_csn"),
-        F.sum(F.col("pricing_rate").cast("decimal(9,2)")).alias("_pr"), F.count("pricing_rate").alias("_prn"),
-        F.sum(F.col("value_proxy").cast("decimal(18,2)")).alias("_vp"),
-        F.sum(F.when(F.col("loan_status") != "Active", F.col("loan_size").cast("long"))).alias("_ar"),
+        F.sum(F.col("credit_score").cast(wide)).alias("_cs"), F.count("credit_score").alias("_csn"),
+        F.sum(F.col("pricing_rate").cast(wide)).alias("_pr"), F.count("pricing_rate").alias("_prn"),
+        F.sum(F.col("value_proxy").cast(wide)).alias("_vp"),
+        F.sum(F.when(F.col("loan_status") != "Active", size)).alias("_ar"),
         F.sum(F.col("default_prob").cast("decimal(9,4)")).alias("_pd"), F.count("default_prob").alias("_pdn"),
         F.sum(ew.cast("decimal(9,1)")).alias("_ew"), F.count(ew).alias("_ewn"),
         F.count_if(ew > 60).alias("_hi"), F.count_if((ew >= 40) & (ew <= 60)).alias("_me"),
@@ -397,21 +409,33 @@ def _partials() -> list[Column]:
     ]
 
 
+PARTIALS = ["_n", "_nid", "_aum", "_aumn", "_d", "_dn", "_q", "_qn", "_cs", "_csn", "_pr", "_prn", "_vp", "_ar", "_pd",
+            "_pdn", "_ew", "_ewn", "_hi", "_me", "_lo", "_sh"]
+
+
+def _rolled_up(scored: DataFrame, keys: list[str], sets: list[list[str]]) -> DataFrame:
+    """The partials of several groupings, and their ``_gid``.
+
+    Loans are aggregated by all ``keys`` first (a few hundred rows of
+    low-cardinality segments); the grouping sets expand those rows, not loans.
+    """
+    fine = scored.groupBy(*keys).agg(*_partials())
+    return fine.groupingSets([[F.col(k) for k in cols] for cols in sets], *[F.col(k) for k in keys]).agg(
+        *[F.sum(c).alias(c) for c in PARTIALS], F.grouping_id().alias("_gid"))
+
+
 def _ratio(s: str, n: str) -> Column:
     return F.col(s).cast("double") / F.col(n).cast("double")
 
 
 def portfolio_rollup(scored: DataFrame) -> DataFrame:
-    """KPIs for the whole book, per grade, per geography and per product in
-    ONE aggregate (GROUPING SETS): one scan, Expand x4, partial aggregation,
-    and a shuffle of a few rows per input partition.
+    """KPIs for the whole book, per grade, per geography and per product from
+    ONE aggregate over the loans, rolled up to the four levels afterwards.
 
     Output: level ('all' | 'grade' | 'geography' | 'product'), segment, and
     the finished KPI columns of A1 / A2 / A3 / A5 for that level.
     """
-    keys = ["credit_quality", "geography", "product_type"]
-    gs = scored.groupingSets([[F.col(k) for k in cols] for cols in ROLLUP_LEVELS.values()],
-                             *[F.col(k) for k in keys]).agg(*_partials(), F.grouping_id().alias("_gid"))
+    gs = _rolled_up(scored, ["credit_quality", "geography", "product_type"], list(ROLLUP_LEVELS.values()))
     # grouping_id bit = 1 when the column is NOT grouped; credit_quality is the high bit.
     level = (F.when(F.col("_gid") == 7, "all").when(F.col("_gid") == 3, "grade")
              .when(F.col("_gid") == 5, "geography").otherwise("product"))
@@ -419,14 +443,14 @@ def portfolio_rollup(scored: DataFrame) -> DataFrame:
            .when(F.col("_gid") == 6, F.col("product_type")))
     return gs.select(
         level.alias("level"), seg.cast("string").alias("segment"),
-        F.col("_n").alias("rows"), F.col("_nid").alias("count"), F.col("_aum").alias("totalDisbursed"),
+        F.col("_n").alias("rows"), F.col("_nid").alias("count"), F.col("_aum").cast("long").alias("totalDisbursed"),
         trunc_long(_ratio("_aum", "_aumn")).alias("avgTicketSize"),
         rnd(_ratio("_d", "_dn") * F.lit(100.0), 1).alias("defaultRate"),
         rnd(_ratio("_q", "_qn") * F.lit(100.0), 1).alias("delinquencyRate"),
         trunc_long(_ratio("_cs", "_csn")).alias("avgScore"),
         rnd(_ratio("_pr", "_prn"), 2).alias("avgPricing"),
-        trunc_long(F.col("_vp").cast("double")).alias("totalValueProxy"),
-        F.coalesce(F.col("_ar"), F.lit(0).cast("long")).alias("atRiskAUM"),
+        F.col("_vp").cast("long").alias("totalValueProxy"),
+        F.coalesce(F.col("_ar").cast("long"), F.lit(0).cast("long")).alias("atRiskAUM"),
         rnd(_ratio("_pd", "_pdn") * F.lit(100.0), 2).alias("avgDefaultProb"),
         rnd(_ratio("_ew", "_ewn"), 1).alias("avgEWScore"),
         F.col("_hi").alias("high"), F.col("_me").alias("medium"), F.col("_lo").alias("low"),

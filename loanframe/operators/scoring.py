@@ -78,14 +78,21 @@ def with_risk_level(df: DataFrame, ew: str = "early_warning_score") -> DataFrame
 
 
 def segment_bands(df: DataFrame) -> DataFrame:
-    """Dashboard badge bands for a segment/grade/cohort report row."""
+    """Dashboard badge bands for a segment or grade report row."""
     out = df
     if "defaultRate" in df.columns:
         out = out.withColumn("defaultBand", badge("defaultRate", 15, 8))
         out = out.withColumn("cohortBand", badge("defaultRate", 12, 7))
         out = out.withColumn("pricingBand", badge("defaultRate", 12))
-    if "delinqRate" in df.columns:
-        out = out.withColumn("delinqBand", F.when(F.col("delinqRate") > 15, "warning").otherwise("neutral"))
-    if "early_warning_score" in df.columns:
-        out = out.withColumn("ewBand", badge("early_warning_score", 60, 40))
     return out
+
+
+def cohort_bands(df: DataFrame) -> DataFrame:
+    """Badge bands of a cohort report row."""
+    return df.withColumn("cohortBand", badge("defaultRate", 12, 7)).withColumn(
+        "delinqBand", F.when(F.col("delinqRate") > 15, "warning").otherwise("neutral"))
+
+
+def watch_bands(df: DataFrame) -> DataFrame:
+    """Badge band of a watch-list row."""
+    return df.withColumn("ewBand", badge("early_warning_score", 60, 40))

@@ -59,9 +59,21 @@ def early_warning_signals(scored: DataFrame, top_n: int = K.WATCHLIST_SIZE) -> D
     return _shape(_active_first_top(scored, top_n).orderBy(*_order()))
 
 
-def early_warning_by_grade(scored: DataFrame, grade: str, depth: int = K.WATCHLIST_DEPTH,
+def early_warning_by_grade(scored: DataFrame, grade: str, depth: int | None = None,
                            top_n: int = K.WATCHLIST_SIZE) -> DataFrame:
-    """Take the top ``depth`` first, then keep one grade, then ``top_n``
-    (so the list can be shorter than ``top_n``)."""
-    top = _active_first_top(scored, depth)
-    return _shape(top.where(F.col("credit_quality") == grade).orderBy(*_order()).limit(top_n))
+    """The ``top_n`` highest scores of one grade among active-or-all loans.
+
+    The grade is filtered first, so a grade's list is full whenever it has
+    enough loans. Whether the book has an Active loan at all is settled over
+    all grades: an inactive loan is listed only when there is none.
+    ``depth``, if given, looks at the book's first ``depth`` loans only.
+    """
+    if depth is not None:
+        top = _active_first_top(scored, depth)
+        return _shape(top.where(F.col("credit_quality") == grade).orderBy(*_order()).limit(top_n))
+    active = F.col("loan_status") == "Active"
+    listed = scored.where(active & (F.col("credit_quality") == grade)).orderBy(*_order()).limit(top_n)
+    # Read only when the book has no Active loan; the test stops at the first one.
+    rest = scored.where(~scored.where(active).select(F.lit(1)).limit(1).exists()
+                        & (F.col("credit_quality") == grade)).orderBy(*_order()).limit(top_n)
+    return _shape(listed.unionByName(rest).orderBy(*_order()).limit(top_n))

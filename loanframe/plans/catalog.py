@@ -133,7 +133,14 @@ _report("product_profitability", A.product_profitability)
 _report("roi_best_worst", A.roi_best_worst)
 _report("best_worst_geography", lambda s: A.best_worst(s, "geography"))
 _report("best_worst_product", lambda s: A.best_worst(s, "product_type"))
-_report("active_or_all", A.active_or_all)
+
+
+@plan("active_or_all")
+def _active_or_all(spark, sf):
+    from ..session import materialize
+    return A.active_or_all(materialize(scored_rules(spark, sf), "scored-rules"))
+
+
 _report("grade_lookup_join", A.grade_lookup_join, loans)
 _report("auc_rule", A.auc_rule, loans)
 _report("distinct_grades", A.distinct_grades, loans)
@@ -202,6 +209,33 @@ def _normalize_loans(spark, sf):
     return N.normalize_loans(raw_loans(spark, sf))
 
 
+def scored_upload(spark, sf) -> DataFrame:
+    """A messy upload with fractional amounts and scores and three-decimal rates, normalised and rule-scored."""
+    from pyspark.sql import functions as F
+    n = F.substring("loan_id", 4, 20).cast("long")
+    part = F.element_at(F.array(*[F.lit(x) for x in ("", ".25", ".5", ".75")]), (n % 4 + 1).cast("int"))
+    raw = raw_loans(spark, sf).withColumns({
+        "loan_amount": F.concat("loan_amount", part),
+        "cibil_score": F.when((n % 3 == 0) & (F.col("cibil_score") != "abc"), F.concat("cibil_score", F.lit(".9")))
+        .otherwise(F.col("cibil_score")),
+        "interest_rate": F.when(n % 37 != 0, F.concat("interest_rate", F.lit("5"))).otherwise(F.col("interest_rate"))})
+    return S.score_rules(N.normalize_loans(raw))
+
+
+_report("portfolio_metrics_upload", A.portfolio_metrics, scored_upload)
+_report("segments_upload", lambda s: A.segment_breakdown(s, "geography"), scored_upload)
+
+
+@plan("watch_bands")
+def _watch_bands(spark, sf):
+    return S.watch_bands(T.early_warning_signals(scored_rules(spark, sf)))
+
+
+@plan("cohort_bands")
+def _cohort_bands(spark, sf):
+    return S.cohort_bands(A.cohort_analysis(scored_rules(spark, sf)))
+
+
 @plan("assign_loan_ids")
 def _assign_loan_ids(spark, sf):
     """Ids by position in an explicit order (the upload's reference column), all columns kept."""

@@ -12,7 +12,7 @@ round_even on a scaled value (numpy's half-to-even rounding).
 
 from __future__ import annotations
 
-from .. import constants as K
+from . import oracle_values as K
 
 
 def R(expr: str, n: int) -> str:
@@ -232,7 +232,7 @@ def ALIAS(x: str, mapping: dict) -> str:
     return case_map(x, mapping)
 
 
-def _norm_chain() -> str:
+def _norm_chain(src: str = "raw_loans") -> str:
     grade_s = f"lower({STRIP('credit_quality')})"
     grade = (f"coalesce({ALIAS(grade_s, K.GRADE_ALIASES)}, "
              f"CASE WHEN upper({grade_s}) IN ({', '.join(q(g) for g in K.GRADES)}) THEN upper({grade_s}) END)")
@@ -257,7 +257,7 @@ nm_headers AS (
     region AS geography, employment AS employment_type, product AS product_type, interest_rate AS pricing_rate,
     is_default AS default_indicator, dpd AS delinquency_status, tenure AS tenure_months,
     channel AS acquisition_channel, income AS income_proxy, dti AS dti_ratio
-  FROM raw_loans),
+  FROM {src}),
 nm_grade AS (SELECT * REPLACE ({grade} AS credit_quality) FROM nm_headers),
 nm_score AS (SELECT * REPLACE (coalesce(credit_quality, {grade_of(NUM('credit_score'))}) AS credit_quality)
   FROM nm_grade),
@@ -287,3 +287,28 @@ NORMALIZE_CTE = RAW_LOANS_CTE + _norm_chain()
 
 def with_normalized(body: str) -> str:
     return "WITH " + NORMALIZE_CTE + body
+
+
+# The upload with fractional amounts and scores and three-decimal rates.
+UPLOAD_CTE = RAW_LOANS_CTE + """,
+raw_upload AS (
+  SELECT * EXCLUDE (n) REPLACE (
+    loan_amount || CASE n % 4 WHEN 1 THEN '.25' WHEN 2 THEN '.5' WHEN 3 THEN '.75' ELSE '' END AS loan_amount,
+    CASE WHEN n % 3 = 0 AND cibil_score <> 'abc' THEN cibil_score || '.9' ELSE cibil_score END AS cibil_score,
+    CASE WHEN n % 37 <> 0 THEN interest_rate || '5' ELSE interest_rate END AS interest_rate)
+  FROM (SELECT *, CAST(substr(loan_id, 4) AS BIGINT) AS n FROM raw_loans))
+""" + _norm_chain("raw_upload") + f""",
+scored AS (SELECT *, {RULE_PD} AS default_prob, {RULE_EW} AS early_warning_score FROM nm_final)
+"""
+
+
+def with_upload(body: str) -> str:
+    return "WITH " + UPLOAD_CTE + body
+
+
+def usum(c: str) -> str:
+    return f"sum(CAST({c} AS DECIMAL(28,8)))"
+
+
+def umean(c: str) -> str:
+    return f"(CAST({usum(c)} AS DOUBLE) / count({c}))"

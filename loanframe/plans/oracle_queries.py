@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .. import constants as K
+from . import oracle_values as K
 from .oracle import (CLIP, EW_BASE, R, RULE_EW, RULE_PD, RULE_PD_RAW, SEGMENT_AGGS, big, dmean, imean,
                      itrunc, q, segment_sql, segments_query, with_loans, with_scored)
 
@@ -214,8 +214,7 @@ _EW_ORDER = "ORDER BY early_warning_score DESC, loan_id ASC"
 ORACLE["early_warning_top50"] = _watch(f"SELECT * FROM act {_EW_ORDER} LIMIT {K.WATCHLIST_SIZE}")
 ORACLE["early_warning_top8"] = _watch(f"SELECT * FROM act {_EW_ORDER} LIMIT {K.CARD_LIST_SIZE}")
 ORACLE["early_warning_by_grade"] = _watch(
-    f"SELECT * FROM (SELECT * FROM act {_EW_ORDER} LIMIT {K.WATCHLIST_DEPTH}) d "
-    f"WHERE credit_quality = 'CCC' {_EW_ORDER} LIMIT {K.WATCHLIST_SIZE}")
+    f"SELECT * FROM act WHERE credit_quality = 'CCC' {_EW_ORDER} LIMIT {K.WATCHLIST_SIZE}")
 
 # ---------------------------------------------------------------------------
 # Money text and benchmark status
@@ -251,7 +250,7 @@ FROM m WHERE n > 0""")
 # ---------------------------------------------------------------------------
 # Normalisation
 # ---------------------------------------------------------------------------
-from .oracle import with_normalized  # noqa: E402
+from .oracle import umean, usum, with_normalized, with_upload  # noqa: E402
 
 _NORM_STEPS = {
     "normalize_headers": ("nm_headers", "*"),
@@ -276,8 +275,8 @@ _CANON = ("loan_id, geography, employment_type, credit_score, income_proxy, cred
           "value_proxy")
 ORACLE["normalize_loans"] = with_normalized(f"SELECT {_CANON} FROM nm_final")
 ORACLE["csv_roundtrip"] = ORACLE["normalize_loans"]
-ORACLE["assign_loan_ids"] = with_loans(
-    "SELECT loan_id AS ref, printf('LN-%06d', row_number() OVER (ORDER BY loan_id)) AS loan_id FROM loans")
+ORACLE["assign_loan_ids"] = with_normalized(
+    "SELECT * RENAME (loan_id AS ref), printf('LN-%06d', row_number() OVER (ORDER BY loan_id)) AS loan_id FROM raw_loans")
 ORACLE["cohort_bucket"] = with_loans(
     "SELECT loan_id, origination_month, "
     "'C' || CAST(CAST(floor(trunc(origination_month) / 6e0) + 1 AS BIGINT) AS VARCHAR) AS cohort FROM loans")
@@ -440,3 +439,32 @@ def _z(c: str) -> str:
 ORACLE["standardize_features"] = with_loans(
     "SELECT loan_id, " + ", ".join(f"{_z(c)} AS z_{c}" for c in ["credit_score", "loan_size", "pricing_rate"])
     + " FROM loans")
+
+# ---------------------------------------------------------------------------
+# Uploads with fractions: sums are taken over unrounded values and truncated once
+# ---------------------------------------------------------------------------
+ORACLE["portfolio_metrics_upload"] = with_upload(f"""
+SELECT count(*) AS "totalLoans", CAST(trunc({usum('loan_size')}) AS BIGINT) AS "totalDisbursed",
+  {itrunc(umean('loan_size'))} AS "avgTicketSize",
+  {R(imean('default_indicator') + ' * 1e2', 1)} AS "defaultRate",
+  {R("CAST(sum(CASE WHEN delinquency_status <> 'Current' THEN 1 ELSE 0 END) AS DOUBLE) / count(*) * 1e2", 1)}
+    AS "delinquencyRate",
+  {itrunc(umean('credit_score'))} AS "avgCreditScore", {R(umean('pricing_rate'), 2)} AS "avgPricing",
+  CAST(trunc({usum('value_proxy')}) AS BIGINT) AS "totalValueProxy",
+  CAST(trunc({usum("CASE WHEN loan_status <> 'Active' THEN loan_size END")}) AS BIGINT) AS "atRiskAUM",
+  {R(umean('default_prob') + ' * 1e2', 2)} AS "avgDefaultProb", {R(umean('early_warning_score'), 1)} AS "avgEWScore"
+FROM scored""")
+ORACLE["segments_upload"] = with_upload(f"""
+SELECT geography AS segment, count(loan_id) AS "count", CAST(trunc({usum('loan_size')}) AS BIGINT) AS "totalDisbursed",
+  {R(imean('default_indicator') + ' * 1e2', 1)} AS "defaultRate", {itrunc(umean('credit_score'))} AS "avgScore",
+  {R(umean('pricing_rate'), 2)} AS "avgPricing", {R(umean('default_prob') + ' * 1e2', 2)} AS "avgDefaultProb"
+FROM scored WHERE geography IS NOT NULL GROUP BY geography""")
+
+# Badge bands
+ORACLE["cohort_bands"] = f"""SELECT *,
+  CASE WHEN "defaultRate" > 12 THEN 'danger' WHEN "defaultRate" > 7 THEN 'warning' ELSE 'success' END AS "cohortBand",
+  CASE WHEN "delinqRate" > 15 THEN 'warning' ELSE 'neutral' END AS "delinqBand"
+FROM ({ORACLE["cohort_analysis"]})"""
+ORACLE["watch_bands"] = f"""SELECT *,
+  CASE WHEN early_warning_score > 60 THEN 'danger' WHEN early_warning_score > 40 THEN 'warning' ELSE 'success' END AS "ewBand"
+FROM ({ORACLE["early_warning_top50"]})"""

@@ -113,3 +113,19 @@ def test_isolation_samples_full_and_uniform(spark):
     pop = base.agg(F.avg("x"), F.stddev_pop("x")).first()
     pooled = sum(mx for _, _, mx in per.values()) / 10
     assert abs(pooled - pop[0]) < 4 * pop[1] / (2560 ** 0.5)
+
+
+def test_quantile_is_one_path_at_every_size(spark):
+    """The offset is the interpolated quantile of the rounded scores, few or many rows."""
+    from loanframe.models.isoforest import score_quantile
+    for n in (5, 1000, 1_200_000):
+        s = spark.range(n).select((F.pmod(F.col("id") * 7919, F.lit(1009)) / 1009.0).alias("s"))
+        want = s.agg(F.percentile(F.round("s", 6), F.lit(0.13))).first()[0]
+        assert abs(score_quantile(s, 0.13) - want) < 1e-9
+
+
+def test_isolation_samples_with_null_or_repeated_ids(spark):
+    from loanframe.models.isoforest import tree_samples
+    base = spark.range(60_000).select(F.when(F.col("id") % 2 == 0, F.lit("same")).alias("loan_id"), F.col("id").cast("double").alias("x"))
+    per = tree_samples(base, ["x"], "loan_id", 60_000, n_trees=20, psi=256).groupBy("tree").agg(F.countDistinct("x").alias("n")).collect()
+    assert sorted(r["tree"] for r in per) == list(range(20)) and {r["n"] for r in per} == {256}

@@ -67,12 +67,18 @@ def test_aum_tie_breaks(spark):
     assert roi["best_product"] == "W" and roi["worst_product"] == "Y"
 
 
-def test_watchlist_by_grade_takes_depth_first(spark):
+def test_watchlist_by_grade_is_whole(spark):
     data = [dict(loan_id=f"L{i:03d}", credit_quality="CCC" if i % 50 == 0 else "A", early_warning_score=float(i))
             for i in range(300)]
     df = frame(spark, data)
     got = [r[0] for r in rows(T.early_warning_by_grade(df, "CCC"), "loan_id")]
-    assert got == ["L250", "L200", "L150", "L100"]  # L050/L000 fall outside the top 200
+    assert got == ["L250", "L200", "L150", "L100", "L050", "L000"]
+    got = [r[0] for r in rows(T.early_warning_by_grade(df, "CCC", depth=200), "loan_id")]
+    assert got == ["L250", "L200", "L150", "L100"]  # by request: the book's first 200 only
+    none = df.withColumn("loan_status", F.lit("Default"))
+    assert len(rows(T.early_warning_by_grade(none, "CCC"))) == 6
+    mixed = df.withColumn("loan_status", F.when(F.col("credit_quality") == "A", "Active").otherwise("Default"))
+    assert rows(T.early_warning_by_grade(mixed, "CCC")) == []  # the book has Active loans, the grade has none
 
 
 def test_invariants_on_fixture(spark):
