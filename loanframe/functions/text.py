@@ -19,12 +19,14 @@ from .numeric import col_
 NUMERIC_RE = r"^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)(e[+-]?[0-9]+)?$|^[+-]?(inf|infinity)$"
 
 
-_WS_CHARS = " \t\r\n\f\v"
+# The characters that Python calls white space.
+_WS_CHARS = (" \t\n\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009"
+             "\u200a\u2028\u2029\u202f\u205f\u3000")
 
 
 def strip_ws(c) -> Column:
-    """Remove leading/trailing whitespace (space, tab, CR, LF, FF, VT) like
-    Python's str.strip() on ASCII text; a character-set trim, no regex."""
+    """Remove leading/trailing whitespace like Python's str.strip(), the Unicode
+    spaces included; a character-set trim, no regex."""
     return F.btrim(col_(c), F.lit(_WS_CHARS))
 
 

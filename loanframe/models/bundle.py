@@ -14,9 +14,9 @@ the learners' own jobs); scoring is a lazy projection (``model.transform``
 plus column expressions and one Arrow UDF) that never shuffles, so it
 applies unchanged to batch or streaming input.
 
-The probability-spread guard (R5) is evaluated once at fit time over the
-training rows and stored in the bundle; re-evaluating it on every scored
-table would run the whole inference twice.
+The probability-spread guard (R5) is evaluated on the table being scored: its
+model probabilities are written once and the spread is read from those files.
+A stream has no table, so there the spread over the training rows counts.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import clip, risk_level, rnd
 from ..operators import scoring as S
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, materialize
 from .features import FEATURE_NAMES, STD_COLS, FeatureEncoder, Hyper, hyperparams
 from .isoforest import IsolationForestModel, fit_isolation_forest
 
@@ -61,7 +61,8 @@ class LoanModels:
 
     # ------------------------------------------------------------------ fit
     @staticmethod
-    def fit(loans: DataFrame, n_trees_iso: int = 100) -> "LoanModels":
+    def fit(loans: DataFrame, n_trees_iso: int = 100, boosting: bool = True) -> "LoanModels":
+        """``boosting=False`` fits the forest alone; the ensemble is then the forest's probability."""
         spark = loans.sparkSession
         sc = spark.sparkContext
         # Boosting and the forest's node-id cache checkpoint their per-row state
@@ -76,29 +77,37 @@ class LoanModels:
         base = loans.select(*[c for c in dict.fromkeys(keep) if c in loans.columns]).persist()
         train = None
         try:
+            # Two classes or grades are told by min and max: no distinct counting over the loans.
+            grade = F.col("credit_quality").cast("string")
             stats = base.agg(F.count(F.lit(1)).alias("n"),
-                             F.countDistinct("default_indicator").alias("classes"),
+                             (F.min("default_indicator") != F.max("default_indicator")).alias("classes"),
                              F.avg(F.col("default_indicator").cast("double")).alias("rate"),
                              F.count_if(F.col("loan_status") == "Active").alias("active"),
-                             F.countDistinct(F.col("credit_quality").cast("string")).alias("grades")).first()
+                             (F.min(grade) != F.max(grade)).alias("grades")).first()
             n = int(stats["n"])
             if n == 0:
                 raise ValueError("cannot fit models on an empty table")
             hp = hyperparams(n)
             enc = FeatureEncoder.fit(base)
-            m = LoanModels(encoder=enc, hyper=hp, n=n, single_class=int(stats["classes"]) < 2)
+            m = LoanModels(encoder=enc, hyper=hp, n=n, single_class=not stats["classes"])
 
-            train = enc.transform(base).withColumn("label", F.col("default_indicator").cast("double"))
+            # One copy of each feature: the vector. The learners read it, and
+            # the isolation forest unpacks it where it needs columns.
+            train = enc.transform(base).select(
+                "loan_id", "loan_status", "credit_quality", F.col("default_indicator").cast("double").alias("label"),
+                "features")
             # Even partitions for the learners' many passes, at every size.
-            train = train.repartition("loan_id", F.xxhash64(*STD_COLS)).persist()
-            m._fit_learners(train, stats, n_trees_iso)
+            train = train.repartition("loan_id", F.xxhash64(vector_to_array("features"))).persist()
+            train.count()
+            base.unpersist()
+            m._fit_learners(train, stats, n_trees_iso, boosting)
         finally:
             if train is not None:
                 train.unpersist()
             base.unpersist()
         return m
 
-    def _fit_learners(self, train: DataFrame, stats, n_trees_iso: int) -> None:
+    def _fit_learners(self, train: DataFrame, stats, n_trees_iso: int, boosting: bool) -> None:
         hp, n = self.hyper, self.n
         sc = train.sparkSession.sparkContext
 
@@ -120,6 +129,8 @@ class LoanModels:
             contamination = min(0.5, max(0.05, rate or 0.12))
             active = int(stats["active"])
             iso_train = train.where(F.col("loan_status") == "Active") if active >= 3 else train
+            values = vector_to_array(F.col("features"))
+            iso_train = iso_train.select("loan_id", *[values[i].alias(c) for i, c in enumerate(STD_COLS)])
             return fit_isolation_forest(iso_train, STD_COLS, "loan_id", active if active >= 3 else n,
                                         contamination, n_trees=n_trees_iso, seed=SEED)
 
@@ -153,12 +164,14 @@ class LoanModels:
 
         wanted = {}
         if not self.single_class:
-            wanted["gbt"], wanted["rf"] = fit_gbt, fit_rf
+            wanted["rf"] = fit_rf
+            if boosting:
+                wanted["gbt"] = fit_gbt
         if n >= 5:
             wanted["iso"] = fit_iso
         if hp.kmeans_k >= 2:
             wanted["kmeans"] = fit_kmeans
-        if int(stats["grades"]) >= 2:
+        if stats["grades"]:
             wanted["grade"] = fit_grade
         with ThreadPoolExecutor(max_workers=max(1, len(wanted))) as pool:
             jobs = {k: pool.submit(in_pool(k, fn)) for k, fn in wanted.items()}
@@ -185,17 +198,21 @@ class LoanModels:
 
     # -------------------------------------------------------------- scoring
     def _with_prob(self, featurized: DataFrame, keep_rf: str | None = None) -> DataFrame:
-        """Ensemble probability ``_ens`` = R(.6 RF + .4 GBT, 4); ``keep_rf``
-        names a column that keeps the forest's own probability."""
-        rf = self.rf.setProbabilityCol("_rf_prob").setRawPredictionCol("_rf_raw").setPredictionCol("_rf_pred")
-        gb = self.gbt.setProbabilityCol("_gb_prob").setRawPredictionCol("_gb_raw").setPredictionCol("_gb_pred")
-        out = gb.transform(rf.transform(featurized))
-        p_rf = vector_to_array(F.col("_rf_prob")).getItem(1)
-        p_gb = vector_to_array(F.col("_gb_prob")).getItem(1)
-        out = out.withColumn("_ens", rnd(p_rf * F.lit(K.RF_WEIGHT) + p_gb * F.lit(K.GB_WEIGHT), 4))
+        """Ensemble probability ``_ens`` = R(.6 RF + .4 GBT, 4), or the
+        forest's alone when there is no boosting; ``keep_rf`` names a column
+        that keeps the forest's own probability."""
+        out, p = featurized, {}
+        for name, model in (("rf", self.rf), ("gb", self.gbt)):
+            if model is not None:
+                # A copy with its own output columns: the fitted model is shared between calls.
+                own = model.copy({model.probabilityCol: f"_{name}_prob", model.rawPredictionCol: f"_{name}_raw",
+                                  model.predictionCol: f"_{name}_pred"})
+                out, p[name] = own.transform(out), vector_to_array(F.col(f"_{name}_prob")).getItem(1)
+        blend = p["rf"] if "gb" not in p else p["rf"] * F.lit(K.RF_WEIGHT) + p["gb"] * F.lit(K.GB_WEIGHT)
+        out = out.withColumn("_ens", rnd(blend, 4))
         if keep_rf:
-            out = out.withColumn(keep_rf, p_rf)
-        return out.drop("_rf_prob", "_rf_raw", "_rf_pred", "_gb_prob", "_gb_raw", "_gb_pred")
+            out = out.withColumn(keep_rf, p["rf"])
+        return out.drop(*[f"_{name}_{x}" for name in p for x in ("prob", "raw", "pred")])
 
     def featurize(self, df: DataFrame) -> DataFrame:
         return self.encoder.transform(df)
@@ -210,26 +227,52 @@ class LoanModels:
     def uses_rules(self) -> bool:
         return self.single_class
 
-    def score(self, df: DataFrame) -> DataFrame:
+    def _guarded(self, prob: DataFrame) -> tuple[DataFrame, bool]:
+        """R5 on the table being scored: (the table, whether its probabilities are near-constant)."""
+        if prob.isStreaming:
+            return prob, self.prob_std is not None and self.prob_std < K.PROB_STD_FLOOR
+        prob = materialize(prob, "model-probabilities")
+        std = prob.agg(F.stddev_pop("_ens")).first()[0]
+        return prob, std is not None and std < K.PROB_STD_FLOOR
+
+    def score(self, df: DataFrame, guard: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
         """R6 in model mode: attach default_prob, early_warning_score, cluster.
 
         Single-class labels -> rule PD and rule EW (the forest cannot give a
-        default probability); a near-constant ensemble (spread below the
-        floor at fit time) -> rule PD, model EW; otherwise both from the
-        models. Clusters come from k-means in every case.
+        default probability); a near-constant ensemble over this table -> rule
+        PD, model EW; otherwise both from the models (``guard=False``: always).
+        Clusters come from k-means in every case. ``keep`` names internal
+        columns (``_ens``, ``_decision``) to carry along.
         """
         cols = df.columns
         feat = self.featurize(df)
         if self.uses_rules():
             out = S.score_rules(feat).drop("cluster")
         else:
-            feat = self._anomaly_bonus(self._with_prob(feat))
-            guard = self.prob_std is not None and self.prob_std < K.PROB_STD_FLOOR
+            feat, near_constant = self._with_prob(feat), False
+            if guard:
+                feat, near_constant = self._guarded(feat)
+            feat = self._anomaly_bonus(feat)
             bonus = None if self.iso is None else F.col("_bonus")
-            out = (feat.withColumn("default_prob", S.rule_default_prob() if guard else F.col("_ens"))
+            out = (feat.withColumn("default_prob", S.rule_default_prob() if near_constant else F.col("_ens"))
                    .withColumn("early_warning_score", S.ew_blend(F.col("_ens"), bonus)))
         out = self.assign_clusters(out)
-        return out.select(*cols, "default_prob", "early_warning_score", "cluster")
+        kept = [F.col(c) if c in out.columns else F.lit(None).cast("double").alias(c) for c in keep]
+        return out.select(*cols, "default_prob", "early_warning_score", "cluster", *kept)
+
+    def score_all(self, df: DataFrame) -> DataFrame:
+        """Every model output of a table: the scores, the ensemble probability, the
+        isolation forest's score and decision, and the predicted grade."""
+        out = self.score(df, keep=("_ens", "_decision"))
+        offset = F.lit(None).cast("double") if self.iso is None else F.lit(self.iso.offset)
+        out = out.withColumnsRenamed({"_ens": "ensemble_prob", "_decision": "decision"}).withColumn(
+            "score", F.col("decision") + offset)
+        if self.grade_lr is None:
+            return out.withColumn("predicted_grade", F.col("credit_quality"))
+        cols = out.columns
+        labels = F.array(*[F.lit(g) for g in self.grade_labels])
+        return self.grade_lr.transform(self.featurize(out)).select(
+            *cols, F.element_at(labels, F.col("_grade_pred").cast("int") + 1).alias("predicted_grade"))
 
     def assign_clusters(self, scored_feat: DataFrame) -> DataFrame:
         """M8: k-means segment id (0 when no model was fitted)."""
@@ -259,6 +302,11 @@ def ensemble_default_prob(models: LoanModels, loans: DataFrame) -> DataFrame:
     return models._with_prob(models.featurize(loans)).select("loan_id", F.col("_ens").alias("default_prob"))
 
 
+def stored_prob(scored: DataFrame) -> DataFrame:
+    """R3 from a table of :meth:`LoanModels.score_all` (rule PD when the model is unusable)."""
+    return scored.select("loan_id", F.coalesce("ensemble_prob", "default_prob").alias("default_prob"))
+
+
 def predict_grade(models: LoanModels, loans: DataFrame) -> DataFrame:
     """M9: predicted grade from the multinomial classifier."""
     feat = models.featurize(loans)
@@ -271,8 +319,9 @@ def predict_grade(models: LoanModels, loans: DataFrame) -> DataFrame:
 
 
 def predict_loans(models: LoanModels, applications: DataFrame) -> DataFrame:
-    """Score new applications. Absent numeric inputs count as 0, absent
-    categories as 'Unknown' (an unseen value -> index 0)."""
+    """Score new applications, always by the ensemble when there is one
+    (one application has no spread to guard). Absent numeric inputs count as
+    0, absent categories as 'Unknown' (an unseen value -> index 0)."""
     df = applications
     for c in K.NUM_COLS:
         if c not in df.columns:
@@ -286,7 +335,7 @@ def predict_loans(models: LoanModels, applications: DataFrame) -> DataFrame:
         df = df.withColumn("default_indicator", F.lit(0))
     if "delinquency_status" not in df.columns:
         df = df.withColumn("delinquency_status", F.lit("Current"))
-    scored = models.score(df)
+    scored = models.score(df, guard=False)
     return scored.select("loan_id", rnd(F.col("default_prob"), 4).alias("default_probability"),
                          rnd(F.col("early_warning_score"), 1).alias("early_warning_score"),
                          risk_level("early_warning_score").alias("risk_level"))

@@ -321,6 +321,11 @@ def auc(df: DataFrame, score: str, label: str = "default_indicator", decimals: i
     per = df.groupBy(s.alias("s")).agg(
         F.sum(F.col(label).cast("long")).alias("pos"),
         F.sum((1 - F.col(label)).cast("long")).alias("neg"))
+    return auc_of_counts(per)
+
+
+def auc_of_counts(per: DataFrame) -> DataFrame:
+    """AUC from positives and negatives counted per distinct score (s, pos, neg)."""
     w = Window.partitionBy().orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
     per = per.withColumn("neg_below", F.coalesce(F.sum("neg").over(w), F.lit(0).cast("long")))
     tot = per.agg(

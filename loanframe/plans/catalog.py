@@ -259,15 +259,20 @@ def _derived_ratios(spark, sf):
 
 @plan("csv_roundtrip")
 def _csv_roundtrip(spark, sf):
-    """The messy upload written as CSV to the shared scratch folder, read
-    back as strings and normalised."""
+    """The messy upload (with no-break spaces and notes of two lines)
+    written as CSV to the shared scratch folder, read back as strings and normalised."""
     import os
     import uuid
+    from pyspark.sql import functions as F
     from ..session import ensure_checkpoint_dir
     from ..sources.csv import read_loans_csv, write_loans_csv
     path = os.path.join(ensure_checkpoint_dir(spark), f"upload-{uuid.uuid4().hex[:12]}")
-    write_loans_csv(raw_loans(spark, sf), path)
-    return N.normalize_loans(read_loans_csv(spark, path))
+    odd = F.substring("loan_id", 4, 20).cast("long") % 13 == 0
+    raw = raw_loans(spark, sf).withColumns({
+        "region": F.when(odd, F.concat("region", F.lit("\u00a0"))).otherwise(F.col("region")),
+        "note": F.concat(F.lit("first\n"), "loan_id")})
+    write_loans_csv(raw, path)
+    return N.normalize_loans(read_loans_csv(spark, path, multi_line=True))
 
 
 # ---------------------------------------------------------------------------
@@ -286,20 +291,19 @@ def fitted_models(spark: SparkSession, sf: str):
 
 
 def scored_models(spark: SparkSession, sf: str) -> DataFrame:
-    """Loans scored by the fitted models, written once to the shared
-    checkpoint folder so every report reads the result instead of re-running
-    inference."""
+    """Loans with every model output, written once to the shared checkpoint
+    folder so every report reads the result instead of re-running inference."""
     from ..session import materialize
     key = ("scored", id(spark.sparkContext), sf)
     if key not in _MODEL_MEMO:
-        _MODEL_MEMO[key] = materialize(fitted_models(spark, sf).score(loans(spark, sf)), "scored-models")
+        _MODEL_MEMO[key] = materialize(fitted_models(spark, sf).score_all(loans(spark, sf)), "scored-models")
     return _MODEL_MEMO[key]
 
 
 @plan("ensemble_default_prob")
 def _ensemble_default_prob(spark, sf):
-    from ..models.bundle import ensemble_default_prob
-    return ensemble_default_prob(fitted_models(spark, sf), loans(spark, sf))
+    from ..models.bundle import stored_prob
+    return stored_prob(scored_models(spark, sf))
 
 
 @plan("ml_ew_score")
@@ -309,8 +313,7 @@ def _ml_ew_score(spark, sf):
 
 @plan("anomaly_scores")
 def _anomaly_scores(spark, sf):
-    from ..models.bundle import anomaly_scores
-    return anomaly_scores(fitted_models(spark, sf), loans(spark, sf))
+    return scored_models(spark, sf).select("loan_id", "score", "decision")
 
 
 @plan("cluster_assign")
@@ -325,8 +328,7 @@ def _cluster_profiles(spark, sf):
 
 @plan("predict_grade")
 def _predict_grade(spark, sf):
-    from ..models.bundle import predict_grade
-    return predict_grade(fitted_models(spark, sf), loans(spark, sf))
+    return scored_models(spark, sf).select("loan_id", "credit_quality", "predicted_grade")
 
 
 @plan("predict_loans")
@@ -367,19 +369,8 @@ _report("segment_summaries", P.segment_summaries)
 
 
 # ---------------------------------------------------------------------------
-# Synthetic source (S2) and streaming scoring
+# Streaming scoring
 # ---------------------------------------------------------------------------
-@plan("synthetic_loans")
-def _synthetic_loans(spark, sf):
-    """One synthetic loan per order key (the id column comes from the table,
-    so the generated volume follows the data)."""
-    from pyspark.sql import functions as F
-    from ..sources.synthetic import synthetic_loans_from_ids
-    from ..sources.tables import read_table
-    ids = read_table(spark, sf, "orders", ["o_orderkey"]).select(F.col("o_orderkey").alias("id"))
-    return synthetic_loans_from_ids(ids, "id")
-
-
 @plan("stream_scored_loans")
 def _stream_scored_loans(spark, sf):
     """The loans table landed as files, scored by a file-source stream

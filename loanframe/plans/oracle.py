@@ -215,7 +215,8 @@ raw_loans AS (
   FROM rl_n)
 """
 
-WS = "[ \\t\\r\\n\\f\\v]"
+WS = ("[ \\t\\r\\n\\f\\v\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}"
+      "\\x{205f}\\x{3000}]")
 NUMERIC_RE_SQL = "^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)(e[+-]?[0-9]+)?$|^[+-]?(inf|infinity)$"
 
 
@@ -312,3 +313,11 @@ def usum(c: str) -> str:
 
 def umean(c: str) -> str:
     return f"(CAST({usum(c)} AS DOUBLE) / count({c}))"
+
+
+# The upload that goes through a CSV file: a no-break space after some regions, and a note of two lines.
+CSV_CTE = RAW_LOANS_CTE + """,
+raw_csv AS (
+  SELECT * REPLACE (CASE WHEN CAST(substr(loan_id, 4) AS BIGINT) % 13 = 0 THEN region || chr(160) ELSE region END
+                    AS region) FROM raw_loans)
+""" + _norm_chain("raw_csv")

@@ -250,7 +250,7 @@ FROM m WHERE n > 0""")
 # ---------------------------------------------------------------------------
 # Normalisation
 # ---------------------------------------------------------------------------
-from .oracle import umean, usum, with_normalized, with_upload  # noqa: E402
+from .oracle import CSV_CTE, umean, usum, with_normalized, with_upload  # noqa: E402
 
 _NORM_STEPS = {
     "normalize_headers": ("nm_headers", "*"),
@@ -274,7 +274,7 @@ _CANON = ("loan_id, geography, employment_type, credit_score, income_proxy, cred
           "balance_volatility, spending_shock, acquisition_channel, origination_month, cohort, default_indicator, "
           "value_proxy")
 ORACLE["normalize_loans"] = with_normalized(f"SELECT {_CANON} FROM nm_final")
-ORACLE["csv_roundtrip"] = ORACLE["normalize_loans"]
+ORACLE["csv_roundtrip"] = "WITH " + CSV_CTE + f"SELECT {_CANON}, 'first' || chr(10) || loan_id AS note FROM nm_final"
 ORACLE["assign_loan_ids"] = with_normalized(
     "SELECT * RENAME (loan_id AS ref), printf('LN-%06d', row_number() OVER (ORDER BY loan_id)) AS loan_id FROM raw_loans")
 ORACLE["cohort_bucket"] = with_loans(

@@ -8,24 +8,61 @@ from pyspark.sql import functions as F
 from .. import constants as K
 
 
-def read_loans_csv(spark: SparkSession, path: str, check_empty: bool = True) -> DataFrame:
+_EXTRA = "_beyond_the_header"
+
+
+def _headers(spark: SparkSession, path: str, multi_line: bool) -> list[str]:
+    """Column names as the file spells them, repeats included (one row is read)."""
+    first = spark.read.option("header", False).option("multiLine", multi_line).csv(path).first()
+    if first is None:
+        raise ValueError(f"no rows in {path}")
+    names = [n or f"column_{i}" for i, n in enumerate(first)]
+    names[0] = names[0].removeprefix("\ufeff")
+    return names
+
+
+def read_loans_csv(spark: SparkSession, path: str, check_empty: bool = True, multi_line: bool = False,
+                   on_ragged: str = "error") -> DataFrame:
     """Header CSV read as all strings (no schema inference pass); the
-    usual missing-value spellings become NULL. An empty file is an error."""
-    raw = (spark.read.option("header", True).option("inferSchema", False)
-           .option("multiLine", False).option("mode", "PERMISSIVE").csv(path))
+    usual missing-value spellings become NULL. An empty file is an error.
+
+    Headers are kept as written: a repeated header gives two columns of that
+    name, which the normaliser merges. ``multi_line`` reads quoted line breaks
+    (a file is then one split). Rows with more fields than headers are an
+    error, or with ``on_ragged="keep"`` are kept without the surplus; rows
+    with fewer are filled with NULL.
+    """
+    names = _headers(spark, path, multi_line)
+    places = [f"_c{i}" for i in range(len(names))]
+    schema = ", ".join(f"`{c}` string" for c in [*places, _EXTRA])
+    raw = (spark.read.schema(schema).option("header", True).option("enforceSchema", True)
+           .option("multiLine", multi_line).option("mode", "PERMISSIVE").csv(path))
+    if on_ragged == "error":
+        bad = raw.where(F.col(_EXTRA).isNotNull()).select(*places[:3], _EXTRA).take(3)
+        if bad:
+            raise ValueError(f"rows with more than {len(names)} fields in {path}, e.g. {[list(r) for r in bad]}")
     tokens = F.array(*[F.lit(t) for t in K.CSV_NULL_TOKENS])
-    out = raw.select(*[F.when(~F.array_contains(tokens, F.col(f"`{c}`")), F.col(f"`{c}`")).alias(c)
-                       for c in raw.columns])
+    out = raw.select(*[F.when(~F.array_contains(tokens, F.col(c)), F.col(c)).alias(c) for c in places])
     if check_empty and out.isEmpty():
         raise ValueError(f"no rows in {path}")
-    return out
+    return out.toDF(*names)
 
 
-def read_loans(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    """Loan table from CSV (strings, normalised later) or parquet (typed)."""
-    if fmt == "csv":
-        return read_loans_csv(spark, path)
-    return spark.read.format(fmt).load(path)
+def upload(spark: SparkSession, path: str, multi_line: bool = False) -> dict:
+    """A whole upload in one call: the file read, normalised and, if it has rows enough, fitted.
+
+    Gives the file's columns, the normalised table and its columns, the load summary
+    and the fitted models with their report."""
+    from ..models.bundle import LoanModels, train_report
+    from ..operators.normalize import normalize_loans
+    from ..operators.reports import load_summary
+    from ..session import materialize
+
+    raw = read_loans_csv(spark, path, multi_line=multi_line)
+    table = materialize(normalize_loans(raw), "upload")
+    models = LoanModels.fit(table)
+    return {"columns": raw.columns, "normalized_columns": table.columns, "table": table,
+            "summary": load_summary(table), "models": models, "train_info": train_report(spark, models)}
 
 
 def write_report(df: DataFrame, path: str, fmt: str = "json", mode: str = "overwrite") -> None:

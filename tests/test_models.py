@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from loanframe import constants as K
 from loanframe.models.bundle import LoanModels, anomaly_scores, predict_loans
 from loanframe.models.features import hyperparams
+from loanframe.operators import scoring as S
 from loanframe.models.isoforest import avg_path_length, grow_tree
 from loanframe.plans.catalog import fitted_models, loans
 from tests.conftest import SF_SMALL
@@ -129,3 +130,34 @@ def test_isolation_samples_with_null_or_repeated_ids(spark):
     base = spark.range(60_000).select(F.when(F.col("id") % 2 == 0, F.lit("same")).alias("loan_id"), F.col("id").cast("double").alias("x"))
     per = tree_samples(base, ["x"], "loan_id", 60_000, n_trees=20, psi=256).groupBy("tree").agg(F.countDistinct("x").alias("n")).collect()
     assert sorted(r["tree"] for r in per) == list(range(20)) and {r["n"] for r in per} == {256}
+
+
+def test_guard_looks_at_the_scored_table(spark, models):
+    """A table whose loans are all alike gets the rule PD, whatever the training spread."""
+    one = loans(spark, SF_SMALL).limit(1)
+    alike = one.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(5)))).drop("copy")
+    got = {r["default_prob"] for r in models.score(alike).collect()}
+    assert got == {r["p"] for r in one.select(S.rule_default_prob().alias("p")).collect()}
+    ens = {r["_ens"] for r in models._with_prob(models.featurize(alike)).collect()}
+    assert {r["default_prob"] for r in models.score(alike, guard=False).collect()} == ens
+    got = {r["default_probability"] for r in predict_loans(models, alike).collect()}
+    assert got == ens
+
+
+def test_forest_alone(spark):
+    m = LoanModels.fit(loans(spark, SF_SMALL).limit(300), n_trees_iso=5, boosting=False)
+    assert m.gbt is None and m.rf is not None
+    r = m._with_prob(m.featurize(loans(spark, SF_SMALL).limit(50)), keep_rf="_p").collect()
+    assert all(abs(x["_ens"] - x["_p"]) < 5.1e-5 for x in r)
+
+
+def test_scoring_leaves_the_models_as_they_are(spark, models):
+    before = models.rf.getProbabilityCol()
+    models.score(loans(spark, SF_SMALL).limit(20)).count()
+    assert models.rf.getProbabilityCol() == before
+
+
+def test_isolation_forest_trains_on_all_when_few_are_active(spark):
+    df = loans(spark, SF_SMALL).limit(60).withColumn("loan_status", F.when(F.col("loan_id").isNull(), "Active").otherwise("Default"))
+    m = LoanModels.fit(df, n_trees_iso=5)
+    assert m.iso is not None and m.iso.psi == 60

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from loanframe.operators import normalize as N
 from loanframe.operators import scoring as S
-from loanframe.sources.fixtures import sample_template
+from tests.template_rows import sample_template
 from tests.conftest import rows
 
 # Golden output for the five-row template (FIXTURES.md section A).

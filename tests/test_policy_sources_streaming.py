@@ -1,4 +1,4 @@
-"""Policy rows, CSV source/sinks, synthetic source, streaming scoring."""
+"""Policy rows, CSV source/sinks, streaming scoring."""
 
 import os
 import tempfile
@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from loanframe.operators import policy as P
 from loanframe.operators import scoring as S
 from loanframe.plans.catalog import loans, scored_rules
-from loanframe.sources.csv import read_loans_csv, write_report
-from loanframe.sources.synthetic import synthetic_loans
+from loanframe.operators.normalize import normalize_loans
+from loanframe.sources.csv import read_loans_csv, upload, write_loans_csv, write_report
 from loanframe.streaming.scoring import read_loan_stream, run_available_now, score_stream
 from tests.conftest import SF_SMALL, rows
 
@@ -53,17 +53,6 @@ def test_write_report_roundtrip(spark):
     assert back.count() == rep.count()
 
 
-def test_synthetic_is_partition_independent(spark):
-    a = synthetic_loans(spark, 3000, partitions=2).orderBy("loan_id").collect()
-    b = synthetic_loans(spark, 3000, partitions=9).orderBy("loan_id").collect()
-    assert a == b
-    df = synthetic_loans(spark, 20000)
-    shares = dict(df.groupBy("credit_quality").count().collect())
-    assert abs(shares["BBB"] / 20000 - 0.22) < 0.02 and abs(shares["AAA"] / 20000 - 0.05) < 0.01
-    lim = df.agg(F.min("credit_score"), F.max("credit_score"), F.max("dti_ratio"), F.max("ltv_ratio")).first()
-    assert 300 <= lim[0] and lim[1] <= 900 and lim[2] <= 0.8 and lim[3] <= 3.0
-
-
 def test_stream_equals_batch(spark):
     d = tempfile.mkdtemp(prefix="lf-stream-")
     src = loans(spark, SF_SMALL)
@@ -75,3 +64,39 @@ def test_stream_equals_batch(spark):
     want = S.score_rules(src)
     assert got.count() == want.count()
     assert got.exceptAll(want.select(*got.columns)).count() == 0
+
+
+def _file(tmp_path, text):
+    (tmp_path / "up.csv").write_text(text, encoding="utf-8")
+    return str(tmp_path / "up.csv")
+
+
+def test_csv_repeated_headers_are_merged(spark, tmp_path):
+    raw = read_loans_csv(spark, _file(tmp_path, "amount,amount,region\n,250.5,Metro\n100,7,Rural\n"))
+    assert raw.columns == ["amount", "amount", "region"]
+    assert sorted(r["loan_size"] for r in normalize_loans(raw).collect()) == [100.0, 250.5]
+
+
+def test_csv_quoted_line_breaks(spark, tmp_path):
+    path = _file(tmp_path, 'loan_id,note\nL1,"one\ntwo"\nL2,three\n')
+    assert rows(read_loans_csv(spark, path, multi_line=True)) == [("L1", "one\ntwo"), ("L2", "three")]
+
+
+def test_csv_ragged_rows(spark, tmp_path):
+    path = _file(tmp_path, "loan_id,region\nL1,Metro,surplus\nL2\n")
+    with pytest.raises(ValueError, match="more than 2 fields"):
+        read_loans_csv(spark, path)
+    assert rows(read_loans_csv(spark, path, on_ragged="keep")) == [("L1", "Metro"), ("L2", None)]
+
+
+def test_unicode_spaces_are_stripped(spark, tmp_path):
+    raw = read_loans_csv(spark, _file(tmp_path, "loan_id,region\nL1,Metro\u00a0\nL2,\u2003rural\u3000\n"))
+    assert sorted(r["geography"] for r in normalize_loans(raw).collect()) == ["Metro", "Rural"]
+
+
+def test_upload_in_one_call(spark, tmp_path):
+    from loanframe.plans.catalog import raw_loans
+    write_loans_csv(raw_loans(spark, SF_SMALL).limit(300), str(tmp_path / "up"))
+    got = upload(spark, str(tmp_path / "up"))
+    assert got["columns"][0] == "loan_id" and "value_proxy" in got["normalized_columns"]
+    assert got["summary"].first()["total_loans"] == 300 == got["train_info"].first()["n_samples"]

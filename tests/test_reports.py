@@ -127,3 +127,31 @@ def test_grade_spine_ignores_off_ladder_grades(spark):
     assert sum(n for _, n, _ in rd) == 1
     assert rows(A.grade_tiers(df), "tier", "count") == [("Investment", 1), ("Speculative", 0), ("Distressed", 0)]
     assert len(rows(A.pricing_by_grade(df))) == 7
+
+
+def test_sums_are_truncated_once(spark):
+    df = frame(spark, [dict(loan_id=str(i), pricing_rate=r) for i, r in enumerate([10.125, 10.125, 10.125, 12345678.9])])
+    df = df.withColumns({"loan_size": F.lit(100.75),
+                         "credit_score": F.when(F.col("loan_id") == "3", 701.9).otherwise(F.lit(700.9))})
+    m = A.portfolio_metrics(df).first()
+    assert (m["totalDisbursed"], m["avgTicketSize"], m["avgCreditScore"]) == (403, 100, 701)
+    assert m["avgPricing"] == round((3 * 10.125 + 12345678.9) / 4, 2)
+    seg = A.pricing_report(df).where("dimension = 'products'").first()
+    assert (seg["totalDisbursed"], seg["avgScore"]) == (403, 701)
+
+
+def test_auc_of_billions_of_loans(spark):
+    """The counted pairs of 20 billion loans are exact, no overflow."""
+    many = 10_000_000_000
+    df = spark.createDataFrame([(0.2, many // 10, many), (0.6, many, many // 10)], "s double, pos long, neg long")
+    got = A.auc_of_counts(df).first()["auc"]
+    assert got == round((many / 10 * many / 2 + many * many + many * many / 20) / (1.1 * many) ** 2, 4)
+
+
+def test_reports_without_their_key_are_empty(spark):
+    df = frame(spark, [dict(loan_id="1")])
+    for report, key in ((A.cohort_analysis, "cohort"), (A.cluster_profiles, "cluster")):
+        none = report(df.drop(key))
+        assert none.collect() == []
+        if key in df.columns:
+            assert none.columns == report(df).columns
