@@ -49,6 +49,9 @@ def hyperparams(n: int) -> Hyper:
     )
 
 
+MAX_LABELS = 100_000  # distinct values of one categorical feature
+
+
 @dataclass
 class FeatureEncoder:
     indexer: StringIndexerModel | None = None
@@ -61,6 +64,11 @@ class FeatureEncoder:
         enc = FeatureEncoder()
         enc.present_cats = [c for c in K.CAT_COLS if c in df.columns]
         if enc.present_cats:
+            # The indexer keeps its labels on the driver: their number is checked first.
+            kinds = df.agg(*[F.approx_count_distinct(F.col(c).cast("string")).alias(c) for c in enc.present_cats]).first()
+            many = {c: kinds[c] for c in enc.present_cats if kinds[c] > MAX_LABELS}
+            if many:
+                raise ValueError(f"more than {MAX_LABELS} distinct values, not categories: {many}")
             enc.indexer = StringIndexer(
                 inputCols=[f"_s_{c}" for c in enc.present_cats],
                 outputCols=[f"_i_{c}" for c in enc.present_cats],

@@ -316,6 +316,13 @@ def _anomaly_scores(spark, sf):
     return scored_models(spark, sf).select("loan_id", "score", "decision")
 
 
+@plan("anomaly_scores_fixed")
+def _anomaly_scores_fixed(spark, sf):
+    """Model scoring checked by value: a forest of fixed nodes, its bonus in the early-warning score."""
+    from ..models.fixed import anomaly_scores_fixed
+    return anomaly_scores_fixed(loans(spark, sf))
+
+
 @plan("cluster_assign")
 def _cluster_assign(spark, sf):
     return scored_models(spark, sf).select("loan_id", "cluster")

@@ -468,3 +468,21 @@ FROM ({ORACLE["cohort_analysis"]})"""
 ORACLE["watch_bands"] = f"""SELECT *,
   CASE WHEN early_warning_score > 60 THEN 'danger' WHEN early_warning_score > 40 THEN 'warning' ELSE 'success' END AS "ewBand"
 FROM ({ORACLE["early_warning_top50"]})"""
+
+# ---------------------------------------------------------------------------
+# A forest of two fixed trees: path lengths are depth + c(rows)
+# ---------------------------------------------------------------------------
+
+
+def _c(m: int) -> str:
+    return "0e0" if m < 2 else "1e0" if m == 2 else f"(2e0 * (ln({m - 1}e0) + 0.5772156649015329e0) - 2e0 * {m - 1}e0 / {m}e0)"
+
+
+ORACLE["anomaly_scores_fixed"] = with_loans(f""", paths AS (
+  SELECT *, CASE WHEN credit_score <= 640 THEN CASE WHEN dti_ratio <= 0.35e0 THEN 2e0 + {_c(66)} ELSE 2e0 + {_c(4)} END
+                 ELSE 1e0 + {_c(186)} END AS t0,
+    CASE WHEN balance_volatility <= 0.8e0 THEN 1e0 + {_c(254)} ELSE 2e0 END AS t1 FROM loans),
+s AS (SELECT *, -pow(2e0, -((t0 + t1) / 2e0) / {_c(256)}) AS s FROM paths)
+SELECT loan_id, {R('s', 6)} AS score, {R('s + 0.5e0', 6)} AS decision,
+  {R(CLIP(CLIP(EW_BASE, '0e0', '100e0') + ' * 0.6e0 + ' + RULE_PD + ' * 100e0 * 0.4e0 + ' + CLIP('-(s + 0.5e0)', '0e0', '1e0') + ' * 10e0', '0e0', '100e0'), 1)} AS early_warning_score
+FROM s""")
