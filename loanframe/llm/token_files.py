@@ -128,12 +128,17 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_col: s
                 names=schema.names)
 
         for batch in batches:
-            for at, ids, offsets in enc.slices(batch.column(1), 1 << 20):
+            for at, ids, offsets in enc.slices(batch.column(1)):
                 ids, offsets = close_documents(ids, offsets, end_id)
-                held.append((batch.column(0).slice(at, len(offsets) - 1), np.diff(offsets), ids))
-                if sum(len(x[2]) for x in held) >= SEGMENT_IDS:
-                    yield image()
-                    segment, before, held = segment + 1, before + sum(len(x[2]) for x in held), []
+                i = 0
+                while i < len(offsets) - 1:  # whole documents, up to a full segment
+                    full = offsets[i] + SEGMENT_IDS - sum(len(x[2]) for x in held)
+                    j = min(len(offsets) - 1, int(np.searchsorted(offsets, full)))
+                    held.append((batch.column(0).slice(at + i, j - i), np.diff(offsets[i:j + 1]), ids[offsets[i]:offsets[j]]))
+                    i = j
+                    if sum(len(x[2]) for x in held) >= SEGMENT_IDS:
+                        yield image()
+                        segment, before, held = segment + 1, before + sum(len(x[2]) for x in held), []
         if held:
             yield image()
 
