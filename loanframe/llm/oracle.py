@@ -38,7 +38,7 @@ figures AS (
          lost_chars
   FROM base LEFT JOIN rep USING (doc_id) JOIN lines USING (doc_id))
 SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND lost_chars <= word_chars * 0.3 AS kept
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND lost_chars <= word_chars * 0.45 AS kept
 FROM figures
 """
 

@@ -28,7 +28,7 @@ SPACE = "[\\x20\\x09-\\x0D]"
 SYMBOL = "[#*$%&|<>]"
 BAR = "[|\\u00bb\\u203a\\u2022]"
 MIN_WORDS, MAX_REPEAT_PCT, WINDOW = 10, 20, 5
-MAX_LOST = 0.3  # share of word characters that a kept document may lose
+MAX_LOST = 0.45  # share of word characters that a kept document may lose
 
 # Line rules: a line of n words fails when it has more than
 MAX_SYMBOLS = 0.4  # symbols a word

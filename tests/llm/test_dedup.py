@@ -106,16 +106,18 @@ def test_components_of_a_path(spark):
 def test_suffix_order_and_repeats():
     rng = random.Random(1)
     for _ in range(40):
-        base = bytes(rng.randrange(rng.choice([2, 5, 256])) for _ in range(rng.randint(1, 300)))
+        sigma = rng.choice([1, 2, 5, 256])
+        base = bytes(rng.randrange(sigma) for _ in range(rng.randint(1, 900)))
         t = base + base[rng.randrange(len(base)):] + base[:rng.randrange(len(base))]
         x = np.frombuffer(t, np.uint8)
-        order = suffix_sort.suffix_order(x, suffix_sort.piece_names(x), 100).tolist()
+        order = suffix_sort.suffix_order(x, *suffix_sort.piece_names(x, 100), 100).tolist()
         assert sorted(order) == list(range(len(t)))
         assert [t[i:i + 100] for i in order] == sorted(t[i:i + 100] for i in range(len(t)))
-        cells = [t[i:i + rng.randint(1, 200)] for i in range(0, len(t), 37)]
-        seen = Counter(c[i:i + 70] for c in cells for i in range(len(c) - 69))
-        for c, hit in zip(cells, suffix_sort.repeated(cells, 70)):
-            assert [i for i in range(len(c) - 69) if seen[c[i:i + 70]] > 1] == hit.tolist()
+        cells = [t[i:i + rng.randint(1, 600)] for i in range(0, len(t), 37)]
+        n = 200
+        seen = Counter(c[i:i + n] for c in cells for i in range(len(c) - n + 1))
+        for c, hit in zip(cells, suffix_sort.repeated(cells, n)):
+            assert [i for i in range(len(c) - n + 1) if seen[c[i:i + n]] > 1] == hit.tolist()
 
 
 def brute_spans(rows, n=400):

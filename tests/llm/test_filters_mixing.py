@@ -48,7 +48,7 @@ def test_lines_fail_by_rule(spark):
     df = spark.createDataFrame([(good + "\n" + x + "\n" + more,) for x in bad] + [("\n".join(bad[:3]) + " a b c.",)], "text string")
     rows = quality_rules.assess(df).collect()
     assert all(r["cleaned"] == good + "\n" + more for r in rows[:-1])
-    assert [r["kept"] for r in rows] == [r["lost_chars"] <= 0.3 * r["word_chars"] for r in rows]
+    assert [r["kept"] for r in rows] == [r["lost_chars"] <= quality_rules.MAX_LOST * r["word_chars"] for r in rows]
     assert not rows[-1]["kept"]
     assert quality_rules.clean(edge(spark)).columns == edge(spark).columns
     assert quality_rules.assess(empty(spark)).collect() == []
