@@ -10,13 +10,14 @@ reach the tokenizers library.  The ids equal those of one call on the text.
 from __future__ import annotations
 
 import unicodedata
+from array import array
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MEMO_UNITS = 600_000  # units a worker remembers before it starts afresh
+MEMO_UNITS = 500_000  # units, and pre-tokens, that a worker remembers before it starts afresh
 
 # Characters that some engines call white space and others do not, and the
 # cut mark itself: a text that holds one is encoded by a single call.
@@ -48,9 +49,16 @@ class UnitEncoder:
         self.model, self.spaces = self.tok.model, spaces
         self.bytes = _byte_chars()
         self.memo: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}  # of single pre-tokens, so that a word is new once, not once with each mark
 
-    def _mapped(self, s: str) -> str:
-        return "".join(map(self.bytes.__getitem__, s.encode()))
+    def _part(self, s: str) -> bytes:
+        """Ids of one pre-token."""
+        ids = self.parts.get(s)
+        if ids is None:
+            # Printable ASCII stands for itself in the byte-level alphabet.
+            mapped = s if s.isascii() and s[0] > " " else "".join(map(self.bytes.__getitem__, s.encode()))
+            ids = self.parts[s] = array("I", [x.id for x in self.model.tokenize(mapped)]).tobytes()
+        return ids
 
     def _pre_tokens(self, unit: str) -> list[str] | None:
         """The pre-tokens of a plain word with a closing mark; None for anything else."""
@@ -64,8 +72,8 @@ class UnitEncoder:
         if self.spaces:
             parts = ["\n", body] if lead == "\n" else [lead + body]
         else:
-            parts = [unicodedata.normalize("NFC", body).lower()]
-        return [self._mapped(x) for x in ([*parts, tail] if tail else parts)]
+            parts = [(body if body.isascii() else unicodedata.normalize("NFC", body)).lower()]
+        return [*parts, tail] if tail else parts
 
     def _encode(self, units: list[str]) -> dict[str, bytes]:
         """Ids of units that are not in the memo."""
@@ -75,7 +83,7 @@ class UnitEncoder:
             if parts is None:
                 odd.append(u)
             else:
-                out[u] = np.array([x.id for p in parts for x in self.model.tokenize(p)], "<u4").tobytes()
+                out[u] = b"".join(map(self._part, parts))
         if odd:
             for u, e in zip(odd, self.tok.encode_batch_fast(odd, add_special_tokens=False)):
                 out[u] = np.array(e.ids, "<u4").tobytes()
@@ -97,21 +105,20 @@ class UnitEncoder:
         whole = pc.match_substring_regex(texts, _ODD)
         units = self._cut(pc.if_else(whole, "", texts))
         coded = units.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.memo) > MEMO_UNITS:
             self.memo = {}
+        if len(self.parts) > MEMO_UNITS:
+            self.parts = {}
         memo = self.memo
         fresh = self._encode([w for w in words if w not in memo])
         memo.update(fresh)
-        parts = [memo[w] for w in words]
-        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        flat = np.frombuffer(b"".join(parts), "<u4")
-        begin = np.concatenate([[0], np.cumsum(size)])[:-1]
-        code = coded.indices.to_numpy(zero_copy_only=False)
-        n = size[code]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        pick = np.arange(ends[-1]) + np.repeat(begin[code] - ends[:-1], n)
-        ids = flat[pick]
+        # Taking each unit's ids from the dictionary lays the ids of all texts end to end.
+        taken = pa.array([memo[w] for w in words], pa.large_binary()).take(coded.indices)
+        _, ends, data = taken.buffers()
+        ends = np.frombuffer(ends, "<i8", len(taken) + 1, taken.offset * 8) if len(taken) else np.zeros(1, np.int64)
+        ids = np.frombuffer(data, "<u4", int(ends[-1] - ends[0]) // 4, int(ends[0])) if data else np.empty(0, "<u4")
+        ends = (ends - ends[0]) // 4
         cuts = units.offsets.to_numpy()
         offsets = ends[cuts - cuts[0]]
         rows = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
