@@ -40,13 +40,13 @@ MIN_SIBLING, SIBLING_SHARE, MENU_LINKS = 3.0, 0.2, 0.5
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "points", "cut", "size", "linked")
+    __slots__ = ("tag", "parent", "parts", "points", "cut", "size", "linked", "commas")
 
     def __init__(self, tag: str, parent: Node | None, cut: bool = False):
         self.tag, self.parent, self.cut = tag, parent, cut
         self.parts: list[Node | str] = []
         self.points = 0.0
-        self.size = self.linked = 0  # characters of text, and of those in links
+        self.size = self.linked = self.commas = 0  # characters of text, those in links, commas
 
 
 class Tree(HTMLParser):
@@ -119,9 +119,10 @@ def _measure(root: Node) -> list[Node]:
         order.append(node)
         todo.extend(x for x in reversed(node.parts) if isinstance(x, Node))
     for node in reversed(order):
-        own = sum(len(" ".join(x.split())) if isinstance(x, str) else 0 for x in node.parts)
+        own = [" ".join(x.split()) for x in node.parts if isinstance(x, str)]
         kids = [x for x in node.parts if isinstance(x, Node) and not x.cut]
-        node.size = own + sum(k.size for k in kids)
+        node.size = sum(map(len, own)) + sum(k.size for k in kids)
+        node.commas = sum(x.count(",") for x in own) + sum(k.commas for k in kids)
         node.linked = node.size if node.tag == "a" else sum(k.linked for k in kids)
     return order
 
@@ -134,10 +135,6 @@ def _paragraph(node: Node) -> bool:
         isinstance(x, Node) and x.tag in BLOCK for x in node.parts)
 
 
-def _commas(node: Node) -> int:
-    return sum(x.count(",") if isinstance(x, str) else 0 if x.cut else _commas(x) for x in node.parts)
-
-
 def _link_share(node: Node) -> float:
     return node.linked / node.size if node.size else 0.0
 
@@ -164,7 +161,7 @@ def main_text(html: str | None) -> str:
     order = _measure(tree.root)
     for node in order:
         if _paragraph(node) and node.size:
-            points = (1 + _commas(node) + min(node.size / 100, 3)) * (1 - _link_share(node))
+            points = (1 + node.commas + min(node.size / 100, 3)) * (1 - _link_share(node))
             parent = node.parent if node.tag in PARAGRAPHS and node.parent else node
             parent.points += points
             if parent.parent:

@@ -33,6 +33,7 @@ def test_main_text_without_an_article():
     assert main_text("just <i>te</i>xt") == "just text"
     assert main_text(None) == main_text("") == main_text("<html><script>x") == ""
     assert main_text("<article><p>cut off in the mid") == "cut off in the mid"
+    assert main_text("<p>" + "<b>" * 5000 + "deep, down") == "deep, down"
     assert main_text("<p>" * 3000 + "deep" + "<div>" * 3000 + "er") == "deep er"
 
 
