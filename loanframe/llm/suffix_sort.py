@@ -9,22 +9,27 @@ from __future__ import annotations
 
 import numpy as np
 
-PIECE = 64
 
+def piece_names(text: np.ndarray, most: int) -> tuple[np.ndarray, int]:
+    """(order-preserving numbers of the piece at each place, length of a piece); the end counts as smallest.
 
-def piece_names(text: np.ndarray) -> np.ndarray:
-    """Order-preserving numbers of the PIECE bytes at each place (the end counts as smallest)."""
+    Bytes are coded densely, so one word holds seven or more of them; three doublings follow.
+    A piece is ``most`` bytes long at most."""
     n = len(text)
-    wide = np.concatenate([text.astype(np.uint64) + np.uint64(1), np.zeros(PIECE + 8, np.uint64)])  # 0: past the end
-    # Seven characters of nine bits fit a word; two words, then doublings, make 64.
-    name = np.zeros(n + PIECE, np.uint64)
-    for k in range(4):
-        name = (name << np.uint64(9)) | wide[k:k + n + PIECE]
-    name, size = _rank(name), 4
-    while size < PIECE:
+    used = np.zeros(257, bool)
+    used[text] = True
+    code = np.cumsum(used).astype(np.uint64)  # from 1; 0 stands past the end
+    bits = int(code[-1]).bit_length()
+    size = max(1, min(63 // bits, most // 8))
+    wide = np.concatenate([code[text], np.zeros(9 * size, np.uint64)])
+    name = np.zeros(n + 8 * size, np.uint64)
+    for k in range(size):
+        name = (name << np.uint64(bits)) | wide[k:k + len(name)]
+    name = _rank(name)
+    for _ in range(3):
         later = np.concatenate([name[size:], np.zeros(size, np.int64)])
         name, size = _rank((name.astype(np.uint64) << np.uint64(32)) | later.astype(np.uint64)), size * 2
-    return name[:n]
+    return name[:n], size
 
 
 def _rank(keys: np.ndarray) -> np.ndarray:
@@ -43,12 +48,12 @@ def _is_small(text: np.ndarray) -> np.ndarray:
     return step[np.minimum.accumulate(at[::-1])[::-1]] > 0
 
 
-def _sort_small(places: np.ndarray, names: np.ndarray, depth: int) -> np.ndarray:
+def _sort_small(places: np.ndarray, names: np.ndarray, piece: int, depth: int) -> np.ndarray:
     """Places sorted by their first ``depth`` bytes (at least), piece by piece among those still equal."""
-    padded = np.concatenate([names, np.full(depth + PIECE, -1)])
+    padded = np.concatenate([names, np.full(depth + piece, -1)])
     order = places[np.argsort(padded[places], kind="stable")]
     group = np.concatenate([[0], (np.diff(padded[order]) != 0).cumsum()])
-    for at in range(PIECE, depth, PIECE):
+    for at in range(piece, depth, piece):
         many = np.bincount(group)[group] > 1
         if not many.any():
             break
@@ -65,13 +70,13 @@ def _sort_small(places: np.ndarray, names: np.ndarray, depth: int) -> np.ndarray
     return order
 
 
-def suffix_order(text: np.ndarray, names: np.ndarray, depth: int) -> np.ndarray:
+def suffix_order(text: np.ndarray, names: np.ndarray, piece: int, depth: int) -> np.ndarray:
     """Places of all suffixes, sorted by their first ``depth`` bytes."""
     n = len(text)
     if not n:
         return np.empty(0, np.int64)
     small = np.flatnonzero(_is_small(text))
-    sorted_small = _sort_small(small, names, depth) if len(small) else small
+    sorted_small = _sort_small(small, names, piece, depth) if len(small) else small
     first = text[sorted_small]
     cuts = np.searchsorted(first, np.arange(257))
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
@@ -97,13 +102,13 @@ def suffix_order(text: np.ndarray, names: np.ndarray, depth: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def equal_neighbours(order: np.ndarray, names: np.ndarray, length: int) -> np.ndarray:
+def equal_neighbours(order: np.ndarray, names: np.ndarray, piece: int, length: int) -> np.ndarray:
     """Whether each suffix of the order shares its first ``length`` bytes with the one before it.
 
-    The places must have ``length`` bytes left; pieces overlap at the end to cover the length exactly."""
+    The places must have ``length`` bytes left, a piece no more than that; pieces overlap at the end to cover the length exactly."""
     same = np.ones(len(order), bool)
     same[:1] = False
-    for at in sorted({*range(0, length - PIECE, PIECE), length - PIECE}):
+    for at in sorted({*range(0, length - piece, piece), length - piece}):
         same[1:] &= names[order[1:] + at] == names[order[:-1] + at]
     return same
 
@@ -115,12 +120,12 @@ def repeated(cells: list[bytes], length: int) -> list[np.ndarray]:
     begin = np.cumsum(size) - size
     windows = np.maximum(size - length + 1, 0)
     starts = np.repeat(begin, windows) + np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-    names = piece_names(text)
+    names, piece = piece_names(text, length)
     allowed = np.zeros(len(text), bool)
     allowed[starts] = True
-    order = suffix_order(text, names, length)
+    order = suffix_order(text, names, piece, length)
     order = order[allowed[order]]
-    same = equal_neighbours(order, names, length)
+    same = equal_neighbours(order, names, piece, length)
     twice = same | np.concatenate([same[1:], [False]])
     hit = np.zeros(len(text), bool)
     hit[order[twice]] = True
