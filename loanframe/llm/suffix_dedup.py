@@ -32,13 +32,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loanframe.llm.common import lookup_join, stored
+from loanframe.llm.common import BROADCAST_ROWS, stored
 from loanframe.llm.suffix_sort import repeated
 
 LENGTH, GRAM = 400, 32
 MOST_CELLS = 1000  # different cells of one core that one task sorts
 FINER = (32, 1)  # offsets of the core within a window that finer cells share
-BUCKET_BYTES = 4 << 20
+BUCKET_BYTES, SORT_BYTES = 4 << 20, 1 << 18
 CHUNK = 1 << 18
 _PLACE = np.uint64((1 << 28) - 1)
 
@@ -119,7 +119,7 @@ def _counted(cells: DataFrame) -> DataFrame:
     """(core, cell, n, kinds) of the cells that may hold a repeated window; both counts combine before the shuffle."""
     per = stored(cells.groupBy("core", "cell").agg(F.count(F.lit(1)).alias("n")), "suffix-counts")
     kinds = stored(per.groupBy("core").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "suffix-kinds")
-    told = lookup_join(per, kinds, ["core"]).withColumn("kinds", F.coalesce("kinds", F.lit(1)))
+    told = per.join(kinds.hint("merge"), ["core"], "left").withColumn("kinds", F.coalesce("kinds", F.lit(1)))
     return stored(told.where("n > 1 or kinds > 1"), "suffix-told")
 
 
@@ -146,13 +146,18 @@ def _cut_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sort_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Ranges that repeated windows cover in the cells of a bucket of cores."""
-    pdf = pdf.drop_duplicates(["core", "cell"])
+    """Ranges that repeated windows cover in the cells of a bucket of cores.
+
+    The cores of a bucket are sorted some at a time, since short strings sort faster."""
+    pdf = pdf.drop_duplicates(["core", "cell"]).sort_values("core", kind="stable")
+    done = (pdf["bytes"].map(len).cumsum() // SORT_BYTES).to_numpy()
+    new = np.concatenate([[True], np.diff(pdf["core"].to_numpy()) != 0])
     out = []
-    for key, first, once, hit in zip(pdf["key"], pdf["first"], pdf["once"], repeated(list(pdf["bytes"]), LENGTH)):
-        if once and len(hit):
-            cut = np.flatnonzero(np.diff(hit) != 1) + 1
-            out += [(key, first + int(r[0]), first + int(r[-1]) + LENGTH) for r in np.split(hit, cut)]
+    for _, part in pdf.groupby(done[np.maximum.accumulate(np.where(new, np.arange(len(pdf)), 0))]):
+        for key, first, once, hit in zip(part["key"], part["first"], part["once"], repeated(list(part["bytes"]), LENGTH)):
+            if once and len(hit):
+                cut = np.flatnonzero(np.diff(hit) != 1) + 1
+                out += [(key, first + int(r[0]), first + int(r[-1]) + LENGTH) for r in np.split(hit, cut)]
     return pd.DataFrame(out, columns=["key", "lo", "hi"])
 
 
@@ -193,7 +198,9 @@ def _sorted_ranges(cells: DataFrame) -> DataFrame:
 def repeated_ranges(texts: DataFrame, most_cells: int = MOST_CELLS) -> DataFrame:
     """(key, lo, hi): byte ranges covered by repeated windows; ``texts`` has columns key and text (binary)."""
     cells = stored(texts.select("key", "text").mapInArrow(_scan, CELLS), "suffix-cells")
-    flagged = stored(lookup_join(cells, _counted(cells), ["core", "cell"], "inner"), "suffix-flagged")
+    # These sides grow with the input, so the joins are shuffled at every size; both sides of
+    # each are read from files or scans, so AQE can split a hot key.
+    flagged = stored(cells.join(_counted(cells).hint("merge"), ["core", "cell"]), "suffix-flagged")
     found = [_ranges(flagged.where("n > 1"))]
     # Different cells of one core: those that occur once, and one of each that occurs more often.
     mixed = flagged.where("kinds > 1").withColumn("once", F.col("n") == 1)
@@ -203,7 +210,7 @@ def repeated_ranges(texts: DataFrame, most_cells: int = MOST_CELLS) -> DataFrame
     lists = stored(wanted.groupBy("key").agg(F.collect_list(F.struct(*fields)).alias("wanted")), "suffix-wanted")
     schema = T.StructType([T.StructField("key", T.BinaryType()), *[mixed.schema[f] for f in fields],
                            T.StructField("bytes", T.BinaryType())])
-    got = lookup_join(texts.select("key", "text"), lists, ["key"], "inner").select("key", "text", "wanted")
+    got = texts.select("key", "text").join(lists.hint("merge"), "key").select("key", "text", "wanted")
     some = stored(got.mapInArrow(_cut_bytes, schema), "suffix-bytes")
     for width in (*FINER, None):
         found.append(_sorted_ranges(some.where(F.col("kinds") <= most_cells).drop("kinds")))
@@ -213,7 +220,7 @@ def repeated_ranges(texts: DataFrame, most_cells: int = MOST_CELLS) -> DataFrame
         crowd = crowd.dropDuplicates(["core", "cell"]).select(
             "key", "first", "windows", "anchor", "core", "cell", "once", "bytes")
         parts = stored(crowd.mapInArrow(_finer(width), crowd.schema), "suffix-finer")
-        told = lookup_join(parts, _counted(parts), ["core", "cell"], "inner")
+        told = parts.join(_counted(parts).hint("merge"), ["core", "cell"])
         some = stored(told, "suffix-told")
         found.append(_ranges(some.where("n > 1 and once")))
         some = some.where("kinds > 1").drop("n")
@@ -223,20 +230,27 @@ def repeated_ranges(texts: DataFrame, most_cells: int = MOST_CELLS) -> DataFrame
     return out
 
 
+def _merged(ranges: Column) -> Column:
+    """Maximal runs of a sorted list of ranges."""
+    none = F.array().cast("array<struct<lo:bigint,hi:bigint>>")
+
+    def add(done: Column, r: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        longer = F.struct(last["lo"].alias("lo"), F.greatest(last["hi"], r["hi"]).alias("hi"))
+        return F.when(r["lo"] <= last["hi"], F.array_append(F.slice(done, 1, F.size(done) - 1), longer)).otherwise(
+            F.array_append(done, r))
+    return F.reduce(ranges, none, add)
+
+
 def _apply(names: list[str]):
-    """Merged spans and the bytes that stay."""
+    """The bytes that stay outside the spans."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             spans, kept, n = [], [], []
             for text, ranges in zip(batch.column(1), batch.column(2)):
-                text, merged = text.as_py(), []
-                for r in sorted(ranges.as_py() or [], key=lambda r: (r["lo"], r["hi"])):
-                    if merged and r["lo"] <= merged[-1]["hi"]:
-                        merged[-1]["hi"] = max(merged[-1]["hi"], r["hi"])
-                    else:
-                        merged.append(dict(r))
-                cuts = [0, *(x for r in merged for x in (r["lo"], r["hi"])), len(text)]
-                spans.append(merged)
+                text, ranges = text.as_py(), ranges.as_py() or []
+                cuts = [0, *(x for r in ranges for x in (r["lo"], r["hi"])), len(text)]
+                spans.append(ranges)
                 kept.append(b"".join(text[a:b] for a, b in zip(cuts[::2], cuts[1::2])))
                 n.append(len(text))
             yield pa.RecordBatch.from_arrays(
@@ -256,7 +270,10 @@ def remove_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     rows = rows.withColumn("key", F.unhex(F.md5("text")))
     ranges = repeated_ranges(docs.select(_bytes(F.col(text_col)).alias("text")).withColumn("key", F.unhex(F.md5("text"))))
     # A set: copies of a text name the same ranges, so a list stays as short as one text's.
-    spans = stored(ranges.groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges")), "suffix-spans")
+    found = ranges.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("ranges"))
+    spans = stored(found.select("key", _merged(F.col("ranges")).alias("ranges")), "suffix-spans")
+    many = spans.agg(F.sum(F.size("ranges"))).first()[0] or 0
+    spans = F.broadcast(spans) if many <= BROADCAST_ROWS else spans.hint("merge")
     schema = T.StructType([rows.schema["r"], T.StructField("n_bytes", T.LongType()),
                            T.StructField("spans", spans.schema["ranges"].dataType), T.StructField("kept", T.BinaryType())])
-    return lookup_join(rows, spans, ["key"]).select("r", "text", "ranges").mapInArrow(_apply(schema.names), schema)
+    return rows.join(spans, "key", "left").select("r", "text", "ranges").mapInArrow(_apply(schema.names), schema)
