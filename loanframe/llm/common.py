@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,3 +46,17 @@ def lookup_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "le
 def salts(rows: int) -> int:
     """Salts that keep one key's share of a task near 50,000 rows, however hot the key."""
     return max(256, rows // 50_000)
+
+
+_KEPT: dict = {}
+
+
+def worker_cache(name, build):
+    """What ``build`` gives, kept by a Python worker over tasks. A worker keeps one operator's
+    cache at a time: the next operator that runs in it frees the one before."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        _KEPT[name] = build()
+    return _KEPT[name]

@@ -20,19 +20,20 @@ import uuid
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loanframe.llm.common import worker_cache
+
 BUCKETS, DIM = 1 << 18, 12
 GRAMS = (3, 4)
 TRAIN_ROWS, TRAIN_CHARS = 2_000, 20_000
 EPOCHS, RATE, SEED = 6, 2.0, 7
 THRESHOLD = 0.3
 AGAIN, AGAIN_WEIGHT = 0, 8  # the bucket of a repeated word, and the features it counts for
-MEMO_WORDS = 500_000
+MEMO_WORDS = 200_000  # words that a worker remembers before it starts afresh
 
 
 def features(word: str) -> list[int]:
@@ -143,28 +144,16 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     name = uuid.uuid4().hex
     shared = docs.sparkSession.sparkContext.broadcast((model.values.astype(np.float32), model.bias))
 
-    @F.pandas_udf("double")
-    def of(texts: pd.Series) -> pd.Series:
-        model = Model(*shared.value)
-        out = [model.scores(pa.array(texts.iloc[i:i + 2000], pa.string(), from_pandas=True), _memo(name))
-               for i in range(0, len(texts), 2000)]
-        return pd.Series(np.concatenate([*out, np.empty(0)]))
+    @F.arrow_udf("double")
+    def of(texts: pa.Array) -> pa.Array:
+        model, memo = Model(*shared.value), worker_cache(name, dict)
+        out = [model.scores(texts.slice(i, 1000), memo) for i in range(0, len(texts), 1000)]
+        return pa.array(np.concatenate([*out, np.empty(0)]), pa.float64())
 
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"),
                        of(F.col(text_col).cast("string")).alias("score"))
 
 
-_MEMOS: dict[str, dict[str, tuple[float, int]]] = {}
-
-
-def _memo(model: str) -> dict[str, tuple[float, int]]:
-    """The worker's words of the model it scores now; those of an older model are dropped."""
-    if model not in _MEMOS:
-        _MEMOS.clear()
-        _MEMOS[model] = {}
-    return _MEMOS[model]
-
-
 def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows that the classifier accepts, with the columns they came with."""
     return score(docs, fit(docs, labels)).where(F.col("score") >= threshold).select("r.*")

@@ -11,12 +11,13 @@ from __future__ import annotations
 
 import unicodedata
 from array import array
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from loanframe.llm.common import worker_cache
+
 MEMO_UNITS = 500_000  # units, and pre-tokens, that a worker remembers before it starts afresh
 
 # Characters that some engines call white space and others do not, and the
@@ -159,7 +160,6 @@ def binary_slices(data: np.ndarray, cuts: np.ndarray) -> pa.Array:
                                  [None, offsets, pa.py_buffer(data[cuts[0]:cuts[-1]].tobytes())]).cast(pa.binary())
 
 
-@lru_cache(maxsize=4)
 def encoder(path: str, spaces: bool) -> UnitEncoder:
     """The worker's encoder of a file, kept over tasks."""
-    return UnitEncoder(path, spaces)
+    return worker_cache(("encoder", path, spaces), lambda: UnitEncoder(path, spaces))
