@@ -2,9 +2,10 @@
 
 Paragraphs pass points for their length and commas to their parent and, by
 half, to their grandparent; a container's points are discounted by the share of
-its text that stands in links.  The container with the most points and those
-siblings that hold up against it are kept; navigation, forms, notices, adverts
-and reader comments are cut out before scoring.
+its text that stands in links.  If the container with the most points lies in an
+article or main element, that whole element is kept; elsewhere the container and
+those siblings that hold up against it, by their points or by their own text.
+Navigation, forms, notices, adverts and reader comments are cut out before.
 
 Defined results: a null or empty page has an empty text; a page without
 paragraphs gives what is left of its body; truncated or badly nested markup is
@@ -36,17 +37,19 @@ UNLIKELY = re.compile(
     r"respond|share|sharing|sidebars?|signup|skip|social|sponsors?|sponsored|subscribe|toolbar|widgets?|responses|alert)([-_ ]|$)", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar".split())
 PARAGRAPHS = frozenset("p pre td blockquote".split())
-MIN_SIBLING, SIBLING_SHARE, MENU_LINKS = 3.0, 0.2, 0.5
+CONTENT = PARAGRAPHS | frozenset("h1 h2 h3 h4 h5 h6 dl figure ol table ul".split())
+MIN_SIBLING, SIBLING_SHARE, SIBLING_LINKS, MENU_LINKS = 3.0, 0.2, 0.25, 0.5
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "points", "cut", "size", "linked", "commas")
+    __slots__ = ("tag", "parent", "parts", "points", "cut", "size", "linked", "commas", "holds")
 
     def __init__(self, tag: str, parent: Node | None, cut: bool = False):
         self.tag, self.parent, self.cut = tag, parent, cut
         self.parts: list[Node | str] = []
         self.points = 0.0
         self.size = self.linked = self.commas = 0  # characters of text, those in links, commas
+        self.holds = False  # whether it is or holds a paragraph, heading, list, table or figure with text
 
 
 class Tree(HTMLParser):
@@ -109,6 +112,15 @@ class Tree(HTMLParser):
             self.at.parts.append(data)
 
 
+def _size(node: Node) -> None:
+    own = [" ".join(x.split()) for x in node.parts if isinstance(x, str)]
+    kids = [x for x in node.parts if isinstance(x, Node) and not x.cut]
+    node.size = sum(map(len, own)) + sum(k.size for k in kids)
+    node.commas = sum(x.count(",") for x in own) + sum(k.commas for k in kids)
+    node.linked = node.size if node.tag == "a" else sum(k.linked for k in kids)
+    node.holds = bool(node.size) and (node.tag in CONTENT or any(k.holds for k in kids))
+
+
 def _measure(root: Node) -> list[Node]:
     """Sizes of all nodes; returns those in page order that are not cut out."""
     order, todo = [], [root]
@@ -119,11 +131,7 @@ def _measure(root: Node) -> list[Node]:
         order.append(node)
         todo.extend(x for x in reversed(node.parts) if isinstance(x, Node))
     for node in reversed(order):
-        own = [" ".join(x.split()) for x in node.parts if isinstance(x, str)]
-        kids = [x for x in node.parts if isinstance(x, Node) and not x.cut]
-        node.size = sum(map(len, own)) + sum(k.size for k in kids)
-        node.commas = sum(x.count(",") for x in own) + sum(k.commas for k in kids)
-        node.linked = node.size if node.tag == "a" else sum(k.linked for k in kids)
+        _size(node)
     return order
 
 
@@ -139,6 +147,44 @@ def _link_share(node: Node) -> float:
     return node.linked / node.size if node.size else 0.0
 
 
+def _text_points(node: Node) -> float:
+    """Points for the length and the commas of the node's own text."""
+    return (1 + node.commas + min(node.size / 100, 3)) * (1 - _link_share(node))
+
+
+def _blocks(parent: Node, best: Node) -> list[Node]:
+    """The parts of a node that are not cut; a run of bare text and inline elements counts as one block."""
+    out: list[Node] = []
+    for x in parent.parts:
+        if isinstance(x, Node) and (x is best or x.cut or x.tag in BLOCK or x.holds):
+            out.append(x)
+            continue
+        if not out or out[-1].tag != "#run":
+            out.append(Node("#run", parent))
+        out[-1].parts.append(x)
+    for x in out:
+        if x.tag == "#run":
+            _size(x)
+    return [x for x in out if not x.cut]
+
+
+def _kept(best: Node) -> list[Node]:
+    """The nodes that make up the main text, given the container with the most points."""
+    above, node = [], best
+    while node:
+        above.append(node)
+        node = node.parent
+    whole = [x for x in above if x.tag == "article"][-1:] or [x for x in above if x.tag == "main"][:1]
+    if whole or best.tag == "body" or not best.parent:
+        return whole or [best]
+    inner = best
+    while best.parent.parent and best.parent.tag not in ("body", "html") and best.parent.size == best.size:
+        best = best.parent  # a wrapper of nothing else: its siblings are the ones to judge
+    floor = max(MIN_SIBLING, SIBLING_SHARE * inner.points)
+    return [x for x in _blocks(best.parent, best) if x is best or x.points * (1 - _link_share(x)) >= floor or (
+        _link_share(x) < SIBLING_LINKS and (x.holds or _text_points(x) >= MIN_SIBLING))]
+
+
 def _write(node: Node, out: list[str]) -> None:
     """The node's text; a mark stands at each end of a block."""
     todo: list[Node | str] = [node]
@@ -161,7 +207,7 @@ def main_text(html: str | None) -> str:
     order = _measure(tree.root)
     for node in order:
         if _paragraph(node) and node.size:
-            points = (1 + node.commas + min(node.size / 100, 3)) * (1 - _link_share(node))
+            points = _text_points(node)
             parent = node.parent if node.tag in PARAGRAPHS and node.parent else node
             parent.points += points
             if parent.parent:
@@ -169,13 +215,8 @@ def main_text(html: str | None) -> str:
     best = max(order, key=lambda n: n.points * (1 - _link_share(n)), default=tree.root)
     if not best.points:
         best = tree.root
-    kept = [best]
-    if best.parent and best.tag not in ("article", "main", "body"):
-        floor = max(MIN_SIBLING, SIBLING_SHARE * best.points)
-        kept = [x for x in best.parent.parts if isinstance(x, Node) and not x.cut and (
-            x is best or x.points * (1 - _link_share(x)) >= floor or x.tag in ("p", "h1", "h2", "h3") and _link_share(x) < 0.25)]
     out: list[str] = []
-    for x in kept:
+    for x in _kept(best):
         _write(x, out)
     return " ".join("".join(out).split())
 

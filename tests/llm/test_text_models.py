@@ -37,6 +37,29 @@ def test_main_text_without_an_article():
     assert main_text("<p>" * 3000 + "deep" + "<div>" * 3000 + "er") == "deep er"
 
 
+LONG = "".join(f"<p>Paragraph {i}, which is long, says this and that, and goes on for a good while without end.</p>" for i in range(20))
+PARTS = ("<section><p>One short line.</p></section><h5>Small head</h5><section>%s</section><ul><li>point one<li>point two</ul>"
+         "<dl><dt>term<dd>meaning</dl><figure><figcaption>Caption</figcaption></figure><blockquote>Bare quote</blockquote>"
+         "<table><tbody><tr><td>cell</td></tr></tbody></table><pre>a = b</pre>" % LONG)
+
+
+def plain_text(page):
+    import re
+
+    return " ".join(re.sub(r"<[^>]*>", " ", page).split())
+
+
+def test_all_parts_of_the_article_are_kept():
+    rest = "<div class=x><a href=1>a link</a> <a href=2>other</a></div>"
+    for tag in ("article", "main", "div", "div><div"):
+        end = tag.replace("<", "</")
+        assert main_text(f"<body><{tag}>{PARTS}</{end}>{rest}</body>") == plain_text(PARTS), tag
+    assert main_text(f"<article>{PARTS}<section><p>{LONG}</section></article>") == plain_text(PARTS + LONG)
+    assert main_text(f"<main><article>{PARTS}</article><article><p>Other</p></article></main>") == plain_text(PARTS)
+    bare = "A bare line, long enough, with commas, stands before the others"
+    assert main_text(f"<div>{bare}<div>{LONG}</div>{rest}</div>") == plain_text(f"{bare} {LONG}")
+
+
 def test_pages_of_the_table(spark):
     import html
     import re
