@@ -60,6 +60,39 @@ def test_all_parts_of_the_article_are_kept():
     assert main_text(f"<div>{bare}<div>{LONG}</div>{rest}</div>") == plain_text(f"{bare} {LONG}")
 
 
+def test_an_unclosed_head_or_skipped_element_does_not_hide_the_page():
+    text = plain_text(LONG)
+    assert main_text(f"<html><head><title>T</title><meta charset=utf-8><body><article>{LONG}</article></body></html>") == text
+    assert main_text(f"<html><head><title>T</title><article>{LONG}</article>") == text
+    assert main_text(f"<head><title>T<body>{LONG}") == main_text(f"<head><noscript><img src=x><body>{LONG}") == text
+    assert main_text("<head><title>T</title>bare text") == "bare text"
+    for tag in ("button", "noscript", "canvas", "svg", "object", "select"):
+        for page in (f"<body><div><{tag}>Menu</div><article>{LONG}</article></body>", f"<body><{tag}>Menu<article>{LONG}</article></body>",
+                     f"<article><p>{LONG}<{tag}><b>x{LONG}</article>"):
+            assert main_text(page) == (text if "<b>" not in page else f"{text} {text}"), page[:60]
+        shut = f"<article>{LONG}<div><{tag}><span>Menu</span></{tag}></div><p>End <{tag}>x</{tag}>of it</article>"
+        assert main_text(shut) == text + " End of it"
+    assert main_text("<article><p>a <button><div>x</div></button>b<p>c</article>") == "a b c"
+    assert main_text("<p>a <svg viewBox=x><title>t</title><g><path d=M /></g></svg>b</p>") == "a b"
+
+
+def test_names_do_not_cut_the_article():
+    text = plain_text(LONG)
+    for name in ("content has-sidebar", "no-sidebar", "with-comments", "widget post-body", "comments-open page"):
+        assert main_text(f'<div class="{name}"><article>{LONG}</article></div><p>&copy; me') == text, name
+        assert main_text(f'<body><div class="{name}">{LONG}</div></body>') == text, name
+        assert main_text(f'<main><div id=x class="{name}">{LONG}</div></main>') == text, name
+    assert main_text(f"<body><form id=aspnetForm><main>{LONG}</main></form></body>") == text
+    assert main_text(f"<body><nav>Menu<article>{LONG}</article></body>") == text
+    assert main_text('<article><pre>a <span class="hljs-comment"># b</span></pre></article>') == "a # b"
+    # Comments, adverts and notices stay cut, however long, where an article stands beside or around them.
+    for name in ("comments", "comment-list", "replies"):
+        assert main_text(f"<div class=post><p>Short post.</p></div><div id={name}><article>{LONG}</article></div>") == "Short post."
+        assert main_text(f"<article><p>Short post.</p><section id={name}>{LONG}</section></article>") == "Short post."
+    assert main_text(f"<article><p>Short post.</p></article><div class=cookie-consent>{LONG}</div>") == "Short post."
+    assert main_text(f"<article>{LONG}<div class=ad><p>Buy</p></div></article>") == text
+
+
 def test_pages_of_the_table(spark):
     import html
     import re
