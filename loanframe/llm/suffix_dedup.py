@@ -149,7 +149,7 @@ def _sort_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
     """Ranges that repeated windows cover in the cells of a bucket of cores.
 
     The cores of a bucket are sorted some at a time, since short strings sort faster."""
-    pdf = pdf.drop_duplicates(["core", "cell"]).sort_values("core", kind="stable")
+    pdf = pdf.sort_values("core", kind="stable")
     done = (pdf["bytes"].map(len).cumsum() // SORT_BYTES).to_numpy()
     new = np.concatenate([[True], np.diff(pdf["core"].to_numpy()) != 0])
     out = []
@@ -186,12 +186,17 @@ def _finer(width: int):
     return run
 
 
+def _distinct(cells: DataFrame) -> DataFrame:
+    """One row per core and cell, combined before the shuffle; cells that occur once are alone already."""
+    return cells.where("once").unionByName(cells.where("not once").dropDuplicates(["core", "cell"]))
+
+
 def _sorted_ranges(cells: DataFrame) -> DataFrame:
     """Ranges from cells with bytes whose cores have MOST_CELLS kinds at most."""
     size = cells.agg(F.sum(F.length("bytes"))).first()[0] or 0
     buckets = max(1, size // BUCKET_BYTES)
-    return (cells.select("key", "first", "core", "cell", "once", "bytes",
-                         F.pmod(F.xxhash64("core"), F.lit(buckets)).alias("bucket"))
+    return (_distinct(cells.select("key", "first", "core", "cell", "once", "bytes"))
+            .withColumn("bucket", F.pmod(F.xxhash64("core"), F.lit(buckets)))
             .groupBy("bucket").applyInPandas(_sort_bucket, "key binary, lo long, hi long"))
 
 
@@ -217,13 +222,12 @@ def repeated_ranges(texts: DataFrame, most_cells: int = MOST_CELLS) -> DataFrame
         crowd = some.where(F.col("kinds") > most_cells)
         if width is None or not crowd.take(1):
             break
-        crowd = crowd.dropDuplicates(["core", "cell"]).select(
-            "key", "first", "windows", "anchor", "core", "cell", "once", "bytes")
+        crowd = _distinct(crowd).select("key", "first", "windows", "anchor", "core", "cell", "once", "bytes")
         parts = stored(crowd.mapInArrow(_finer(width), crowd.schema), "suffix-finer")
-        told = parts.join(_counted(parts).hint("merge"), ["core", "cell"])
-        some = stored(told, "suffix-told")
-        found.append(_ranges(some.where("n > 1 and once")))
-        some = some.where("kinds > 1").drop("n")
+        told = stored(parts.join(_counted(parts).hint("merge"), ["core", "cell"]), "suffix-told")
+        found.append(_ranges(told.where("n > 1 and once")))
+        # Parts that occur more often have their ranges; one of each stands for them among the others of its core.
+        some = told.where("kinds > 1").withColumn("once", F.expr("once and n = 1")).drop("n")
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)

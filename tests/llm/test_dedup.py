@@ -159,6 +159,25 @@ def test_suffix_dedup_by_brute_force(spark, most, monkeypatch):
     assert suffix_dedup.remove_repeats(empty(spark)).collect() == []
 
 
+def test_a_task_sorts_one_row_per_cell_of_a_crowded_core(spark, monkeypatch):
+    whole, sort, most = suffix_dedup.repeated_ranges, suffix_dedup._sort_bucket, 10
+
+    def checked(pdf):
+        assert not pdf.duplicated(["core", "cell"]).any() and pdf.groupby("core").size().max() <= most
+        return sort(pdf)
+    monkeypatch.setattr(suffix_dedup, "repeated_ranges", lambda t: whole(t, most))
+    monkeypatch.setattr(suffix_dedup, "_sort_bucket", checked)
+    rng = random.Random(4)
+    say = lambda n: "".join(rng.choice("abcdefghij klm") for _ in range(n))
+    passage, after = say(700), [say(60) for _ in range(3)]
+    rows = [say(450) + passage + after[i % 3] + say(450) for i in range(60)]
+    rows += [rows[0]] * 9  # copies
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string").repartition(8)
+    got = {r["r"]["doc_id"]: ([[s["lo"], s["hi"]] for s in r["spans"]], bytes(r["kept"]))
+           for r in suffix_dedup.remove_repeats(df).collect()}
+    assert got == dict(enumerate(brute_spans([t.encode() for t in rows])))
+
+
 def test_long_texts_are_read_in_stretches(monkeypatch):
     t = "".join(texts())[:30_000].encode()
     monkeypatch.setattr(suffix_dedup, "CHUNK", 4096)
