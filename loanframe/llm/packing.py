@@ -34,11 +34,11 @@ BUCKET_ROWS = 50_000  # about the pieces that one task numbers
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, size: int = SIZE, id_col: str = "doc_id",
-           text_col: str = "text") -> DataFrame:
+           text_col: str = "text", special_as_text: bool = True) -> DataFrame:
     """One row per piece: row (a number of its own), id, start, length, doc_tokens, ids (little-endian 32-bit)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer, True)
+        enc = encoder(tokenizer, True, special_as_text)
         for batch in batches:
             for at, ids, offsets in enc.slices(batch.column(1)):
                 ids, offsets = close_documents(ids, offsets, end_id)
@@ -121,6 +121,6 @@ def place(cut: DataFrame, size: int = SIZE) -> DataFrame:
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, size: int = SIZE, id_col: str = "doc_id",
-         text_col: str = "text") -> DataFrame:
+         text_col: str = "text", special_as_text: bool = True) -> DataFrame:
     """All pieces with their ids and places."""
-    return place(pieces(docs, tokenizer, end_id, size, id_col, text_col), size).withColumnRenamed("id", id_col).drop("row")
+    return place(pieces(docs, tokenizer, end_id, size, id_col, text_col, special_as_text), size).withColumnRenamed("id", id_col).drop("row")

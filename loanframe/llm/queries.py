@@ -16,7 +16,7 @@ BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
 
 def op1_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
+    cut = packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), special_as_text=False)
     placed = packing.place(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
     return placed.select(F.col("id").alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id",
                          "offset", "padded_length")
@@ -51,7 +51,7 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = folder(spark, "token-files")
-    token_files.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path(WORD_BPE))
+    token_files.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path(WORD_BPE), special_as_text=False)
     return token_files.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 

@@ -106,7 +106,7 @@ def decode_segment(image: bytes, first: int = 0, last: int | None = None) -> tup
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_col: str = "doc_id",
-          text_col: str = "text") -> None:
+          text_col: str = "text", special_as_text: bool = True) -> None:
     """Writes the token files of all documents, in ascending order of their ids."""
     kind = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("segment", T.LongType()),
@@ -114,7 +114,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_col: s
                            T.StructField("docs", T.ArrayType(kind)), T.StructField("image", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part = encoder(tokenizer, False), TaskContext.get().partitionId()
+        enc, part = encoder(tokenizer, False, special_as_text), TaskContext.get().partitionId()
         held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
         segment = before = 0
 

@@ -9,6 +9,7 @@ reach the tokenizers library.  The ids equal those of one call on the text.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from array import array
 
@@ -38,13 +39,18 @@ class UnitEncoder:
 
     ``spaces`` says whether a unit keeps the white space before it (byte-level
     vocabularies) or white space is dropped (lower-cased word vocabularies).
+    ``special_as_text`` says whether the strings of special tokens are ordinary
+    text, or get their ids as the library's default has it.
     """
 
-    def __init__(self, path: str, spaces: bool):
+    def __init__(self, path: str, spaces: bool, special_as_text: bool = True):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # such strings in a text are ordinary text
+        self.tok.encode_special_tokens = special_as_text
+        # A text that holds a special token is encoded by a single call.
+        special = [] if special_as_text else [t.content for t in self.tok.get_added_tokens_decoder().values() if t.special]
+        self.whole = "|".join([_ODD, *map(re.escape, special)])
         self.tok.no_padding()
         self.tok.no_truncation()
         self.model, self.spaces = self.tok.model, spaces
@@ -103,7 +109,7 @@ class UnitEncoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, offsets): text i has ids[offsets[i]:offsets[i + 1]]. Null: no ids."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        whole = pc.match_substring_regex(texts, _ODD)
+        whole = pc.match_substring_regex(texts, self.whole)
         units = self._cut(pc.if_else(whole, "", texts))
         coded = units.flatten().dictionary_encode()
         words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
@@ -160,6 +166,6 @@ def binary_slices(data: np.ndarray, cuts: np.ndarray) -> pa.Array:
                                  [None, offsets, pa.py_buffer(data[cuts[0]:cuts[-1]].tobytes())]).cast(pa.binary())
 
 
-def encoder(path: str, spaces: bool) -> UnitEncoder:
+def encoder(path: str, spaces: bool, special_as_text: bool = True) -> UnitEncoder:
     """The worker's encoder of a file, kept over tasks."""
-    return worker_cache(("encoder", path, spaces), lambda: UnitEncoder(path, spaces))
+    return worker_cache(("encoder", path, spaces, special_as_text), lambda: UnitEncoder(path, spaces, special_as_text))

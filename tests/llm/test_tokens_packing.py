@@ -47,6 +47,26 @@ def test_units_equal_one_call_on_odd_texts(some):
 ENCODERS: dict = {}
 
 
+def test_queries_give_the_ids_of_an_unchanged_tokenizer(spark, tmp_path):
+    import corpus_pipeline
+    from loanframe.llm import queries
+
+    every = [x for x in NASTY if x] + ["a <|endoftext|> b<|startoftext|>", "<|endoftext|><|endoftext|> x ", "<|ENDOFTEXT|> y  <|endoftext|>"]
+    for path, spaces in ((BYTE, True), (WORD, False)):
+        enc, tok = UnitEncoder(path, spaces, special_as_text=False), Tokenizer.from_file(path)
+        ids, offsets = enc.encode(pa.array(every, pa.string()))
+        assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [tok.encode(x, add_special_tokens=False).ids for x in every]
+    docs = spark.createDataFrame(list(enumerate(every)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for query, path, end in ((queries.op1_pack_documents, BYTE, 0), (queries.op7_token_files, WORD, 1)):
+        one = Tokenizer.from_file(path)
+        want = {i: zlib.crc32(np.array([*one.encode(x, add_special_tokens=False).ids, end], "<u4").tobytes()) for i, x in enumerate(every)}
+        assert {r["doc_id"]: r["ids_crc32"] for r in query(spark, str(tmp_path)).collect()} == want
+    one = Tokenizer.from_file(public_tokenizers.path(corpus_pipeline.TOKENIZER))
+    got = {r["doc_id"]: r["ids"] for r in corpus_pipeline.pack_documents(spark, docs, str(tmp_path)).collect()}
+    assert got == {i: np.array([*one.encode(x, add_special_tokens=False).ids, 0], "<u4").tobytes() for i, x in enumerate(every)}
+
+
 def test_patterns_place_every_piece():
     rng = random.Random(2)
     counts = Counter(rng.randint(1, 64) for _ in range(3000))
