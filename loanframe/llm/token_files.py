@@ -44,6 +44,35 @@ def _bit_width(x: np.ndarray) -> np.ndarray:
     return np.frexp(x.astype(np.float64))[1]  # 0 for 0, else 1 + floor(log2)
 
 
+def _pack(values: np.ndarray, width: int) -> np.ndarray:
+    """Blocks of values, one row each, as bytes: value i stands at bit i * width, lowest bit first."""
+    lanes = np.ascontiguousarray(values.astype(np.uint64).reshape(-1, 64).T)  # 64 values fill ``width`` words
+    words = np.zeros((width, lanes.shape[1]), np.uint64)
+    for i in range(64):
+        word, bit = divmod(i * width, 64)
+        words[word] |= lanes[i] << np.uint64(bit)
+        if bit + width > 64:
+            words[word + 1] |= lanes[i] >> np.uint64(64 - bit)
+    return np.ascontiguousarray(words.T).astype("<u8").view(np.uint8).reshape(len(values), -1)
+
+
+def _unpack(data: np.ndarray, width: int) -> np.ndarray:
+    """The blocks of values that ``_pack`` wrote."""
+    words = np.ascontiguousarray(np.ascontiguousarray(data).view("<u8").astype(np.uint64).reshape(-1, width).T)
+    lanes = np.empty((64, words.shape[1]), np.uint64)
+    for i in range(64):
+        word, bit = divmod(i * width, 64)
+        lanes[i] = words[word] >> np.uint64(bit)
+        if bit + width > 64:
+            lanes[i] |= words[word + 1] << np.uint64(64 - bit)
+    return (np.ascontiguousarray(lanes.T) & np.uint64((1 << width) - 1)).reshape(len(data), BLOCK).astype(np.int64)
+
+
+def _bytes_of(x: np.ndarray) -> np.ndarray:
+    """The four little-endian bytes of each number."""
+    return x.astype("<u4").reshape(-1, 1).view(np.uint8)
+
+
 def encode_segment(lengths: np.ndarray, ids: np.ndarray) -> bytes:
     """The file image of some documents' ids."""
     if not len(ids):
@@ -55,24 +84,23 @@ def encode_segment(lengths: np.ndarray, ids: np.ndarray) -> bytes:
     nth = -(-BLOCK * PERCENTILE // 100) - 1
     width = _bit_width(np.partition(diff, nth, axis=1)[:, nth])
     odd = (diff >> width[:, None]) > 0
-    packed: list[bytes] = [b""] * len(rows)
-    for w in np.unique(width):
-        at = np.flatnonzero(width == w)
-        low = np.where(odd[at], 0, diff[at])
-        bits = ((low[:, :, None] >> np.arange(w)) & 1).astype(np.uint8).reshape(len(at), -1)
-        for i, line in zip(at.tolist(), np.packbits(bits, axis=1, bitorder="little")):
-            packed[i] = line.tobytes()
-    blocks = []
     many = odd.sum(axis=1)
-    for i in range(len(rows)):
-        exceptions = b""
-        if many[i]:
-            place = np.flatnonzero(odd[i])
-            exceptions = place.astype(np.uint8).tobytes() + diff[i, place].astype("<u4").tobytes()
-        blocks.append(struct.pack("<IBB", least[i], width[i], many[i]) + packed[i] + exceptions)
-    index = np.concatenate([[0], np.cumsum([len(b) for b in blocks])]).astype("<u4")
+    # Every block's bytes have a known place, so headers, values and exceptions are scattered into one buffer.
+    index = np.concatenate([[0], np.cumsum(6 + width * BLOCK // 8 + 5 * many)])
+    at, out = index[:-1], np.zeros(index[-1], np.uint8)
+    out[at[:, None] + np.arange(4)] = _bytes_of(least)
+    out[at + 4], out[at + 5] = width, many
+    low = np.where(odd, 0, diff)
+    for w in np.unique(width[width > 0]).tolist():
+        some = np.flatnonzero(width == w)
+        out[at[some][:, None] + 6 + np.arange(w * BLOCK // 8)] = _pack(low[some], w)
+    row, place = np.nonzero(odd)
+    nth = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+    begin = (at + 6 + width * BLOCK // 8)[row]
+    out[begin + nth] = place
+    out[(begin + many[row] + 4 * nth)[:, None] + np.arange(4)] = _bytes_of(diff[row, place])
     head = MAGIC + struct.pack("<3I", len(lengths), len(ids), len(rows))
-    return b"".join([head, lengths.astype("<u4").tobytes(), index.tobytes(), *blocks])
+    return b"".join([head, lengths.astype("<u4").tobytes(), index.astype("<u4").tobytes(), out.tobytes()])
 
 
 def decode_segment(image: bytes, first: int = 0, last: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -90,11 +118,9 @@ def decode_segment(image: bytes, first: int = 0, last: int | None = None) -> tup
     least = data[at[:, None] + np.arange(4)].copy().view("<u4")[:, 0].astype(np.int64)
     width, many = data[at + 4].astype(np.int64), data[at + 5].astype(np.int64)
     diff = np.zeros((len(at), BLOCK), np.int64)
-    for w in np.unique(width[width > 0]):
+    for w in np.unique(width[width > 0]).tolist():
         rows = np.flatnonzero(width == w)
-        raw = data[at[rows][:, None] + 6 + np.arange(w * BLOCK // 8)]
-        bits = np.unpackbits(raw, axis=1, bitorder="little").reshape(len(rows), BLOCK, w)
-        diff[rows] = bits @ (1 << np.arange(w, dtype=np.int64))
+        diff[rows] = _unpack(data[at[rows][:, None] + 6 + np.arange(w * BLOCK // 8)], w)
     if many.sum():
         row = np.repeat(np.arange(len(at)), many)
         nth = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)

@@ -2,16 +2,19 @@
 
 A tokenizer's pre-tokenizer never joins characters across an ASCII white
 space that follows a non-space character, so a text may be cut there and the
-cut units encoded one by one.  Units repeat (words do), so each batch is
-dictionary-encoded in Arrow and only units that this worker has not met yet
-reach the tokenizers library.  The ids equal those of one call on the text.
+cut units encoded one by one.  Units repeat (words do), so each slice of a
+batch is dictionary-encoded in Arrow, plain words are parted from their closing
+marks, and only parts that this worker has not met yet reach the tokenizers
+library.  The ids equal those of one call on the text.
+
+What a worker remembers are two Arrow arrays (parts and their ids) of at most
+``MEMO_BYTES`` bytes together; beyond that it keeps the parts it has met again.
 """
 
 from __future__ import annotations
 
 import re
-import unicodedata
-from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +22,14 @@ import pyarrow.compute as pc
 
 from loanframe.llm.common import worker_cache
 
-MEMO_UNITS = 500_000  # units, and pre-tokens, that a worker remembers before it starts afresh
+MEMO_BYTES = 24 << 20
+SLICE_BYTES = 8 << 20  # texts that are encoded at a time
 
 # Characters that some engines call white space and others do not, and the
 # cut mark itself: a text that holds one is encoded by a single call.
 _ODD = "[\\x00\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
-_TAIL = ".,;:!?)"
+_TAIL = "[.,;:!?)#$%&*]*"  # marks that form one pre-token after a letter
+_LATIN = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-{}]+"
 
 
 def _byte_chars() -> dict[int, str]:
@@ -34,6 +39,13 @@ def _byte_chars() -> dict[int, str]:
     return {**{b: chr(b) for b in own}, **{b: chr(256 + i) for i, b in enumerate(rest)}}
 
 
+def _packed(lists: list[list[int]]) -> pa.Array:
+    """Little-endian 32-bit ids of each list, as a binary array."""
+    ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)))]).astype("<i8") * 4
+    data = np.array(list(chain.from_iterable(lists)), "<u4")
+    return pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(ends), pa.py_buffer(data.tobytes())])
+
+
 class UnitEncoder:
     """Encodes string arrays with one tokenizer file.
 
@@ -55,45 +67,46 @@ class UnitEncoder:
         self.tok.no_truncation()
         self.model, self.spaces = self.tok.model, spaces
         self.bytes = _byte_chars()
-        self.memo: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}  # of single pre-tokens, so that a word is new once, not once with each mark
-
-    def _part(self, s: str) -> bytes:
-        """Ids of one pre-token."""
-        ids = self.parts.get(s)
-        if ids is None:
-            # Printable ASCII stands for itself in the byte-level alphabet.
-            mapped = s if s.isascii() and s[0] > " " else "".join(map(self.bytes.__getitem__, s.encode()))
-            ids = self.parts[s] = array("I", [x.id for x in self.model.tokenize(mapped)]).tobytes()
-        return ids
-
-    def _pre_tokens(self, unit: str) -> list[str] | None:
-        """The pre-tokens of a plain word with a closing mark; None for anything else."""
-        lead, word = ("", unit)
-        if self.spaces and unit[:1] in (" ", "\n"):
-            lead, word = unit[0], unit[1:]
-        body = word.rstrip(_TAIL)
-        if not body.isalpha() or max(body) >= ("\u0250" if self.spaces else "\u0130"):
-            return None
-        tail = word[len(body):]
-        if self.spaces:
-            parts = ["\n", body] if lead == "\n" else [lead + body]
-        else:
-            parts = [(body if body.isascii() else unicodedata.normalize("NFC", body)).lower()]
-        return [*parts, tail] if tail else parts
-
-    def _encode(self, units: list[str]) -> dict[str, bytes]:
-        """Ids of units that are not in the memo."""
-        out, odd = {}, []
-        for u in units:
-            parts = self._pre_tokens(u)
-            if parts is None:
-                odd.append(u)
-            else:
-                out[u] = b"".join(map(self._part, parts))
-        if odd:
-            for u, e in zip(odd, self.tok.encode_batch_fast(odd, add_special_tokens=False)):
-                out[u] = np.array(e.ids, "<u4").tobytes()
+        word = " ?" + _LATIN.format("\u024f") if spaces else _LATIN.format("\u012f")
+        self.plain = f"^{word}$"
+        self.unit = f"^(?P<lead>{'\n?' if spaces else ''})(?P<body>{word})(?P<tail>{_TAIL})$"
+        self.known, self.known_ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
+        self.again = np.zeros(0, bool)  # of the known ones, those that were met again
+
+    def _word(self, word: str) -> list[int]:
+        """Ids of a plain word, which is one pre-token."""
+        if not self.spaces:
+            word = word.lower()
+        if not word.isascii():
+            word = "".join(map(self.bytes.__getitem__, word.encode()))
+        elif word[0] == " ":
+            word = self.bytes[32] + word[1:]
+        return [x.id for x in self.model.tokenize(word)]
+
+    def _made(self, parts: pa.Array) -> pa.Array:
+        """Ids of parts that are not known."""
+        plain = pc.match_substring_regex(parts, self.plain).to_numpy(zero_copy_only=False)
+        listed, places = parts.to_pylist(), np.flatnonzero(~plain).tolist()
+        others = self.tok.encode_batch_fast([listed[i] for i in places], add_special_tokens=False) if places else []
+        odd = {i: e.ids for i, e in zip(places, others)}
+        return _packed([odd[i] if i in odd else self._word(w) for i, w in enumerate(listed)])
+
+    def _ids(self, parts: pa.Array) -> pa.Array:
+        """Ids of distinct parts."""
+        at = pc.index_in(parts, self.known)
+        new = at.is_null().to_numpy(zero_copy_only=False)
+        place = at.fill_null(0).to_numpy().astype(np.int64)
+        self.again[place[~new]] = True
+        place[new] = len(self.known) + np.arange(new.sum())
+        fresh = parts.filter(pa.array(new))
+        known, ids = pa.concat_arrays([self.known, fresh]), pa.concat_arrays([self.known_ids, self._made(fresh)])
+        out, again = ids.take(pa.array(place)), np.concatenate([self.again, np.zeros(len(fresh), bool)])
+        if known.nbytes + ids.nbytes > MEMO_BYTES:
+            known, ids = (x.filter(pa.array(again)) for x in (known, ids))
+            again = np.zeros(len(known), bool)
+            if known.nbytes + ids.nbytes > MEMO_BYTES // 2:
+                known, ids, again = known[:0], ids[:0], again[:0]
+        self.known, self.known_ids, self.again = known, ids, again
         return out
 
     def _cut(self, texts: pa.Array) -> pa.Array:
@@ -106,22 +119,24 @@ class UnitEncoder:
             texts = pc.replace_substring(pc.replace_substring(texts, " ", "\x00 "), "\n", "\x00\n")
         return pc.split_pattern(texts, "\x00")
 
+    def _unit_ids(self, units: pa.Array) -> pa.Array:
+        """Ids of distinct units: of a plain word and the marks around it, or of the unit as it stands."""
+        found = pc.extract_regex(units, self.unit)
+        body = pc.coalesce(pc.struct_field(found, "body"), units)
+        lead, tail = (pc.fill_null(pc.struct_field(found, name), "") for name in ("lead", "tail"))
+        coded = pa.concat_arrays([lead, body, tail]).dictionary_encode()
+        ids, n = self._ids(coded.dictionary), len(units)
+        parts = [ids.take(coded.indices.slice(i * n, n)) for i in range(3)]
+        return pc.binary_join_element_wise(*parts, pa.scalar(b"", pa.large_binary()))
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, offsets): text i has ids[offsets[i]:offsets[i + 1]]. Null: no ids."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         whole = pc.match_substring_regex(texts, self.whole)
         units = self._cut(pc.if_else(whole, "", texts))
         coded = units.flatten().dictionary_encode()
-        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        if len(self.memo) > MEMO_UNITS:
-            self.memo = {}
-        if len(self.parts) > MEMO_UNITS:
-            self.parts = {}
-        memo = self.memo
-        fresh = self._encode([w for w in words if w not in memo])
-        memo.update(fresh)
         # Taking each unit's ids from the dictionary lays the ids of all texts end to end.
-        taken = pa.array([memo[w] for w in words], pa.large_binary()).take(coded.indices)
+        taken = self._unit_ids(coded.dictionary).take(coded.indices)
         _, ends, data = taken.buffers()
         ends = np.frombuffer(ends, "<i8", len(taken) + 1, taken.offset * 8) if len(taken) else np.zeros(1, np.int64)
         ids = np.frombuffer(data, "<u4", int(ends[-1] - ends[0]) // 4, int(ends[0])) if data else np.empty(0, "<u4")
@@ -131,7 +146,7 @@ class UnitEncoder:
         rows = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
         return (ids, offsets) if not len(rows) else self._mend(texts, rows, ids, offsets)
 
-    def slices(self, texts: pa.Array, most: int = 8 << 20):
+    def slices(self, texts: pa.Array, most: int = SLICE_BYTES):
         """(first row, ids, offsets) of consecutive runs of texts of about ``most`` bytes each."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))

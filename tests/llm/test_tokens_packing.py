@@ -1,4 +1,5 @@
 import random
+import struct
 import zlib
 from collections import Counter, defaultdict
 
@@ -10,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from loanframe.llm import packing, token_files
+from loanframe.llm import packing, token_files, tokens
 from loanframe.llm.common import folder
 from loanframe.llm.tokens import UnitEncoder
 
@@ -114,6 +115,43 @@ def test_segment_round_trip(ids):
     assert got[0].tolist() == lengths.tolist() and got[1].tolist() == ids
 
 
+def plain_image(lengths, ids):
+    """A segment written value by value, as the module's layout says."""
+    blocks = []
+    for a in range(0, len(ids), 128):
+        block = [*ids[a:a + 128], *[ids[-1]] * (a + 128 - len(ids))]
+        low = min(block)
+        diff = [x - low for x in block]
+        width = sorted(diff)[115].bit_length()
+        odd = [i for i, d in enumerate(diff) if d >> width]
+        bits = sum((0 if d >> width else d) << (i * width) for i, d in enumerate(diff))
+        blocks.append(struct.pack("<IBB", low, width, len(odd)) + bits.to_bytes(16 * width, "little") + bytes(odd)
+                      + b"".join(struct.pack("<I", diff[i]) for i in odd))
+    index = [0, *np.cumsum([len(b) for b in blocks]).tolist()]
+    return b"".join([b"PFR1", struct.pack("<3I", len(lengths), len(ids), len(blocks)), struct.pack(f"<{len(lengths)}I", *lengths),
+                     struct.pack(f"<{len(index)}I", *index), *blocks])
+
+
+@pytest.mark.parametrize("top", [1, 2, 300, 50_000, 2**32])
+def test_images_equal_a_plain_writer(top):
+    rng = np.random.default_rng(top)
+    for n in (1, 127, 128, 129, 2000):
+        ids = rng.integers(0, top, n).astype("<u4")
+        ids[rng.integers(0, n, n // 20)] = 2**32 - 1
+        assert token_files.encode_segment(np.array([n]), ids) == plain_image([n], ids.tolist())
+
+
+def test_a_full_memo_keeps_the_ids_right(monkeypatch):
+    monkeypatch.setattr(tokens, "MEMO_BYTES", 4000)
+    every = texts()[:40]
+    for path, spaces in ((BYTE, True), (WORD, False)):
+        one, enc = plain(path), UnitEncoder(path, spaces)
+        for _ in range(2):
+            for at, ids, offsets in enc.slices(pa.array(every, pa.string()), 20_000):
+                assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [one(x) for x in every[at:at + len(offsets) - 1]]
+                assert enc.known.nbytes + enc.known_ids.nbytes <= 4000
+
+
 def test_block_index_reads_a_stretch():
     data = np.random.default_rng(1).integers(0, 50_000, 1000).astype("<u4")
     _, ids = token_files.decode_segment(token_files.encode_segment(np.array([1000]), data), 2, 4)
