@@ -83,4 +83,83 @@ SELECT doc_id, size, source_size, target,
 FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
 """
 
-ORACLE_SQL = {"op2_exact_dedup": OP2, "op3_quality_rules": OP3, "op4_url_filter": OP4, "op6_mix_sources": OP6}
+OP11 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT k, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+lt AS (SELECT lang, term, count(*)::HUGEINT AS n FROM w GROUP BY lang, term HAVING count(DISTINCT k) >= 3),
+st AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM w SEMI JOIN lt USING (lang, term) GROUP BY lang, source, term),
+l AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS total FROM lt GROUP BY lang),
+g AS (
+  SELECT o.lang, o.source, coalesce(l.v, 0)::HUGEINT AS v, coalesce(sum(st.n), 0)::HUGEINT AS total
+  FROM (SELECT DISTINCT lang, source FROM d) o LEFT JOIN l USING (lang) LEFT JOIN st USING (lang, source)
+  GROUP BY o.lang, o.source, l.v),
+p AS (  -- every group's share of every kept term of its language
+  SELECT g.lang, g.source, lt.term, coalesce(st.n, 0) AS n,
+         1 + (1000000000 * (coalesce(st.n, 0) + 1)) // (g.total + g.v) AS p,
+         1 + (1000000000 * (lt.n + 1)) // (l.total + g.v) AS q
+  FROM g JOIN lt USING (lang) JOIN l USING (lang) LEFT JOIN st ON st.lang = g.lang AND st.source = g.source AND st.term = lt.term),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source, y.source AS other, sum(((x.p - y.p) * (x.p - y.p)) // y.p) AS value
+             FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term GROUP BY 1, 2, 3) s
+    ON s.lang = a.lang AND s.source = a.source AND s.other = b.source),
+terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, (((p - q) * (p - q)) // q)::BIGINT AS value FROM p WHERE n > 0 AND p > q)
+SELECT * FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item))::INT AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+WHERE part = 'pair' OR rank <= 200
+"""
+
+OP13 = r"""
+WITH RECURSIVE rows AS (
+  SELECT doc_id, lang, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-')
+         || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS a,
+         n_chars, coalesce(strlen(text) || ':' || text, '-') AS z,
+         -- CRC-32 of the decimal id, bit by bit
+         xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ord(c)::BIGINT)),
+           lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: xor(x >> 1, 3988292384 * (x & 1))))) % 7 = 0 AS bad
+  FROM documents),
+leaf AS (
+  SELECT doc_id, lang, sha256(a || coalesce(len(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || z) AS leaf,
+         sha256(a || coalesce(len(CAST(n_chars + bad::INT AS VARCHAR)) || ':' || (n_chars + bad::INT), '-') || z) AS claim
+  FROM rows),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n,
+         dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g FROM leaf),
+tree AS (
+  SELECT g, 0 AS lvl, i, n, leaf AS h FROM placed
+  UNION ALL
+  SELECT g, lvl + 1, i // 2, (max(n) + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM tree WHERE n > 1 GROUP BY g, lvl, i // 2),
+sub AS (SELECT g, lvl AS height, h AS subroot FROM tree WHERE n = 1),
+top AS (
+  SELECT 0 AS lvl, g AS i, count(*) OVER () AS n, subroot AS h FROM sub
+  UNION ALL
+  SELECT lvl + 1, i // 2, (max(n) + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM top WHERE n > 1 GROUP BY lvl, i // 2),
+-- one row for each node on a leaf's way up: the level's sibling, if any, and on which side it stands
+way AS (
+  SELECT p.g, p.i, t.lvl, (p.i >> t.lvl) & 1 AS side, s.h
+  FROM placed p JOIN (SELECT DISTINCT g, lvl FROM tree WHERE n > 1) t USING (g)
+  LEFT JOIN tree s ON s.g = p.g AND s.lvl = t.lvl AND s.i = xor(p.i >> t.lvl, 1)
+  UNION ALL
+  SELECT p.g, p.i, 1000 + t.lvl, (p.g >> t.lvl) & 1, s.h
+  FROM placed p CROSS JOIN (SELECT DISTINCT lvl FROM top WHERE n > 1) t
+  LEFT JOIN top s ON s.lvl = t.lvl AND s.i = xor(p.g >> t.lvl, 1)),
+proof AS (
+  SELECT g, i, coalesce(string_agg(h, '' ORDER BY lvl), '') AS hs,
+         list(CASE WHEN h IS NULL THEN 'N' WHEN side = 1 THEN 'L' || h ELSE 'R' || h END ORDER BY lvl) AS steps
+  FROM way GROUP BY g, i),
+folded AS (
+  SELECT p.*, sha256(coalesce(hs, '')) AS proof_sha256,
+         list_reduce(list_prepend(claim, coalesce(steps, [])), lambda x, s: sha256(
+           CASE s[1] WHEN 'N' THEN x WHEN 'L' THEN s[2:] || x ELSE x || s[2:] END)) AS folded_root
+  FROM placed p LEFT JOIN proof USING (g, i))
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified
+FROM folded JOIN sub USING (g) CROSS JOIN (SELECT h AS root FROM top WHERE n = 1)
+"""
+
+ORACLE_SQL = {"op2_exact_dedup": OP2, "op3_quality_rules": OP3, "op4_url_filter": OP4, "op6_mix_sources": OP6,
+              "op11_source_divergence": OP11, "op13_merkle_manifest": OP13}

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from loanframe.llm import (exact_dedup, html_text, mixing, packing, quality_classifier, quality_rules, simhash,
-                           suffix_dedup, token_files, url_filter)
+from loanframe.llm import (best_fit, divergence, exact_dedup, html_text, merkle, mixing, packing, quality_classifier,
+                           quality_rules, simhash, suffix_dedup, token_files, url_filter)
 from loanframe.llm.common import folder, table
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -71,7 +71,26 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= c.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = best_fit.stream(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), special_as_text=False)
+    placed = best_fit.settle(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+    return placed.select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    bad = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    told = merkle.manifest(docs, claims={"n_chars": F.when(bad, F.col("n_chars") + 1).otherwise(F.col("n_chars"))})
+    return told.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root",
+                       F.sha2(F.array_join("proof", ""), 256).alias("proof_sha256"), "folded_root", "verified")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_pack_documents, op2_exact_dedup, op3_quality_rules, op4_url_filter, op5_suffix_dedup,
-                              op6_mix_sources, op7_token_files, op8_simhash_dedup, op9_html_text, op10_quality_classifier)
+                              op6_mix_sources, op7_token_files, op8_simhash_dedup, op9_html_text, op10_quality_classifier,
+                              op11_source_divergence, op12_best_fit_packing, op13_merkle_manifest)
 }
