@@ -2,8 +2,8 @@
 
 Everything in this module is a fixed value that must equal the behaviour
 being reproduced (grade ladders, alias tables, defaults, thresholds). They
-are kept together, in their natural order, so that every operator and
-every oracle reads them from one place.
+are kept together, in their natural order, for every operator. The oracles
+have a copy of their own.
 """
 
 # ---------------------------------------------------------------------------
@@ -16,27 +16,14 @@ CHANNELS = ["Digital-Direct", "Partner-Fintech", "Agent Network", "NBFC-BC", "So
 GRADES = ["AAA", "AA", "A", "BBB", "BB", "B", "CCC"]
 
 # ---------------------------------------------------------------------------
-# Synthetic generator parameters (by grade, in GRADES order)
+# Derived loans
 # ---------------------------------------------------------------------------
-GRADE_WEIGHTS = {"AAA": 0.05, "AA": 0.10, "A": 0.18, "BBB": 0.22, "BB": 0.20, "B": 0.15, "CCC": 0.10}
-GRADE_BASE_SCORE = {"AAA": 820, "AA": 780, "A": 740, "BBB": 700, "BB": 660, "B": 620, "CCC": 560}
-GRADE_GENERATOR_PD = {"AAA": 0.01, "AA": 0.02, "A": 0.04, "BBB": 0.07, "BB": 0.12, "B": 0.20, "CCC": 0.35}
 GRADE_BASE_RATE = {"AAA": 10, "AA": 12, "A": 14, "BBB": 16, "BB": 19, "B": 22, "CCC": 26}
-LOAN_RANGES = {
-    "Personal Loan": (50_000, 500_000),
-    "SME Working Capital": (200_000, 2_000_000),
-    "BNPL": (5_000, 50_000),
-    "Unsecured Consumer": (10_000, 200_000),
-    "Micro Loan": (5_000, 50_000),
-}
-EMPLOYMENT_INCOME_BASE = {"Salaried": 55000, "Small Business": 80000}
-DEFAULT_INCOME_BASE = 35000
 TENURES = [6, 12, 18, 24, 36]
 
 # ---------------------------------------------------------------------------
 # Rule scoring
 # ---------------------------------------------------------------------------
-# Rule PD by grade (CCC is .38 here, .35 in the generator: both are kept).
 RULE_GRADE_PD = {"AAA": 0.01, "AA": 0.02, "A": 0.04, "BBB": 0.07, "BB": 0.12, "B": 0.20, "CCC": 0.38}
 RULE_UNKNOWN_GRADE_PD = 0.10
 # Score -> grade cut-offs, highest first; below the last one is CCC.
@@ -146,7 +133,6 @@ TIER_ORDER = ["Investment", "Speculative", "Distressed"]
 EARLY_WARNING_COLUMNS = ["loan_id", "early_warning_score", "credit_quality", "product_type",
                          "geography", "cashflow_consistency", "dti_ratio", "spending_shock",
                          "default_prob", "cluster"]
-WATCHLIST_DEPTH = 200
 WATCHLIST_SIZE = 50
 CARD_LIST_SIZE = 8
 

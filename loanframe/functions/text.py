@@ -3,6 +3,7 @@ money formatting. All JVM-side expressions."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import chain
 
 from pyspark.sql import Column
@@ -75,3 +76,36 @@ def inr_format(c) -> Column:
             .when(v < F.lit(0.0), F.concat(F.lit("-"), thousands, F.lit("K")))
             .otherwise(F.concat(thousands, F.lit("K"))))
     return F.concat(F.lit("₹"), body)
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once for the row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def to_fixed(x: Column, digits: int) -> Column:
+    """A non-negative double with 0 or 1 decimals as text, rounded half up on its exact binary value.
+
+    n is the whole part of x (or of 10 x, taken apart as 8 x + 2 x); what is left beside n + 1/2 is
+    exact in double arithmetic, so its sign decides the rounding without a decimal type."""
+    def text(n: Column) -> Column:
+        half = n.cast("double") + F.lit(0.5)
+        rest = x - half if digits == 0 else (x * F.lit(8.0) - half) + x * F.lit(2.0)
+        up = n + F.when(rest >= F.lit(0.0), F.lit(1)).otherwise(F.lit(0))
+        if digits == 0:
+            return up.cast("string")
+        return _let(up, lambda t: F.concat(_idiv(t, 10).cast("string"), F.lit("."), (t % F.lit(10)).cast("string")))
+
+    return _let(F.floor(x if digits == 0 else x * F.lit(10.0)), text)
+
+
+def short_number(c) -> Column:
+    """Chart axis text: x.yCr from 1e7, x.yL from 1e5, xK from 1e3 (by absolute value), else x.y; missing -> '0'."""
+    v = col_(c).cast("double")
+    a = F.abs(v)
+    unit = F.when(a >= F.lit(1e7), F.lit(1e7)).when(a >= F.lit(1e5), F.lit(1e5)).when(a >= F.lit(1e3), F.lit(1e3)).otherwise(F.lit(1.0))
+    body = _let(F.struct((a / unit).alias("q"), unit.alias("unit")), lambda s: F.concat(
+        F.when(s["unit"] == F.lit(1e3), to_fixed(s["q"], 0)).otherwise(to_fixed(s["q"], 1)),
+        F.when(s["unit"] == F.lit(1e7), "Cr").when(s["unit"] == F.lit(1e5), "L").when(s["unit"] == F.lit(1e3), "K").otherwise("")))
+    signed = F.when(v < F.lit(0.0), F.concat(F.lit("-"), body)).otherwise(body)
+    return F.when(v.isNull() | F.isnan(v), F.lit("0")).otherwise(signed)

@@ -14,19 +14,25 @@ the learners' own jobs); scoring is a lazy projection (``model.transform``
 plus column expressions and one Arrow UDF) that never shuffles, so it
 applies unchanged to batch or streaming input.
 
-The probability-spread guard (R5) is evaluated on the table being scored: its
-model probabilities are written once and the spread is read from those files.
-A stream has no table, so there the spread over the training rows counts.
+The probability-spread guard (R5) is evaluated on the table being scored: the
+scored table is written once, the spread read from that one column of it, and the
+default probability is then chosen among the written columns.  A stream has no
+table, so there the spread over the training rows counts.
+
+A bundle outlives its session: ``save`` writes every part to a folder of any
+store that Spark writes, ``load`` gives a bundle that scores the same.  Its parts
+may also be native expressions (:mod:`compiled`) in place of MLlib models.
 """
 
 from __future__ import annotations
 
+import json
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.classification import (GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel,
+                                       RandomForestClassificationModel, RandomForestClassifier)
+from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -35,7 +41,9 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import clip, risk_level, rnd
 from ..operators import scoring as S
+from ..operators.ranks import auc
 from ..session import ensure_checkpoint_dir, materialize
+from .compiled import Boosting, Centres, Forest, Multinomial
 from .features import FEATURE_NAMES, STD_COLS, FeatureEncoder, Hyper, hyperparams
 from .isoforest import IsolationForestModel, fit_isolation_forest
 
@@ -43,6 +51,18 @@ SEED = 42
 CHECKPOINT_EVERY = 10
 
 
+def _bare(model):
+    """The model without its training summary, which holds the training table and the session in every closure that
+    scores with it."""
+    model._java_obj.setSummary(SparkSession.active()._jvm.scala.Option.empty())
+    return model
+
+
+def isolation_rows(train: DataFrame, active: int) -> DataFrame:
+    """the rows that the isolation forest learns from: the active ones, or all when fewer than three are."""
+    return train.where(F.col("loan_status") == "Active") if active >= 3 else train
+
+
 @dataclass
 class LoanModels:
     encoder: FeatureEncoder
@@ -112,12 +132,12 @@ class LoanModels:
         sc = train.sparkSession.sparkContext
 
         def fit_rf():
-            return RandomForestClassifier(
+            return _bare(RandomForestClassifier(
                 featuresCol="features", labelCol="label", numTrees=hp.rf_trees, maxDepth=hp.rf_depth,
                 minInstancesPerNode=hp.rf_min_leaf, featureSubsetStrategy="sqrt", seed=SEED,
                 # split more nodes per pass over the data; remember each row's
                 # node between levels instead of re-walking the trees
-                maxMemoryInMB=1024, cacheNodeIds=True, checkpointInterval=CHECKPOINT_EVERY).fit(train)
+                maxMemoryInMB=1024, cacheNodeIds=True, checkpointInterval=CHECKPOINT_EVERY).fit(train))
 
         def fit_gbt():
             return GBTClassifier(featuresCol="features", labelCol="label", maxIter=hp.gb_trees,
@@ -128,14 +148,14 @@ class LoanModels:
             rate = float(stats["rate"] or 0.0)
             contamination = min(0.5, max(0.05, rate or 0.12))
             active = int(stats["active"])
-            iso_train = train.where(F.col("loan_status") == "Active") if active >= 3 else train
+            iso_train = isolation_rows(train, active)
             values = vector_to_array(F.col("features"))
             iso_train = iso_train.select("loan_id", *[values[i].alias(c) for i, c in enumerate(STD_COLS)])
             return fit_isolation_forest(iso_train, STD_COLS, "loan_id", active if active >= 3 else n,
                                         contamination, n_trees=n_trees_iso, seed=SEED)
 
         def fit_kmeans():
-            return KMeans(featuresCol="features", k=hp.kmeans_k, seed=SEED, predictionCol="_km").fit(train)
+            return _bare(KMeans(featuresCol="features", k=hp.kmeans_k, seed=SEED, predictionCol="_km").fit(train))
 
         def fit_grade():
             with_s = train.withColumn("_grade_s", F.col("credit_quality").cast("string"))
@@ -145,7 +165,7 @@ class LoanModels:
                 regParam=1.0 / (hp.lr_c * n), elasticNetParam=0.0, standardization=False, tol=1e-4,
                 predictionCol="_grade_pred", probabilityCol="_grade_prob",
                 rawPredictionCol="_grade_raw").fit(gi.transform(with_s))
-            return list(gi.labels), lr
+            return list(gi.labels), _bare(lr)
 
         def in_pool(name, fn):
             # The learners are independent given the persisted training table,
@@ -186,9 +206,7 @@ class LoanModels:
         # forest AUC and the spread of the ensemble probability.
         probs = self._with_prob(train, keep_rf="_p").select("label", "_p", "_ens").persist()
         try:
-            self.auc = round(float(BinaryClassificationEvaluator(
-                rawPredictionCol="_p", labelCol="label", metricName="areaUnderROC", numBins=0)
-                .evaluate(probs)), 4)
+            self.auc = float(auc(probs, "_p", "label").first()["auc"])
             self.prob_std = float(probs.agg(F.stddev_pop("_ens")).first()[0] or 0.0)
         finally:
             probs.unpersist()
@@ -203,7 +221,9 @@ class LoanModels:
         that keeps the forest's own probability."""
         out, p = featurized, {}
         for name, model in (("rf", self.rf), ("gb", self.gbt)):
-            if model is not None:
+            if isinstance(model, (Forest, Boosting)):
+                p[name] = model.probability()
+            elif model is not None:
                 # A copy with its own output columns: the fitted model is shared between calls.
                 own = model.copy({model.probabilityCol: f"_{name}_prob", model.rawPredictionCol: f"_{name}_raw",
                                   model.predictionCol: f"_{name}_pred"})
@@ -227,59 +247,125 @@ class LoanModels:
     def uses_rules(self) -> bool:
         return self.single_class
 
-    def _guarded(self, prob: DataFrame) -> tuple[DataFrame, bool]:
-        """R5 on the table being scored: (the table, whether its probabilities are near-constant)."""
-        if prob.isStreaming:
-            return prob, self.prob_std is not None and self.prob_std < K.PROB_STD_FLOOR
-        prob = materialize(prob, "model-probabilities")
-        std = prob.agg(F.stddev_pop("_ens")).first()[0]
-        return prob, std is not None and std < K.PROB_STD_FLOOR
-
-    def score(self, df: DataFrame, guard: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    def _outputs(self, df: DataFrame) -> DataFrame:
+        """Input columns, every model output and the features, in one projection chain (nothing is written)."""
+        feat = self.featurize(df)
+        if self.uses_rules():
+            none = F.lit(None).cast("double")
+            out = S.score_rules(feat).drop("cluster").withColumnsRenamed(
+                {"default_prob": "_rule", "early_warning_score": "_ew"}).withColumns({"_ens": none, "_decision": none})
+        else:
+            feat = self._anomaly_bonus(self._with_prob(feat))
+            bonus = None if self.iso is None else F.col("_bonus")
+            out = feat.withColumns({"_rule": S.rule_default_prob(), "_ew": S.ew_blend(F.col("_ens"), bonus)})
+            if self.iso is None:
+                out = out.withColumn("_decision", F.lit(None).cast("double"))
+        return self.assign_clusters(out)
+
+    def _written(self, out: DataFrame) -> tuple[DataFrame, bool]:
+        """R5 on the table being scored: (the table, written once, whether its probabilities, that column alone, are
+        near-constant)."""
+        if out.isStreaming:
+            return out, self.prob_std is not None and self.prob_std < K.PROB_STD_FLOOR
+        out = materialize(out, "model-scores")
+        std = out.agg(F.stddev_pop("_ens")).first()[0]
+        return out, std is not None and std < K.PROB_STD_FLOOR
+
+    def _scored(self, out: DataFrame, cols: list[str], guard: bool, extra: tuple[str, ...]) -> DataFrame:
+        out, near_constant = out.select(*cols, "_rule", "_ens", "_ew", "cluster", *extra), False
+        if guard and not self.uses_rules():
+            out, near_constant = self._written(out)
+        prob = "_rule" if self.uses_rules() or near_constant else "_ens"
+        return out.select(*cols, F.col(prob).alias("default_prob"), F.col("_ew").alias("early_warning_score"), "cluster",
+                          *[c for c in ("_ens", *extra) if extra])
+
+    def score(self, df: DataFrame, guard: bool = True) -> DataFrame:
         """R6 in model mode: attach default_prob, early_warning_score, cluster.
 
         Single-class labels -> rule PD and rule EW (the forest cannot give a
         default probability); a near-constant ensemble over this table -> rule
         PD, model EW; otherwise both from the models (``guard=False``: always).
-        Clusters come from k-means in every case. ``keep`` names internal
-        columns (``_ens``, ``_decision``) to carry along.
+        Clusters come from k-means in every case.
         """
-        cols = df.columns
-        feat = self.featurize(df)
-        if self.uses_rules():
-            out = S.score_rules(feat).drop("cluster")
-        else:
-            feat, near_constant = self._with_prob(feat), False
-            if guard:
-                feat, near_constant = self._guarded(feat)
-            feat = self._anomaly_bonus(feat)
-            bonus = None if self.iso is None else F.col("_bonus")
-            out = (feat.withColumn("default_prob", S.rule_default_prob() if near_constant else F.col("_ens"))
-                   .withColumn("early_warning_score", S.ew_blend(F.col("_ens"), bonus)))
-        out = self.assign_clusters(out)
-        kept = [F.col(c) if c in out.columns else F.lit(None).cast("double").alias(c) for c in keep]
-        return out.select(*cols, "default_prob", "early_warning_score", "cluster", *kept)
+        return self._scored(self._outputs(df), df.columns, guard, ())
 
     def score_all(self, df: DataFrame) -> DataFrame:
         """Every model output of a table: the scores, the ensemble probability, the
         isolation forest's score and decision, and the predicted grade."""
-        out = self.score(df, keep=("_ens", "_decision"))
+        out = self._with_grade(self._outputs(df))
+        out = self._scored(out, df.columns, True, ("_decision", "predicted_grade"))
         offset = F.lit(None).cast("double") if self.iso is None else F.lit(self.iso.offset)
-        out = out.withColumnsRenamed({"_ens": "ensemble_prob", "_decision": "decision"}).withColumn(
+        return out.withColumnsRenamed({"_ens": "ensemble_prob", "_decision": "decision"}).withColumn(
             "score", F.col("decision") + offset)
+
+    def _with_grade(self, feat: DataFrame) -> DataFrame:
+        """M9: the predicted grade of featurised rows (the grade they have when no model was fitted)."""
         if self.grade_lr is None:
-            return out.withColumn("predicted_grade", F.col("credit_quality"))
-        cols = out.columns
+            return feat.withColumn("predicted_grade", F.col("credit_quality"))
         labels = F.array(*[F.lit(g) for g in self.grade_labels])
-        return self.grade_lr.transform(self.featurize(out)).select(
-            *cols, F.element_at(labels, F.col("_grade_pred").cast("int") + 1).alias("predicted_grade"))
+        if isinstance(self.grade_lr, Multinomial):
+            return feat.withColumn("predicted_grade", F.element_at(labels, self.grade_lr.label() + 1))
+        out = self.grade_lr.transform(feat)
+        return out.withColumn("predicted_grade", F.element_at(labels, F.col("_grade_pred").cast("int") + 1)).drop(
+            "_grade_pred", "_grade_prob", "_grade_raw")
 
     def assign_clusters(self, scored_feat: DataFrame) -> DataFrame:
         """M8: k-means segment id (0 when no model was fitted)."""
         if self.kmeans is None:
             return scored_feat.withColumn("cluster", F.lit(0))
+        if isinstance(self.kmeans, Centres):
+            return scored_feat.withColumn("cluster", self.kmeans.cluster())
         return self.kmeans.transform(scored_feat).withColumn("cluster", F.col("_km").cast("int")).drop("_km")
 
+    # ----------------------------------------------------- save and load
+    def save(self, spark: SparkSession, path: str, overwrite: bool = False) -> None:
+        """Writes the bundle to a folder: MLlib models in their own format, everything else as Parquet."""
+        path, mode = path.rstrip("/"), "overwrite" if overwrite else "error"
+        meta = {"hyper": asdict(self.hyper), "n": self.n, "single_class": self.single_class, "grade_labels": self.grade_labels,
+                "prob_std": self.prob_std, "auc": self.auc, "importances": self.importances, "means": self.encoder.means,
+                "scales": self.encoder.scales, "codes": list(self.encoder.codes), "labelled": list(self.encoder.labels())}
+        labels = [(c, i, v) for c, values in self.encoder.labels().items() for i, v in enumerate(values)]
+        spark.createDataFrame(labels, "feature string, code int, label string").write.mode(mode).parquet(f"{path}/labels")
+        for c, codes in self.encoder.codes.items():
+            codes.write.mode(mode).parquet(f"{path}/codes-{c}")
+        if self.iso is not None:
+            meta["iso"] = {"psi": int(self.iso.psi), "max_depth": int(self.iso.max_depth), "offset": float(self.iso.offset)}
+            spark.createDataFrame(self.iso.node_rows(), "at int, feature int, threshold double, `left` int, `right` int, "
+                                  "leaf_path double, root boolean").write.mode(mode).parquet(f"{path}/isolation")
+        meta["parts"] = []
+        for name in PARTS:
+            model = getattr(self, name)
+            if model is not None:
+                if not hasattr(model, "write"):
+                    raise TypeError(f"{name} is an expression, not a fitted model")
+                writer = model.write()
+                (writer.overwrite() if overwrite else writer).save(f"{path}/{name}")
+                meta["parts"].append(name)
+        # Written last: a folder without it is no bundle.
+        spark.createDataFrame([(json.dumps(meta),)], "meta string").write.mode(mode).parquet(f"{path}/meta")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> "LoanModels":
+        """The bundle that ``save`` wrote."""
+        path = path.rstrip("/")
+        meta = json.loads(spark.read.parquet(f"{path}/meta").first()["meta"])
+        labels: dict[str, list[str]] = {c: [] for c in meta["labelled"]}
+        for r in sorted(spark.read.parquet(f"{path}/labels").collect(), key=lambda r: (r["feature"], r["code"])):
+            labels[r["feature"]].append(r["label"])
+        codes = {c: spark.read.parquet(f"{path}/codes-{c}") for c in meta["codes"]}
+        m = LoanModels(FeatureEncoder.of_labels(labels, meta["means"], meta["scales"], codes), Hyper(**meta["hyper"]), meta["n"],
+                       meta["single_class"], grade_labels=meta["grade_labels"], prob_std=meta["prob_std"], auc=meta["auc"],
+                       importances=[(a, b) for a, b in meta["importances"]])
+        if "iso" in meta:
+            rows = [tuple(r) for r in spark.read.parquet(f"{path}/isolation").collect()]
+            m.iso = IsolationForestModel.from_node_rows(rows, **meta["iso"])
+        for name in meta["parts"]:
+            setattr(m, name, PARTS[name].load(f"{path}/{name}"))
+        return m
+
+
+PARTS = {"rf": RandomForestClassificationModel, "gbt": GBTClassificationModel, "kmeans": KMeansModel,
+         "grade_lr": LogisticRegressionModel}
 
 
 # ---------------------------------------------------------------------------
@@ -309,13 +395,7 @@ def stored_prob(scored: DataFrame) -> DataFrame:
 
 def predict_grade(models: LoanModels, loans: DataFrame) -> DataFrame:
     """M9: predicted grade from the multinomial classifier."""
-    feat = models.featurize(loans)
-    if models.grade_lr is None:
-        return feat.select("loan_id", "credit_quality", F.col("credit_quality").alias("predicted_grade"))
-    labels = F.array(*[F.lit(g) for g in models.grade_labels])
-    pred = models.grade_lr.transform(feat)
-    return pred.select("loan_id", "credit_quality",
-                       F.element_at(labels, F.col("_grade_pred").cast("int") + 1).alias("predicted_grade"))
+    return models._with_grade(models.featurize(loans)).select("loan_id", "credit_quality", "predicted_grade")
 
 
 def predict_loans(models: LoanModels, applications: DataFrame) -> DataFrame:

@@ -7,8 +7,9 @@
 * Standardisation uses the population standard deviation, mean-centred; a
   constant column scales by 1 (so it becomes 0).
 
-The fitted state is small and bounded: one label list per categorical
-(its distinct values) and 15 means / deviations from one aggregate.
+The fitted state is 15 means / deviations from one aggregate and the labels of
+each categorical: a list on the driver up to MAX_LABELS distinct values, beyond
+that a stored table of codes (distributed dense ranks) that is joined back.
 """
 
 from __future__ import annotations
@@ -16,10 +17,12 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.ml.feature import StringIndexer, StringIndexerModel, VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..operators.ranks import dense_codes
+from ..session import MAX_BROADCAST_ROWS, materialize
 
 FEATURE_NAMES = [f"cat_{c}" for c in K.CAT_COLS] + K.NUM_COLS
 STD_COLS = [f"_z{i}" for i in range(len(FEATURE_NAMES))]
@@ -49,31 +52,42 @@ def hyperparams(n: int) -> Hyper:
     )
 
 
-MAX_LABELS = 100_000  # distinct values of one categorical feature
+def hyper_columns(n: Column) -> dict[str, Column]:
+    """M11 as columns of a row count."""
+    def within(lo, x: Column, hi) -> Column:
+        return F.greatest(F.lit(lo), F.least(F.lit(hi), x))
+
+    half, third, fifth = (F.floor(n / F.lit(k)) for k in (2, 3, 5))
+    return {"rf_trees": within(10, n * 5, 120), "rf_depth": F.least(F.lit(8), F.greatest(F.lit(2), half)),
+            "rf_min_leaf": within(1, fifth, 3), "gb_trees": within(10, n * 3, 80),
+            "gb_depth": F.least(F.lit(4), F.greatest(F.lit(2), third)), "kmeans_k": within(1, n, 4),
+            "lr_c": within(0.01, n.cast("double") / F.lit(100.0), 1.0)}
+
+
+MAX_LABELS = 100_000  # labels of one categorical feature that the driver holds
 
 
 @dataclass
 class FeatureEncoder:
-    indexer: StringIndexerModel | None = None
+    indexer: StringIndexerModel | None = None  # of the categories with few values
     present_cats: list[str] = field(default_factory=list)
     means: list[float] = field(default_factory=list)
     scales: list[float] = field(default_factory=list)
+    codes: dict[str, DataFrame] = field(default_factory=dict)  # (value, code) of the others
 
     @staticmethod
-    def fit(df: DataFrame) -> "FeatureEncoder":
+    def fit(df: DataFrame, max_labels: int = MAX_LABELS) -> "FeatureEncoder":
         enc = FeatureEncoder()
         enc.present_cats = [c for c in K.CAT_COLS if c in df.columns]
         if enc.present_cats:
             # The indexer keeps its labels on the driver: their number is checked first.
             kinds = df.agg(*[F.approx_count_distinct(F.col(c).cast("string")).alias(c) for c in enc.present_cats]).first()
-            many = {c: kinds[c] for c in enc.present_cats if kinds[c] > MAX_LABELS}
-            if many:
-                raise ValueError(f"more than {MAX_LABELS} distinct values, not categories: {many}")
-            enc.indexer = StringIndexer(
-                inputCols=[f"_s_{c}" for c in enc.present_cats],
-                outputCols=[f"_i_{c}" for c in enc.present_cats],
-                stringOrderType="alphabetAsc", handleInvalid="keep",
-            ).fit(enc._strings(df))
+            enc.codes = {c: materialize(dense_codes(df, c), f"codes-{c}") for c in enc.present_cats if kinds[c] > max_labels}
+            few = [c for c in enc.present_cats if c not in enc.codes]
+            if few:
+                enc.indexer = StringIndexer(
+                    inputCols=[f"_s_{c}" for c in few], outputCols=[f"_i_{c}" for c in few],
+                    stringOrderType="alphabetAsc", handleInvalid="keep").fit(enc._strings(df))
         raw = enc._raw(df)
         stats = raw.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(FEATURE_NAMES)],
                         *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(FEATURE_NAMES)]).first()
@@ -81,25 +95,35 @@ class FeatureEncoder:
         enc.scales = [float(stats[f"s{i}"]) if stats[f"s{i}"] else 1.0 for i in range(len(FEATURE_NAMES))]
         return enc
 
+    @staticmethod
+    def of_labels(labels: dict[str, list[str]], means: list[float], scales: list[float],
+                  codes: dict[str, DataFrame] | None = None) -> "FeatureEncoder":
+        """An encoder of given labels (codes are places in the lists), means and scales."""
+        indexer = None
+        if labels:
+            indexer = StringIndexerModel.from_arrays_of_labels(list(labels.values()), [f"_s_{c}" for c in labels],
+                                                               [f"_i_{c}" for c in labels], "keep")
+        codes = codes or {}
+        return FeatureEncoder(indexer, [c for c in K.CAT_COLS if c in labels or c in codes], means, scales, codes)
+
     def _strings(self, df: DataFrame) -> DataFrame:
         return df.withColumns({f"_s_{c}": F.col(c).cast("string") for c in self.present_cats})
 
     def _raw(self, df: DataFrame) -> DataFrame:
         """Unscaled feature columns named by FEATURE_NAMES (plus the input)."""
-        out = df
-        if self.present_cats:
-            out = self.indexer.transform(self._strings(df))
+        out = self._strings(df) if self.present_cats else df
+        labels = self.labels()
+        if self.indexer is not None:
+            out = self.indexer.transform(out)
+        for c, codes in self.codes.items():
+            side = codes.select(F.col("value").alias(f"_s_{c}"), F.col("code").cast("double").alias(f"_i_{c}"))
+            small = side.count() <= MAX_BROADCAST_ROWS
+            out = out.join(F.broadcast(side) if small else side.hint("merge"), f"_s_{c}", "left")
         cols = {}
-        labels = self.indexer.labelsArray if self.indexer is not None else []
-        for j, c in enumerate(K.CAT_COLS):
-            name = f"cat_{c}"
-            if c in self.present_cats:
-                k = self.present_cats.index(c)
-                n_labels = len(labels[k])
-                idx = F.col(f"_i_{c}")
-                cols[name] = F.when(idx >= F.lit(float(n_labels)), F.lit(0.0)).otherwise(idx)
-            else:
-                cols[name] = F.lit(0.0)
+        for c in K.CAT_COLS:
+            idx = F.coalesce(F.col(f"_i_{c}"), F.lit(0.0)) if c in self.present_cats else F.lit(0.0)
+            # An unseen value or a null has the place behind the last label.
+            cols[f"cat_{c}"] = F.when(idx >= F.lit(float(len(labels[c]))), F.lit(0.0)).otherwise(idx) if c in labels else idx
         for c in K.NUM_COLS:
             cols[c] = F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in df.columns else F.lit(0.0)
         out = out.withColumns(cols)
@@ -117,6 +141,8 @@ class FeatureEncoder:
         return VectorAssembler(inputCols=STD_COLS, outputCol=out).transform(self.standardized(df))
 
     def labels(self) -> dict[str, list[str]]:
+        """Labels of the categories that the driver holds, in the order of their codes."""
         if self.indexer is None:
             return {}
-        return {c: list(lbls) for c, lbls in zip(self.present_cats, self.indexer.labelsArray)}
+        few = [c for c in self.present_cats if c not in self.codes]
+        return {c: list(lbls) for c, lbls in zip(few, self.indexer.labelsArray)}

@@ -21,8 +21,8 @@ score
   NumPy (vectorised over rows and trees); the node arrays travel in the UDF
   closure (a few hundred KB).
 offset
-  The contamination-quantile of the training scores: exact ``percentile``
-  up to a million rows, ``percentile_approx`` beyond.
+  The contamination-quantile of the unrounded training scores, exact at
+  every size: its rank is found by refining a histogram.
 """
 
 from __future__ import annotations
@@ -38,10 +38,10 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import hash_uniform
+from ..operators.ranks import quantile
 from ..session import materialize
 
 EULER_GAMMA = 0.5772156649015329
-SCORE_DECIMALS = 6
 
 NODE_SCHEMA = T.StructType([
     T.StructField("tree", T.IntegerType()), T.StructField("node", T.IntegerType()),
@@ -140,6 +140,20 @@ class IsolationForestModel:
         mean_path = self.leaf_path[node].mean(axis=1)
         return -np.power(2.0, -mean_path / float(avg_path_length([self.psi])[0]))
 
+    def node_rows(self) -> list[tuple]:
+        """The nodes as plain rows: at, feature, threshold, left, right, leaf_path, and whether it is a root."""
+        roots = set(self.roots.tolist())
+        return [(i, int(f), float(t), int(a), int(b), float(p), i in roots) for i, (f, t, a, b, p) in enumerate(
+            zip(self.feature, self.threshold, self.left, self.right, self.leaf_path))]
+
+    @staticmethod
+    def from_node_rows(rows: list[tuple], psi: int, max_depth: int, offset: float) -> "IsolationForestModel":
+        at = sorted(rows)
+        kinds = (np.int64, float, np.int64, np.int64, float)
+        feature, threshold, left, right, path = (np.array([r[i + 1] for r in at], k) for i, k in enumerate(kinds))
+        return IsolationForestModel(feature, threshold, left, right, path, np.array([r[0] for r in at if r[6]], np.int64),
+                                    psi, max_depth, offset)
+
     def score_udf(self):
         model = self
 
@@ -184,22 +198,6 @@ def tree_samples(train: DataFrame, feature_cols: list[str], key: str, n: int, n_
     return cand.withColumn("_r", rank).where(F.col("_r") <= psi).drop("_r", "_u", "_unit")
 
 
-def score_quantile(scores: DataFrame, share: float) -> float:
-    """The ``share`` quantile of column ``s``, linearly interpolated, at every size the same way.
-
-    Scores are rounded to SCORE_DECIMALS, so at most 10^6 + 1 distinct values
-    are counted and the ordered window runs over that bounded table only.
-    """
-    counts = scores.select(F.round("s", SCORE_DECIMALS).alias("s")).groupBy("s").count()
-    upto = counts.withColumn("upto", F.sum("count").over(Window.orderBy("s")))
-    n = int(scores.count())
-    at = share * (n - 1)
-    lo, hi = math.floor(at), math.ceil(at)
-    got = upto.agg(F.min(F.when(F.col("upto") > lo, F.col("s"))).alias("lo"),
-                   F.min(F.when(F.col("upto") > hi, F.col("s"))).alias("hi")).first()
-    return float(got["lo"] + (got["hi"] - got["lo"]) * (at - lo))
-
-
 def fit_isolation_forest(train: DataFrame, feature_cols: list[str], key: str, n: int, contamination: float,
                          n_trees: int = 100, max_samples: int = 256, seed: int = 42) -> IsolationForestModel:
     """M5: fit on ``train`` (``n`` rows, already counted by the caller)."""
@@ -214,6 +212,6 @@ def fit_isolation_forest(train: DataFrame, feature_cols: list[str], key: str, n:
 
     nodes = sample.groupBy("tree").applyInPandas(build, NODE_SCHEMA).toPandas()
     model = IsolationForestModel.from_nodes(nodes, psi)
-    model.offset = score_quantile(
-        materialize(train.select(model.score_column(feature_cols).alias("s")), "isolation-scores"), float(contamination))
+    scores = materialize(train.select(model.score_column(feature_cols).alias("s")), "isolation-scores")
+    model.offset = quantile(scores, "s", float(contamination))
     return model

@@ -13,6 +13,8 @@ so the printed digits do not depend on the formatter's own rounding.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,29 +23,63 @@ from ..functions import rnd
 from . import reports as A
 
 # ---------------------------------------------------------------------------
-# Recommendation titles and fixed advice text
+# Titles and sentences of the recommendations, the memo and the
+# segment lines. A name in braces stands for a figure of the report.
 # ---------------------------------------------------------------------------
-TITLES = ["Executive Summary", "ML Model — Default Risk Analysis", "Early Warning — Isolation Forest Signals",
-          "Geographic Risk Analysis", "Product Portfolio Optimization", "Pricing & ROI Recommendation"]
-MEMO_TITLES = ["Executive Summary", "ML Model Insights — Default Risk", "Early Warning — Isolation Forest Signals",
-               "K-Means Customer Segmentation", "Pricing Optimization", "Portfolio Diversification"]
+RECOMMENDATIONS = [
+    ("Executive Summary",
+     "Portfolio of {loans} loans with AUM of ₹{aum}Cr. Actual default rate: {default}% — {status} the {benchmark}% industry benchmark. "
+     "ML-predicted average default probability: {prob}%. Average Credit Score: {score}. Avg Early Warning Score: {ew}/100."),
+    ("ML Model — Default Risk Analysis",
+     "Random Forest + Gradient Boosting ensemble trained on {loans} loans. CCC-grade segment: {ccc} loans, ML-estimated default "
+     "probability: {ccc_pd}%. BB-grade: {bb} loans at {bb_pd}% ML prob. B-grade: {b} loans at {b_pd}% ML prob. {action}"),
+    ("Early Warning — Isolation Forest Signals",
+     "Isolation Forest anomaly detection: {high} loans flagged as high-risk (score > 60). {medium} loans in medium-risk zone (40–60). "
+     "{shocks} loans show spending shock signals. Risk distribution — High: {high} | Medium: {medium} | Low: {low}. "
+     "Action: Deploy automated nudges at DPD-7, personal outreach at DPD-15."),
+    ("Geographic Risk Analysis",
+     "Best performing geography: {best} (default rate: {best_rate}%, AUM: ₹{best_aum}L). Highest risk geography: {worst} "
+     "(default rate: {worst_rate}%, ML prob: {worst_pd}%). Action: Expand originations in {best}; tighten criteria in {worst}."),
+    ("Product Portfolio Optimization",
+     "Best performing product: {best} (default rate: {best_rate}%, avg pricing: {best_price}%). Highest-risk product: {worst} "
+     "(default rate: {worst_rate}%). Action: Increase allocation to {best}. Review pricing model for {worst}."),
+    ("Pricing & ROI Recommendation",
+     "Current avg pricing: {price}%. At-risk AUM: ₹{at_risk}Cr. Risk-adjusted pricing floor: Rate = Base + (PD × LGD × 100). "
+     "Total value proxy: ₹{value}Cr. Action: Re-price BB/B segments upward by 2–3%. Prioritise high-margin, low-risk originations."),
+]
 CCC_ACTION = ("Action: Halt new CCC originations. Tighten underwriting for BB/B-grade loans "
               "(DTI > 0.4 or LTV > 1.5).")
-EW_ACTION = "Action: Deploy automated nudges at DPD-7, personal outreach at DPD-15."
-PRICING_FLOOR = "Risk-adjusted pricing floor: Rate = Base + (PD × LGD × 100)."
-PRICING_ACTION = "Action: Re-price BB/B segments upward by 2–3%. Prioritise high-margin, low-risk originations."
-MEMO_CCC_ADVICE = ("Recommendation: Halt new CCC originations and tighten underwriting for BB-grade loans "
-                   "(DTI > 0.4 or LTV > 1.5).")
-MEMO_EW_ADVICE = ("Deploy automated SMS nudges at DPD-7 and personal outreach at DPD-15. "
-                  "Target: reduce DPD-30+ roll rate by 30% in 2 quarters.")
-MEMO_KMEANS = ("K-Means (k=4) segmented portfolio into: Prime Borrowers, Growth Segment, Watch List, High Risk. "
-               "Prime cluster shows lowest early warning scores — increase credit limits by 15-20%. "
-               "High Risk cluster: tighten DTI ceiling to 0.35 and require additional income proof.")
-MEMO_PRICING = ("Risk-adjusted floor model: Rate = Base + (PD × LGD × 100). "
-                "BB/B segments appear under-priced by 2-3%. "
-                "Increase BNPL originations for A-grade+ borrowers — highest risk-adj. margin.")
-MEMO_DIVERSIFY = ("Maintain SME ≤ 40% of portfolio. Grow BNPL and Unsecured Consumer segments. "
-                  "Partner-Fintech channel shows lowest cost of acquisition — prioritise 2:1 over Agent Network.")
+MEMO = [
+    ("Executive Summary",
+     "Portfolio of {loans} loans with AUM of ₹{aum}Cr. ML-predicted avg default probability: {prob}%. Actual default rate {default}% is "
+     "{side} the 8% industry benchmark. Average Early Warning Score: {ew}/100."),
+    ("ML Model Insights — Default Risk",
+     "Random Forest + Gradient Boosting ensemble trained on {loans} loans. CCC-grade accounts ({ccc} loans) carry ML-estimated default "
+     "probability of {ccc_pd}%. Recommendation: Halt new CCC originations and tighten underwriting for BB-grade loans "
+     "(DTI > 0.4 or LTV > 1.5)."),
+    ("Early Warning — Isolation Forest Signals",
+     "Isolation Forest anomaly detection flagged {high} loans as high-risk (score > 60). {shocks} loans show spending shock signals. "
+     "Deploy automated SMS nudges at DPD-7 and personal outreach at DPD-15. Target: reduce DPD-30+ roll rate by 30% in 2 quarters."),
+    ("K-Means Customer Segmentation",
+     "K-Means (k=4) segmented portfolio into: Prime Borrowers, Growth Segment, Watch List, High Risk. "
+     "Prime cluster shows lowest early warning scores — increase credit limits by 15-20%. "
+     "High Risk cluster: tighten DTI ceiling to 0.35 and require additional income proof."),
+    ("Pricing Optimization",
+     "Current avg pricing: {price}%. Risk-adjusted floor model: Rate = Base + (PD × LGD × 100). BB/B segments appear under-priced by 2-3%. "
+     "Increase BNPL originations for A-grade+ borrowers — highest risk-adj. margin."),
+    ("Portfolio Diversification",
+     "At-risk AUM: ₹{at_risk}Cr. Maintain SME ≤ 40% of portfolio. Grow BNPL and Unsecured Consumer segments. "
+     "Partner-Fintech channel shows lowest cost of acquisition — prioritise 2:1 over Agent Network."),
+]
+GRADE_LINE = "{segment}: {loans} loans, AUM ₹{aum}L, actual default {default}%, ML prob {prob}%"
+GEOGRAPHY_LINE = "{segment}: {loans} loans, default {default}%, ML prob {prob}%"
+PRODUCT_LINE = "{segment}: {loans} loans, default {default}%, pricing {price}%"
+
+
+def _filled(template: str, **figures: Column) -> Column:
+    """The template with its names replaced by text columns."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[figures[x] if i % 2 else F.lit(x) for i, x in enumerate(parts) if i % 2 or x])
 
 
 def benchmark_status(metrics: DataFrame) -> DataFrame:
@@ -122,104 +158,59 @@ def policy_facts(scored: DataFrame) -> DataFrame:
     return facts.where(F.col("_n").isNotNull())
 
 
+def _whole(n: Column) -> Column:
+    return n.cast("long").cast("string")
+
+
 def _rows(facts: DataFrame, items: list[tuple[str, Column, Column]]) -> DataFrame:
     structs = [F.struct(F.lit(i + 1).alias("rank"), F.lit(t).alias("title"), typ.alias("type"), body.alias("body"))
                for i, (t, typ, body) in enumerate(items)]
     return facts.select(F.inline(F.array(*structs)))
 
 
+def _parts(names: tuple[str, ...]):
+    return [lambda c, n=n: F.col(f"{n}.{c}") for n in names]
+
+
 def policy_recommendations(scored: DataFrame) -> DataFrame:
     """P1 (+P2 severities, P3 benchmark, P4 conditional action): six rows
     rank, title, type, body."""
-    facts = policy_facts(scored)
-    M, E, G, P = (lambda c: F.col(f"M.{c}")), (lambda c: F.col(f"M.{c}")), (lambda c: F.col(f"GEO.{c}")), \
-        (lambda c: F.col(f"PROD.{c}"))
+    M, G, P = _parts(("M", "GEO", "PROD"))
     bench = K.INDUSTRY_DEFAULT_BENCHMARK
-    status = F.when(M("defaultRate") > bench, "ABOVE").otherwise("BELOW")
-    exec_body = F.concat(
-        F.lit("Portfolio of "), _grouped(M("totalLoans")), F.lit(" loans with AUM of ₹"),
-        _scaled(M("totalDisbursed"), 1e7, 2), F.lit("Cr. Actual default rate: "), _f(M("defaultRate"), 1),
-        F.lit("% — "), status, F.lit(f" the {bench}% industry benchmark. ML-predicted average default probability: "),
-        _f(M("avgDefaultProb"), 2), F.lit("%. Average Credit Score: "), M("avgCreditScore").cast("string"),
-        F.lit(". Avg Early Warning Score: "), _repr(M("avgEWScore")), F.lit("/100."))
-    pd_type = (F.when(M("avgDefaultProb") > 10, "danger").when(M("avgDefaultProb") > 5, "warning")
-               .otherwise("info"))
-    risk_body = F.concat(
-        F.lit("Random Forest + Gradient Boosting ensemble trained on "), _grouped(M("totalLoans")),
-        F.lit(" loans. CCC-grade segment: "), F.col("ccc_count").cast("long").cast("string"),
-        F.lit(" loans, ML-estimated default probability: "), _f(F.col("ccc_pd"), 1),
-        F.lit("%. BB-grade: "), F.col("bb_count").cast("long").cast("string"), F.lit(" loans at "),
-        _f(F.col("bb_pd"), 1), F.lit("% ML prob. B-grade: "), F.col("b_count").cast("long").cast("string"),
-        F.lit(" loans at "), _f(F.col("b_pd"), 1), F.lit("% ML prob. "),
-        F.when(F.col("ccc_count") > 0, F.lit(CCC_ACTION)).otherwise(F.lit("")))
-    ew_body = F.concat(
-        F.lit("Isolation Forest anomaly detection: "), E("high").cast("string"),
-        F.lit(" loans flagged as high-risk (score > 60). "), E("medium").cast("string"),
-        F.lit(" loans in medium-risk zone (40–60). "), E("shocks").cast("string"),
-        F.lit(" loans show spending shock signals. Risk distribution — High: "), E("high").cast("string"),
-        F.lit(" | Medium: "), E("medium").cast("string"), F.lit(" | Low: "), E("low").cast("string"),
-        F.lit(". "), F.lit(EW_ACTION))
-    geo_type = F.when(G("best_default_rate") < 5, "success").otherwise("info")
-    geo_body = F.concat(
-        F.lit("Best performing geography: "), G("best_segment"), F.lit(" (default rate: "),
-        _f(G("best_default_rate"), 1), F.lit("%, AUM: ₹"), _scaled(G("best_aum"), 1e5, 1),
-        F.lit("L). Highest risk geography: "), G("worst_segment"), F.lit(" (default rate: "),
-        _f(G("worst_default_rate"), 1), F.lit("%, ML prob: "), _f(G("worst_avg_default_prob"), 1),
-        F.lit("%). Action: Expand originations in "), G("best_segment"), F.lit("; tighten criteria in "),
-        G("worst_segment"), F.lit("."))
-    prod_body = F.concat(
-        F.lit("Best performing product: "), P("best_segment"), F.lit(" (default rate: "),
-        _f(P("best_default_rate"), 1), F.lit("%, avg pricing: "), _f(P("best_avg_pricing"), 1),
-        F.lit("%). Highest-risk product: "), P("worst_segment"), F.lit(" (default rate: "),
-        _f(P("worst_default_rate"), 1), F.lit("%). Action: Increase allocation to "), P("best_segment"),
-        F.lit(". Review pricing model for "), P("worst_segment"), F.lit("."))
-    price_body = F.concat(
-        F.lit("Current avg pricing: "), _f(M("avgPricing"), 2), F.lit("%. At-risk AUM: ₹"),
-        _scaled(M("atRiskAUM"), 1e7, 2), F.lit("Cr. "), F.lit(PRICING_FLOOR), F.lit(" Total value proxy: ₹"),
-        _scaled(M("totalValueProxy"), 1e7, 2), F.lit("Cr. "), F.lit(PRICING_ACTION))
-    items = [
-        (TITLES[0], F.lit("info"), exec_body),
-        (TITLES[1], pd_type, risk_body),
-        (TITLES[2], F.lit("warning"), ew_body),
-        (TITLES[3], geo_type, geo_body),
-        (TITLES[4], F.lit("success"), prod_body),
-        (TITLES[5], F.lit("info"), price_body),
+    grades = {f"{g}{x}": v for g in ("ccc", "bb", "b")
+              for x, v in (("", _whole(F.col(f"{g}_count"))), ("_pd", _f(F.col(f"{g}_pd"), 1)))}
+    bands = {c: M(c).cast("string") for c in ("high", "medium", "low", "shocks")}
+    figures = [
+        dict(loans=_grouped(M("totalLoans")), aum=_scaled(M("totalDisbursed"), 1e7, 2), default=_f(M("defaultRate"), 1),
+             status=F.when(M("defaultRate") > bench, "ABOVE").otherwise("BELOW"), benchmark=F.lit(str(bench)),
+             prob=_f(M("avgDefaultProb"), 2), score=M("avgCreditScore").cast("string"), ew=_repr(M("avgEWScore"))),
+        dict(loans=_grouped(M("totalLoans")), action=F.when(F.col("ccc_count") > 0, F.lit(CCC_ACTION)).otherwise(F.lit("")), **grades),
+        bands,
+        dict(best=G("best_segment"), best_rate=_f(G("best_default_rate"), 1), best_aum=_scaled(G("best_aum"), 1e5, 1),
+             worst=G("worst_segment"), worst_rate=_f(G("worst_default_rate"), 1), worst_pd=_f(G("worst_avg_default_prob"), 1)),
+        dict(best=P("best_segment"), best_rate=_f(P("best_default_rate"), 1), best_price=_f(P("best_avg_pricing"), 1),
+             worst=P("worst_segment"), worst_rate=_f(P("worst_default_rate"), 1)),
+        dict(price=_f(M("avgPricing"), 2), at_risk=_scaled(M("atRiskAUM"), 1e7, 2), value=_scaled(M("totalValueProxy"), 1e7, 2)),
     ]
-    return _rows(facts, items)
+    by_prob = F.when(M("avgDefaultProb") > 10, "danger").when(M("avgDefaultProb") > 5, "warning").otherwise("info")
+    types = [F.lit("info"), by_prob, F.lit("warning"), F.when(G("best_default_rate") < 5, "success").otherwise("info"),
+             F.lit("success"), F.lit("info")]
+    return _rows(policy_facts(scored), [(title, typ, _filled(text, **x)) for (title, text), typ, x in zip(RECOMMENDATIONS, types, figures)])
 
 
 def policy_memo(scored: DataFrame) -> DataFrame:
     """P5: the alternate six-item memo (fixed advice, two-way severity)."""
-    facts = policy_facts(scored)
-    M, E = (lambda c: F.col(f"M.{c}")), (lambda c: F.col(f"M.{c}"))
-    above = F.when(M("defaultRate") > 8, "above").otherwise("below")
-    exec_body = F.concat(
-        F.lit("Portfolio of "), _grouped(M("totalLoans")), F.lit(" loans with AUM of ₹"),
-        _scaled(M("totalDisbursed"), 1e7, 1), F.lit("Cr. ML-predicted avg default probability: "),
-        _f(M("avgDefaultProb"), 1), F.lit("%. Actual default rate "), _repr(M("defaultRate")), F.lit("% is "),
-        above, F.lit(" the 8% industry benchmark. Average Early Warning Score: "), _repr(M("avgEWScore")),
-        F.lit("/100."))
-    risk_body = F.concat(
-        F.lit("Random Forest + Gradient Boosting ensemble trained on "), _grouped(M("totalLoans")),
-        F.lit(" loans. CCC-grade accounts ("), F.col("ccc_count").cast("long").cast("string"),
-        F.lit(" loans) carry ML-estimated default probability of "), _f(F.col("ccc_pd"), 1), F.lit("%. "),
-        F.lit(MEMO_CCC_ADVICE))
-    ew_body = F.concat(
-        F.lit("Isolation Forest anomaly detection flagged "), E("high").cast("string"),
-        F.lit(" loans as high-risk (score > 60). "), E("shocks").cast("string"),
-        F.lit(" loans show spending shock signals. "), F.lit(MEMO_EW_ADVICE))
-    price_body = F.concat(F.lit("Current avg pricing: "), _repr(M("avgPricing")), F.lit("%. "), F.lit(MEMO_PRICING))
-    div_body = F.concat(F.lit("At-risk AUM: ₹"), _scaled(M("atRiskAUM"), 1e7, 1), F.lit("Cr. "),
-                        F.lit(MEMO_DIVERSIFY))
-    items = [
-        (MEMO_TITLES[0], F.lit("info"), exec_body),
-        (MEMO_TITLES[1], F.when(M("avgDefaultProb") > 10, "danger").otherwise("info"), risk_body),
-        (MEMO_TITLES[2], F.lit("warning"), ew_body),
-        (MEMO_TITLES[3], F.lit("success"), F.lit(MEMO_KMEANS)),
-        (MEMO_TITLES[4], F.lit("info"), price_body),
-        (MEMO_TITLES[5], F.lit("info"), div_body),
+    (M,) = _parts(("M",))
+    figures = [
+        dict(loans=_grouped(M("totalLoans")), aum=_scaled(M("totalDisbursed"), 1e7, 1), prob=_f(M("avgDefaultProb"), 1),
+             default=_repr(M("defaultRate")), side=F.when(M("defaultRate") > 8, "above").otherwise("below"), ew=_repr(M("avgEWScore"))),
+        dict(loans=_grouped(M("totalLoans")), ccc=_whole(F.col("ccc_count")), ccc_pd=_f(F.col("ccc_pd"), 1)),
+        dict(high=M("high").cast("string"), shocks=M("shocks").cast("string")),
+        {}, dict(price=_repr(M("avgPricing"))), dict(at_risk=_scaled(M("atRiskAUM"), 1e7, 1)),
     ]
-    return _rows(facts, items)
+    types = [F.lit("info"), F.when(M("avgDefaultProb") > 10, "danger").otherwise("info"), F.lit("warning"), F.lit("success"),
+             F.lit("info"), F.lit("info")]
+    return _rows(policy_facts(scored), [(title, typ, _filled(text, **x)) for (title, text), typ, x in zip(MEMO, types, figures)])
 
 
 def segment_summaries(scored: DataFrame) -> DataFrame:
@@ -227,13 +218,11 @@ def segment_summaries(scored: DataFrame) -> DataFrame:
     (all three from one GROUPING SETS aggregate of the loans)."""
     r = A.portfolio_rollup(scored)
     lvl, seg = F.col("level"), F.col("segment")
-    grade = F.concat(seg, F.lit(": "), F.col("rows").cast("string"), F.lit(" loans, AUM ₹"),
-                     _scaled(F.col("totalDisbursed"), 1e5, 1), F.lit("L, actual default "),
-                     _f(F.col("defaultRate"), 1), F.lit("%, ML prob "), _f(F.col("avgDefaultProb"), 1), F.lit("%"))
-    geo = F.concat(seg, F.lit(": "), F.col("count").cast("string"), F.lit(" loans, default "),
-                   _f(F.col("defaultRate"), 1), F.lit("%, ML prob "), _f(F.col("avgDefaultProb"), 1), F.lit("%"))
-    prod = F.concat(seg, F.lit(": "), F.col("count").cast("string"), F.lit(" loans, default "),
-                    _f(F.col("defaultRate"), 1), F.lit("%, pricing "), _f(F.col("avgPricing"), 1), F.lit("%"))
+    default, prob = _f(F.col("defaultRate"), 1), _f(F.col("avgDefaultProb"), 1)
+    grade = _filled(GRADE_LINE, segment=seg, loans=F.col("rows").cast("string"), aum=_scaled(F.col("totalDisbursed"), 1e5, 1),
+                    default=default, prob=prob)
+    geo = _filled(GEOGRAPHY_LINE, segment=seg, loans=F.col("count").cast("string"), default=default, prob=prob)
+    prod = _filled(PRODUCT_LINE, segment=seg, loans=F.col("count").cast("string"), default=default, price=_f(F.col("avgPricing"), 1))
     keep = (((lvl == "grade") & seg.isin(K.GRADES) & (F.col("rows") > 0))
             | (lvl.isin("geography", "product") & seg.isNotNull()))
     return r.where(keep).select(

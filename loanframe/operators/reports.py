@@ -18,6 +18,7 @@ from pyspark.sql.window import Window
 from .. import constants as K
 from ..functions import (WIDE, exact_mean, ew_bucket, grade_tier, int_mean, rate_pct, rnd,
                          trunc_long, wide_mean, wide_total)
+from . import ranks
 from .scoring import grade_pd, rule_pd_raw
 
 # Decimal shapes: scores are already rounded to theirs, uploaded values keep all their decimals.
@@ -305,17 +306,46 @@ def scatter_data(scored: DataFrame, x: str = "credit_score", y: str = "default_p
             .agg(xm.alias("x"), ym.alias("y"), F.count("loan_id").alias("r")))
 
 
+def scatter_bubbles(scatter: DataFrame) -> DataFrame:
+    """A8 with the radius of each bubble: 1.2 times the root of its loans (one, if there are none)."""
+    loans = F.when(F.coalesce(F.col("r"), F.lit(0)) == 0, F.lit(1)).otherwise(F.col("r"))
+    return scatter.withColumn("radius", F.sqrt(loans.cast("double")) * F.lit(1.2))
+
+
+def segments_present(scored: DataFrame, keys: list[str]) -> DataFrame:
+    """the breakdowns by several columns in one table; a column that does not exist adds no rows."""
+    parts = [segment_breakdown(scored, k).withColumn("dimension", F.lit(k)) for k in keys]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+# ---------------------------------------------------------------------------
+# M9 predicted grades against the grades there are
+# ---------------------------------------------------------------------------
+def grade_confusion(predicted: DataFrame) -> DataFrame:
+    """Loans by grade and predicted grade (pairs that occur)."""
+    return predicted.groupBy("credit_quality", "predicted_grade").agg(F.count(F.lit(1)).alias("count"))
+
+
+def grade_accuracy(predicted: DataFrame) -> DataFrame:
+    """One row: loans, those whose predicted grade is their grade, and the share (4 decimals)."""
+    right = F.count_if(F.col("credit_quality") == F.col("predicted_grade"))
+    return predicted.agg(F.count(F.lit(1)).alias("n"), right.alias("correct")).select(
+        "n", "correct", rnd(F.col("correct").cast("double") / F.col("n"), 4).alias("accuracy"))
+
+
 # ---------------------------------------------------------------------------
 # A14 AUC, A15 distinct counts, S5/S6 load summaries
 # ---------------------------------------------------------------------------
 def auc(df: DataFrame, score: str, label: str = "default_indicator", decimals: int = 4) -> DataFrame:
-    """Exact ROC AUC (Mann-Whitney, ties half-credited); 0 with one class.
+    """Exact ROC AUC (Mann-Whitney, ties half-credited) of a rounded score; 0 with one class.
 
     The score is rounded to ``decimals`` first, so the data collapse to at
     most 10**decimals + 1 distinct scores in [0, 1] before the one ordered
     (unpartitioned) window: that window sees a bounded table, whatever the
-    number of loans. The products (2 x numerator) are DECIMAL(38,0), so they are
-    exact and do not overflow on billions of loans.
+    number of loans. :func:`ranks.auc` takes unrounded scores.
     """
     s = rnd(F.col(score), decimals)
     per = df.groupBy(s.alias("s")).agg(
@@ -325,17 +355,9 @@ def auc(df: DataFrame, score: str, label: str = "default_indicator", decimals: i
 
 
 def auc_of_counts(per: DataFrame) -> DataFrame:
-    """AUC from positives and negatives counted per distinct score (s, pos, neg)."""
+    """AUC from positives and negatives counted per distinct score (s, pos, neg), a bounded table."""
     w = Window.partitionBy().orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("neg_below", F.coalesce(F.sum("neg").over(w), F.lit(0).cast("long")))
-    tot = per.agg(
-        F.sum(F.col("pos").cast("decimal(19,0)") * (2 * F.col("neg_below") + F.col("neg")).cast("decimal(19,0)"))
-        .alias("num2"),
-        F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    return tot.select(
-        F.when((F.col("P") > 0) & (F.col("N") > 0),
-               rnd(F.col("num2").cast("double") / (F.lit(2.0) * F.col("P").cast("double") * F.col("N").cast("double")),
-                   4)).otherwise(F.lit(0.0)).alias("auc"))
+    return ranks.auc_of_counts(per.withColumn("neg_below", F.coalesce(F.sum("neg").over(w), F.lit(0).cast("long"))))
 
 
 def auc_rule(loans: DataFrame) -> DataFrame:
@@ -343,6 +365,16 @@ def auc_rule(loans: DataFrame) -> DataFrame:
     return auc(loans.withColumn("_score", rnd(rule_pd_raw(), 4)), "_score")
 
 
+def auc_rule_unrounded(loans: DataFrame) -> DataFrame:
+    """AUC of the rule PD as it is, by distributed ranks."""
+    return ranks.auc(loans.select(rule_pd_raw().alias("_score"), "default_indicator"), "_score", "default_indicator")
+
+
+def score_ranks(loans: DataFrame) -> DataFrame:
+    """Each distinct unrounded rule PD with its loans and their average rank."""
+    return ranks.average_ranks(loans.select(rule_pd_raw().alias("rule_pd")), "rule_pd").withColumnRenamed("score", "rule_pd")
+
+
 def distinct_grades(loans: DataFrame) -> DataFrame:
     """Distinct grade values present."""
     return loans.select(F.col("credit_quality").alias("grade")).where(F.col("grade").isNotNull()).distinct()

@@ -143,6 +143,10 @@ def _active_or_all(spark, sf):
 
 _report("grade_lookup_join", A.grade_lookup_join, loans)
 _report("auc_rule", A.auc_rule, loans)
+_report("auc_rule_unrounded", A.auc_rule_unrounded, loans)
+_report("score_ranks", A.score_ranks, loans)
+_report("scatter_bubbles", lambda s: A.scatter_bubbles(A.scatter_data(s)))
+_report("segments_present", lambda s: A.segments_present(s, ["geography", "branch_code", "product_type"]))
 _report("distinct_grades", A.distinct_grades, loans)
 _report("class_counts", A.class_counts, loans)
 _report("load_summary", A.load_summary, loans)
@@ -257,22 +261,34 @@ def _derived_ratios(spark, sf):
     return N.derive_ratios(loans(spark, sf)).select("loan_id", "ltv_ratio", "dti_ratio")
 
 
-@plan("csv_roundtrip")
-def _csv_roundtrip(spark, sf):
-    """The messy upload (with no-break spaces and notes of two lines)
-    written as CSV to the shared scratch folder, read back as strings and normalised."""
+def _csv_upload(spark, sf, note):
+    """The messy upload (with no-break spaces and a note) written as CSV to the shared folder; its path."""
     import os
     import uuid
     from pyspark.sql import functions as F
     from ..session import ensure_checkpoint_dir
-    from ..sources.csv import read_loans_csv, write_loans_csv
+    from ..sources.csv import write_loans_csv
     path = os.path.join(ensure_checkpoint_dir(spark), f"upload-{uuid.uuid4().hex[:12]}")
     odd = F.substring("loan_id", 4, 20).cast("long") % 13 == 0
     raw = raw_loans(spark, sf).withColumns({
         "region": F.when(odd, F.concat("region", F.lit("\u00a0"))).otherwise(F.col("region")),
-        "note": F.concat(F.lit("first\n"), "loan_id")})
+        "note": F.concat(F.lit(note), "loan_id")})
     write_loans_csv(raw, path)
-    return N.normalize_loans(read_loans_csv(spark, path, multi_line=True))
+    return path
+
+
+@plan("csv_roundtrip")
+def _csv_roundtrip(spark, sf):
+    """An upload with notes of two lines, read back and normalised in one scan."""
+    from ..sources.csv import read_loans_table
+    return read_loans_table(spark, _csv_upload(spark, sf, "first\n"), multi_line=True)
+
+
+@plan("csv_upload_lines")
+def _csv_upload_lines(spark, sf):
+    """An upload of one line a row, whose files are read in splits."""
+    from ..sources.csv import read_loans_table
+    return read_loans_table(spark, _csv_upload(spark, sf, "first "))
 
 
 # ---------------------------------------------------------------------------
@@ -293,10 +309,9 @@ def fitted_models(spark: SparkSession, sf: str):
 def scored_models(spark: SparkSession, sf: str) -> DataFrame:
     """Loans with every model output, written once to the shared checkpoint
     folder so every report reads the result instead of re-running inference."""
-    from ..session import materialize
     key = ("scored", id(spark.sparkContext), sf)
     if key not in _MODEL_MEMO:
-        _MODEL_MEMO[key] = materialize(fitted_models(spark, sf).score_all(loans(spark, sf)), "scored-models")
+        _MODEL_MEMO[key] = fitted_models(spark, sf).score_all(loans(spark, sf))
     return _MODEL_MEMO[key]
 
 
@@ -323,6 +338,82 @@ def _anomaly_scores_fixed(spark, sf):
     return anomaly_scores_fixed(loans(spark, sf))
 
 
+@plan("forest_fixed")
+def _forest_fixed(spark, sf):
+    """M3, M4: trees of fixed nodes as expressions."""
+    from ..models.fixed import probabilities_fixed
+    return probabilities_fixed(loans(spark, sf))
+
+
+def _fixed(spark, sf) -> DataFrame:
+    """Loans with every output of the fixed bundle, through the same code as a fitted one."""
+    from ..models.fixed import fixed_models
+    return fixed_models().score_all(loans(spark, sf))
+
+
+@plan("ensemble_fixed")
+def _ensemble_fixed(spark, sf):
+    from ..models.bundle import ensemble_default_prob
+    from ..models.fixed import fixed_models
+    return ensemble_default_prob(fixed_models(), loans(spark, sf))
+
+
+@plan("ml_scores_fixed")
+def _ml_scores_fixed(spark, sf):
+    """R6 in model mode with the guard on the whole table, by value."""
+    from ..functions import rnd
+    return _fixed(spark, sf).select("loan_id", "default_prob", "early_warning_score", "cluster", rnd("score", 6).alias("score"),
+                                    rnd("decision", 6).alias("decision"), "predicted_grade")
+
+
+@plan("cluster_assign_fixed")
+def _cluster_assign_fixed(spark, sf):
+    from ..models.fixed import fixed_models
+    m = fixed_models()
+    return m.assign_clusters(m.featurize(loans(spark, sf))).select("loan_id", "cluster")
+
+
+_report("cluster_profiles_fixed", A.cluster_profiles, _fixed)
+
+
+@plan("predict_grade_fixed")
+def _predict_grade_fixed(spark, sf):
+    from ..models.bundle import predict_grade
+    from ..models.fixed import fixed_models
+    return predict_grade(fixed_models(), loans(spark, sf))
+
+
+_report("grade_confusion_fixed", A.grade_confusion, _predict_grade_fixed)
+_report("grade_accuracy_fixed", A.grade_accuracy, _predict_grade_fixed)
+
+
+def _applications(spark, sf) -> DataFrame:
+    """New applications with part of the inputs; every 17th comes from a place that no label knows."""
+    from pyspark.sql import functions as F
+    far = F.substring("loan_id", 4, 20).cast("long") % 17 == 0
+    return loans(spark, sf).select("loan_id", "credit_score", "loan_size", "pricing_rate", "dti_ratio", "income_proxy",
+                                   "tenure_months", F.when(far, "Mars").otherwise(F.col("geography")).alias("geography"),
+                                   "product_type", "credit_quality")
+
+
+@plan("predict_loans_fixed")
+def _predict_loans_fixed(spark, sf):
+    from ..models.bundle import predict_loans
+    from ..models.fixed import fixed_models
+    return predict_loans(fixed_models(), _applications(spark, sf))
+
+
+@plan("predict_loans_reloaded")
+def _predict_loans_reloaded(spark, sf):
+    """R8 with a bundle that was saved to the shared folder and loaded again."""
+    from ..models.bundle import LoanModels, predict_loans
+    from ..session import ensure_checkpoint_dir
+    import uuid
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/bundle-{uuid.uuid4().hex[:12]}"
+    fitted_models(spark, sf).save(spark, path)
+    return predict_loans(LoanModels.load(spark, path), _applications(spark, sf))
+
+
 @plan("cluster_assign")
 def _cluster_assign(spark, sf):
     return scored_models(spark, sf).select("loan_id", "cluster")
@@ -338,6 +429,10 @@ def _predict_grade(spark, sf):
     return scored_models(spark, sf).select("loan_id", "credit_quality", "predicted_grade")
 
 
+_report("grade_confusion", A.grade_confusion, _predict_grade)
+_report("grade_accuracy", A.grade_accuracy, _predict_grade)
+
+
 @plan("predict_loans")
 def _predict_loans(spark, sf):
     """New applications carrying only part of the inputs (the rest default)."""
@@ -413,11 +508,70 @@ def _encode_categories(spark, sf):
     return raw.select("loan_id", *[raw[f"cat_{c}"].cast("int").alias(f"cat_{c}") for c in K.CAT_COLS])
 
 
+@plan("encode_categories_joined")
+def _encode_categories_joined(spark, sf):
+    """M1 beyond the driver's labels: the codes are stored tables of dense ranks, joined back."""
+    from ..models.features import FeatureEncoder
+    enc = FeatureEncoder.fit(loans(spark, sf), max_labels=3)
+    raw = enc._raw(loans(spark, sf))
+    return raw.select("loan_id", *[raw[f"cat_{c}"].cast("int").alias(f"cat_{c}") for c in K.CAT_COLS])
+
+
+@plan("dense_codes")
+def _dense_codes(spark, sf):
+    """M1 on a column of very many values: the loan sizes as text."""
+    from ..operators.ranks import dense_codes
+    return dense_codes(loans(spark, sf), "loan_size")
+
+
 @plan("standardize_features")
 def _standardize_features(spark, sf):
-    """M2: population-std z-scores (4dp) of three numeric features."""
+    """M2: population-std z-scores (4dp) of all 15 features."""
     from ..functions import rnd
     from ..models.features import FEATURE_NAMES, STD_COLS
     z = _encoder(spark, sf).standardized(loans(spark, sf))
-    picks = ["credit_score", "loan_size", "pricing_rate"]
-    return z.select("loan_id", *[rnd(z[STD_COLS[FEATURE_NAMES.index(c)]], 4).alias(f"z_{c}") for c in picks])
+    return z.select("loan_id", *[rnd(z[STD_COLS[i]], 4).alias(f"z_{c}") for i, c in enumerate(FEATURE_NAMES)])
+
+
+@plan("hyperparameters")
+def _hyperparameters(spark, sf):
+    """M11 for each small segment of the book."""
+    from pyspark.sql import functions as F
+    from ..models.features import hyper_columns
+    keys = ["geography", "product_type", "employment_type", "credit_quality"]
+    n = loans(spark, sf).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return n.select(*keys, "n", *[c.alias(name) for name, c in hyper_columns(F.col("n")).items()])
+
+
+@plan("isolation_rows")
+def _isolation_rows(spark, sf):
+    """the loans that the isolation forest learns from, of the book and of a segment with few active loans."""
+    from pyspark.sql import functions as F
+    from ..models.bundle import isolation_rows
+    book = loans(spark, sf)
+    few = book.where("loan_status <> 'Active'")
+    parts = [isolation_rows(df, df.where("loan_status = 'Active'").count()).select(F.lit(name).alias("part"), "loan_id")
+             for name, df in (("book", book), ("few", few))]
+    return parts[0].unionByName(parts[1])
+
+
+@plan("score_quantiles")
+def _score_quantiles(spark, sf):
+    """M5's offset rule: exact quantiles of unrounded scores, by refining a histogram."""
+    from pyspark.sql import functions as F
+    from ..functions import rnd
+    from ..operators.ranks import quantile
+    scores = loans(spark, sf).select(S.rule_pd_raw().alias("s"))
+    got = [(share, quantile(scores, "s", share)) for share in (0.05, 0.12, 0.5, 0.993)]
+    return spark.createDataFrame(got, "share double, value double").select("share", rnd(F.col("value"), 9).alias("value"))
+
+
+@plan("short_number")
+def _short_number(spark, sf):
+    """Chart axis text of report values."""
+    from pyspark.sql import functions as F
+    from ..functions import short_number
+    seg = A.pricing_report(scored_rules(spark, sf))
+    return seg.select("dimension", "segment", *[short_number(c).alias(f"{c}_text") for c in (
+        "totalDisbursed", "count", "avgPricing", "defaultRate")],
+        short_number(-F.col("avgScore") * F.lit(1234.5)).alias("negative_text"), short_number(F.lit(None)).alias("missing_text"))

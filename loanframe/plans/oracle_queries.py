@@ -274,6 +274,7 @@ _CANON = ("loan_id, geography, employment_type, credit_score, income_proxy, cred
           "balance_volatility, spending_shock, acquisition_channel, origination_month, cohort, default_indicator, "
           "value_proxy")
 ORACLE["normalize_loans"] = with_normalized(f"SELECT {_CANON} FROM nm_final")
+ORACLE["csv_upload_lines"] = "WITH " + CSV_CTE + f"SELECT {_CANON}, 'first ' || loan_id AS note FROM nm_final"
 ORACLE["csv_roundtrip"] = "WITH " + CSV_CTE + f"SELECT {_CANON}, 'first' || chr(10) || loan_id AS note FROM nm_final"
 ORACLE["assign_loan_ids"] = with_normalized(
     "SELECT * RENAME (loan_id AS ref), printf('LN-%06d', row_number() OVER (ORDER BY loan_id)) AS loan_id FROM raw_loans")
@@ -290,7 +291,7 @@ ORACLE["derived_ratios"] = with_loans(
 # ---------------------------------------------------------------------------
 # Policy text
 # ---------------------------------------------------------------------------
-from ..operators import policy as _P  # noqa: E402
+_P = K  # titles and advice: the oracle's own copy
 
 
 def _fx(x: str, d: int) -> str:
@@ -436,9 +437,57 @@ def _z(c: str) -> str:
     return R(f"({x} - avg({x}) OVER ()) / CASE WHEN {sd} = 0 OR {sd} IS NULL THEN 1e0 ELSE {sd} END", 4)
 
 
-ORACLE["standardize_features"] = with_loans(
-    "SELECT loan_id, " + ", ".join(f"{_z(c)} AS z_{c}" for c in ["credit_score", "loan_size", "pricing_rate"])
-    + " FROM loans")
+_CODES = ORACLE["encode_categories"]
+ORACLE["encode_categories_joined"] = _CODES
+ORACLE["dense_codes"] = with_loans(
+    "SELECT value, row_number() OVER (ORDER BY value) - 1 AS code FROM (SELECT DISTINCT CAST(loan_size AS VARCHAR) AS value FROM loans)")
+ORACLE["standardize_features"] = (
+    f"SELECT loan_id, {', '.join(f'{_z(c)} AS z_{c}' for c in [f'cat_{c}' for c in K.CAT_COLS] + K.NUM_COLS)} "
+    f"FROM (SELECT l.*, {', '.join(f'e.cat_{c}' for c in K.CAT_COLS)} FROM ({with_loans('SELECT * FROM loans')}) l "
+    f"JOIN ({_CODES}) e USING (loan_id))")
+ORACLE["hyperparameters"] = with_loans("""
+SELECT *, greatest(10, least(120, n * 5)) AS rf_trees, least(8, greatest(2, n // 2)) AS rf_depth, greatest(1, least(3, n // 5)) AS rf_min_leaf,
+  greatest(10, least(80, n * 3)) AS gb_trees, least(4, greatest(2, n // 3)) AS gb_depth, greatest(1, least(4, n)) AS kmeans_k,
+  greatest(0.01e0, least(1e0, CAST(n AS DOUBLE) / 100)) AS lr_c
+FROM (SELECT geography, product_type, employment_type, credit_quality, count(*) AS n FROM loans GROUP BY ALL)""")
+ORACLE["isolation_rows"] = with_loans("""
+SELECT 'book' AS part, loan_id FROM loans WHERE loan_status = 'Active'
+UNION ALL SELECT 'few', loan_id FROM loans WHERE loan_status <> 'Active'""")
+ORACLE["auc_rule_unrounded"] = with_loans(f""", s AS (SELECT {RULE_PD_RAW} AS s, default_indicator AS y FROM loans),
+r AS (SELECT y, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2e0 AS rk FROM s),
+t AS (SELECT sum(rk) FILTER (y = 1) AS w, CAST(sum(y) AS DOUBLE) AS p, CAST(sum(1 - y) AS DOUBLE) AS n FROM r)
+SELECT CASE WHEN p > 0 AND n > 0 THEN {R('(w - p * (p + 1) / 2) / (p * n)', 4)} ELSE 0e0 END AS auc FROM t""")
+ORACLE["score_ranks"] = with_loans(f""", s AS (SELECT {RULE_PD_RAW} AS s FROM loans)
+SELECT s AS rule_pd, count(*) AS n, avg(rk) AS rank FROM (SELECT s, row_number() OVER (ORDER BY s) AS rk FROM s) GROUP BY s""")
+ORACLE["score_quantiles"] = with_loans(f""", s AS (SELECT {RULE_PD_RAW} AS s FROM loans)
+SELECT share, {R('value', 9)} AS value FROM (
+  SELECT unnest([0.05e0, 0.12e0, 0.5e0, 0.993e0]) AS share, unnest(quantile_cont(s, [0.05, 0.12, 0.5, 0.993])) AS value FROM s)""")
+ORACLE["scatter_bubbles"] = f"""SELECT *, sqrt(CAST(r AS DOUBLE)) * 1.2e0 AS radius FROM ({ORACLE["scatter_grade"]})"""
+ORACLE["segments_present"] = with_scored(f"""
+SELECT *, 'geography' AS dimension FROM ({segment_sql('geography')})
+UNION ALL SELECT *, 'product_type' FROM ({segment_sql('product_type')})""")
+
+
+def _short(x: str) -> str:
+    """Chart axis text; the tie rule compares 8 x + 2 x - n - 1/2, which is exact."""
+    def tenths(y: str) -> str:
+        n = f"CAST(floor({y} * 10e0) AS BIGINT)"
+        t = f"({n} + CASE WHEN ({y} * 8e0 - (CAST({n} AS DOUBLE) + 0.5e0)) + {y} * 2e0 >= 0 THEN 1 ELSE 0 END)"
+        return f"CAST({t} // 10 AS VARCHAR) || '.' || CAST({t} % 10 AS VARCHAR)"
+    v = f"CAST({x} AS DOUBLE)"
+    a = f"abs({v})"
+    k = f"CAST(floor({a} / 1e3) AS BIGINT)"
+    whole = f"CAST({k} + CASE WHEN {a} / 1e3 - (CAST({k} AS DOUBLE) + 0.5e0) >= 0 THEN 1 ELSE 0 END AS VARCHAR)"
+    return (f"(CASE WHEN {v} IS NULL THEN '0' ELSE CASE WHEN {v} < 0 THEN '-' ELSE '' END || CASE WHEN {a} >= 1e7 THEN "
+            f"{tenths(f'({a} / 1e7)')} || 'Cr' WHEN {a} >= 1e5 THEN {tenths(f'({a} / 1e5)')} || 'L' "
+            f"WHEN {a} >= 1e3 THEN {whole} || 'K' ELSE {tenths(a)} END END)")
+
+
+ORACLE["short_number"] = with_scored(f""", seg AS (
+  SELECT 'products' AS dimension, * FROM ({segment_sql('product_type')})
+  UNION ALL SELECT 'grades' AS dimension, * FROM ({segment_sql('credit_quality')}))
+SELECT dimension, segment, {', '.join(f'{_short(chr(34) + c + chr(34))} AS "{c}_text"' for c in ("totalDisbursed", "count", "avgPricing", "defaultRate"))},
+  {_short('-"avgScore" * 1234.5e0')} AS negative_text, '0' AS missing_text FROM seg""")
 
 # ---------------------------------------------------------------------------
 # Uploads with fractions: sums are taken over unrounded values and truncated once
@@ -486,3 +535,8 @@ s AS (SELECT *, -pow(2e0, -((t0 + t1) / 2e0) / {_c(256)}) AS s FROM paths)
 SELECT loan_id, {R('s', 6)} AS score, {R('s + 0.5e0', 6)} AS decision,
   {R(CLIP(CLIP(EW_BASE, '0e0', '100e0') + ' * 0.6e0 + ' + RULE_PD + ' * 100e0 * 0.4e0 + ' + CLIP('-(s + 0.5e0)', '0e0', '1e0') + ' * 10e0', '0e0', '100e0'), 1)} AS early_warning_score
 FROM s""")
+
+# Model scoring by value
+from .oracle_models import MODELS  # noqa: E402
+
+ORACLE.update(MODELS)

@@ -104,9 +104,34 @@ STRING_DEFAULTS = {'geography': 'Metro',
 TENURES = [6, 12, 18, 24, 36]
 CARD_LIST_SIZE = 8
 CAT_COLS = ['geography', 'employment_type', 'product_type', 'acquisition_channel', 'credit_quality']
+NUM_COLS = ['credit_score', 'loan_size', 'pricing_rate', 'ltv_ratio', 'dti_ratio', 'income_proxy', 'tenure_months',
+ 'cashflow_consistency', 'balance_volatility', 'spending_shock']
 CLUSTER_NAMES = ['Prime Borrowers', 'Growth Segment', 'Watch List', 'High Risk']
 EW_BUCKETS = ['0-20', '20-40', '40-60', '60-80', '80-100']
 INDUSTRY_DEFAULT_BENCHMARK = 8.0
 PROB_STD_FLOOR = 0.001
 TIER_ORDER = ['Investment', 'Speculative', 'Distressed']
 WATCHLIST_SIZE = 50
+
+# Recommendation titles and advice
+TITLES = ["Executive Summary", "ML Model — Default Risk Analysis", "Early Warning — Isolation Forest Signals",
+          "Geographic Risk Analysis", "Product Portfolio Optimization", "Pricing & ROI Recommendation"]
+MEMO_TITLES = ["Executive Summary", "ML Model Insights — Default Risk", "Early Warning — Isolation Forest Signals",
+               "K-Means Customer Segmentation", "Pricing Optimization", "Portfolio Diversification"]
+CCC_ACTION = ("Action: Halt new CCC originations. Tighten underwriting for BB/B-grade loans "
+              "(DTI > 0.4 or LTV > 1.5).")
+EW_ACTION = "Action: Deploy automated nudges at DPD-7, personal outreach at DPD-15."
+PRICING_FLOOR = "Risk-adjusted pricing floor: Rate = Base + (PD × LGD × 100)."
+PRICING_ACTION = "Action: Re-price BB/B segments upward by 2–3%. Prioritise high-margin, low-risk originations."
+MEMO_CCC_ADVICE = ("Recommendation: Halt new CCC originations and tighten underwriting for BB-grade loans "
+                   "(DTI > 0.4 or LTV > 1.5).")
+MEMO_EW_ADVICE = ("Deploy automated SMS nudges at DPD-7 and personal outreach at DPD-15. "
+                  "Target: reduce DPD-30+ roll rate by 30% in 2 quarters.")
+MEMO_KMEANS = ("K-Means (k=4) segmented portfolio into: Prime Borrowers, Growth Segment, Watch List, High Risk. "
+               "Prime cluster shows lowest early warning scores — increase credit limits by 15-20%. "
+               "High Risk cluster: tighten DTI ceiling to 0.35 and require additional income proof.")
+MEMO_PRICING = ("Risk-adjusted floor model: Rate = Base + (PD × LGD × 100). "
+                "BB/B segments appear under-priced by 2-3%. "
+                "Increase BNPL originations for A-grade+ borrowers — highest risk-adj. margin.")
+MEMO_DIVERSIFY = ("Maintain SME ≤ 40% of portfolio. Grow BNPL and Unsecured Consumer segments. "
+                  "Partner-Fintech channel shows lowest cost of acquisition — prioritise 2:1 over Agent Network.")

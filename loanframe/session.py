@@ -12,6 +12,7 @@ import re
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -72,12 +73,37 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+_SCOPES: list[str] = []
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """Where intermediate tables go: the open :func:`scratch` scope, or the shared checkpoint folder."""
+    return _SCOPES[-1] if _SCOPES else ensure_checkpoint_dir(spark).rstrip("/")
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """A scope whose intermediate tables are removed at its end.
+
+    Operators return lazy tables that read their intermediate files, so write
+    or collect a result inside the scope. The folder lies under the shared
+    checkpoint folder and is removed through Hadoop's file system, whatever
+    store that is."""
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/scope-{uuid.uuid4().hex[:12]}"
+    _SCOPES.append(base)
+    try:
+        yield base
+    finally:
+        _SCOPES.remove(base)
+        path = spark._jvm.org.apache.hadoop.fs.Path(base)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as parquet under the shared checkpoint folder and read
     it back: cuts lineage (a lost executor re-reads files instead of
     recomputing the whole plan) and lets several reports share one result."""
     spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark)
-    path = os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+    path = os.path.join(scratch_folder(spark), f"{name}-{uuid.uuid4().hex[:12]}")
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

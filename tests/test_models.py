@@ -116,15 +116,6 @@ def test_isolation_samples_full_and_uniform(spark):
     assert abs(pooled - pop[0]) < 4 * pop[1] / (2560 ** 0.5)
 
 
-def test_quantile_is_one_path_at_every_size(spark):
-    """The offset is the interpolated quantile of the rounded scores, few or many rows."""
-    from loanframe.models.isoforest import score_quantile
-    for n in (5, 1000, 1_200_000):
-        s = spark.range(n).select((F.pmod(F.col("id") * 7919, F.lit(1009)) / 1009.0).alias("s"))
-        want = s.agg(F.percentile(F.round("s", 6), F.lit(0.13))).first()[0]
-        assert abs(score_quantile(s, 0.13) - want) < 1e-9
-
-
 def test_isolation_samples_with_null_or_repeated_ids(spark):
     from loanframe.models.isoforest import tree_samples
     base = spark.range(60_000).select(F.when(F.col("id") % 2 == 0, F.lit("same")).alias("loan_id"), F.col("id").cast("double").alias("x"))
@@ -161,3 +152,73 @@ def test_isolation_forest_trains_on_all_when_few_are_active(spark):
     df = loans(spark, SF_SMALL).limit(60).withColumn("loan_status", F.when(F.col("loan_id").isNull(), "Active").otherwise("Default"))
     m = LoanModels.fit(df, n_trees_iso=5)
     assert m.iso is not None and m.iso.psi == 60
+
+
+def test_compiled_trees_score_like_the_fitted_ones(spark):
+    """The expressions read from fitted learners give the learners' probabilities, clusters and grades."""
+    from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+    from pyspark.ml.clustering import KMeans
+    from loanframe.models.compiled import centres_of, multinomial_of, trees_of
+    from loanframe.models.features import STD_COLS, FeatureEncoder
+    base = loans(spark, SF_SMALL)
+    feat = FeatureEncoder.fit(base).transform(base).withColumn("label", F.col("default_indicator").cast("double"))
+    feat = feat.withColumn("y", F.pmod(F.xxhash64("credit_quality"), F.lit(3)).cast("double")).persist()
+    rf = RandomForestClassifier(numTrees=8, maxDepth=4, seed=1).fit(feat)
+    gb = GBTClassifier(maxIter=6, maxDepth=3, seed=1).fit(feat)
+    for model in (rf, gb):
+        out = model.transform(feat).select(vector_to_array("probability")[1].alias("p"), trees_of(model, STD_COLS).probability().alias("q"))
+        assert out.where(F.abs(F.col("p") - F.col("q")) > 1e-12).count() == 0
+    km = KMeans(k=4, seed=1, predictionCol="c").fit(feat)
+    lr = LogisticRegression(labelCol="y", family="multinomial", maxIter=30).fit(feat)
+    out = lr.transform(km.transform(feat)).withColumn("c2", centres_of(km, STD_COLS).cluster()).withColumn("y2", multinomial_of(lr, STD_COLS).label())
+    assert out.where("c <> c2 or prediction <> y2").count() == 0
+    feat.unpersist()
+
+
+def test_ties_go_to_the_smallest_number(spark):
+    from loanframe.models.compiled import Centres, Multinomial
+    one = spark.createDataFrame([(0.0,), (3.0,)], "x double")
+    centres = Centres(("x",), ((5.0,), (1.0,), (-1.0,), (1.0,)))
+    model = Multinomial(("x",), ((0.0,), (1.0,), (1.0,)), (0.0, 0.0, 0.0))
+    assert [tuple(r) for r in one.select(centres.cluster(), model.label()).collect()] == [(1, 0), (0, 1)]
+
+
+def test_a_saved_bundle_scores_the_same(spark, models, tmp_path):
+    path = str(tmp_path / "bundle")
+    models.save(spark, path)
+    again = LoanModels.load(spark, path)
+    df = loans(spark, SF_SMALL).withColumn("geography", F.when(F.col("loan_id") < "LN-000100", "Mars").otherwise(F.col("geography")))
+    pick = lambda m: sorted(tuple(r) for r in m.score_all(df).select(
+        "loan_id", "default_prob", "early_warning_score", "cluster", "decision", "predicted_grade").collect())
+    assert pick(models) == pick(again)
+    assert (again.auc, again.n, again.importances, again.hyper) == (models.auc, models.n, models.importances, models.hyper)
+    with pytest.raises(Exception):
+        models.save(spark, path)
+    models.save(spark, path, overwrite=True)
+    from loanframe.models.fixed import fixed_models
+    with pytest.raises(TypeError):
+        fixed_models().save(spark, str(tmp_path / "other"))
+
+
+def test_a_loaded_bundle_scores_a_stream(spark, models, tmp_path):
+    from loanframe.streaming.scoring import read_loan_stream, run_available_now, score_stream
+    models.save(spark, str(tmp_path / "bundle"))
+    df = loans(spark, SF_SMALL).limit(200)
+    df.write.parquet(str(tmp_path / "in"))
+    again = LoanModels.load(spark, str(tmp_path / "bundle"))
+    out = run_available_now(score_stream(read_loan_stream(spark, str(tmp_path / "in"), df.schema), again), str(tmp_path / "out"))
+    got = {r["loan_id"]: r["early_warning_score"] for r in spark.read.parquet(out).collect()}
+    landed = spark.read.parquet(str(tmp_path / "in"))
+    assert got == {r["loan_id"]: r["early_warning_score"] for r in models.score(landed, guard=False).collect()}
+
+
+def test_categories_beyond_the_driver_are_joined(spark):
+    """With no labels on the driver the features are the same, unseen and missing values included."""
+    from loanframe.models.features import FEATURE_NAMES, FeatureEncoder
+    base = loans(spark, SF_SMALL)
+    few, many = FeatureEncoder.fit(base), FeatureEncoder.fit(base, max_labels=0)
+    assert not few.codes and set(many.codes) == set(K.CAT_COLS) and many.indexer is None
+    odd = base.limit(50).withColumn("geography", F.when(F.col("loan_id") < "LN-000300", "Mars").when(F.col("loan_id") < "LN-000600", F.lit(None))
+                                    .otherwise(F.col("geography")))
+    pick = lambda e: sorted(tuple(r) for r in e._raw(odd).select("loan_id", *FEATURE_NAMES).collect())
+    assert pick(few) == pick(many)

@@ -10,7 +10,7 @@ from loanframe.operators import policy as P
 from loanframe.operators import scoring as S
 from loanframe.plans.catalog import loans, scored_rules
 from loanframe.operators.normalize import normalize_loans
-from loanframe.sources.csv import read_loans_csv, upload, write_loans_csv, write_report
+from loanframe.sources.csv import read_loans_csv, read_loans_table, upload, write_loans_csv, write_report
 from loanframe.streaming.scoring import read_loan_stream, run_available_now, score_stream
 from tests.conftest import SF_SMALL, rows
 
@@ -18,11 +18,11 @@ from tests.conftest import SF_SMALL, rows
 def test_policy_rows(spark):
     recs = P.policy_recommendations(scored_rules(spark, SF_SMALL)).collect()
     assert [r["rank"] for r in recs] == [1, 2, 3, 4, 5, 6]
-    assert [r["title"] for r in recs] == P.TITLES
+    assert [r["title"] for r in recs] == [title for title, _ in P.RECOMMENDATIONS]
     assert recs[0]["body"].startswith("Portfolio of 1,500 loans")
     assert recs[2]["type"] == "warning" and recs[4]["type"] == "success"
     memo = P.policy_memo(scored_rules(spark, SF_SMALL)).collect()
-    assert [r["title"] for r in memo] == P.MEMO_TITLES
+    assert [r["title"] for r in memo] == [title for title, _ in P.MEMO]
 
 
 def test_policy_empty(spark):
@@ -100,3 +100,28 @@ def test_upload_in_one_call(spark, tmp_path):
     got = upload(spark, str(tmp_path / "up"))
     assert got["columns"][0] == "loan_id" and "value_proxy" in got["normalized_columns"]
     assert got["summary"].first()["total_loans"] == 300 == got["train_info"].first()["n_samples"]
+
+
+def test_upload_is_one_scan(spark, tmp_path, monkeypatch):
+    """Every row passes the normaliser once: emptiness and ragged rows are told from the written table."""
+    import loanframe.operators.normalize as normalize
+    reads, plain = spark.sparkContext.accumulator(0), normalize.normalize_loans
+
+    def counted(table):
+        @F.udf("string", useArrow=False)
+        def seen(x):
+            reads.add(1)
+            return x
+        return plain(table).withColumn("seen", seen("loan_id"))
+
+    monkeypatch.setattr(normalize, "normalize_loans", counted)
+    kept = read_loans_table(spark, _file(tmp_path, "loan_id,region\n" + "".join(f"L{i},Metro\n" for i in range(50))))
+    assert kept.count() == 50 == reads.value and kept.columns[-1] == "seen"
+
+
+def test_checks_are_made_on_the_written_table(spark, tmp_path):
+    path = _file(tmp_path, "loan_id,region\nL1,Metro,surplus\nL2\n")
+    with pytest.raises(ValueError, match="more than 2 fields"):
+        read_loans_table(spark, path)
+    with pytest.raises(ValueError, match="no rows"):
+        read_loans_table(spark, _file(tmp_path, "loan_id,region\n"))
