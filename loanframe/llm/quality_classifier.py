@@ -1,12 +1,18 @@
 """Quality classifier: supervised subword embeddings.
 
-A document is the average of learned vectors of its hashed words and character
-n-grams (a word that repeats the one before it has a feature of its own), read
-by a softmax over the two classes.  Fitting is numpy stochastic gradient
-descent on the driver over at most ``TRAIN_ROWS`` labelled rows of each class
-of at most ``TRAIN_CHARS`` characters, taken in the order of a hash of the id.
-Scoring runs in Spark tasks over whole texts: the softmax of an average is
-linear in the features, so each bucket is shipped as one number (1 MB).
+A document is the average of learned vectors of its hashed words, their
+character n-grams and its word pairs and triples, read by a softmax over the two
+classes.  Fitting is numpy stochastic gradient descent on the driver over the
+whole texts of at most ``TRAIN_ROWS`` labelled rows of each class, taken in the
+order of a hash of the id.  Scoring runs in Spark tasks over whole texts: the
+softmax of an average is linear in the features, so each bucket is shipped as
+one number (4 MB).
+
+All hashes are taken a slice of texts at a time in numpy, over the code points
+of its distinct words; nothing is kept between slices.  A word pair is hashed
+from the exclusive-or of its words' hashes, so the order of the two does not
+count and all pairs of a word with itself share a bucket, whose vector is learned
+like any other.
 
 Defined results: a null or empty text has no features and scores the bias; a
 null doc_id counts as held out; of a repeated label the lowest counts; with an
@@ -16,7 +22,7 @@ seen; extra columns, whatever their names, are carried along.
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,28 +31,34 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loanframe.llm.common import worker_cache
-
-BUCKETS, DIM = 1 << 18, 12
+BUCKETS, DIM = 1 << 20, 12
 GRAMS = (3, 4)
-TRAIN_ROWS, TRAIN_CHARS = 2_000, 20_000
+TRAIN_ROWS = 2_000
 EPOCHS, RATE, SEED = 6, 2.0, 7
 THRESHOLD = 0.3
-AGAIN, AGAIN_WEIGHT = 0, 8  # the bucket of a repeated word, and the features it counts for
-MEMO_WORDS = 200_000  # words that a worker remembers before it starts afresh
+SLICE_BYTES = 4 << 20  # texts whose features are made at a time
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+
+
+def _mix(x: np.ndarray, kind: int) -> np.ndarray:
+    """Well spread 64-bit hashes of numbers; each kind of feature has its own."""
+    x = x + np.uint64((kind * 0xD6E8FEB86659FD93 + 1) % (1 << 64))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-def features(word: str) -> list[int]:
-    """Buckets of a word: itself and its character n-grams, marked at both ends."""
-    import xxhash
+def _bucket(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - (BUCKETS - 1).bit_length())).astype(np.int64)
 
-    marked = f"<{word}>"
-    parts = [word] + [marked[i:i + n] for n in GRAMS for i in range(len(marked) - n + 1)]
-    return [1 + xxhash.xxh32_intdigest(p.encode()) % (BUCKETS - 1) for p in parts]
+
+def _powers(n: int, base: np.uint64) -> np.ndarray:
+    return np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, base, np.uint64)]), dtype=np.uint64)
 
 
 def _words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(distinct words, code of each word in order, offsets of the texts)."""
+    """(distinct words, code of each word in order, offsets of the texts); a text without words has an empty one."""
     flat = pc.utf8_trim(pc.replace_substring_regex(pc.fill_null(texts.cast(pa.large_string()), ""), "[ \\t\\n\\x0b\\f\\r]+", " "), " ")
     words = pc.split_pattern(flat, " ")
     coded = words.flatten().dictionary_encode()
@@ -54,10 +66,50 @@ def _words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False), cuts - cuts[0]
 
 
-def _repeats(code: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-    same = np.concatenate([[False], code[1:] == code[:-1]]) if len(code) else np.zeros(0, bool)
-    same[cuts[:-1][cuts[:-1] < len(code)]] = False
-    return same
+def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each word, word of each feature, bucket of each feature): the word itself, and the character n-grams of the
+    word marked at both ends. An empty word has none."""
+    text = "".join(f"<{w}>" for w in words)
+    points = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64)
+    size = np.array([len(w) for w in words], np.int64)
+    end = np.cumsum(size + 2)
+    begin = end - size - 2
+    # A polynomial in the code points, shifted down to the word's own place.
+    total = np.concatenate([[np.uint64(0)], np.cumsum(points * _powers(len(points), _BASE)[:-1], dtype=np.uint64)])
+    whole = _mix((total[end] - total[begin]) * _powers(len(points), _INVERSE)[begin], 0)
+    filled = np.flatnonzero(size)
+    of, buckets = [filled], [_bucket(whole[filled])]
+    word = np.repeat(np.arange(len(words)), size + 2)
+    for n in GRAMS:
+        gram = np.zeros(max(len(points) - n + 1, 0), np.uint64)
+        for k in range(n):
+            gram = gram * _BASE + points[k:k + len(gram)]
+        at = np.flatnonzero(np.arange(len(gram)) + n <= end[word[:len(gram)]])
+        at = at[size[word[at]] > 0]
+        of.append(word[at])
+        buckets.append(_bucket(_mix(gram[at], n)))
+    return whole, np.concatenate(of), np.concatenate(buckets)
+
+
+def run_features(whole: np.ndarray, code: np.ndarray, cuts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(place of the last word, bucket) of the word pairs, then of the triples; none crosses a text's end."""
+    h = whole[code]
+    place = np.arange(len(code)) - np.repeat(cuts[:-1], np.diff(cuts))
+    pair = _mix(h[1:] ^ h[:-1], 11)
+    at = np.flatnonzero(place >= 1)
+    yield at, _bucket(pair[at - 1])
+    at = np.flatnonzero(place >= 2)
+    yield at, _bucket(_mix(pair[at - 2] * _BASE + pair[at - 1], 12))
+
+
+def slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """Consecutive runs of texts of about SLICE_BYTES."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SLICE_BYTES, side="right")))
+        yield texts.slice(at, end - at)
+        at = end
 
 
 @dataclass
@@ -65,37 +117,48 @@ class Model:
     values: np.ndarray  # a number for each bucket: its vector read by the softmax
     bias: float
 
-    def scores(self, texts: pa.Array, memo: dict[str, tuple[float, int]]) -> np.ndarray:
+    def scores(self, texts: pa.Array) -> np.ndarray:
+        out = [self._scores(some) for some in slices(texts)]
+        return np.concatenate([*out, np.empty(0)])
+
+    def _scores(self, texts: pa.Array) -> np.ndarray:
         words, code, cuts = _words(texts)
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
-        for w in words:
-            if w not in memo:
-                f = features(w) if w else []
-                memo[w] = (float(self.values[f].sum()), len(f))
-        got = np.array([memo[w] for w in words], np.float64).reshape(-1, 2)
-        again = _repeats(code, cuts) * AGAIN_WEIGHT
-        total = np.concatenate([[0.0], np.cumsum(got[code, 0] + again * self.values[AGAIN])])[cuts]
-        n = np.concatenate([[0.0], np.cumsum(got[code, 1] + again)])[cuts]
-        mean = np.diff(total) / np.maximum(np.diff(n), 1)
-        return 1 / (1 + np.exp(-np.clip(mean + self.bias, -30, 30)))
+        whole, of, buckets = word_features(words)
+        value = np.bincount(of, self.values[buckets], len(words))[code].astype(np.float64)
+        count = np.bincount(of, minlength=len(words))[code].astype(np.float64)
+        for at, buckets in run_features(whole, code, cuts):
+            value[at] += self.values[buckets]
+            count[at] += 1
+        total, n = (np.diff(np.concatenate([[0.0], np.cumsum(x)])[cuts]) for x in (value, count))
+        return 1 / (1 + np.exp(-np.clip(total / np.maximum(n, 1) + self.bias, -30, 30)))
+
+
+def _documents(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(buckets, shares) of each text's features."""
+    out = []
+    for some in slices(pa.array(texts, pa.string())):
+        words, code, cuts = _words(some)
+        whole, of, buckets = word_features(words)
+        order = np.argsort(of, kind="stable")
+        buckets, ends = buckets[order], np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(words)))])
+        runs = [(at, b) for at, b in run_features(whole, code, cuts)]
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            mine = code[lo:hi]
+            n = ends[mine + 1] - ends[mine]
+            place = np.repeat(ends[mine] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            parts = [buckets[place], *[b[np.searchsorted(at, lo):np.searchsorted(at, hi)] for at, b in runs]]
+            found, many = np.unique(np.concatenate(parts), return_counts=True)
+            out.append((found.astype(np.int32), (many / max(many.sum(), 1)).astype(np.float32)))
+    return out
 
 
 def fit_rows(texts: list[str | None], labels: np.ndarray) -> Model:
     """Stochastic gradient descent over the rows in a seeded order; both classes weigh the same."""
     if not len(texts) or len(set(labels.tolist())) < 2:
         return Model(np.zeros(BUCKETS), 0.0 if not len(texts) else (4.0 if labels[0] else -4.0))
-    words, code, cuts = _words(pa.array(texts, pa.string()))
-    of = [np.array(features(w) if w else [], np.int64) for w in words]
-    again = _repeats(code, cuts)
-    docs = []
-    for i in range(len(texts)):
-        ids = [of[c] for c in code[cuts[i]:cuts[i + 1]]]
-        ids.append(np.zeros(int(again[cuts[i]:cuts[i + 1]].sum()) * AGAIN_WEIGHT, np.int64))
-        found, n = np.unique(np.concatenate(ids), return_counts=True)
-        docs.append((found.astype(np.int32), (n / max(n.sum(), 1)).astype(np.float32)))
+    docs = _documents(texts)
     rng = np.random.default_rng(SEED)
-    vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM))
+    vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     out, bias = np.zeros((2, DIM)), np.zeros(2)
     share = labels.mean()
     weight = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share))
@@ -116,7 +179,7 @@ def fit_rows(texts: list[str | None], labels: np.ndarray) -> Model:
             back = out.T @ p
             out -= rate * np.outer(p, hidden)
             bias -= 0.1 * rate * p
-            vectors[ids] = rows - rate * part[:, None] * back
+            vectors[ids] = rows - part[:, None] * (rate * back).astype(np.float32)
     return Model(vectors @ (out[1] - out[0]), float(bias[1] - bias[0]))
 
 
@@ -133,22 +196,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = []
     for y in (0, 1):  # bounded: TRAIN_ROWS ids, then TRAIN_ROWS rows
         some = known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(TRAIN_ROWS)
-        of = docs.select(F.col(id_col).alias("id"), text.alias("text")).where(
-            F.coalesce(F.length("text"), F.lit(0)) <= TRAIN_CHARS)
+        of = docs.select(F.col(id_col).alias("id"), text.alias("text"))
         rows += of.join(F.broadcast(some), "id").orderBy(F.xxhash64("id"), "id", "text").limit(TRAIN_ROWS).select("text", "y").collect()
     return fit_rows([r["text"] for r in rows], np.array([r["y"] for r in rows], np.int64))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """Each row as struct ``r`` with its score."""
-    name = uuid.uuid4().hex
     shared = docs.sparkSession.sparkContext.broadcast((model.values.astype(np.float32), model.bias))
 
     @F.arrow_udf("double")
     def of(texts: pa.Array) -> pa.Array:
-        model, memo = Model(*shared.value), worker_cache(name, dict)
-        out = [model.scores(texts.slice(i, 1000), memo) for i in range(0, len(texts), 1000)]
-        return pa.array(np.concatenate([*out, np.empty(0)]), pa.float64())
+        return pa.array(Model(*shared.value).scores(texts), pa.float64())
 
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"),
                        of(F.col(text_col).cast("string")).alias("score"))

@@ -30,7 +30,7 @@ def test_stages_by_brute_force(spark):
     start, good, single, apart, mixed, packed = seen
     model = quality_classifier.fit(table(spark, SF, "documents"), labels)
     model.values = model.values.astype(np.float32)
-    scores = model.scores(pa.array([r["text"] for r in start]), {})
+    scores = model.scores(pa.array([r["text"] for r in start]))
     assert Counter(good) == Counter(r for r, s in zip(start, scores) if s >= 0.3)
     best = {}
     for r in good:

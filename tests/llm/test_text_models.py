@@ -124,10 +124,46 @@ def test_classifier_on_held_out_rows(spark):
     again = c.fit(docs, labels)
     assert (again.values == model.values).all() and again.bias == model.bias
     # A score is the softmax over the averaged features, computed plainly.
-    text = "And the the Thing, x"
-    f = [b for w in text.split() for b in c.features(w)] + [c.AGAIN] * c.AGAIN_WEIGHT
-    plain = 1 / (1 + np.exp(-(model.values[f].mean() + model.bias)))
-    assert np.allclose(model.scores(pa.array([text]), {}), [plain])
+    for text in ("And the the Thing, x", "été  Été\n日本", "a"):
+        plain = 1 / (1 + np.exp(-(model.values[plain_buckets(text)].mean() + model.bias)))
+        assert np.allclose(model.scores(pa.array(["x y", text, None])), [model.scores(pa.array(["x y"]))[0], plain, 1 / (1 + np.exp(-model.bias))])
+
+
+def plain_buckets(text):
+    """Buckets of a text's features, one at a time in Python integers."""
+    c, full = quality_classifier, (1 << 64) - 1
+    base, top = int(c._BASE), 64 - (c.BUCKETS - 1).bit_length()
+
+    def mix(x, kind):
+        x = (x + kind * 0xD6E8FEB86659FD93 + 1) & full
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & full
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & full
+        return x ^ (x >> 31)
+
+    words, whole, out = text.split(), [], []
+    for w in words:
+        marked = f"<{w}>"
+        whole.append(mix(sum(ord(x) * pow(base, i, 1 << 64) for i, x in enumerate(marked)) & full, 0))
+        out.append(whole[-1])
+        for n in c.GRAMS:
+            for i in range(len(marked) - n + 1):
+                h = 0
+                for x in marked[i:i + n]:
+                    h = (h * base + ord(x)) & full
+                out.append(mix(h, n))
+    pairs = [mix(a ^ b, 11) for a, b in zip(whole, whole[1:])]
+    out += pairs + [mix((a * base + b) & full, 12) for a, b in zip(pairs, pairs[1:])]
+    return [h >> top for h in out]
+
+
+def test_slices_do_not_change_the_scores(monkeypatch):
+    rng = np.random.default_rng(2)
+    c = quality_classifier
+    model = c.Model(rng.normal(size=c.BUCKETS), 0.1)
+    some = pa.array([" ".join(rng.choice(["ab", "cde", "é", "ab"], rng.integers(0, 60))) for _ in range(50)] + [None, "", "x " * 5000])
+    want = model.scores(some)
+    monkeypatch.setattr(c, "SLICE_BYTES", 100)
+    assert np.allclose(model.scores(some), want) and len(model.scores(some[:0])) == 0
 
 
 def test_labels_and_ids_do_not_reach_the_score(spark):
