@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanframe.session import ensure_checkpoint_dir
+from loanframe.session import scratch_folder
 
 WORD = "[^\\x20\\x09-\\x0D]+"  # a word: a run without ASCII white space
 BROADCAST_ROWS = 200_000  # most rows of a side that is broadcast (a few MB)
@@ -20,8 +20,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new folder under the shared checkpoint folder."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    """A new folder under the shared checkpoint folder (or the scope that is open there)."""
+    return f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -7,9 +7,13 @@ and its row passes straight through without a shuffle.  Only possibly
 repeated hashes (all repeated ones and a small rate of false alarms, which
 the exact grouping clears) are shuffled.
 
-A filter covers at most ``docs_per_filter`` rows; larger tables are cut into
-hash segments that are handled one after the other, so neither the filter on
-the driver nor its broadcast copy grows with the input.
+A task sends the cells that its rows hit, block by block of the filter, and a
+block's hits meet in one task, which keeps the cells hit twice: some 16 bytes a
+row, whatever the number of tasks.  A filter covers at most ``docs_per_filter``
+rows (the broadcast bit map has two bytes for each); larger tables are cut into
+hash segments that are handled one after the other, and a segment's bit map is
+dropped when its rows are written, so neither the filter on the driver nor its
+broadcast copies grow with the input.
 
 Defined results: a null text counts as empty; the largest doc_id of equal
 texts stays, a null doc_id ranks below all others; of rows that repeat both
@@ -24,6 +28,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,9 +36,9 @@ from loanframe.llm.common import folder, salts, stored
 
 CELLS_PER_DOC = 16
 HASHES = 4
-DOCS_PER_FILTER = 1 << 24  # 2^28 cells: two bit maps of 32 MB
+DOCS_PER_FILTER = 1 << 24  # 2^28 cells: a bit map of 32 MB
 BLOCK_CELLS = 1 << 20
-SKETCH_TASKS = 64
+TASK_HITS = 1 << 21  # hits that a task gathers before it sends them
 
 
 def _cells(digests: pd.Series, cells: int) -> np.ndarray:
@@ -44,46 +49,48 @@ def _cells(digests: pd.Series, cells: int) -> np.ndarray:
     return np.stack([(a + np.uint64(i) * step) & np.uint64(cells - 1) for i in range(HASHES)]).astype(np.int64)
 
 
-def _set(bits: np.ndarray, cell: np.ndarray) -> None:
-    np.bitwise_or.at(bits, cell >> 3, (1 << (cell & 7)).astype(np.uint8))
-
-
 def _get(bits: np.ndarray, cell: np.ndarray) -> np.ndarray:
     return (bits[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 > 0
 
 
-def _sketch(cells: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """A task's cells: hit at least once, hit at least twice."""
+def _hits(cells: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Places in each block of the filter that a task's rows hit once, and twice or more."""
+    def sent(hits: list[np.ndarray]) -> pd.DataFrame:
+        hit, n = np.unique(np.concatenate(hits), return_counts=True)
+        cuts = np.searchsorted(hit, np.arange(0, cells + 1, BLOCK_CELLS))
+        blocks = np.flatnonzero(np.diff(cuts))
+        some = [(hit[cuts[b]:cuts[b + 1]] & (BLOCK_CELLS - 1), n[cuts[b]:cuts[b + 1]] > 1) for b in blocks]
+        return pd.DataFrame({"block": blocks.astype(np.int32), "once": [x[~y].astype("<u4").tobytes() for x, y in some],
+                             "twice": [x[y].astype("<u4").tobytes() for x, y in some]})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        once, twice = np.zeros(cells // 8, np.uint8), np.zeros(cells // 8, np.uint8)
+        held, n = [], 0
         for pdf in batches:
             if len(pdf):
-                hit, n = np.unique(_cells(pdf["sha"], cells), return_counts=True)
-                _set(twice, hit[(n > 1) | _get(once, hit)])
-                _set(once, hit)
-        step = BLOCK_CELLS // 8
-        for k in range(0, cells // 8, step):
-            if once[k:k + step].any():
-                yield pd.DataFrame({"block": [k // step], "once": [once[k:k + step].tobytes()],
-                                    "twice": [twice[k:k + step].tobytes()]})
+                held.append(_cells(pdf["sha"], cells).ravel())
+                n += len(held[-1])
+            if n >= TASK_HITS:
+                yield sent(held)
+                held, n = [], 0
+        if held:
+            yield sent(held)
     return run
 
 
-def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Cells of one block over all tasks (SKETCH_TASKS rows at most)."""
-    once = twice = np.zeros(len(pdf["once"].iloc[0]), np.uint8)
-    for a, b in zip(pdf["once"], pdf["twice"]):
-        a, b = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-        once, twice = once | a, twice | b | (once & a)
-    return pd.DataFrame({"block": [pdf["block"].iloc[0]], "twice": [twice.tobytes()]})
+def _twice(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Bit map of one block: the cells that were hit twice or more over all tasks."""
+    once, twice = (np.frombuffer(b"".join(pdf[c]), "<u4") for c in ("once", "twice"))
+    hit, n = np.unique(once, return_counts=True)
+    marks = np.zeros(BLOCK_CELLS, np.uint8)
+    marks[hit[n > 1]] = marks[twice] = 1
+    return pd.DataFrame({"block": [pdf["block"].iloc[0]], "twice": [np.packbits(marks, bitorder="little").tobytes()]})
 
 
-def _repeated(digests: DataFrame, rows: int) -> Callable[[Column], Column]:
-    """Pass one over a column ``sha``; returns the test of pass two."""
+def _repeated(digests: DataFrame, rows: int) -> tuple[Callable[[Column], Column], Broadcast]:
+    """Pass one over a column ``sha``; gives the test of pass two and the bit map that it reads."""
     cells = 1 << max(20, math.ceil(math.log2(CELLS_PER_DOC * max(rows, 1))))
-    blocks = (digests.select("sha").coalesce(SKETCH_TASKS)
-              .mapInPandas(_sketch(cells), "block int, once binary, twice binary")
-              .groupBy("block").applyInPandas(_merge, "block int, twice binary"))
+    blocks = (digests.select("sha").mapInPandas(_hits(cells), "block int, once binary, twice binary")
+              .groupBy("block").applyInPandas(_twice, "block int, twice binary"))
     bits = np.zeros(cells // 8, np.uint8)
     step = BLOCK_CELLS // 8
     for r in blocks.toLocalIterator():  # one bit map of bounded size
@@ -96,7 +103,7 @@ def _repeated(digests: DataFrame, rows: int) -> Callable[[Column], Column]:
             return pd.Series([], dtype=bool)
         cell = _cells(sha, cells)
         return pd.Series(_get(shared.value, cell).all(axis=0))
-    return again
+    return again, shared
 
 
 def _digest(col: Column) -> Column:
@@ -114,15 +121,16 @@ def _segments(rows: DataFrame, n: int, docs_per_filter: int) -> list[tuple[DataF
     return [(spark.read.parquet(path).where(F.col("segment") == i).drop("segment"), 2 * n // k) for i in range(k)]
 
 
-def _gather(parts: list[Callable[[], DataFrame]], name: str) -> DataFrame:
-    """The parts' rows; several parts are written one after the other."""
+def _gather(parts: list[Callable[[], tuple[DataFrame, Broadcast]]], name: str) -> DataFrame:
+    """The parts' rows; several parts are written one after the other, each with its own bit map."""
+    first, shared = parts[0]()
     if len(parts) == 1:
-        return parts[0]()
-    first = parts[0]()
+        return first
     path = folder(first.sparkSession, name)
-    first.write.parquet(path)
-    for part in parts[1:]:
-        part().write.mode("append").parquet(path)
+    for i, part in enumerate(parts):
+        rows, shared = part() if i else (first, shared)
+        rows.write.mode("append").parquet(path)
+        shared.unpersist()
     return first.sparkSession.read.parquet(path)
 
 
@@ -134,8 +142,9 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                          .select("id", _digest(F.col("t")).alias("sha"), F.monotonically_increasing_id().alias("row")),
                          "exact-hashes")
 
-    def part(rows: DataFrame, n: int) -> DataFrame:
-        tested = rows.withColumn("again", _repeated(rows, n)(F.col("sha")))
+    def part(rows: DataFrame, n: int) -> tuple[DataFrame, Broadcast]:
+        again, shared = _repeated(rows, n)
+        tested = rows.withColumn("again", again(F.col("sha")))
         alone = tested.where("not again").select(
             "id", "sha", F.col("id").alias("keep"), F.lit(1).cast("long").alias("n"), F.lit(True).alias("kept"))
         # A text's rows are counted salt by salt, so one hot text is spread over many tasks.
@@ -147,7 +156,7 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         answer = by_salt.select("sha", "salt").join(by_text, "sha")
         groups = salted.join(answer, ["sha", "salt"]).select(
             "id", "sha", F.col("best.id").alias("keep"), "n", (F.col("row") == F.col("best.row")).alias("kept"))
-        return alone.unionByName(groups)
+        return alone.unionByName(groups), shared
 
     parts = [lambda r=r, n=n: part(r, n) for r, n in _segments(hashed, hashed.count(), docs_per_filter)]
     return _gather(parts, "exact-annotated").select(
@@ -161,12 +170,13 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"),
                        _digest(F.coalesce(F.col(text_col), F.lit(""))).alias("sha"))
 
-    def part(seg: DataFrame, n: int) -> DataFrame:
-        tested = seg.withColumn("again", _repeated(seg, n)(F.col("sha")))
+    def part(seg: DataFrame, n: int) -> tuple[DataFrame, Broadcast]:
+        again, shared = _repeated(seg, n)
+        tested = seg.withColumn("again", again(F.col("sha")))
         # Partial aggregation leaves one row of a text for each task before the shuffle.
         rank = F.struct(F.col(f"r.`{id_col}`"), F.xxhash64(F.to_json("r")))
         stay = tested.where("again").groupBy("sha").agg(F.max_by("r", rank).alias("r"))
-        return tested.where("not again").select("r").unionByName(stay.select("r"))
+        return tested.where("not again").select("r").unionByName(stay.select("r")), shared
 
     parts = [lambda r=r, n=n: part(r, n) for r, n in _segments(rows, docs.count(), docs_per_filter)]
     return _gather(parts, "exact-kept").select("r.*")
