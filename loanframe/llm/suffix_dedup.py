@@ -4,15 +4,17 @@
    (by hash, leftmost first).  Equal windows have the same piece at the same
    place, so neighbouring windows with one piece form a cell, and windows can
    only be equal inside the cells of one piece (the core).
-2. Cells are counted by core and content.  A cell that occurs twice is
-   repeated as a whole, however often it occurs; a cell that is alone in its
-   core is not repeated.  Neither needs its bytes.
-3. What is left are different cells with one core.  Their bytes are brought
-   together and put through a two-stage suffix sort; windows whose common
-   prefix with a neighbour reaches the length are repeated.
+2. Cells are counted by core and content (a 64-bit hash).  A cell that is
+   alone in its core is not repeated; its bytes are not needed.
+3. The bytes of all other cells are brought together by core and put through a
+   two-stage suffix sort; windows whose common prefix with a neighbour reaches
+   the length are repeated.  Of a kind of cell that occurs more than once, however
+   often, two go through the sort, and what the sort finds in the first holds
+   for all of that kind.
 4. A core with more than MOST_CELLS different cells is cut into finer cells,
-   filed under longer pieces (369 bytes, then the whole window), counted and
-   sorted the same way, so no group has to fit one task.
+   filed under longer pieces (369 bytes, then the whole window), so no group has
+   to fit one task.  Here, cells that occur more than once are told by their
+   hashes; the different ones are sorted.
 
 Texts are known by their 128-bit digest, so copies of a text share one list of
 spans.  Defined results: a null text is empty; texts shorter than the length
@@ -115,6 +117,10 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 CELLS = "key binary, first long, windows int, anchor int, core long, cell long"
 
 
+# Of a wanted cell: once says that it has no equal, part tells the two apart that stand for the others.
+FIELDS = ["first", "windows", "anchor", "core", "cell", "once", "kinds", "part"]
+
+
 def _counted(cells: DataFrame) -> DataFrame:
     """(core, cell, n, kinds) of the cells that may hold a repeated window; both counts combine before the shuffle."""
     per = stored(cells.groupBy("core", "cell").agg(F.count(F.lit(1)).alias("n")), "suffix-counts")
@@ -142,11 +148,12 @@ def _cut_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([key] * len(first), pa.binary()), *want,
                  pa.array([text[a:a + n + LENGTH - 1] for a, n in zip(first, windows)], pa.binary())],
-                names=["key", "first", "windows", "anchor", "core", "cell", "once", "kinds", "bytes"])
+                names=["key", *FIELDS, "bytes"])
 
 
 def _sort_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Ranges that repeated windows cover in the cells of a bucket of cores.
+    """Ranges that repeated windows cover in the cells of a bucket of cores: of a text, for cells without an
+    equal; of the cell itself (no key, but core and cell), for the first of two that stand for the others.
 
     The cores of a bucket are sorted some at a time, since short strings sort faster."""
     pdf = pdf.sort_values("core", kind="stable")
@@ -154,11 +161,15 @@ def _sort_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
     new = np.concatenate([[True], np.diff(pdf["core"].to_numpy()) != 0])
     out = []
     for _, part in pdf.groupby(done[np.maximum.accumulate(np.where(new, np.arange(len(pdf)), 0))]):
-        for key, first, once, hit in zip(part["key"], part["first"], part["once"], repeated(list(part["bytes"]), LENGTH)):
-            if once and len(hit):
-                cut = np.flatnonzero(np.diff(hit) != 1) + 1
-                out += [(key, first + int(r[0]), first + int(r[-1]) + LENGTH) for r in np.split(hit, cut)]
-    return pd.DataFrame(out, columns=["key", "lo", "hi"])
+        for r, hit in zip(part.itertuples(), repeated(list(part["bytes"]), LENGTH)):
+            if len(hit) and r.part == 0:
+                runs = np.split(hit, np.flatnonzero(np.diff(hit) != 1) + 1)
+                key, first, core, cell = (r.key, r.first, None, None) if r.once else (None, 0, r.core, r.cell)
+                out += [(key, core, cell, first + int(x[0]), first + int(x[-1]) + LENGTH) for x in runs]
+    key, core, cell, lo, hi = zip(*out) if out else [()] * 5
+    # Nullable integers from the start: hashes don't survive a float column.
+    return pd.DataFrame({"key": pd.Series(key, dtype=object), "core": pd.array(core, "Int64"), "cell": pd.array(cell, "Int64"),
+                         "lo": np.array(lo, np.int64), "hi": np.array(hi, np.int64)})
 
 
 def _finer(width: int):
@@ -178,26 +189,26 @@ def _finer(width: int):
                         core = data[at:at + LENGTH - width + 1]
                         part = data[lo:hi + LENGTH]
                         out.append((r["key"], r["first"] + lo, hi - lo + 1, anchor - lo, digest(b"%d " % j + core),
-                                    digest(part), r["once"], part))
+                                    digest(part), r["once"], 0, part))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 8, (
-                    pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()))],
-                names=["key", "first", "windows", "anchor", "core", "cell", "once", "bytes"])
+                [pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 9, (
+                    pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary()))],
+                names=["key", "first", "windows", "anchor", "core", "cell", "once", "part", "bytes"])
     return run
 
 
 def _distinct(cells: DataFrame) -> DataFrame:
-    """One row per core and cell, combined before the shuffle; cells that occur once are alone already."""
-    return cells.where("once").unionByName(cells.where("not once").dropDuplicates(["core", "cell"]))
+    """One row per core, cell and part, combined before the shuffle; cells that occur once are alone already."""
+    return cells.where("once").unionByName(cells.where("not once").dropDuplicates(["core", "cell", "part"]))
 
 
 def _sorted_ranges(cells: DataFrame) -> DataFrame:
-    """Ranges from cells with bytes whose cores have MOST_CELLS kinds at most."""
+    """What ``_sort_bucket`` finds in cells with bytes whose cores have MOST_CELLS kinds at most."""
     size = cells.agg(F.sum(F.length("bytes"))).first()[0] or 0
     buckets = max(1, size // BUCKET_BYTES)
-    return (_distinct(cells.select("key", "first", "core", "cell", "once", "bytes"))
+    return (_distinct(cells.select("key", "first", "core", "cell", "once", "part", "bytes"))
             .withColumn("bucket", F.pmod(F.xxhash64("core"), F.lit(buckets)))
-            .groupBy("bucket").applyInPandas(_sort_bucket, "key binary, lo long, hi long"))
+            .groupBy("bucket").applyInPandas(_sort_bucket, "key binary, core long, cell long, lo long, hi long"))
 
 
 def repeated_ranges(texts: DataFrame, most_cells: int = MOST_CELLS) -> DataFrame:
@@ -206,28 +217,38 @@ def repeated_ranges(texts: DataFrame, most_cells: int = MOST_CELLS) -> DataFrame
     # These sides grow with the input, so the joins are shuffled at every size; both sides of
     # each are read from files or scans, so AQE can split a hot key.
     flagged = stored(cells.join(_counted(cells).hint("merge"), ["core", "cell"]), "suffix-flagged")
-    found = [_ranges(flagged.where("n > 1"))]
-    # Different cells of one core: those that occur once, and one of each that occurs more often.
-    mixed = flagged.where("kinds > 1").withColumn("once", F.col("n") == 1)
-    fields = ["first", "windows", "anchor", "core", "cell", "once", "kinds"]
-    one = mixed.where("not once").groupBy("core", "cell").agg(F.min(F.struct("key", *fields)).alias("x")).select("x.*")
-    wanted = mixed.where("once").select("key", *fields).unionByName(one.select("key", *fields))
-    lists = stored(wanted.groupBy("key").agg(F.collect_list(F.struct(*fields)).alias("wanted")), "suffix-wanted")
-    schema = T.StructType([T.StructField("key", T.BinaryType()), *[mixed.schema[f] for f in fields],
+    crowded = F.col("kinds") > most_cells
+    found = [_ranges(flagged.where((F.col("n") > 1) & crowded))]
+    # Cells without an equal, and two of each kind that has some (one in a crowded core).
+    fields = [x for x in FIELDS if x != "part"]
+    known = flagged.withColumn("once", F.col("n") == 1)
+    alone = known.where("once").select("key", *fields, F.lit(0).alias("part"))
+    pick = F.struct("key", *fields)
+    two = known.where("not once").groupBy("core", "cell").agg(F.min(pick).alias("a"), F.max(pick).alias("b"))
+    two = two.select(F.posexplode(F.array("a", "b")).alias("part", "x")).select("x.*", "part").where(~crowded | (F.col("part") == 0))
+    wanted = alone.unionByName(two.select("key", *FIELDS))
+    lists = stored(wanted.groupBy("key").agg(F.collect_list(F.struct(*FIELDS)).alias("wanted")), "suffix-wanted")
+    schema = T.StructType([T.StructField("key", T.BinaryType()), *[wanted.schema[f] for f in FIELDS],
                            T.StructField("bytes", T.BinaryType())])
     got = texts.select("key", "text").join(lists.hint("merge"), "key").select("key", "text", "wanted")
     some = stored(got.mapInArrow(_cut_bytes, schema), "suffix-bytes")
-    for width in (*FINER, None):
-        found.append(_sorted_ranges(some.where(F.col("kinds") <= most_cells).drop("kinds")))
-        crowd = some.where(F.col("kinds") > most_cells)
-        if width is None or not crowd.take(1):
+    sorted_ = stored(_sorted_ranges(some.where(~crowded)), "suffix-sorted")
+    found.append(sorted_.where("key is not null").select("key", "lo", "hi"))
+    # What holds for the first of a kind holds for all of it.
+    kinds = sorted_.where("key is null").select("core", "cell", "lo", "hi")
+    found.append(flagged.where((F.col("n") > 1) & ~crowded).select("key", "first", "core", "cell").join(kinds.hint("merge"), ["core", "cell"])
+                 .select("key", (F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi")).alias("hi")))
+    for width in FINER:
+        crowd = some.where(crowded)
+        if not crowd.take(1):
             break
-        crowd = _distinct(crowd).select("key", "first", "windows", "anchor", "core", "cell", "once", "bytes")
+        crowd = _distinct(crowd).select("key", "first", "windows", "anchor", "core", "cell", "once", "part", "bytes")
         parts = stored(crowd.mapInArrow(_finer(width), crowd.schema), "suffix-finer")
         told = stored(parts.join(_counted(parts).hint("merge"), ["core", "cell"]), "suffix-told")
         found.append(_ranges(told.where("n > 1 and once")))
         # Parts that occur more often have their ranges; one of each stands for them among the others of its core.
         some = told.where("kinds > 1").withColumn("once", F.expr("once and n = 1")).drop("n")
+        found.append(_sorted_ranges(some.where(~crowded)).where("key is not null").select("key", "lo", "hi"))
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)

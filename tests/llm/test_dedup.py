@@ -163,7 +163,8 @@ def test_a_task_sorts_one_row_per_cell_of_a_crowded_core(spark, monkeypatch):
     whole, sort, most = suffix_dedup.repeated_ranges, suffix_dedup._sort_bucket, 10
 
     def checked(pdf):
-        assert not pdf.duplicated(["core", "cell"]).any() and pdf.groupby("core").size().max() <= most
+        assert not pdf.duplicated(["core", "cell", "part"]).any() and pdf["part"].max() <= 1
+        assert pdf.groupby("core")["cell"].nunique().max() <= most
         return sort(pdf)
     monkeypatch.setattr(suffix_dedup, "repeated_ranges", lambda t: whole(t, most))
     monkeypatch.setattr(suffix_dedup, "_sort_bucket", checked)
