@@ -26,7 +26,7 @@ line AS (
 judged AS (
   SELECT *, n > 0 AND (sym > n * 0.4 OR shout > n * 0.3 OR (bars >= 2 AND bars > n * 0.2)
          OR (n <= 2 AND NOT regexp_matches(l, '[.!?:;"'')\]\x{2026}\x{201d}\x{3002}]\s*$'))
-         OR regexp_matches(lower(l), 'all rights reserved|licensed under|is licensed|cookie policy|accept (all )?cookies|privacy policy|terms of (use|service)|enable javascript|lorem ipsum|subscribe to our newsletter|click here to')) AS bad
+         OR regexp_matches(lower(l), 'all rights reserved|licensed under|is licensed|cookie policy|accept (all )?cookies|privacy policy|terms of (use|service)|enable javascript|lorem ipsum|subscribe to our newsletter|click here to|alle rechte vorbehalten|lizenziert unter|cookie-richtlinie|cookies akzeptieren|datenschutzerklärung|nutzungsbedingungen|javascript aktivieren|newsletter abonnieren|hier klicken|tous droits réservés|sous licence|politique de cookies|accepter (tous )?les cookies|politique de confidentialité|conditions d''utilisation|activer javascript|abonnez-vous à notre|cliquez ici|todos los derechos reservados|bajo licencia|política de cookies|aceptar (todas las )?cookies|política de privacidad|(términos|condiciones) de uso|habilitar javascript|suscríbete a nuestro|haz clic aquí')) AS bad
   FROM line),
 lines AS (
   SELECT doc_id, count(*) FILTER (n > 0) - count(DISTINCT l) FILTER (n > 0) AS n_dup_lines,
@@ -55,8 +55,8 @@ fit AS (
   FROM u JOIN site ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
 SELECT page_id, host, path, rule,
        coalesce(verdict, CASE WHEN regexp_matches(host || rest,
-           '(?s)^([^/?#]*\.)?(ads-track\.|adult-x\.|casino-win\.|cheap-pills\.|free-bets\.|spam-farm\.|(doubleclick\.net|googlesyndication\.com|adservice\..*|popads\.net|adnxs\.com|bet365\..*|xvideos\..*|pornhub\..*|viagra.*)([^A-Za-z0-9_.%-]|$))|-online-casino\.|(\.casino|\.porn|\.xxx)([^A-Za-z0-9_.%-]|$)|/adserver/|/ad-banner/|/doorway/|/phishing/|/malware/|/warez/')
-         AND NOT regexp_matches(host || rest, '(?s)^([^/?#]*\.)?(en\.wikipedia\.org|archive\.org)([^A-Za-z0-9_.%-]|$)')
+           '(?si)^([^/?#]*\.)?(ads-track\.|adult-x\.|casino-win\.|cheap-pills\.|free-bets\.|spam-farm\.|(doubleclick\.net|googlesyndication\.com|adservice\..*|popads\.net|adnxs\.com|bet365\..*|xvideos\..*|pornhub\..*|viagra.*)([^A-Za-z0-9_.%-]|$))|-online-casino\.|(\.casino|\.porn|\.xxx)([^A-Za-z0-9_.%-]|$)|/adserver/|/ad-banner/|/doorway/|/phishing/|/malware/|/warez/')
+         AND NOT regexp_matches(host || rest, '(?si)^([^/?#]*\.)?(en\.wikipedia\.org|archive\.org)([^A-Za-z0-9_.%-]|$)')
          THEN 'block' ELSE 'allow' END) AS verdict
 FROM u LEFT JOIN fit USING (page_id)
 """

@@ -16,6 +16,7 @@ their names, are carried along untouched.
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import or_
 
@@ -36,23 +37,33 @@ MAX_SHOUTS = 0.3  # doubled exclamation or question marks a word
 MIN_BARS, MAX_BARS = 2, 0.2  # separators, and separators a word
 MENU_WORDS = 2  # or has at most so many words and no closing mark
 CLOSED = "[.!?:;\"')\\]\\u2026\\u201d\\u3002]\\s*$"
-BOILERPLATE = ("all rights reserved", "licensed under", "is licensed", "cookie policy", "accept cookies",
-               "accept all cookies", "privacy policy", "terms of use", "terms of service", "enable javascript",
-               "lorem ipsum", "subscribe to our newsletter", "click here to")
+# Notices (lower case) that make a line boilerplate, by language; a line is looked through for all of them.
+BOILERPLATE = {
+    "en": ("all rights reserved", "licensed under", "is licensed", "cookie policy", "accept cookies", "accept all cookies",
+           "privacy policy", "terms of use", "terms of service", "enable javascript", "lorem ipsum",
+           "subscribe to our newsletter", "click here to"),
+    "de": ("alle rechte vorbehalten", "lizenziert unter", "cookie-richtlinie", "cookies akzeptieren", "datenschutzerklärung",
+           "nutzungsbedingungen", "javascript aktivieren", "newsletter abonnieren", "hier klicken"),
+    "fr": ("tous droits réservés", "sous licence", "politique de cookies", "accepter les cookies", "accepter tous les cookies",
+           "politique de confidentialité", "conditions d'utilisation", "activer javascript", "abonnez-vous à notre", "cliquez ici"),
+    "es": ("todos los derechos reservados", "bajo licencia", "política de cookies", "aceptar cookies", "aceptar todas las cookies",
+           "política de privacidad", "términos de uso", "condiciones de uso", "habilitar javascript", "suscríbete a nuestro",
+           "haz clic aquí"),
+}
 
 
 def _count(col: Column, pattern: str) -> Column:
     return F.regexp_count(col, F.lit(pattern))
 
 
-def failing_line(line: Column) -> Column:
+def failing_line(line: Column, phrases: Mapping[str, Sequence[str]] = BOILERPLATE) -> Column:
     """Words are counted last: only a line with marks, or one without an end, needs them."""
     n, symbols, shouts, bars = (_count(line, x) for x in (WORD, SYMBOL, "[!?]{2}", BAR))
     marked = line.rlike(SYMBOL + "|[!?]{2}|" + BAR) & (
         (symbols > n * MAX_SYMBOLS) | (shouts > n * MAX_SHOUTS) | ((bars >= MIN_BARS) & (bars > n * MAX_BARS)))
     menu = ~line.rlike(CLOSED) & n.between(1, MENU_WORDS)
     low = F.lower(line)
-    return marked | menu | reduce(or_, [low.contains(x) for x in BOILERPLATE])
+    return marked | menu | reduce(or_, [low.contains(x) for some in phrases.values() for x in some], F.lit(False))
 
 
 def repeat_words(words: Column) -> Column:
@@ -81,23 +92,24 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def assess(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def assess(docs: DataFrame, text_col: str = "text", phrases: Mapping[str, Sequence[str]] = BOILERPLATE) -> DataFrame:
     """Each row as struct ``r`` with the base figures, the cleaned text and the verdict."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"),
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
     bare = F.btrim("t", F.lit(" \t\n\x0b\f\r"))
     rows = rows.withColumns({"words": F.when(bare == "", F.array().cast("array<string>")).otherwise(
         F.split(bare, SPACE + "+")), "lines": F.split("t", "\n")})
-    rows = rows.withColumn("failing", F.filter("lines", failing_line))
+    # Each line is judged once and carries its verdict.
+    rows = rows.withColumn("judged", F.transform("lines", lambda x: F.struct(x.alias("line"), failing_line(x, phrases).alias("bad"))))
+    rows = rows.withColumn("failing", F.transform(F.filter("judged", lambda j: j["bad"]), lambda j: j["line"]))
     rows = rows.withColumns({
         "n_words": F.size("words").cast("long"), "word_chars": F.length(F.array_join("words", "")).cast("long"),
         "n_symbols": _count(F.col("t"), SYMBOL).cast("long"),
         "full": F.filter("lines", lambda x: x.rlike(WORD)),
         "n_repeat_words": repeat_words(F.col("words")).cast("long"),
         "lost": F.reduce("failing", F.lit(0), lambda n, x: n + F.length(x) - _count(x, SPACE)),
-        # Equal lines fail alike, so what stays is what is not among the failing ones.
         "cleaned": F.when(F.size("failing") == 0, F.col("t")).otherwise(
-            F.array_join(F.filter("lines", lambda x: ~F.array_contains("failing", x)), "\n")),
+            F.array_join(F.transform(F.filter("judged", lambda j: ~j["bad"]), lambda j: j["line"]), "\n")),
     })
     lost = F.col("lost")
     base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PCT * F.col("n_words"))
@@ -107,7 +119,7 @@ def assess(docs: DataFrame, text_col: str = "text") -> DataFrame:
                        (~base_failed & (lost <= F.col("word_chars") * MAX_LOST)).alias("kept"))
 
 
-def clean(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def clean(docs: DataFrame, text_col: str = "text", phrases: Mapping[str, Sequence[str]] = BOILERPLATE) -> DataFrame:
     """The kept rows with their failing lines removed, in the columns they came with."""
     cols = [F.col("cleaned").alias(c) if c == text_col else F.col(f"r.`{c}`") for c in docs.columns]
-    return assess(docs, text_col).where("kept").select(*cols)
+    return assess(docs, text_col, phrases).where("kept").select(*cols)

@@ -1,7 +1,8 @@
 """URL filters: pattern rules indexed by their rarest literal token.
 
 A rule is a filter pattern: ``||`` anchors it at the host or any of its parent
-domains, ``^`` is a separator or the end, ``*`` is anything.  Each rule is filed
+domains, ``^`` is a separator or the end, ``*`` is anything; letters fit in either
+case.  Rules come as lists or as a table.  Each rule is filed
 under the one of its literal tokens that is rarest in the URLs at hand (counted
 by Spark).  A URL's own tokens fetch its candidate rules from that index, and
 only candidates run as regular expressions.  The index is a constant of the
@@ -53,7 +54,7 @@ class Rule:
         body = self.pattern.removeprefix("||")
         parts = [{"^": "(?:[^A-Za-z0-9_.%-]|$)", "*": ".*"}.get(x) or re.sub(r"([^A-Za-z0-9_/])", r"\\\1", x)
                  for x in re.split(r"([\^*])", body) if x]
-        return "(?s)" + ("^(?:[^/?#]*\\.)?" if self.pattern.startswith("||") else "") + "".join(parts)
+        return ("(?s)" if self.site else "(?si)") + ("^(?:[^/?#]*\\.)?" if self.pattern.startswith("||") else "") + "".join(parts)
 
     @property
     def tokens(self) -> list[str]:
@@ -76,6 +77,17 @@ def rules(sites: Sequence[tuple[str, str, str]] = SITE_RULES, block: Sequence[st
     return out
 
 
+def rules_of(table: DataFrame, sites: Sequence[tuple[str, str, str]] = ()) -> list[Rule]:
+    """Rules of a table (pattern, verdict: block or allow), with site rules; null or empty patterns are left out.
+
+    The driver reads at most MAX_RULES + 1 rows."""
+    some = table.select(F.col("pattern").cast("string"), F.col("verdict").cast("string")).where("length(pattern) > 0").distinct()
+    rows = sorted(tuple(r) for r in some.limit(MAX_RULES + 1).collect())
+    if odd := {v for _, v in rows} - {"block", "allow"}:
+        raise ValueError(f"verdicts {sorted(map(str, odd))}")
+    return rules(sites, [p for p, v in rows if v == "block"], [p for p, v in rows if v == "allow"])
+
+
 def host_of(url: Column) -> Column:
     """After the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased."""
     raw = F.regexp_extract(F.coalesce(url, F.lit("")), "(?s)^.*?://([^/?#]*)", 1)

@@ -54,6 +54,36 @@ def test_lines_fail_by_rule(spark):
     assert quality_rules.assess(empty(spark)).collect() == []
 
 
+def test_notices_in_each_language(spark):
+    good = "Eine Zeile Text, die ganz ordentlich endet und lang genug ist."
+    cases = [(f"Xx {x.upper()} yy zz.", lang) for lang, some in quality_rules.BOILERPLATE.items() for x in some]
+    df = spark.createDataFrame([(good + "\n" + c,) for c, _ in cases], "text string")
+    assert [r["cleaned"] for r in quality_rules.assess(df).collect()] == [good] * len(cases)
+    other = quality_rules.assess(df, phrases={"en": quality_rules.BOILERPLATE["en"]}).collect()
+    assert [r["cleaned"] == good for r in other] == [any(x in c.lower() for x in quality_rules.BOILERPLATE["en"]) for c, _ in cases]
+    assert all(r["cleaned"].count("\n") for r in quality_rules.assess(df, phrases={}).collect())
+
+
+def test_very_many_failing_lines(spark):
+    """Lines are judged once each, so a text of a hundred thousand failing lines is no slower a line than a short one."""
+    text = "\n".join(f"Menu {i}" if i % 2 else f"This is line {i} of the text, and it ends well." for i in range(100_000))
+    r = quality_rules.assess(spark.createDataFrame([(text,)], "text string")).first()
+    assert r["cleaned"] == "\n".join(text.split("\n")[::2]) and r["n_words"] == 650_000
+
+
+def test_rules_of_a_table(spark):
+    """Tens of thousands of rules; each URL runs the few that its tokens fetch."""
+    many = [(f"||site{i}.example{i % 7}^", "block") for i in range(20_000)] + [("||site77.example0^", "allow"), ("/AdServer/*/x", "block"), ("", "block"), (None, "allow")]
+    which = url_filter.rules_of(spark.createDataFrame(many + many[:50], "pattern string, verdict string"))
+    assert len(which) == 20_002
+    urls = {"http://a.SITE19.example5/b": "block", "http://site19.example4/": "allow", "http://site77.example0/": "allow",
+            "http://q.com/adserver/1/X": "block", "http://q.com/adserver/1/y": "allow", None: "allow"}
+    got = url_filter.judge(spark.createDataFrame([(u,) for u in urls], "url string"), which=which).collect()
+    assert {r["r"]["url"]: r["verdict"] for r in got} == urls
+    with pytest.raises(ValueError):
+        url_filter.rules_of(spark.createDataFrame([("x", "maybe")], "pattern string, verdict string"))
+
+
 def test_urls(spark):
     cases = {
         "http://a.NET/x": ("a.net", "/x", "net/", "block"), "https://b.example.net/en/7?x=/": ("b.example.net", "/en/7", "example.net/en/", "allow"),
