@@ -16,10 +16,11 @@ equal draw alike; an empty table gives no rows; other columns are untouched.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loanframe.llm.common import WORD, lookup_join, stored
+from loanframe.operators.ranks import numbered, totals_below
 
 WEIGHTS = (1, 2, 3)
 MOST = 3
@@ -35,20 +36,22 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
 
     A source is full when ``most * size / weight`` does not exceed the level
     that the others share; in the order of that ratio the full sources come
-    first, so running sums give every level at once.
+    first, so running totals give every level at once. Turns and totals are
+    taken over range partitions, so sources may be as many as domains.
     """
-    per = sizes.groupBy("src").agg(F.sum("size").alias("source_size"))
-    turn = F.row_number().over(Window.orderBy(F.col("src").asc_nulls_last())) - 1  # one row per source
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (turn % len(weights) + 1).cast("int"))
-    per = per.withColumn("weight", weight).withColumn("cap", F.col("source_size") * float(most))
-    everything = Window.partitionBy(F.lit(1))
-    before = Window.orderBy(F.col("cap") / F.col("weight"), F.col("src").asc_nulls_last()).rowsBetween(
-        Window.unboundedPreceding, -1)
-    level = ((F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
-             / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))))
-    per = per.withColumn("level", level).withColumn("free", F.col("cap") / F.col("weight") > F.col("level"))
-    shared = F.max(F.when(F.col("free"), F.col("level"))).over(everything)  # the first free source's level
-    target = F.when(F.col("free"), F.least(shared * F.col("weight"), F.col("cap"))).otherwise(F.col("cap"))
+    per = stored(sizes.groupBy("src").agg(F.sum("size").alias("source_size")), "mix-sizes")
+    per = numbered(per, [F.col("src").asc_nulls_last()], "turn")
+    weight = F.element_at(F.array(*[F.lit(w).cast("long") for w in weights]), (F.col("turn") % len(weights) + 1).cast("int"))
+    per = stored(per.withColumn("weight", weight).withColumn("cap", F.col("source_size") * most), "mix-caps")
+    ratio = F.col("cap").cast("double") / F.col("weight").cast("double")
+    per = totals_below(per, [ratio.asc(), F.col("src").asc_nulls_last()], {"caps": F.col("cap"), "weights": F.col("weight")})
+    everything = per.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    level = ((F.lit(float(everything["size"] or 0)) - F.col("caps").cast("double"))
+             / (F.lit(float(everything["weight"] or 0)) - F.col("weights").cast("double")))
+    per = stored(per.withColumn("level", level).withColumn("free", ratio > F.col("level")), "mix-levels")
+    shared = per.agg(F.max(F.when(F.col("free"), F.col("level")))).first()[0]  # the first free source's level
+    target = F.when(F.col("free"), F.least(F.lit(shared).cast("double") * F.col("weight").cast("double"), F.col("cap").cast("double"))
+                    ).otherwise(F.col("cap").cast("double"))
     return per.select("src", "source_size", target.alias("target")).withColumn(
         "rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
 
