@@ -31,12 +31,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loanframe.llm.common import release
+
 BUCKETS, DIM = 1 << 20, 12
 GRAMS = (3, 4)
 TRAIN_ROWS = 2_000
 EPOCHS, RATE, SEED = 6, 2.0, 7
 THRESHOLD = 0.3
-SLICE_BYTES = 4 << 20  # texts whose features are made at a time
+SLICE_BYTES = 2 << 20  # texts whose features are made at a time
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -207,7 +209,9 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     @F.arrow_udf("double")
     def of(texts: pa.Array) -> pa.Array:
-        return pa.array(Model(*shared.value).scores(texts), pa.float64())
+        scores = Model(*shared.value).scores(texts)
+        release()
+        return pa.array(scores, pa.float64())
 
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"),
                        of(F.col(text_col).cast("string")).alias("score"))

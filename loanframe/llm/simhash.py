@@ -27,13 +27,12 @@ from collections.abc import Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loanframe.llm.common import lookup_join, stored
+from loanframe.llm.common import lookup_join, release, stored
 from loanframe.llm.components import components
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
@@ -66,9 +65,11 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, text_col: str = "text") -> DataFrame:
     """``docs`` with one more column ``fp`` in a struct beside it: r, fp (64 bits as a signed long)."""
-    @F.pandas_udf("long")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(x, shingle) for x in texts], "<u8").view(np.int64))
+    @F.arrow_udf("long")
+    def of(texts: pa.Array) -> pa.Array:
+        out = np.array([fingerprint(x.as_py(), shingle) for x in texts], "<u8").view(np.int64)
+        release()
+        return pa.array(out)
 
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"),
                        of(F.col(text_col).cast("string")).alias("fp"))

@@ -20,10 +20,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from loanframe.llm.common import worker_cache
+from loanframe.llm.common import release, worker_cache
 
 MEMO_BYTES = 24 << 20
-SLICE_BYTES = 8 << 20  # texts that are encoded at a time
+SLICE_BYTES = 4 << 20  # texts that are encoded at a time
 
 # Characters that some engines call white space and others do not, and the
 # cut mark itself: a text that holds one is encoded by a single call.
@@ -156,6 +156,7 @@ class UnitEncoder:
             end = max(at + 1, int(np.searchsorted(size, done + most, side="right")))
             yield at, *self.encode(texts.slice(at, end - at))
             at = end
+        release()
 
     def _mend(self, texts, rows, ids, offsets):
         """Puts the texts that one call has to encode back in their places."""
