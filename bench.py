@@ -41,10 +41,8 @@ def main() -> None:
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     with_ml = os.environ.get("BENCH_ML", "1") != "0"
-    spark = local_session(cores=cpus, shuffle_partitions=int(cpus) if cpus.isdigit() else 8, app="loanframe-bench")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")  # small tables: a split for each core where files allow
-    # One-row-group test tables scan as one split; a shuffled join deals the loans out to all cores.
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    # The settings that any user of a small local session gets with ``small_tables``.
+    spark = local_session(cores=cpus, shuffle_partitions=int(cpus) if cpus.isdigit() else 8, app="loanframe-bench", small_tables=True)
     times: dict[str, float] = {}
     for name in REPORTS:
         times[name] = round(min(run(spark, name, sf), run(spark, name, sf)), 3)

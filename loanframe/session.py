@@ -34,8 +34,13 @@ RECOMMENDED_CONF = {
 MAX_BROADCAST_ROWS = 200_000
 
 
+# For tables of a few MB on one machine: a split for each core where files allow, and
+# joins that deal single-split tables out to all cores instead of broadcasting.
+SMALL_TABLES_CONF = {"spark.sql.files.maxPartitionBytes": "1m", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "loanframe",
-                  driver_memory: str = "16g") -> SparkSession:
+                  driver_memory: str = "16g", small_tables: bool = False) -> SparkSession:
     """A local session for tests and benchmarks (UI off, no extra ports)."""
     b = (SparkSession.builder.master(f"local[{cores}]").appName(app)
          .config("spark.ui.enabled", "false")
@@ -44,7 +49,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
          .config("spark.driver.memory", driver_memory)
          .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.ansi.enabled", "true"))
-    for k, v in RECOMMENDED_CONF.items():
+    for k, v in {**RECOMMENDED_CONF, **(SMALL_TABLES_CONF if small_tables else {})}.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
