@@ -58,10 +58,17 @@ def _sort_small(places: np.ndarray, names: np.ndarray, piece: int, depth: int) -
         if not many.any():
             break
         tied = np.flatnonzero(many)
-        key = padded[order[tied] + at]
-        new = np.lexsort((key, group[tied]))
-        order[tied] = order[tied][new]
-        key, old = key[new], group[tied]
+        key, old = padded[order[tied] + at], group[tied]
+        # Only groups whose members part here are sorted again; equal strings stay in the order they have.
+        parts = (np.diff(key) != 0) & (np.diff(old) == 0)
+        if not parts.any():
+            continue
+        parting = np.zeros(group[-1] + 1, bool)
+        parting[old[1:][parts]] = True
+        tied = tied[parting[old]]
+        key, old = padded[order[tied] + at], group[tied]
+        new = np.lexsort((key, old))
+        order[tied], key = order[tied][new], key[new]
         fresh = np.zeros(len(group), bool)
         fresh[1:] = np.diff(group) != 0
         inner = np.concatenate([[False], (np.diff(key) != 0) & (np.diff(old) == 0)])
