@@ -14,20 +14,30 @@ from loanframe.llm import exact_dedup, mixing, packing, quality_classifier, simh
 from loanframe.llm.common import stored, table
 
 TOKENIZER = "byte_bpe_50k.json"
+BATCH_ROWS = 2_000  # rows of whole texts that a Python worker gets at a time
+
+
+def _in_batches(spark: SparkSession) -> None:
+    """Texts are long, so the Arrow batches of the stages that run Python are shorter than Spark's default of 10,000 rows:
+    the buffers on both sides of a worker stay at a few MB. Results do not depend on it."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
+    _in_batches(spark)
     return quality_classifier.keep(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each text."""
+    _in_batches(spark)
     return exact_dedup.deduplicate(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
+    _in_batches(spark)
     return simhash.deduplicate(docs)
 
 
@@ -38,6 +48,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces with their token ids and their places in training sequences."""
+    _in_batches(spark)
     return packing.pack(docs, public_tokenizers.path(TOKENIZER), special_as_text=False)
 
 

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from loanframe.llm.common import release, worker_cache
 
 MEMO_BYTES = 24 << 20
-SLICE_BYTES = 4 << 20  # texts that are encoded at a time
+SLICE_BYTES = 8 << 20  # texts that are encoded at a time
 
 # Characters that some engines call white space and others do not, and the
 # cut mark itself: a text that holds one is encoded by a single call.
@@ -148,8 +148,7 @@ class UnitEncoder:
 
     def slices(self, texts: pa.Array, most: int = SLICE_BYTES):
         """(first row, ids, offsets) of consecutive runs of texts of about ``most`` bytes each."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
         while at < len(texts):
             done = size[at - 1] if at else 0
