@@ -84,35 +84,60 @@ def auc_of_counts(below: DataFrame) -> DataFrame:
     return tot.select(F.when((F.col("P") > 0) & (F.col("N") > 0), rnd(share, 4)).otherwise(F.lit(0.0)).alias("auc"))
 
 
-def order_statistic(values: DataFrame, col: str, rank: int, bins: int = BINS) -> float:
-    """The value of rank ``rank`` (from 0) of a numeric column without nulls.
+def order_statistics(values: DataFrame, col: str, ranks: list[int], bins: int = BINS) -> list[float]:
+    """The values of the ranks (from 0) of a numeric column without nulls, all found in the same passes.
 
-    Each pass counts the values in equal bins between two bounds and opens the bin that holds the rank: its
+    Each pass counts the values in equal bins between two bounds and opens the bins that hold a rank: a bin's
     smallest and largest value are the next bounds. Bins follow the order of the values, whatever the rounding,
-    and the two bounds never share a bin, so every pass narrows them until they are one value."""
+    and the two bounds never share a bin, so every pass narrows them until they are one value. Opened bins never
+    overlap, so a value is counted in one of them at most, however many ranks there are."""
     x = F.col(col).cast("double")
     ends = values.agg(F.min(x).alias("lo"), F.max(x).alias("hi")).first()
-    lo, hi, skipped = ends["lo"], ends["hi"], 0
-    if lo is None:
+    if ends["lo"] is None:
         raise ValueError("no values")
-    while lo < hi:
-        bin_ = F.floor((x - F.lit(lo)) / F.lit(hi - lo) * F.lit(float(bins)))
-        counted = values.where(x.between(lo, hi)).groupBy(bin_.alias("bin")).agg(
-            F.count(F.lit(1)).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"))
-        for r in sorted(counted.collect(), key=lambda r: r["bin"]):  # ``bins`` + 1 rows at most
-            if skipped + r["n"] > rank:
-                lo, hi = r["lo"], r["hi"]
-                break
-            skipped += r["n"]
-    return float(lo)
+    at = {rank: (ends["lo"], ends["hi"], 0) for rank in ranks}  # bounds, and the values below them
+    while wide := sorted({b for b in at.values() if b[0] < b[1]}):
+        which = bin_ = None
+        for i, (lo, hi, _) in enumerate(wide):
+            inside, place = x.between(lo, hi), F.floor((x - F.lit(lo)) / F.lit(hi - lo) * F.lit(float(bins)))
+            which = F.when(inside, F.lit(i)) if which is None else which.when(inside, F.lit(i))
+            bin_ = F.when(inside, place) if bin_ is None else bin_.when(inside, place)
+        counted = values.select(x.alias("x"), which.alias("which"), bin_.alias("bin")).where("which is not null").groupBy("which", "bin").agg(
+            F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+        found: dict[int, list] = {i: [] for i in range(len(wide))}
+        for r in sorted(counted.collect(), key=lambda r: (r["which"], r["bin"])):  # ``bins`` + 1 rows for each opened bin at most
+            found[r["which"]].append(r)
+        for rank, bounds in at.items():
+            if bounds[0] < bounds[1]:
+                skipped = bounds[2]
+                for r in found[wide.index(bounds)]:
+                    if skipped + r["n"] > rank:
+                        at[rank] = (r["lo"], r["hi"], skipped)
+                        break
+                    skipped += r["n"]
+    return [float(at[rank][0]) for rank in ranks]
+
+
+def order_statistic(values: DataFrame, col: str, rank: int, bins: int = BINS) -> float:
+    """The value of rank ``rank`` (from 0) of a numeric column without nulls."""
+    return order_statistics(values, col, [rank], bins)[0]
+
+
+def quantiles(values: DataFrame, col: str, shares: list[float], bins: int = BINS) -> list[float]:
+    """The exact quantiles of the shares, linearly interpolated between neighbours. The values are read once in each
+    pass: give a stored table where they are dear to derive."""
+    n = values.count()
+    places = [(math.floor(share * (n - 1)), share * (n - 1)) for share in shares]
+    ranks = sorted({r for below, at in places for r in (below, min(below + 1, n - 1) if at > below else below)})
+    value = dict(zip(ranks, order_statistics(values, col, ranks, bins)))
+    out = []
+    for below, at in places:
+        a, t = value[below], at - below
+        b = value[min(below + 1, n - 1)] if at > below else a
+        out.append(a + (b - a) * t if t < 0.5 else b - (b - a) * (1 - t))
+    return out
 
 
 def quantile(values: DataFrame, col: str, share: float, bins: int = BINS) -> float:
     """The exact ``share`` quantile, linearly interpolated between neighbours."""
-    n = values.count()
-    at = share * (n - 1)
-    below = math.floor(at)
-    a = order_statistic(values, col, below, bins)
-    b = order_statistic(values, col, min(below + 1, n - 1), bins) if at > below else a
-    t = at - below
-    return a + (b - a) * t if t < 0.5 else b - (b - a) * (1 - t)
+    return quantiles(values, col, [share], bins)[0]

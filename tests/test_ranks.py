@@ -41,6 +41,25 @@ def test_quantiles_equal_numpy(spark, n):
             assert ranks.quantile(df, "s", share, bins) == np.quantile(x, share)
 
 
+def test_many_quantiles_take_the_passes_of_one(spark):
+    df = skewed(spark, 30_000)
+    x = np.array([r["s"] for r in df.collect()])
+    shares, tracker = [0.0, 0.13, 0.5, 0.501, 0.9871, 1.0], spark.sparkContext.statusTracker()
+
+    def jobs(name, run):
+        spark.sparkContext.setJobGroup(name, name)
+        try:
+            return run(), len(tracker.getJobIdsForGroup(name))
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+    for bins in (2, 16):
+        one, least = jobs(f"one-{bins}", lambda: ranks.quantiles(df, "s", [0.5], bins))
+        got, n = jobs(f"all-{bins}", lambda: ranks.quantiles(df, "s", shares, bins))
+        assert got == [np.quantile(x, s) for s in shares] and one == [np.quantile(x, 0.5)]
+        assert n <= 2 * least
+
+
 def test_codes_of_a_million_values(spark):
     df = spark.range(2_000_000, numPartitions=8).select(F.concat(F.lit("v"), F.pmod(F.col("id") * 7919, F.lit(1_000_000)).cast("string")).alias("v"))
     df = df.unionByName(spark.createDataFrame([(None,)], "v string"))
