@@ -2,8 +2,8 @@
 
 ``LoanModels.fit(loans)`` trains, on the whole table:
 
-* default model: random forest + gradient-boosted trees (MLlib), blended
-  0.6 / 0.4 -- skipped when the label has a single class, in which case
+* default model: random forest (MLlib) + gradient-boosted trees (:mod:`boosting`),
+  blended 0.6 / 0.4 -- skipped when the label has a single class, in which case
   scoring falls back to the rule scores;
 * isolation forest (custom, see :mod:`isoforest`) for the early-warning bonus;
 * k-means segments;
@@ -11,7 +11,7 @@
 
 Fitting takes a handful of actions (row/class counts, feature statistics,
 the learners' own jobs); scoring is a lazy projection (``model.transform``
-plus column expressions and one Arrow UDF) that never shuffles, so it
+plus column expressions and two Arrow UDFs) that never shuffles, so it
 applies unchanged to batch or streaming input.
 
 The probability-spread guard (R5) is evaluated on the table being scored: the
@@ -30,8 +30,8 @@ import json
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field
 
-from pyspark.ml.classification import (GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel,
-                                       RandomForestClassificationModel, RandomForestClassifier)
+from pyspark.ml.classification import (LogisticRegression, LogisticRegressionModel, RandomForestClassificationModel,
+                                       RandomForestClassifier)
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import vector_to_array
@@ -43,6 +43,7 @@ from ..functions import clip, risk_level, rnd
 from ..operators import scoring as S
 from ..operators.ranks import auc
 from ..session import ensure_checkpoint_dir, materialize
+from .boosting import BoostedTrees, fit_boosting
 from .compiled import Boosting, Centres, Forest, Multinomial
 from .features import FEATURE_NAMES, STD_COLS, FeatureEncoder, Hyper, hyperparams
 from .isoforest import IsolationForestModel, fit_isolation_forest
@@ -140,9 +141,7 @@ class LoanModels:
                 maxMemoryInMB=1024, cacheNodeIds=True, checkpointInterval=CHECKPOINT_EVERY).fit(train))
 
         def fit_gbt():
-            return GBTClassifier(featuresCol="features", labelCol="label", maxIter=hp.gb_trees,
-                                 maxDepth=hp.gb_depth, stepSize=0.1, seed=SEED,
-                                 checkpointInterval=CHECKPOINT_EVERY).fit(train)
+            return fit_boosting(train, len(STD_COLS), hp.gb_trees, hp.gb_depth, 0.1)
 
         def fit_iso():
             rate = float(stats["rate"] or 0.0)
@@ -223,6 +222,11 @@ class LoanModels:
         for name, model in (("rf", self.rf), ("gb", self.gbt)):
             if isinstance(model, (Forest, Boosting)):
                 p[name] = model.probability()
+            elif isinstance(model, BoostedTrees):
+                if STD_COLS[0] in out.columns:
+                    p[name] = model.probability([F.col(c) for c in STD_COLS])
+                else:
+                    p[name] = model.probability([vector_to_array(F.col("features"))[i] for i in range(len(STD_COLS))])
             elif model is not None:
                 # A copy with its own output columns: the fitted model is shared between calls.
                 own = model.copy({model.probabilityCol: f"_{name}_prob", model.rawPredictionCol: f"_{name}_raw",
@@ -319,7 +323,7 @@ class LoanModels:
 
     # ----------------------------------------------------- save and load
     def save(self, spark: SparkSession, path: str, overwrite: bool = False) -> None:
-        """Writes the bundle to a folder: MLlib models in their own format, everything else as Parquet."""
+        """Writes the bundle to a folder: MLlib models in their own format, boosting and everything else as Parquet."""
         path, mode = path.rstrip("/"), "overwrite" if overwrite else "error"
         meta = {"hyper": asdict(self.hyper), "n": self.n, "single_class": self.single_class, "grade_labels": self.grade_labels,
                 "prob_std": self.prob_std, "auc": self.auc, "importances": self.importances, "means": self.encoder.means,
@@ -364,7 +368,7 @@ class LoanModels:
         return m
 
 
-PARTS = {"rf": RandomForestClassificationModel, "gbt": GBTClassificationModel, "kmeans": KMeansModel,
+PARTS = {"rf": RandomForestClassificationModel, "gbt": BoostedTrees, "kmeans": KMeansModel,
          "grade_lr": LogisticRegressionModel}
 
 

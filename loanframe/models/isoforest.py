@@ -17,8 +17,8 @@ fit
   4. The node table (<= n_trees * (2 * psi - 1) rows, about 51k) is the
      model. It is the only thing collected to the driver.
 score
-  A scalar ``pandas_udf`` walks all trees for an Arrow batch at once with
-  NumPy (vectorised over rows and trees); the node arrays travel in the UDF
+  A scalar ``pandas_udf`` walks the trees for an Arrow batch with NumPy
+  (all rows at once, see :mod:`heaps`); the node arrays travel in the UDF
   closure (a few hundred KB).
 offset
   The contamination-quantile of the unrounded training scores, exact at
@@ -40,6 +40,7 @@ from pyspark.sql.window import Window
 from ..functions import hash_uniform
 from ..operators.ranks import quantile
 from ..session import materialize
+from .heaps import Heaps
 
 EULER_GAMMA = 0.5772156649015329
 
@@ -127,17 +128,8 @@ class IsolationForestModel:
 
     def score_samples(self, x: np.ndarray) -> np.ndarray:
         """-2^(-E[h(x)] / c(psi)); lower is more anomalous."""
-        node = np.broadcast_to(self.roots, (len(x), len(self.roots))).copy()
-        rows = np.arange(len(x))[:, None]
-        for _ in range(self.max_depth):
-            f = self.feature[node]
-            inner = f >= 0
-            if not inner.any():
-                break
-            v = x[np.broadcast_to(rows, node.shape)[inner], f[inner]]
-            node[inner] = np.where(v <= self.threshold[node[inner]], self.left[node[inner]],
-                                   self.right[node[inner]])
-        mean_path = self.leaf_path[node].mean(axis=1)
+        heaps = Heaps.of_links(self.feature, self.threshold, self.left, self.right, self.leaf_path, self.roots, self.max_depth)
+        mean_path = heaps.total(x) / len(self.roots)
         return -np.power(2.0, -mean_path / float(avg_path_length([self.psi])[0]))
 
     def node_rows(self) -> list[tuple]:
