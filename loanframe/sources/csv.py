@@ -9,6 +9,7 @@ from .. import constants as K
 from ..session import materialize
 
 _EXTRA = "_beyond_the_header"
+MAX_FILE_ROWS = 50_000
 
 
 def _headers(spark: SparkSession, path: str, multi_line: bool) -> list[str]:
@@ -97,6 +98,8 @@ def write_report(df: DataFrame, path: str, fmt: str = "json", mode: str = "overw
         w.format(fmt).save(path)
 
 
-def write_loans_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Write a loan table as header CSV (one file per partition)."""
-    df.write.mode(mode).option("header", True).csv(path)
+def write_loans_csv(df: DataFrame, path: str, mode: str = "overwrite", max_rows: int = MAX_FILE_ROWS) -> None:
+    """Write a loan table as header CSV: one file per partition, or more where a partition has over ``max_rows`` rows.
+
+    A file with quoted line breaks is read by one task, so the rows of a file bound that task."""
+    df.write.mode(mode).option("header", True).option("maxRecordsPerFile", max_rows).csv(path)

@@ -125,3 +125,14 @@ def test_checks_are_made_on_the_written_table(spark, tmp_path):
         read_loans_table(spark, path)
     with pytest.raises(ValueError, match="no rows"):
         read_loans_table(spark, _file(tmp_path, "loan_id,region\n"))
+
+
+def test_an_upload_with_line_breaks_is_read_by_many_tasks(spark, tmp_path):
+    """A file with quoted line breaks is one split, so the writer bounds the rows of a file."""
+    from loanframe.sources import csv
+    path = str(tmp_path / "upload")
+    rows = spark.range(csv.MAX_FILE_ROWS * 2 + 7, numPartitions=1).selectExpr("id", "concat('first\n', id) as note")
+    csv.write_loans_csv(rows, path)
+    assert len(list((tmp_path / "upload").glob("*.csv"))) == 3
+    back = csv.read_loans_csv(spark, path, multi_line=True)
+    assert back.exceptAll(rows.selectExpr("cast(id as string) id", "note")).isEmpty() and back.count() == rows.count()
