@@ -19,7 +19,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import StorageLevel
+from pyspark import RDD, StorageLevel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,18 +71,24 @@ def residuals(sign: np.ndarray, margin: np.ndarray) -> np.ndarray:
     return 4.0 * sign / (1.0 + np.exp(2.0 * sign * margin))
 
 
-def _walk(bins: np.ndarray, feature: np.ndarray, cut: np.ndarray, depth: int) -> np.ndarray:
-    """The node (of ``depth``) that each row of a block has in a tree over bins; a cut of BINS passes all to the low side."""
-    flat, rows, n = bins.ravel(), np.arange(bins.shape[1]), bins.shape[1]
-    node = np.zeros(n, np.intp)
+def walk(bins: np.ndarray, feature: np.ndarray, cut: np.ndarray, depth: int, rows: np.ndarray) -> np.ndarray:
+    """The node (of ``depth``) that rows of a block have in a tree over bins; a cut of BINS passes all to the low side."""
+    flat, start, cut = bins.ravel(), feature.astype(np.intp) * bins.shape[1], cut.astype(np.uint8)
+    node, at = np.zeros(len(rows), np.intp), np.empty(len(rows), np.intp)
     for _ in range(depth):
-        low = flat.take(feature.take(node) * n + rows) <= cut.take(node)
+        start.take(node, out=at, mode="clip")  # in range; the mode that spares a copy
+        at += rows
+        high = flat.take(at) > cut.take(node)
         node *= 2
-        node += 2
-        node -= low
+        node += 1
+        node += high
     return node
 
 
+def _walk(bins: np.ndarray, feature: np.ndarray, cut: np.ndarray, depth: int) -> np.ndarray:
+    return walk(bins, feature, cut, depth, np.arange(bins.shape[1]))
+
+
 def _histogram(feature: np.ndarray, cut: np.ndarray, depth: int, cols: int):
     """(rows, residuals) by node of the level, feature and bin, summed over a task's blocks."""
     def run(blocks):
@@ -128,6 +134,9 @@ class BoostedTrees:
         self.probabilityCol = name
         return self
 
+    def getProbabilityCol(self) -> str:
+        return self.probabilityCol
+
     def setRawPredictionCol(self, name: str) -> "BoostedTrees":
         self.rawPredictionCol = name
         return self
@@ -144,26 +153,36 @@ class BoostedTrees:
             return pd.Series(heaps.total(x.to_numpy(dtype=float), weights))
         return _margin(F.struct(*[c.alias(f"_{i}") for i, c in enumerate(features)]))
 
+    _link = staticmethod(_link)
+
+    @staticmethod
+    def _raw(margin: Column) -> Column:
+        return F.array(-margin, margin)
+
+    @staticmethod
+    def _label(margin: Column) -> Column:
+        return margin > 0
+
     def probability(self, features: list[Column]) -> Column:
-        return _link(self.margin(features))
+        return self._link(self.margin(features))
 
     def transform(self, df: DataFrame, features: str = "features") -> DataFrame:
         values = vector_to_array(F.col(features))
         out = df.withColumn("_m", self.margin([values[i] for i in range(int(self.heaps.feature.max()) + 1)]))
-        m, p = F.col("_m"), _link(F.col("_m"))
-        return out.withColumns({self.rawPredictionCol: array_to_vector(F.array(-m, m)), self.probabilityCol: array_to_vector(F.array(1 - p, p)),
-                                self.predictionCol: (m > 0).cast("double")}).drop("_m")
+        m, p = F.col("_m"), self._link(F.col("_m"))
+        return out.withColumns({self.rawPredictionCol: array_to_vector(self._raw(m)), self.probabilityCol: array_to_vector(F.array(1 - p, p)),
+                                self.predictionCol: self._label(m).cast("double")}).drop("_m")
 
     # -------------------------------------------------------------- save and load
     def write(self) -> "BoostedTreesWriter":
         return BoostedTreesWriter(self)
 
-    @staticmethod
-    def load(path: str) -> "BoostedTrees":
+    @classmethod
+    def load(cls, path: str) -> "BoostedTrees":
         rows = sorted(tuple(r) for r in SparkSession.active().read.parquet(path).collect())
         trees = rows[-1][0] + 1
         f, t, v = (np.array([r[i] for r in rows], k).reshape(trees, -1) for i, k in ((3, np.intp), (4, float), (5, float)))
-        return BoostedTrees(Heaps(f, t, v), np.array([r[2] for r in rows]).reshape(trees, -1)[:, 0])
+        return cls(Heaps(f, t, v), np.array([r[2] for r in rows]).reshape(trees, -1)[:, 0])
 
 
 class BoostedTreesWriter:
@@ -181,19 +200,42 @@ class BoostedTreesWriter:
             self.mode).parquet(path)
 
 
-def fit_boosting(train: DataFrame, n_cols: int, n_trees: int, depth: int, step: float) -> BoostedTrees:
-    """M4 on ``train`` (label 0 or 1, and the ``features`` vector)."""
-    sc = train.sparkSession.sparkContext
+def binned(train: DataFrame, n_cols: int) -> tuple[RDD, list[np.ndarray]]:
+    """The rows of ``train`` (label 0 or 1, and the ``features`` vector) as blocks (place, bins, label), persisted and
+    checkpointed so that a block keeps its rows, and the cut points of the features."""
     values = train.select(F.col("label"), vector_to_array("features").alias("v"))
     names = [f"c{i}" for i in range(n_cols)]
     cuts = cut_points(values.select(*[F.col("v")[i].alias(c) for i, c in enumerate(names)]), names)
-    rows = values.mapInArrow(_blocks(cuts), "bins binary, label binary").coalesce(sc.defaultParallelism)
+    rows = values.mapInArrow(_blocks(cuts), "bins binary, label binary").coalesce(train.sparkSession.sparkContext.defaultParallelism)
+
+    def placed(part, rows):
+        for i, row in enumerate(rows):
+            yield (part, i), np.frombuffer(row["bins"], np.uint8).reshape(n_cols, -1), np.frombuffer(row["label"], np.uint8)
+
+    blocks = rows.rdd.mapPartitionsWithIndex(placed).persist(StorageLevel.MEMORY_AND_DISK)
+    blocks.checkpoint()
+    blocks.count()
+    return blocks, cuts
+
+
+def fit_boosting(train: DataFrame, n_cols: int, n_trees: int, depth: int, step: float) -> BoostedTrees:
+    """M4 on ``train`` (label 0 or 1, and the ``features`` vector)."""
+    rows, cuts = binned(train, n_cols)
+    try:
+        return boost(rows, cuts, n_trees, depth, step)
+    finally:
+        rows.unpersist()
+
+
+def boost(rows: RDD, cuts: list[np.ndarray], n_trees: int, depth: int, step: float) -> BoostedTrees:
+    """M4 on the blocks of :func:`binned`."""
+    n_cols = len(cuts)
 
     def opened(row):
-        sign = np.frombuffer(row["label"], np.uint8).astype(np.int8) * 2 - 1
-        return np.frombuffer(row["bins"], np.uint8).reshape(n_cols, -1), sign, np.zeros(len(sign)), sign
+        sign = row[2].astype(np.int8) * 2 - 1
+        return row[1], sign, np.zeros(len(sign)), sign
 
-    blocks = rows.rdd.map(opened).persist(StorageLevel.MEMORY_AND_DISK)
+    blocks = rows.map(opened).persist(StorageLevel.MEMORY_AND_DISK)
     last, size, heaps, weights = None, (2 << depth) - 1, [], []
     try:
         for t in range(n_trees):

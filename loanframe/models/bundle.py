@@ -2,7 +2,7 @@
 
 ``LoanModels.fit(loans)`` trains, on the whole table:
 
-* default model: random forest (MLlib) + gradient-boosted trees (:mod:`boosting`),
+* default model: random forest (:mod:`forest`) + gradient-boosted trees (:mod:`boosting`),
   blended 0.6 / 0.4 -- skipped when the label has a single class, in which case
   scoring falls back to the rule scores;
 * isolation forest (custom, see :mod:`isoforest`) for the early-warning bonus;
@@ -27,11 +27,9 @@ may also be native expressions (:mod:`compiled`) in place of MLlib models.
 from __future__ import annotations
 
 import json
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field
 
-from pyspark.ml.classification import (LogisticRegression, LogisticRegressionModel, RandomForestClassificationModel,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import vector_to_array
@@ -43,13 +41,13 @@ from ..functions import clip, risk_level, rnd
 from ..operators import scoring as S
 from ..operators.ranks import auc
 from ..session import ensure_checkpoint_dir, materialize
-from .boosting import BoostedTrees, fit_boosting
+from .boosting import BoostedTrees, binned, boost
 from .compiled import Boosting, Centres, Forest, Multinomial
 from .features import FEATURE_NAMES, STD_COLS, FeatureEncoder, Hyper, hyperparams
+from .forest import BaggedTrees, fit_forest
 from .isoforest import IsolationForestModel, fit_isolation_forest
 
 SEED = 42
-CHECKPOINT_EVERY = 10
 
 
 def _bare(model):
@@ -85,11 +83,9 @@ class LoanModels:
     def fit(loans: DataFrame, n_trees_iso: int = 100, boosting: bool = True) -> "LoanModels":
         """``boosting=False`` fits the forest alone; the ensemble is then the forest's probability."""
         spark = loans.sparkSession
-        sc = spark.sparkContext
-        # Boosting and the forest's node-id cache checkpoint their per-row state
-        # every ``checkpointInterval`` iterations into the shared folder named
-        # by spark.checkpoint.dir, so a lost executor recomputes at most that
-        # many iterations instead of the whole chain.
+        # The binned rows, and boosting's margins every few trees, are checkpointed
+        # into the shared folder named by spark.checkpoint.dir, so a lost executor
+        # recomputes at most those trees instead of the whole chain.
         ensure_checkpoint_dir(spark)
         # Only the model inputs are kept: one narrow projection of the loans,
         # persisted, so the statistics, the encoder and the training table
@@ -130,18 +126,12 @@ class LoanModels:
 
     def _fit_learners(self, train: DataFrame, stats, n_trees_iso: int, boosting: bool) -> None:
         hp, n = self.hyper, self.n
-        sc = train.sparkSession.sparkContext
 
         def fit_rf():
-            return _bare(RandomForestClassifier(
-                featuresCol="features", labelCol="label", numTrees=hp.rf_trees, maxDepth=hp.rf_depth,
-                minInstancesPerNode=hp.rf_min_leaf, featureSubsetStrategy="sqrt", seed=SEED,
-                # split more nodes per pass over the data; remember each row's
-                # node between levels instead of re-walking the trees
-                maxMemoryInMB=1024, cacheNodeIds=True, checkpointInterval=CHECKPOINT_EVERY).fit(train))
+            return fit_forest(*blocks, hp.rf_trees, hp.rf_depth, hp.rf_min_leaf, SEED)
 
         def fit_gbt():
-            return fit_boosting(train, len(STD_COLS), hp.gb_trees, hp.gb_depth, 0.1)
+            return boost(*blocks, hp.gb_trees, hp.gb_depth, 0.1)
 
         def fit_iso():
             rate = float(stats["rate"] or 0.0)
@@ -166,23 +156,9 @@ class LoanModels:
                 rawPredictionCol="_grade_raw").fit(gi.transform(with_s))
             return list(gi.labels), _bare(lr)
 
-        def in_pool(name, fn):
-            # The learners are independent given the persisted training table,
-            # so they run as concurrent Spark jobs. Each thread names its own
-            # scheduler pool: on a cluster running FAIR scheduling the many
-            # small sequential jobs of boosting then get cores as soon as they
-            # ask instead of queueing behind the wide stages of the forest
-            # (under the default FIFO mode the pool name is ignored).
-            def run():
-                sc.setLocalProperty("spark.scheduler.pool", f"loanframe-{name}")
-                try:
-                    return fn()
-                finally:
-                    sc.setLocalProperty("spark.scheduler.pool", None)
-            return run
-
-        wanted = {}
+        wanted, blocks = {}, None
         if not self.single_class:
+            blocks = binned(train, len(STD_COLS))
             wanted["rf"] = fit_rf
             if boosting:
                 wanted["gbt"] = fit_gbt
@@ -192,9 +168,13 @@ class LoanModels:
             wanted["kmeans"] = fit_kmeans
         if stats["grades"]:
             wanted["grade"] = fit_grade
-        with ThreadPoolExecutor(max_workers=max(1, len(wanted))) as pool:
-            jobs = {k: pool.submit(in_pool(k, fn)) for k, fn in wanted.items()}
-            done = {k: f.result() for k, f in jobs.items()}
+        try:
+            # One after another: each learner keeps all cores busy or waits for many small jobs, and side by side
+            # these wait for slots that the wide stages hold.
+            done = {k: fn() for k, fn in wanted.items()}
+        finally:
+            if blocks:
+                blocks[0].unpersist()
         self.rf, self.gbt = done.get("rf"), done.get("gbt")
         self.iso, self.kmeans = done.get("iso"), done.get("kmeans")
         if "grade" in done:
@@ -209,8 +189,7 @@ class LoanModels:
             self.prob_std = float(probs.agg(F.stddev_pop("_ens")).first()[0] or 0.0)
         finally:
             probs.unpersist()
-        imp = self.rf.featureImportances.toArray()
-        ranked = sorted(zip(FEATURE_NAMES, imp), key=lambda t: -t[1])[:10]
+        ranked = sorted(zip(FEATURE_NAMES, self.rf.importances), key=lambda t: -t[1])[:10]
         self.importances = [(name, round(float(v), 4)) for name, v in ranked]
 
     # -------------------------------------------------------------- scoring
@@ -368,7 +347,7 @@ class LoanModels:
         return m
 
 
-PARTS = {"rf": RandomForestClassificationModel, "gbt": BoostedTrees, "kmeans": KMeansModel,
+PARTS = {"rf": BaggedTrees, "gbt": BoostedTrees, "kmeans": KMeansModel,
          "grade_lr": LogisticRegressionModel}
 
 
