@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators import reports as A
 from ..operators import scoring as S
 from .. import constants as K
+from ..session import spread
 from ..sources import fixtures
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -311,7 +312,7 @@ def scored_models(spark: SparkSession, sf: str) -> DataFrame:
     folder so every report reads the result instead of re-running inference."""
     key = ("scored", id(spark.sparkContext), sf)
     if key not in _MODEL_MEMO:
-        _MODEL_MEMO[key] = fitted_models(spark, sf).score_all(loans(spark, sf))
+        _MODEL_MEMO[key] = fitted_models(spark, sf).score_all(spread(loans(spark, sf)))
     return _MODEL_MEMO[key]
 
 
@@ -440,7 +441,7 @@ def _predict_loans(spark, sf):
     apps = loans(spark, sf).select("loan_id", "credit_score", "loan_size", "pricing_rate", "dti_ratio",
                                             "income_proxy", "tenure_months", "geography", "product_type",
                                             "credit_quality")
-    return predict_loans(fitted_models(spark, sf), apps)
+    return predict_loans(fitted_models(spark, sf), spread(apps))
 
 
 @plan("train_report")

@@ -58,6 +58,16 @@ def test_anomaly_offset_is_contamination_quantile(spark, models):
     assert abs(frac - min(0.5, max(0.05, rate))) < 0.01
 
 
+def test_one_split_is_spread_over_the_cores(spark):
+    """A table read in one task is fitted and scored by several, with the same rows."""
+    from loanframe.session import spread
+    one = spark.range(0, 400_000, 1, 1).select("id", *[F.xxhash64("id", F.lit(i)).alias(f"x{i}") for i in range(5)])
+    out = spread(one)
+    per = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(per) >= 4 and max(per) < 2 * min(per) and sum(per) == 400_000
+    assert out.exceptAll(one).count() == 0
+
+
 def test_single_class_falls_back_to_rules(spark):
     df = loans(spark, SF_SMALL).limit(40).withColumn("default_indicator", F.lit(0))
     m = LoanModels.fit(df, n_trees_iso=10)
