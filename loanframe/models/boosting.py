@@ -4,7 +4,8 @@ fit
   1. A feature is cut at its distinct values or, where it has more than BINS, at its BINS-quantiles. Each row is kept
      as one byte a feature and its label, in blocks of some ten thousand rows.
   2. A tree of depth k takes k jobs. Each task adds up the rows and pseudo-residuals by node, feature and bin; the
-     sums of all tasks (some KB each) meet on the driver, which picks each node's best split.
+     sums of all tasks (some KB each) meet on the driver, which picks each node's best split. The bins of two or more
+     features make one code of at most CODES values, so that a row is counted once for all of them.
   3. The rows' margins move on with each tree, as the blocks of the next one; every CHECKPOINT_EVERY trees they are
      checkpointed to the shared folder.
 score
@@ -16,6 +17,8 @@ with weight 1 and the others with the step size, and the probability 1 / (1 + ex
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -28,6 +31,8 @@ from pyspark.sql import types as T
 from .heaps import Heaps
 
 BINS, BLOCK, CHECKPOINT_EVERY = 32, 1 << 16, 10
+CODES = BINS * BINS  # values of one code of several features
+TASK_ROWS = 1 << 18  # a task starts as slowly as it counts this many rows
 
 
 def cut_points(values: DataFrame, cols: list[str]) -> list[np.ndarray]:
@@ -85,22 +90,76 @@ def walk(bins: np.ndarray, feature: np.ndarray, cut: np.ndarray, depth: int, row
     return node
 
 
-def _walk(bins: np.ndarray, feature: np.ndarray, cut: np.ndarray, depth: int) -> np.ndarray:
-    return walk(bins, feature, cut, depth, np.arange(bins.shape[1]))
+def packs(cuts: list[np.ndarray]) -> list[list[int]]:
+    """The features in groups whose bins together make one code of CODES values at most."""
+    out, room = [], []
+    for c in sorted(range(len(cuts)), key=lambda c: -len(cuts[c])):
+        size = len(cuts[c]) + 1
+        at = next((i for i, r in enumerate(room) if size <= r), None)
+        if at is None:
+            out.append([])
+            room.append(CODES)
+            at = -1
+        out[at].append(c)
+        room[at] //= size
+    return out
 
 
-def _histogram(feature: np.ndarray, cut: np.ndarray, depth: int, cols: int):
-    """(rows, residuals) by node of the level, feature and bin, summed over a task's blocks."""
+class Packing:
+    """Codes of several features each: a level's sums are counted by code and then added up by feature and bin."""
+
+    def __init__(self, cuts: list[np.ndarray]):
+        self.groups, self.cols = packs(cuts), len(cuts)
+        self.sizes = [[len(cuts[c]) + 1 for c in group] for group in self.groups]
+        self.pack, self.bin = np.zeros(self.cols, np.intp), np.zeros((self.cols, CODES), np.uint8)
+        for g, (group, sizes) in enumerate(zip(self.groups, self.sizes)):
+            for c, bins in zip(group, np.unravel_index(np.arange(math.prod(sizes)), sizes)):
+                self.pack[c], self.bin[c, :len(bins)] = g, bins
+
+    def codes(self, bins: np.ndarray) -> np.ndarray:
+        """pack x row"""
+        return np.stack([np.ravel_multi_index(tuple(bins[c].astype(np.intp) for c in group), sizes).astype(np.uint16)
+                         for group, sizes in zip(self.groups, self.sizes)])
+
+    def walk(self, codes: np.ndarray, feature: np.ndarray, cut: np.ndarray, depth: int) -> np.ndarray:
+        """The node (of ``depth``) that each row has in a tree over bins; a cut of BINS passes all to the low side."""
+        flat, start, rows = codes.ravel(), self.pack.take(feature) * codes.shape[1], np.arange(codes.shape[1])
+        high = (self.bin[feature] > cut[:, None]).astype(np.uint8).ravel()
+        node, at = np.zeros(len(rows), np.intp), np.empty(len(rows), np.intp)
+        for _ in range(depth):
+            start.take(node, out=at, mode="clip")  # in range; the mode that spares a copy
+            at += rows
+            code = flat.take(at)
+            np.multiply(node, CODES, out=at)
+            at += code
+            node *= 2
+            node += 1
+            node += high.take(at)
+        return node
+
+    def sums(self, blocks, feature: np.ndarray, cut: np.ndarray, depth: int) -> np.ndarray:
+        """(rows, residuals) by feature, node of the level and bin, over blocks."""
+        nodes, out = 1 << depth, np.zeros((2, self.cols, 1 << depth, BINS))
+        shapes = [(nodes, *sizes) for sizes in self.sizes]
+        held = [np.zeros((2, math.prod(shape))) for shape in shapes]
+        for codes, _, _, r in blocks:
+            node = self.walk(codes, feature, cut, depth) - (nodes - 1)
+            for sums, code, shape in zip(held, codes, shapes):
+                place = node * (len(sums[0]) // nodes)
+                place += code
+                sums[0] += np.bincount(place, minlength=len(sums[0]))
+                sums[1] += np.bincount(place, r, minlength=len(sums[1]))
+        for sums, group, shape in zip(held, self.groups, shapes):
+            for i, c in enumerate(group):
+                others = tuple(k + 2 for k in range(len(group)) if k != i)
+                out[:, c, :, :shape[i + 1]] = sums.reshape(2, *shape).sum(axis=others)
+        return out
+
+
+def _histogram(packing: Packing, feature: np.ndarray, cut: np.ndarray, depth: int):
+    """(rows, residuals) by feature, node of the level and bin, summed over a task's blocks."""
     def run(blocks):
-        size = (1 << depth) * BINS
-        out = np.zeros((2, cols, size))
-        for bins, _, _, r in blocks:
-            at = (_walk(bins, feature, cut, depth) - ((1 << depth) - 1)) * BINS
-            for c in range(cols):
-                place = at + bins[c]
-                out[0, c] += np.bincount(place, minlength=size)
-                out[1, c] += np.bincount(place, r, minlength=size)
-        yield out.reshape(2, cols, 1 << depth, BINS)
+        yield packing.sums(blocks, feature, cut, depth)
     return run
 
 
@@ -229,20 +288,22 @@ def fit_boosting(train: DataFrame, n_cols: int, n_trees: int, depth: int, step:
 
 def boost(rows: RDD, cuts: list[np.ndarray], n_trees: int, depth: int, step: float) -> BoostedTrees:
     """M4 on the blocks of :func:`binned`."""
-    n_cols = len(cuts)
+    packing = Packing(cuts)
 
     def opened(row):
         sign = row[2].astype(np.int8) * 2 - 1
-        return row[1], sign, np.zeros(len(sign)), sign
+        return packing.codes(row[1]), sign, np.zeros(len(sign)), sign
 
-    blocks = rows.map(opened).persist(StorageLevel.MEMORY_AND_DISK)
+    # Small tables in fewer tasks than there are cores: each job is mostly the start of its Python tasks.
+    tasks = -(-rows.map(lambda row: len(row[2])).sum() // TASK_ROWS)
+    blocks = rows.coalesce(max(1, min(tasks, rows.getNumPartitions()))).map(opened).persist(StorageLevel.MEMORY_AND_DISK)
     last, size, heaps, weights = None, (2 << depth) - 1, [], []
     try:
         for t in range(n_trees):
             feature, cut = np.zeros(size, np.intp), np.full(size, BINS)
             threshold, value = np.full(size, np.inf), np.zeros(size)
             for d in range(depth):
-                hist = np.sum(blocks.mapPartitions(_histogram(feature, cut, d, n_cols)).collect(), axis=0)
+                hist = np.sum(blocks.mapPartitions(_histogram(packing, feature, cut, d)).collect(), axis=0)
                 if last is not None:
                     last, _ = None, last.unpersist()
                 f, b, low, all_, gains = best_splits(hist)
@@ -260,7 +321,7 @@ def boost(rows: RDD, cuts: list[np.ndarray], n_trees: int, depth: int, step: flo
             heaps.append((feature, threshold, value))
             weights.append(step if t else 1.0)
             if t + 1 < n_trees:
-                last, blocks = blocks, blocks.map(_moved(feature, cut, value * weights[-1], depth)).persist(StorageLevel.MEMORY_AND_DISK)
+                last, blocks = blocks, blocks.map(_moved(packing, feature, cut, value * weights[-1], depth)).persist(StorageLevel.MEMORY_AND_DISK)
                 if (t + 1) % CHECKPOINT_EVERY == 0:
                     blocks.checkpoint()
     finally:
@@ -270,10 +331,10 @@ def boost(rows: RDD, cuts: list[np.ndarray], n_trees: int, depth: int, step: flo
     return BoostedTrees(Heaps(*(np.stack(x) for x in zip(*heaps))), np.array(weights))
 
 
-def _moved(feature: np.ndarray, cut: np.ndarray, value: np.ndarray, depth: int):
+def _moved(packing: Packing, feature: np.ndarray, cut: np.ndarray, value: np.ndarray, depth: int):
     """A block with the margins and pseudo-residuals after one more tree."""
     def run(block):
-        bins, sign, margin, _ = block
-        margin = margin + value.take(_walk(bins, feature, cut, depth))
-        return bins, sign, margin, residuals(sign, margin)
+        codes, sign, margin, _ = block
+        margin = margin + value.take(packing.walk(codes, feature, cut, depth))
+        return codes, sign, margin, residuals(sign, margin)
     return run

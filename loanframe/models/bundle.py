@@ -27,8 +27,10 @@ may also be native expressions (:mod:`compiled`) in place of MLlib models.
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import StringIndexer
@@ -40,7 +42,7 @@ from .. import constants as K
 from ..functions import clip, risk_level, rnd
 from ..operators import scoring as S
 from ..operators.ranks import auc
-from ..session import ensure_checkpoint_dir, materialize
+from ..session import ensure_checkpoint_dir, materialize, spread
 from .boosting import BoostedTrees, binned, boost
 from .compiled import Boosting, Centres, Forest, Multinomial
 from .features import FEATURE_NAMES, STD_COLS, FeatureEncoder, Hyper, hyperparams
@@ -62,6 +64,13 @@ def isolation_rows(train: DataFrame, active: int) -> DataFrame:
     return train.where(F.col("loan_status") == "Active") if active >= 3 else train
 
 
+def together(wanted: dict) -> dict:
+    """The results of some actions, run side by side."""
+    with ThreadPoolExecutor(max(1, len(wanted))) as pool:
+        running = {k: pool.submit(inheritable_thread_target(SparkSession.active())(fn)) for k, fn in wanted.items()}
+        return {k: f.result() for k, f in running.items()}
+
+
 @dataclass
 class LoanModels:
     encoder: FeatureEncoder
@@ -88,10 +97,11 @@ class LoanModels:
         # recomputes at most those trees instead of the whole chain.
         ensure_checkpoint_dir(spark)
         # Only the model inputs are kept: one narrow projection of the loans,
-        # persisted, so the statistics, the encoder and the training table
-        # read it instead of re-deriving the loans for every pass.
+        # persisted in even partitions, so the statistics, the encoder and the
+        # training table read it with all cores, instead of re-deriving the
+        # loans for every pass in as many tasks as their files have splits.
         keep = ["loan_id", "default_indicator", "loan_status", *K.CAT_COLS, *K.NUM_COLS]
-        base = loans.select(*[c for c in dict.fromkeys(keep) if c in loans.columns]).persist()
+        base = spread(loans.select(*[c for c in dict.fromkeys(keep) if c in loans.columns])).persist()
         train = None
         try:
             # Two classes or grades are told by min and max: no distinct counting over the loans.
@@ -113,8 +123,7 @@ class LoanModels:
             train = enc.transform(base).select(
                 "loan_id", "loan_status", "credit_quality", F.col("default_indicator").cast("double").alias("label"),
                 "features")
-            # Even partitions for the learners' many passes, at every size.
-            train = train.repartition("loan_id", F.xxhash64(vector_to_array("features"))).persist()
+            train = train.persist()
             train.count()
             base.unpersist()
             m._fit_learners(train, stats, n_trees_iso, boosting)
@@ -144,7 +153,8 @@ class LoanModels:
                                         contamination, n_trees=n_trees_iso, seed=SEED)
 
         def fit_kmeans():
-            return _bare(KMeans(featuresCol="features", k=hp.kmeans_k, seed=SEED, predictionCol="_km").fit(train))
+            # Blocks of rows: a pass multiplies matrices instead of decoding the stored rows again.
+            return _bare(KMeans(featuresCol="features", k=hp.kmeans_k, seed=SEED, predictionCol="_km", solver="block").fit(train))
 
         def fit_grade():
             with_s = train.withColumn("_grade_s", F.col("credit_quality").cast("string"))
@@ -169,9 +179,12 @@ class LoanModels:
         if stats["grades"]:
             wanted["grade"] = fit_grade
         try:
-            # One after another: each learner keeps all cores busy or waits for many small jobs, and side by side
-            # these wait for slots that the wide stages hold.
-            done = {k: fn() for k, fn in wanted.items()}
+            # The trees one after another: side by side with the others their many small jobs wait for slots that
+            # wide stages hold. The others fill each other's gaps.
+            done = {k: wanted.pop(k)() for k in ("rf", "gbt") if k in wanted}
+            if blocks:
+                blocks[0].unpersist()
+            done |= together(wanted)
         finally:
             if blocks:
                 blocks[0].unpersist()

@@ -6,7 +6,7 @@ import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from loanframe.models.boosting import BINS, BoostedTrees, best_splits, cut_points, fit_boosting
+from loanframe.models.boosting import BINS, CODES, BoostedTrees, Packing, best_splits, boost, cut_points, fit_boosting, walk
 from loanframe.models.features import STD_COLS, FeatureEncoder
 from loanframe.models.isoforest import NODE_SCHEMA, IsolationForestModel, grow_tree
 from loanframe.plans.catalog import loans
@@ -51,6 +51,44 @@ def test_splits_lower_the_variance_most():
     assert low[0, 0] == (bins[2] <= 3).sum() and abs(all_[1, 0] - r.sum()) < 1e-9
 
 
+def test_packed_sums_are_plain_sums():
+    """Several features share a code; nodes and sums are those of the features one by one."""
+    rng, n = np.random.default_rng(3), 3000
+    sizes = [BINS, BINS, 5, 7, 1, 2, BINS, BINS, 24]
+    bins, r = np.stack([rng.integers(0, s, n) for s in sizes]).astype(np.uint8), rng.normal(size=n)
+    packing = Packing([np.arange(s - 1.0) for s in sizes])
+    assert len(packing.groups) < len(sizes) / 2 and all(np.prod(s) <= CODES for s in packing.sizes)
+    feature = rng.integers(0, len(sizes), 15)
+    cut = np.array([BINS if i == 2 else rng.integers(0, sizes[f]) for i, f in enumerate(feature)])
+    codes = packing.codes(bins)
+    for depth in range(4):
+        node = walk(bins, feature, cut, depth, np.arange(n))
+        assert (packing.walk(codes, feature, cut, depth) == node).all()
+        got = packing.sums([(codes, None, None, r)] * 2, feature, cut, depth)
+        for c in range(len(sizes)):
+            at = (node - ((1 << depth) - 1)) * BINS + bins[c]
+            assert (got[0, c].ravel() == 2 * np.bincount(at, minlength=BINS << depth)).all()
+            assert np.allclose(got[1, c].ravel(), 2 * np.bincount(at, r, minlength=BINS << depth))
+
+
+def test_a_small_table_is_boosted_in_few_tasks(spark):
+    rng = np.random.default_rng(4)
+    rows = [((i, 0), rng.integers(0, 4, (3, 500)).astype(np.uint8), (rng.random(500) < 0.4).astype(np.uint8)) for i in range(8)]
+    sc = spark.sparkContext
+    blocks = sc.parallelize(rows, 8).persist()
+    blocks.count()
+    sc.setJobGroup("boost", "boost")
+    model = boost(blocks, [np.arange(3.0)] * 3, 2, 2, 0.1)
+    told = sc.statusTracker()
+    tasks = [told.getStageInfo(s).numTasks for j in told.getJobIdsForGroup("boost") for s in told.getJobInfo(j).stageIds]
+    sc._jsc.clearJobGroup()
+    blocks.unpersist()
+    assert tasks.count(1) >= 3 and tasks.count(8) <= 1
+    y, (c, cut) = np.concatenate([r[2] for r in rows]) * 2.0 - 1, (model.heaps.feature[0, 0], model.heaps.threshold[0, 0])
+    low = np.concatenate([r[1][c] for r in rows]) <= cut  # cut k lies behind bin k
+    assert abs(model.heaps.value[0, 1] * low.sum() + model.heaps.value[0, 2] * (~low).sum() - y.sum()) < 1e-6 * len(y)
+
+
 def test_rare_values_keep_a_cut(spark):
     df = spark.range(20_000).select(F.when(F.col("id") == 7, F.lit(1.0)).otherwise(F.lit(0.0)).alias("rare"), F.col("id").cast("double").alias("x"), F.lit(2.0).alias("same"))
     rare, x, same = cut_points(df, ["rare", "x", "same"])
