@@ -22,6 +22,7 @@ seen; extra columns, whatever their names, are carried along.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,7 +39,9 @@ GRAMS = (3, 4)
 TRAIN_ROWS = 2_000
 EPOCHS, RATE, SEED = 6, 2.0, 7
 THRESHOLD = 0.3
-SLICE_BYTES = 2 << 20  # texts whose features are made at a time
+SLICE_BYTES = 2 << 20  # texts whose features are made at a time in a task
+FIT_BYTES = 1 << 18  # the same on the driver, which holds the training rows' features beside them
+SLICE_BUCKETS = 1 << 16  # vectors drawn or read at a time
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -104,12 +107,12 @@ def run_features(whole: np.ndarray, code: np.ndarray, cuts: np.ndarray) -> Itera
     yield at, _bucket(_mix(pair[at - 2] * _BASE + pair[at - 1], 12))
 
 
-def slices(texts: pa.Array) -> Iterator[pa.Array]:
-    """Consecutive runs of texts of about SLICE_BYTES."""
+def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[pa.Array]:
+    """Consecutive runs of texts of about ``most`` bytes."""
     size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
     at = 0
     while at < len(texts):
-        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SLICE_BYTES, side="right")))
+        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, side="right")))
         yield texts.slice(at, end - at)
         at = end
 
@@ -138,7 +141,7 @@ class Model:
 def _documents(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
     """(buckets, shares) of each text's features."""
     out = []
-    for some in slices(pa.array(texts, pa.string())):
+    for some in slices(pa.array(texts, pa.string()), FIT_BYTES):
         words, code, cuts = _words(some)
         whole, of, buckets = word_features(words)
         order = np.argsort(of, kind="stable")
@@ -160,7 +163,9 @@ def fit_rows(texts: list[str | None], labels: np.ndarray) -> Model:
         return Model(np.zeros(BUCKETS), 0.0 if not len(texts) else (4.0 if labels[0] else -4.0))
     docs = _documents(texts)
     rng = np.random.default_rng(SEED)
-    vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
+    vectors = np.empty((BUCKETS, DIM), np.float32)
+    for some in np.split(vectors, BUCKETS // SLICE_BUCKETS):
+        some[:] = rng.uniform(-1 / DIM, 1 / DIM, some.shape)
     out, bias = np.zeros((2, DIM)), np.zeros(2)
     share = labels.mean()
     weight = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share))
@@ -182,7 +187,8 @@ def fit_rows(texts: list[str | None], labels: np.ndarray) -> Model:
             out -= rate * np.outer(p, hidden)
             bias -= 0.1 * rate * p
             vectors[ids] = rows - part[:, None] * (rate * back).astype(np.float32)
-    return Model(vectors @ (out[1] - out[0]), float(bias[1] - bias[0]))
+    read = np.concatenate([some @ (out[1] - out[0]) for some in np.split(vectors, BUCKETS // SLICE_BUCKETS)])
+    return Model(read, float(bias[1] - bias[0]))
 
 
 def held_out(id_col: Column) -> Column:
@@ -200,7 +206,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         some = known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(TRAIN_ROWS)
         of = docs.select(F.col(id_col).alias("id"), text.alias("text"))
         rows += of.join(F.broadcast(some), "id").orderBy(F.xxhash64("id"), "id", "text").limit(TRAIN_ROWS).select("text", "y").collect()
-    return fit_rows([r["text"] for r in rows], np.array([r["y"] for r in rows], np.int64))
+    model = fit_rows([r["text"] for r in rows], np.array([r["y"] for r in rows], np.int64))
+    # The driver goes on beside its JVM: it gives back what the fit has freed.
+    del rows
+    gc.collect()
+    release()
+    return model
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

@@ -187,3 +187,15 @@ def test_classifier_edges(spark):
     assert c.score(edge(spark), none).first()["score"] == 0.5
     assert c.score(empty(spark), none).collect() == []
     assert c.fit(edge(spark), labels.limit(0)).bias == 0.0
+
+
+def test_classifier_fit_holds_its_vectors_once():
+    import tracemalloc
+    texts = [f"word{i} {i} again and again {i % 7}" for i in range(50)]
+    tracemalloc.start()
+    model = quality_classifier.fit_rows(texts, np.arange(50) % 2)
+    held, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    vectors = quality_classifier.BUCKETS * quality_classifier.DIM * 4
+    assert model.values.shape == (quality_classifier.BUCKETS,)
+    assert peak < 1.6 * vectors and held < 0.3 * vectors
