@@ -232,3 +232,17 @@ def test_categories_beyond_the_driver_are_joined(spark):
                                     .otherwise(F.col("geography")))
     pick = lambda e: sorted(tuple(r) for r in e._raw(odd).select("loan_id", *FEATURE_NAMES).collect())
     assert pick(few) == pick(many)
+
+
+def test_training_partitions_follow_the_rows_not_the_shuffle_setting(spark, monkeypatch):
+    from loanframe.models import bundle
+    seen, before = [], spark.conf.get("spark.sql.shuffle.partitions")
+    monkeypatch.setattr(LoanModels, "_fit_learners", lambda self, train, *_: seen.append((train.rdd.getNumPartitions(), train.count())))
+    spark.conf.set("spark.sql.shuffle.partitions", "57")
+    try:
+        m = LoanModels.fit(loans(spark, SF_SMALL))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    cores = spark.sparkContext.defaultParallelism
+    assert seen == [(cores, m.n)] and cores != 57
+    assert bundle.fit_partitions(spark, 1000 * cores * bundle.PART_ROWS + 1) == 1000 * cores + 1
