@@ -107,8 +107,9 @@ def run_features(whole: np.ndarray, code: np.ndarray, cuts: np.ndarray) -> Itera
     yield at, _bucket(_mix(pair[at - 2] * _BASE + pair[at - 1], 12))
 
 
-def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[pa.Array]:
-    """Consecutive runs of texts of about ``most`` bytes."""
+def slices(texts: pa.Array, most: int | None = None) -> Iterator[pa.Array]:
+    """Consecutive runs of texts of about ``most`` bytes, or SLICE_BYTES."""
+    most = SLICE_BYTES if most is None else most
     size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
     at = 0
     while at < len(texts):
