@@ -1,8 +1,8 @@
 """Gradient-boosted trees for a 0/1 label (M4), grown from histograms of binned features.
 
 fit
-  1. A feature is cut at its distinct values or, where it has more than BINS, at its BINS-quantiles. Each row is kept
-     as one byte a feature and its label, in blocks of some ten thousand rows.
+  1. A feature is cut at its distinct values or, where it has more than BINS, at its BINS-quantiles (of merged
+     summaries of sorted rows). Each row is kept as one byte a feature and its label, in blocks of some ten thousand rows.
   2. A tree of depth k takes k jobs. Each task adds up the rows and pseudo-residuals by node, feature and bin; the
      sums of all tasks (some KB each) meet on the driver, which picks each node's best split. The bins of two or more
      features make one code of at most CODES values, so that a row is counted once for all of them.
@@ -28,26 +28,71 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .heaps import Heaps
+from .heaps import UPPER, Heaps, compared, lower, upper
 
 BINS, BLOCK, CHECKPOINT_EVERY = 32, 1 << 16, 10
 CODES = BINS * BINS  # values of one code of several features
+STEP = 1 << 15  # rows of a block walked at a time
+SORTED, POINTS = 1 << 18, 2048  # rows that a summary of order statistics tells of, and its values
+# Blocks are kept as the bytes that go to Python: not decoded again in each pass.
+KEPT = StorageLevel.MEMORY_AND_DISK_DESER
 TASK_ROWS = 1 << 18  # a task starts as slowly as it counts this many rows
 
 
+def _summary(x: np.ndarray) -> tuple[list[float], list[float]]:
+    """The distinct values, BINS + 1 at most, and POINTS order statistics, evenly spaced, or all values where they are fewer."""
+    x = np.sort(x[~np.isnan(x)])
+    some = x[np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))[:BINS + 1]] if len(x) else x
+    at = np.arange(len(x)) if len(x) <= POINTS else ((np.arange(POINTS) + 0.5) * len(x) / POINTS).astype(np.intp)
+    return some.tolist(), x[at].tolist()
+
+
+def _summaries(batches):
+    """A row for each column and SORTED rows of a task: column, rows, and the :func:`_summary` of its values."""
+    def told(held):
+        for c in range(held[0].num_columns):
+            x = np.concatenate([b.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for b in held])
+            yield c, int((~np.isnan(x)).sum()), *_summary(x)
+
+    def batch(held):
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*told(held)), SUMMARY)], ["c", "n", "some", "points"])
+
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= SORTED:
+            yield batch(held)
+            held, n = [], 0
+    if n:
+        yield batch(held)
+
+
+SUMMARY = [pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64())]
+
+
+def _cuts(told: pd.DataFrame) -> pd.DataFrame:
+    """The thresholds of one column from its summaries."""
+    some = np.unique(np.concatenate(told["some"].to_list()))
+    if len(some) <= BINS:
+        cuts = (some[:-1] + some[1:]) / 2
+    else:
+        x = np.concatenate(told["points"].to_list())
+        weight = np.concatenate([np.full(len(p), n / len(p)) for n, p in zip(told["n"], told["points"]) if len(p)])
+        order = np.argsort(x, kind="stable")
+        below = np.cumsum(weight[order])
+        at = np.searchsorted(below, np.arange(1, BINS) / BINS * below[-1] * (1 - 1e-12))
+        cuts = np.unique(x[order][at])
+    return pd.DataFrame({"c": [told["c"].iloc[0]], "cuts": [cuts.tolist()]})
+
+
 def cut_points(values: DataFrame, cols: list[str]) -> list[np.ndarray]:
-    """For each column the thresholds between its bins, over all rows."""
-    shares = F.array(*[F.lit(k / BINS) for k in range(1, BINS)])
-    told = values.agg(*[F.approx_count_distinct(c).alias(f"n_{c}") for c in cols],
-                      *[F.percentile_approx(c, shares, F.lit(10_000)).alias(f"q_{c}") for c in cols]).first()
-    few = [c for c in cols if told[f"n_{c}"] <= BINS]
-    # A few values more than the estimate says are possible, many more are not.
-    sets = values.agg(F.count(F.lit(1)), *[F.collect_set(c).alias(c) for c in few]).first()
-    out = []
-    for c in cols:
-        x = np.unique(np.array(sets[c] if c in few else told[f"q_{c}"], float))
-        out.append((x[:-1] + x[1:]) / 2 if c in few and len(x) <= BINS else x[:BINS - 1])
-    return out
+    """For each column the thresholds between its bins, over all rows: one pass, whose tasks sort their rows and tell of
+    some thousand order statistics; those of a column meet in one group, a few KB for each SORTED rows. The rank of a
+    threshold is off by a ``POINTS``-th of the rows at most."""
+    told = values.select(*cols).mapInArrow(_summaries, "c int, n bigint, some array<double>, points array<double>")
+    found = {r["c"]: r["cuts"] for r in told.groupBy("c").applyInPandas(_cuts, "c int, cuts array<double>").collect()}
+    return [np.array(found[i], float) for i in range(len(cols))]
 
 
 def _blocks(cuts: list[np.ndarray]):
@@ -73,20 +118,17 @@ def _blocks(cuts: list[np.ndarray]):
 
 def residuals(sign: np.ndarray, margin: np.ndarray) -> np.ndarray:
     """The negative gradient of the log loss."""
-    return 4.0 * sign / (1.0 + np.exp(2.0 * sign * margin))
+    with np.errstate(over="ignore"):  # nothing is left of a row that far on its side
+        return 4 * sign / (1 + np.exp(2 * sign * margin))
 
 
 def walk(bins: np.ndarray, feature: np.ndarray, cut: np.ndarray, depth: int, rows: np.ndarray) -> np.ndarray:
     """The node (of ``depth``) that rows of a block have in a tree over bins; a cut of BINS passes all to the low side."""
-    flat, start, cut = bins.ravel(), feature.astype(np.intp) * bins.shape[1], cut.astype(np.uint8)
-    node, at = np.zeros(len(rows), np.intp), np.empty(len(rows), np.intp)
-    for _ in range(depth):
-        start.take(node, out=at, mode="clip")  # in range; the mode that spares a copy
-        at += rows
-        high = flat.take(at) > cut.take(node)
-        node *= 2
-        node += 1
-        node += high
+    feature, cut, first, n = feature[None], cut.astype(np.uint8)[None], min(depth, UPPER), bins.shape[1]
+    parts = [bins[:, a:a + STEP] for a in range(0, n, STEP)]
+    top = np.concatenate([upper(compared(part, feature, cut), part.shape[1], 1, first)[0] for part in parts])
+    node = lower(bins, feature, cut, first, depth, top.take(rows).astype(np.intp)[None], rows)[0]
+    node += (1 << depth) - 1
     return node
 
 
@@ -123,18 +165,13 @@ class Packing:
 
     def walk(self, codes: np.ndarray, feature: np.ndarray, cut: np.ndarray, depth: int) -> np.ndarray:
         """The node (of ``depth``) that each row has in a tree over bins; a cut of BINS passes all to the low side."""
-        flat, start, rows = codes.ravel(), self.pack.take(feature) * codes.shape[1], np.arange(codes.shape[1])
-        high = (self.bin[feature] > cut[:, None]).astype(np.uint8).ravel()
-        node, at = np.zeros(len(rows), np.intp), np.empty(len(rows), np.intp)
-        for _ in range(depth):
-            start.take(node, out=at, mode="clip")  # in range; the mode that spares a copy
-            at += rows
-            code = flat.take(at)
-            np.multiply(node, CODES, out=at)
-            at += code
-            node *= 2
-            node += 1
-            node += high.take(at)
+        high = (self.bin[feature] > cut[:, None]).view(np.uint8)  # node x code
+
+        def level(here):
+            return np.stack([high[i].take(codes[self.pack[feature[i]]], mode="clip") for i in range(here.start, here.stop)])[None]
+
+        node = upper(level, codes.shape[1], 1, depth)[0].astype(np.intp)
+        node += (1 << depth) - 1
         return node
 
     def sums(self, blocks, feature: np.ndarray, cut: np.ndarray, depth: int) -> np.ndarray:
@@ -144,9 +181,10 @@ class Packing:
         held = [np.zeros((2, math.prod(shape))) for shape in shapes]
         for codes, _, _, r in blocks:
             node = self.walk(codes, feature, cut, depth) - (nodes - 1)
-            for sums, code, shape in zip(held, codes, shapes):
-                place = node * (len(sums[0]) // nodes)
-                place += code
+            for sums, code in zip(held, codes):
+                place = node * (len(sums[0]) // nodes) if depth else code.astype(np.intp)
+                if depth:
+                    place += code
                 sums[0] += np.bincount(place, minlength=len(sums[0]))
                 sums[1] += np.bincount(place, r, minlength=len(sums[1]))
         for sums, group, shape in zip(held, self.groups, shapes):
@@ -156,10 +194,12 @@ class Packing:
         return out
 
 
-def _histogram(packing: Packing, feature: np.ndarray, cut: np.ndarray, depth: int):
-    """(rows, residuals) by feature, node of the level and bin, summed over a task's blocks."""
+def _histogram(packing: Packing, feature: np.ndarray, cut: np.ndarray, depth: int, first: bool):
+    """(rows, residuals) by feature, node of the level and bin, summed over a task's blocks; the first tree fits the
+    labels themselves."""
     def run(blocks):
-        yield packing.sums(blocks, feature, cut, depth)
+        opened = ((codes, sign.astype(np.float32), margin) for codes, sign, margin in blocks)
+        yield packing.sums(((c, s, m, s if first else residuals(s, m)) for c, s, m in opened), feature, cut, depth)
     return run
 
 
@@ -271,7 +311,7 @@ def binned(train: DataFrame, n_cols: int) -> tuple[RDD, list[np.ndarray]]:
         for i, row in enumerate(rows):
             yield (part, i), np.frombuffer(row["bins"], np.uint8).reshape(n_cols, -1), np.frombuffer(row["label"], np.uint8)
 
-    blocks = rows.rdd.mapPartitionsWithIndex(placed).persist(StorageLevel.MEMORY_AND_DISK)
+    blocks = rows.rdd.mapPartitionsWithIndex(placed).persist(KEPT)
     blocks.checkpoint()
     blocks.count()
     return blocks, cuts
@@ -292,18 +332,18 @@ def boost(rows: RDD, cuts: list[np.ndarray], n_trees: int, depth: int, step: flo
 
     def opened(row):
         sign = row[2].astype(np.int8) * 2 - 1
-        return packing.codes(row[1]), sign, np.zeros(len(sign)), sign
+        return packing.codes(row[1]), sign, np.zeros(len(sign), np.float32)
 
     # Small tables in fewer tasks than there are cores: each job is mostly the start of its Python tasks.
     tasks = -(-rows.map(lambda row: len(row[2])).sum() // TASK_ROWS)
-    blocks = rows.coalesce(max(1, min(tasks, rows.getNumPartitions()))).map(opened).persist(StorageLevel.MEMORY_AND_DISK)
+    blocks = rows.coalesce(max(1, min(tasks, rows.getNumPartitions()))).map(opened).persist(KEPT)
     last, size, heaps, weights = None, (2 << depth) - 1, [], []
     try:
         for t in range(n_trees):
             feature, cut = np.zeros(size, np.intp), np.full(size, BINS)
             threshold, value = np.full(size, np.inf), np.zeros(size)
             for d in range(depth):
-                hist = np.sum(blocks.mapPartitions(_histogram(packing, feature, cut, d)).collect(), axis=0)
+                hist = np.sum(blocks.mapPartitions(_histogram(packing, feature, cut, d, t == 0)).collect(), axis=0)
                 if last is not None:
                     last, _ = None, last.unpersist()
                 f, b, low, all_, gains = best_splits(hist)
@@ -321,7 +361,7 @@ def boost(rows: RDD, cuts: list[np.ndarray], n_trees: int, depth: int, step: flo
             heaps.append((feature, threshold, value))
             weights.append(step if t else 1.0)
             if t + 1 < n_trees:
-                last, blocks = blocks, blocks.map(_moved(packing, feature, cut, value * weights[-1], depth)).persist(StorageLevel.MEMORY_AND_DISK)
+                last, blocks = blocks, blocks.map(_moved(packing, feature, cut, value * weights[-1], depth)).persist(KEPT)
                 if (t + 1) % CHECKPOINT_EVERY == 0:
                     blocks.checkpoint()
     finally:
@@ -332,9 +372,8 @@ def boost(rows: RDD, cuts: list[np.ndarray], n_trees: int, depth: int, step: flo
 
 
 def _moved(packing: Packing, feature: np.ndarray, cut: np.ndarray, value: np.ndarray, depth: int):
-    """A block with the margins and pseudo-residuals after one more tree."""
+    """A block with the margins after one more tree. Pseudo-residuals follow from them, so they are not kept."""
     def run(block):
-        codes, sign, margin, _ = block
-        margin = margin + value.take(packing.walk(codes, feature, cut, depth))
-        return codes, sign, margin, residuals(sign, margin)
+        codes, sign, margin = block
+        return codes, sign, margin + value.astype(np.float32).take(packing.walk(codes, feature, cut, depth))
     return run

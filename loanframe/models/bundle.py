@@ -32,7 +32,6 @@ from dataclasses import asdict, dataclass, field
 
 from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -44,10 +43,11 @@ from ..operators import scoring as S
 from ..operators.ranks import auc
 from ..session import ensure_checkpoint_dir, materialize
 from .boosting import BoostedTrees, binned, boost
-from .compiled import Boosting, Centres, Forest, Multinomial
+from .compiled import Boosting, Forest, Multinomial
 from .features import FEATURE_NAMES, STD_COLS, FeatureEncoder, Hyper, hyperparams
 from .forest import BaggedTrees, fit_forest
 from .isoforest import IsolationForestModel, fit_isolation_forest
+from .segments import Segments, fit_segments
 
 SEED = 42
 PART_ROWS = 1 << 18  # rows of the training table in a partition, unless that leaves cores idle
@@ -160,8 +160,7 @@ class LoanModels:
                                         contamination, n_trees=n_trees_iso, seed=SEED)
 
         def fit_kmeans():
-            # Blocks of rows: a pass multiplies matrices instead of decoding the stored rows again.
-            return _bare(KMeans(featuresCol="features", k=hp.kmeans_k, seed=SEED, predictionCol="_km", solver="block").fit(train))
+            return fit_segments(train, STD_COLS, hp.kmeans_k, SEED)
 
         def fit_grade():
             with_s = train.withColumn("_grade_s", F.col("credit_quality").cast("string"))
@@ -186,11 +185,12 @@ class LoanModels:
         if stats["grades"]:
             wanted["grade"] = fit_grade
         try:
-            # The trees one after another: side by side with the others their many small jobs wait for slots that
-            # wide stages hold. The others fill each other's gaps.
+            # The trees and k-means one after another: side by side with the others their many small jobs wait for slots
+            # that wide stages hold, and each keeps its own copy of the rows. The others fill each other's gaps.
             done = {k: wanted.pop(k)() for k in ("rf", "gbt") if k in wanted}
             if blocks:
                 blocks[0].unpersist()
+            done |= {k: wanted.pop(k)() for k in ("kmeans",) if k in wanted}
             done |= together(wanted)
         finally:
             if blocks:
@@ -316,9 +316,7 @@ class LoanModels:
         """M8: k-means segment id (0 when no model was fitted)."""
         if self.kmeans is None:
             return scored_feat.withColumn("cluster", F.lit(0))
-        if isinstance(self.kmeans, Centres):
-            return scored_feat.withColumn("cluster", self.kmeans.cluster())
-        return self.kmeans.transform(scored_feat).withColumn("cluster", F.col("_km").cast("int")).drop("_km")
+        return scored_feat.withColumn("cluster", self.kmeans.cluster())
 
     # ----------------------------------------------------- save and load
     def save(self, spark: SparkSession, path: str, overwrite: bool = False) -> None:
@@ -367,7 +365,7 @@ class LoanModels:
         return m
 
 
-PARTS = {"rf": BaggedTrees, "gbt": BoostedTrees, "kmeans": KMeansModel,
+PARTS = {"rf": BaggedTrees, "gbt": BoostedTrees, "kmeans": Segments,
          "grade_lr": LogisticRegressionModel}
 
 

@@ -75,12 +75,14 @@ def _histograms(feature: np.ndarray, cut: np.ndarray, depth: int, cols: int, tak
             labelled = 1.0 + _SHIFT * label
             for t in range(trees):
                 drawn = draws(seed, t, block, n)
-                rows = np.flatnonzero(drawn)
+                rows = np.flatnonzero(drawn != 0)
                 weight = labelled.take(rows) * drawn.take(rows)
                 node = walk(bins, feature[t], cut[t], depth, rows) - (nodes - 1)
                 at = node * BINS
                 for j in range(taken):
-                    place = flat.take((picked[t][:, j] * n).take(node) + rows) + at
+                    place = (picked[t][:, j] * n).take(node, mode="clip")  # in range; the quicker mode
+                    place += rows
+                    place = flat.take(place, mode="clip") + at
                     both = np.bincount(place, weight, minlength=size)
                     ones = np.floor(both / _SHIFT)
                     out[t, 0, j] += (both - ones * _SHIFT).astype(np.int64)

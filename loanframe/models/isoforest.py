@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -126,10 +127,13 @@ class IsolationForestModel:
             roots=np.array(sorted(starts.values()), dtype=np.int64), psi=psi,
             max_depth=int(nodes["depth"].max()))
 
+    @cached_property
+    def heaps(self) -> Heaps:
+        return Heaps.of_links(self.feature, self.threshold, self.left, self.right, self.leaf_path, self.roots, self.max_depth)
+
     def score_samples(self, x: np.ndarray) -> np.ndarray:
         """-2^(-E[h(x)] / c(psi)); lower is more anomalous."""
-        heaps = Heaps.of_links(self.feature, self.threshold, self.left, self.right, self.leaf_path, self.roots, self.max_depth)
-        mean_path = heaps.total(x) / len(self.roots)
+        mean_path = self.heaps.total(x) / len(self.roots)
         return -np.power(2.0, -mean_path / float(avg_path_length([self.psi])[0]))
 
     def node_rows(self) -> list[tuple]:
@@ -175,16 +179,17 @@ def tree_samples(train: DataFrame, feature_cols: list[str], key: str, n: int, n_
     # probability p / q, so each tree still takes every row with probability
     # p and almost every row of a large table stops after a single hash. The
     # draw is made the same way at every size (a gate of 1 lets all through).
-    # It hashes the whole training row and a stored row number, so rows that
-    # share an id, or have none, are still drawn one by one.
+    # It hashes the whole training row and a row number, so rows that share an
+    # id, or have none, are still drawn one by one. The rows that pass the gate
+    # are stored with their numbers, the others are read once.
     q = min(1.0, n_trees * p)
     unit = [F.col("_unit"), F.col(key), *[F.col(c) for c in feature_cols]]
-    numbered = materialize(train.select(key, *feature_cols).withColumn("_unit", F.monotonically_increasing_id()),
-                           "isolation-rows")
     gate = hash_uniform(*unit, F.lit(-1), seed=seed) < F.lit(q)
+    numbered = materialize(train.select(key, *feature_cols).withColumn("_unit", F.monotonically_increasing_id()).where(gate),
+                           "isolation-rows")
     trees = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)),
                      lambda t: hash_uniform(*unit, t, seed=seed) < F.lit(p / q))
-    cand = (numbered.where(gate).withColumn("tree", F.explode(trees))
+    cand = (numbered.withColumn("tree", F.explode(trees))
             .withColumn("_u", hash_uniform(*unit, F.col("tree"), seed=seed)))
     rank = F.row_number().over(Window.partitionBy("tree").orderBy("_u", "_unit"))
     return cand.withColumn("_r", rank).where(F.col("_r") <= psi).drop("_r", "_u", "_unit")
