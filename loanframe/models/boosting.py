@@ -180,6 +180,7 @@ class Packing:
         shapes = [(nodes, *sizes) for sizes in self.sizes]
         held = [np.zeros((2, math.prod(shape))) for shape in shapes]
         for codes, _, _, r in blocks:
+            r = np.asarray(r, float)
             node = self.walk(codes, feature, cut, depth) - (nodes - 1)
             for sums, code in zip(held, codes):
                 place = node * (len(sums[0]) // nodes) if depth else code.astype(np.intp)

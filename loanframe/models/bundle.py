@@ -43,7 +43,7 @@ from ..operators import scoring as S
 from ..operators.ranks import auc
 from ..session import ensure_checkpoint_dir, materialize
 from .boosting import BoostedTrees, binned, boost
-from .compiled import Boosting, Forest, Multinomial
+from .compiled import Boosting, Forest, Multinomial, multinomial_of
 from .features import FEATURE_NAMES, STD_COLS, FeatureEncoder, Hyper, hyperparams
 from .forest import BaggedTrees, fit_forest
 from .isoforest import IsolationForestModel, fit_isolation_forest
@@ -308,9 +308,9 @@ class LoanModels:
         labels = F.array(*[F.lit(g) for g in self.grade_labels])
         if isinstance(self.grade_lr, Multinomial):
             return feat.withColumn("predicted_grade", F.element_at(labels, self.grade_lr.label() + 1))
-        out = self.grade_lr.transform(feat)
-        return out.withColumn("predicted_grade", F.element_at(labels, F.col("_grade_pred").cast("int") + 1)).drop(
-            "_grade_pred", "_grade_prob", "_grade_raw")
+        # The margins over the plain columns: no vector is made for each row, and none of its margins and probabilities.
+        margins = F.array(*multinomial_of(self.grade_lr, STD_COLS).margins())
+        return feat.withColumn("predicted_grade", F.element_at(labels, F.array_position(margins, F.array_max(margins)).cast("int")))
 
     def assign_clusters(self, scored_feat: DataFrame) -> DataFrame:
         """M8: k-means segment id (0 when no model was fitted)."""

@@ -53,7 +53,8 @@ class BaggedTrees(BoostedTrees):
 
 def draws(seed: int, tree: int, block: tuple[int, int], n: int) -> np.ndarray:
     """How often each of a block's rows is drawn for a tree."""
-    return POISSON.take(np.random.default_rng([seed, tree, *block]).integers(0, 1 << 16, n, dtype=np.uint16))
+    numbers = np.random.Generator(np.random.SFC64([seed, tree, *block])).integers(0, 1 << 64, -(-n // 4), dtype=np.uint64)
+    return POISSON.take(numbers.view(np.uint16)[:n])
 
 
 def candidates(seed: int, tree: int, depth: int, cols: int, taken: int) -> np.ndarray:
@@ -76,13 +77,17 @@ def _histograms(feature: np.ndarray, cut: np.ndarray, depth: int, cols: int, tak
             for t in range(trees):
                 drawn = draws(seed, t, block, n)
                 rows = np.flatnonzero(drawn != 0)
-                weight = labelled.take(rows) * drawn.take(rows)
-                node = walk(bins, feature[t], cut[t], depth, rows) - (nodes - 1)
-                at = node * BINS
+                weight = (labelled * drawn).take(rows)
+                if depth:
+                    node = walk(bins, feature[t], cut[t], depth, rows) - (nodes - 1)
+                    at = node * BINS
                 for j in range(taken):
-                    place = (picked[t][:, j] * n).take(node, mode="clip")  # in range; the quicker mode
-                    place += rows
-                    place = flat.take(place, mode="clip") + at
+                    if depth:
+                        place = (picked[t][:, j] * n).take(node, mode="clip")  # in range; the quicker mode
+                        place += rows
+                        place = flat.take(place, mode="clip") + at
+                    else:
+                        place = bins[picked[t][0, j]].take(rows)
                     both = np.bincount(place, weight, minlength=size)
                     ones = np.floor(both / _SHIFT)
                     out[t, 0, j] += (both - ones * _SHIFT).astype(np.int64)

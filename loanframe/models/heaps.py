@@ -17,7 +17,7 @@ import numpy as np
 
 ROWS = 16384  # rows walked at a time, so that their features stay in the cache
 TOGETHER = 4  # trees walked at a time
-UPPER = 5  # levels whose nodes are all compared
+UPPER = 4  # levels whose nodes are all compared
 
 
 def upper(level, rows: int, trees: int, depth: int) -> np.ndarray:

@@ -36,6 +36,13 @@ def _pick(index: Column, values: list) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
 
 
+def _loan_id(n: Column) -> Column:
+    """The text of LN-%06d. A formatter is dear per row, so it is left to numbers below 0 (and to none)."""
+    digits = n.cast("string")
+    return F.when(n > 999_999, F.concat(F.lit("LN-"), digits)).when(n >= 0, F.concat(F.lit("LN-"), F.lpad(digits, 6, "0"))).otherwise(
+        F.format_string("LN-%06d", n))
+
+
 def _chain(k: Column, ck: Column, steps: int) -> list[Column]:
     h = [(k * CHAIN_MUL_ORDER + ck * CHAIN_MUL_CUST) % CHAIN_MOD0]
     for _ in range(steps):
@@ -60,7 +67,7 @@ def loans(spark: SparkSession, sf_dir: str) -> DataFrame:
         prod = F.when(pri == p, name) if prod is None else prod.when(pri == p, name)
 
     base = j.select(
-        F.format_string("LN-%06d", F.col("o_orderkey") + 1).alias("loan_id"),
+        _loan_id(F.col("o_orderkey") + 1).alias("loan_id"),
         _pick(F.col("c_nationkey") % 4, K.GEOGRAPHIES).alias("geography"),
         emp.otherwise("Informal").alias("employment_type"),
         (F.lit(540) + h[1] % 361).cast("long").alias("credit_score"),
