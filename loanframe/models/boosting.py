@@ -4,7 +4,8 @@ fit
   1. A feature is cut at its distinct values or, where it has more than BINS, at its BINS-quantiles (of merged
      summaries of sorted rows). Each row is kept as one byte a feature and its label, in blocks of some ten thousand rows.
   2. A tree of depth k takes k jobs. Each task adds up the rows and pseudo-residuals by node, feature and bin; the
-     sums of all tasks (some KB each) meet on the driver, which picks each node's best split. The bins of two or more
+     sums of all tasks (some KB each) meet on the driver, which picks each node's best split. Below the root only the
+     smaller child of each node is added up; the other has what is left of the node's sums. The bins of two or more
      features make one code of at most CODES values, so that a row is counted once for all of them.
   3. The rows' margins move on with each tree, as the blocks of the next one; every CHECKPOINT_EVERY trees they are
      checkpointed to the shared folder.
@@ -28,6 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .features import feature_values
 from .heaps import UPPER, Heaps, compared, lower, upper
 
 BINS, BLOCK, CHECKPOINT_EVERY = 32, 1 << 16, 10
@@ -174,18 +176,23 @@ class Packing:
         node += (1 << depth) - 1
         return node
 
-    def sums(self, blocks, feature: np.ndarray, cut: np.ndarray, depth: int) -> np.ndarray:
-        """(rows, residuals) by feature, node of the level and bin, over blocks."""
-        nodes, out = 1 << depth, np.zeros((2, self.cols, 1 << depth, BINS))
+    def sums(self, blocks, feature: np.ndarray, cut: np.ndarray, depth: int, side: np.ndarray | None = None) -> np.ndarray:
+        """(rows, residuals) by feature, node of the level and bin, over blocks. With ``side`` one child alone of each node
+        of the level before, the high one where that is 1, in the place of that node."""
+        nodes = 1 << (depth if side is None else depth - 1)
+        out = np.zeros((2, self.cols, nodes, BINS))
         shapes = [(nodes, *sizes) for sizes in self.sizes]
         held = [np.zeros((2, math.prod(shape))) for shape in shapes]
         for codes, _, _, r in blocks:
-            r = np.asarray(r, float)
-            node = self.walk(codes, feature, cut, depth) - (nodes - 1)
+            r, rows = np.asarray(r, float), None
+            node = self.walk(codes, feature, cut, depth) - ((1 << depth) - 1)
+            if side is not None:
+                rows = np.flatnonzero((np.arange(1 << depth) % 2 == np.repeat(side, 2)).take(node))
+                node, r = node.take(rows) >> 1, r.take(rows)
             for sums, code in zip(held, codes):
-                place = node * (len(sums[0]) // nodes) if depth else code.astype(np.intp)
-                if depth:
-                    place += code
+                place = code.astype(np.intp) if rows is None else code.take(rows).astype(np.intp)
+                if nodes > 1:
+                    place += node * (len(sums[0]) // nodes)
                 sums[0] += np.bincount(place, minlength=len(sums[0]))
                 sums[1] += np.bincount(place, r, minlength=len(sums[1]))
         for sums, group, shape in zip(held, self.groups, shapes):
@@ -195,12 +202,18 @@ class Packing:
         return out
 
 
-def _histogram(packing: Packing, feature: np.ndarray, cut: np.ndarray, depth: int, first: bool):
-    """(rows, residuals) by feature, node of the level and bin, summed over a task's blocks; the first tree fits the
-    labels themselves."""
+def both_sides(parent: np.ndarray, child: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """The sums of a level: ``child`` has one child of each node of ``parent``, the other has what is left."""
+    out, node = np.empty((*parent.shape[:2], 2 * parent.shape[2], parent.shape[3])), np.arange(len(side))
+    out[:, :, 2 * node + side], out[:, :, 2 * node + 1 - side] = child, parent - child
+    return out
+
+
+def _histogram(packing: Packing, feature: np.ndarray, cut: np.ndarray, depth: int, side: np.ndarray | None, first: bool):
+    """:meth:`Packing.sums` over a task's blocks; the first tree fits the labels themselves."""
     def run(blocks):
         opened = ((codes, sign.astype(np.float32), margin) for codes, sign, margin in blocks)
-        yield packing.sums(((c, s, m, s if first else residuals(s, m)) for c, s, m in opened), feature, cut, depth)
+        yield packing.sums(((c, s, m, s if first else residuals(s, m)) for c, s, m in opened), feature, cut, depth, side)
     return run
 
 
@@ -301,9 +314,9 @@ class BoostedTreesWriter:
 
 
 def binned(train: DataFrame, n_cols: int) -> tuple[RDD, list[np.ndarray]]:
-    """The rows of ``train`` (label 0 or 1, and the ``features`` vector) as blocks (place, bins, label), persisted and
+    """The rows of ``train`` (label 0 or 1, and the features) as blocks (place, bins, label), persisted and
     checkpointed so that a block keeps its rows, and the cut points of the features."""
-    values = train.select(F.col("label"), vector_to_array("features").alias("v"))
+    values = train.select(F.col("label"), feature_values(train).alias("v"))
     names = [f"c{i}" for i in range(n_cols)]
     cuts = cut_points(values.select(*[F.col("v")[i].alias(c) for i, c in enumerate(names)]), names)
     rows = values.mapInArrow(_blocks(cuts), "bins binary, label binary").coalesce(train.sparkSession.sparkContext.defaultParallelism)
@@ -343,8 +356,10 @@ def boost(rows: RDD, cuts: list[np.ndarray], n_trees: int, depth: int, step: flo
         for t in range(n_trees):
             feature, cut = np.zeros(size, np.intp), np.full(size, BINS)
             threshold, value = np.full(size, np.inf), np.zeros(size)
+            side = hist = None
             for d in range(depth):
-                hist = np.sum(blocks.mapPartitions(_histogram(packing, feature, cut, d, t == 0)).collect(), axis=0)
+                counted = np.sum(blocks.mapPartitions(_histogram(packing, feature, cut, d, side, t == 0)).collect(), axis=0)
+                hist = counted if side is None else both_sides(hist, counted, side)
                 if last is not None:
                     last, _ = None, last.unpersist()
                 f, b, low, all_, gains = best_splits(hist)
@@ -359,6 +374,9 @@ def boost(rows: RDD, cuts: list[np.ndarray], n_trees: int, depth: int, step: flo
                         value[2 * i + 2] = (all_[1, k] - low[1, k]) / (all_[0, k] - low[0, k])
                 if not gains.any():
                     break
+                # The next level counts the smaller child of each node; a node that is not split has an empty high one.
+                here = slice((1 << d) - 1, (2 << d) - 1)
+                side = ((cut[here] == BINS) | (2 * low[0] > all_[0])).astype(np.intp)
             heaps.append((feature, threshold, value))
             weights.append(step if t else 1.0)
             if t + 1 < n_trees:

@@ -33,7 +33,7 @@ from dataclasses import asdict, dataclass, field
 from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import StringIndexer
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,7 +44,7 @@ from ..operators.ranks import auc
 from ..session import ensure_checkpoint_dir, materialize
 from .boosting import BoostedTrees, binned, boost
 from .compiled import Boosting, Forest, Multinomial, multinomial_of
-from .features import FEATURE_NAMES, STD_COLS, FeatureEncoder, Hyper, hyperparams
+from .features import FEATURE_NAMES, STD_COLS, VALUES, FeatureEncoder, Hyper, feature_values, hyperparams
 from .forest import BaggedTrees, fit_forest
 from .isoforest import IsolationForestModel, fit_isolation_forest
 from .segments import Segments, fit_segments
@@ -123,14 +123,14 @@ class LoanModels:
             enc = FeatureEncoder.fit(base)
             m = LoanModels(encoder=enc, hyper=hp, n=n, single_class=not stats["classes"])
 
-            # One copy of each feature: the vector. The learners read it, and
-            # the isolation forest unpacks it where it needs columns.
-            train = enc.transform(base).select(
+            # One copy of each feature: an array, which all learners read as it is, but the multinomial one, which makes
+            # its vectors once.
+            train = enc.standardized(base).select(
                 "loan_id", "loan_status", "credit_quality", F.col("default_indicator").cast("double").alias("label"),
-                "features")
+                F.array(*STD_COLS).alias(VALUES), F.xxhash64(*STD_COLS).alias("_dealt"))
             # Even partitions for the learners' many passes, at every size. Their number follows the rows, not the
             # session's shuffle setting, which a persisted table keeps: some hundred passes start a task for each.
-            train = train.repartition(fit_partitions(spark, n), "loan_id", F.xxhash64(vector_to_array("features"))).persist()
+            train = train.repartition(fit_partitions(spark, n), "loan_id", "_dealt").drop("_dealt").persist()
             train.count()
             base.unpersist()
             m._fit_learners(train, stats, n_trees_iso, boosting)
@@ -154,8 +154,7 @@ class LoanModels:
             contamination = min(0.5, max(0.05, rate or 0.12))
             active = int(stats["active"])
             iso_train = isolation_rows(train, active)
-            values = vector_to_array(F.col("features"))
-            iso_train = iso_train.select("loan_id", *[values[i].alias(c) for i, c in enumerate(STD_COLS)])
+            iso_train = iso_train.select("loan_id", *[F.col(VALUES)[i].alias(c) for i, c in enumerate(STD_COLS)])
             return fit_isolation_forest(iso_train, STD_COLS, "loan_id", active if active >= 3 else n,
                                         contamination, n_trees=n_trees_iso, seed=SEED)
 
@@ -163,7 +162,7 @@ class LoanModels:
             return fit_segments(train, STD_COLS, hp.kmeans_k, SEED)
 
         def fit_grade():
-            with_s = train.withColumn("_grade_s", F.col("credit_quality").cast("string"))
+            with_s = train.select(F.col("credit_quality").cast("string").alias("_grade_s"), array_to_vector(VALUES).alias("features"))
             gi = StringIndexer(inputCol="_grade_s", outputCol="_grade_y", stringOrderType="alphabetAsc").fit(with_s)
             lr = LogisticRegression(
                 featuresCol="features", labelCol="_grade_y", family="multinomial", maxIter=500,
@@ -225,7 +224,7 @@ class LoanModels:
                 if STD_COLS[0] in out.columns:
                     p[name] = model.probability([F.col(c) for c in STD_COLS])
                 else:
-                    p[name] = model.probability([vector_to_array(F.col("features"))[i] for i in range(len(STD_COLS))])
+                    p[name] = model.probability([feature_values(out)[i] for i in range(len(STD_COLS))])
             elif model is not None:
                 # A copy with its own output columns: the fitted model is shared between calls.
                 own = model.copy({model.probabilityCol: f"_{name}_prob", model.rawPredictionCol: f"_{name}_raw",

@@ -17,6 +17,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.ml.feature import StringIndexer, StringIndexerModel, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +27,7 @@ from ..session import MAX_BROADCAST_ROWS, materialize
 
 FEATURE_NAMES = [f"cat_{c}" for c in K.CAT_COLS] + K.NUM_COLS
 STD_COLS = [f"_z{i}" for i in range(len(FEATURE_NAMES))]
+VALUES = "_values"  # the standardised features as an array
 
 
 @dataclass
@@ -64,6 +66,12 @@ def hyper_columns(n: Column) -> dict[str, Column]:
             "lr_c": within(0.01, n.cast("double") / F.lit(100.0), 1.0)}
 
 
+def feature_values(df: DataFrame) -> Column:
+    """The standardised features of a row as an array, from its column VALUES or the ``features`` vector (each read of
+    which converts the whole vector)."""
+    return F.col(VALUES) if VALUES in df.columns else vector_to_array(F.col("features"))
+
+
 MAX_LABELS = 100_000  # labels of one categorical feature that the driver holds
 
 

@@ -16,12 +16,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import RDD
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .boosting import BLOCK, KEPT
 from .compiled import Centres
+from .features import feature_values
 
 STEPS, PASSES, TOLERANCE = 2, 20, 1e-4
 LOCAL_PASSES = 30  # over the few candidates
@@ -58,7 +58,7 @@ class SegmentsWriter:
 
 
 def value_blocks(train: DataFrame, cols: int) -> RDD:
-    """The ``features`` vectors of ``train`` as blocks (feature x row, single precision), persisted."""
+    """The features of ``train`` as blocks (feature x row, single precision), persisted."""
     def run(batches):
         def block(held):
             x = np.concatenate([b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, cols) for b in held])
@@ -74,7 +74,7 @@ def value_blocks(train: DataFrame, cols: int) -> RDD:
         if n:
             yield block(held)
 
-    rows = train.select(vector_to_array("features").alias("v")).mapInArrow(run, "x binary").coalesce(train.sparkSession.sparkContext.defaultParallelism)
+    rows = train.select(feature_values(train).alias("v")).mapInArrow(run, "x binary").coalesce(train.sparkSession.sparkContext.defaultParallelism)
     return rows.rdd.map(lambda r: np.frombuffer(r["x"], np.float32).reshape(cols, -1)).persist(KEPT)
 
 
@@ -164,7 +164,7 @@ def start(blocks: RDD, k: int, seed: int) -> np.ndarray:
 
 
 def fit_segments(train: DataFrame, features: list[str], k: int, seed: int) -> Segments:
-    """M7 on the ``features`` vectors of ``train``, named ``features`` as columns."""
+    """M7 on the features of ``train``, named ``features`` as columns."""
     blocks = value_blocks(train, len(features))
     try:
         centres = start(blocks, k, seed)
