@@ -412,7 +412,7 @@ def _predict_loans_reloaded(spark, sf):
     import uuid
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/bundle-{uuid.uuid4().hex[:12]}"
     fitted_models(spark, sf).save(spark, path)
-    return predict_loans(LoanModels.load(spark, path), _applications(spark, sf))
+    return predict_loans(LoanModels.load(spark, path), spread(_applications(spark, sf)))
 
 
 @plan("cluster_assign")
